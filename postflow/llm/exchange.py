@@ -12,11 +12,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYS = "bucket int, pid int, key binary, info binary"
-REPLY = "pid int, kind int, key binary, info binary"
+ASKS = "bucket int, pid int, key binary, info binary"
+REPLY = "pid int, kind int, bucket int, key binary, info binary"
+SHORT = 5  # bytes of a key in the first round; two keys that agree there and in their bucket only look shared
 
 
 def width(spark: SparkSession) -> int:
@@ -32,84 +34,102 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
 
 
-def to_buckets(pid: int, keys: np.ndarray, info: np.ndarray, n: int) -> pa.Table:
-    """One row for each bucket that gets keys."""
-    b = bucket_of(keys, n)
-    order = np.argsort(b, kind="stable")
-    b, keys, info = b[order], keys[order], info[order]
-    ids, at = np.unique(b, return_index=True)
-    cut = np.r_[at, len(b)]
-    return pa.table(
-        {
-            "bucket": pa.array(ids, pa.int32()),
-            "pid": pa.array(np.full(len(ids), pid), pa.int32()),
-            "key": pa.array([keys[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
-            "info": pa.array([info[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
-        }
-    )
+def by_group(of: np.ndarray, arrays: dict[str, np.ndarray], name: str, fixed: dict[str, int]) -> pa.Table:
+    """One row for each value in `of`, with the arrays' entries of that value as packed bytes, in their order."""
+    order = np.argsort(of, kind="stable")
+    ids, at = np.unique(of[order], return_index=True)
+    cut = np.r_[at, len(of)]
+    cols = {name: pa.array(ids, pa.int32())} | {k: pa.array(np.full(len(ids), v), pa.int32()) for k, v in fixed.items()}
+    for k, values in arrays.items():
+        values = values[order]
+        cols[k] = pa.array([values[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())
+    return pa.table(cols)
 
 
-def gather(table: pa.Table, info_type: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, infos and pids of packed rows."""
-    blobs, infos, pids = table["key"].to_pylist(), table["info"].to_pylist(), table["pid"].to_numpy()
-    key = np.frombuffer(b"".join(blobs), np.uint64)
-    info = np.frombuffer(b"".join(infos), info_type)
-    return key, info, np.repeat(pids, [len(x) // 8 for x in blobs]).astype(np.int32)
+def gather(table: pa.Table, column: str, kind: np.dtype | type | str) -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), kind)
 
 
-def to_parts(pid: np.ndarray, key: np.ndarray, info: np.ndarray, kind: int) -> pa.Table:
-    order = np.argsort(pid, kind="stable")
-    pid, key, info = pid[order], key[order], info[order]
-    ids, at = np.unique(pid, return_index=True)
-    cut = np.r_[at, len(pid)]
-    return pa.table(
-        {
-            "pid": pa.array(ids, pa.int32()),
-            "kind": pa.array(np.full(len(ids), kind), pa.int32()),
-            "key": pa.array([key[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
-            "info": pa.array([info[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary()),
-        }
-    )
+def origin(table: pa.Table, column: str, width_: int) -> np.ndarray:
+    """The row of the table that each packed entry is from."""
+    return np.repeat(np.arange(table.num_rows), [len(x.as_py()) // width_ for x in table[column]])
+
+
+def shorten(keys: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]).view(f"V{SHORT}").ravel()
+
+
+def lengthen(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(blob, np.uint8).reshape(-1, SHORT)
+    return out.view("<u8").ravel()
 
 
 def shared_keys(parted: DataFrame, extract: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], hot: int = 1 << 62) -> DataFrame:
-    """Rows of REPLY: to each partition, those of its keys that occur in two documents or more; info is 1 byte, 1 if the key is hot.
+    """Replies of kind 0: for each key that a partition has, in order, whether another document has it too, and whether it is hot.
 
-    extract gives a partition's distinct keys and how often each counts there: 0 or 1 for one document, more for several. A key is hot
-    when its counts add up to more than `hot`.
+    extract gives a partition's distinct keys, ascending, and how often each counts there: 1 for one document, more for several. A key
+    is hot when its counts (each 255 at most) add up to more than `hot`. Read the replies with `told`.
     """
     n = width(parted.sparkSession)
 
     def send(group: tuple, table: pa.Table) -> pa.Table:
         keys, count = extract(table)
-        return to_buckets(group[0].as_py(), keys, np.minimum(count, 255).astype(np.uint8), n)
+        return by_group(bucket_of(keys, n), {"key": shorten(keys), "info": np.minimum(count, 255).astype(np.uint8)}, "bucket", {"pid": group[0].as_py()})
 
     def answer(_: tuple, table: pa.Table) -> pa.Table:
-        key, count, pid = gather(table, np.uint8)
+        key = lengthen(b"".join(table["key"].to_pylist()))
+        count = gather(table, "info", np.uint8).astype(np.int64)
         order = np.argsort(key, kind="stable")
-        key, count, pid = key[order], count[order].astype(np.int64), pid[order]
-        first = np.r_[True, key[1:] != key[:-1]]
-        run = np.cumsum(first) - 1
-        total = np.add.reduceat(count, np.flatnonzero(first))[run]
-        many = np.bincount(run)[run] > 1
-        keep = many | (count > 1)
-        return to_parts(pid[keep], key[keep], (total[keep] > hot).astype(np.uint8), 0)
-
-    return parted.groupBy("pid").applyInArrow(send, KEYS).groupBy("bucket").applyInArrow(answer, REPLY)
-
-
-def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key among the sorted keys, -1 where it is missing."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def reply_arrays(table: pa.Table, kind: int, info_type: type) -> tuple[np.ndarray, np.ndarray]:
-    """A partition's replies of a kind, sorted by key."""
-    rows = table.filter(pa.compute.equal(table["kind"], kind)) if table.num_rows else table
-    key = np.frombuffer(b"".join(rows["key"].to_pylist()), np.uint64)
-    info = np.frombuffer(b"".join(rows["info"].to_pylist()), info_type)
+        first = np.r_[True, key[order][1:] != key[order][:-1]]
+        total = np.empty_like(count)
+        total[order] = np.add.reduceat(count[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+        flags = (total > 1).astype(np.uint8) + (total > hot)
+        return send_flags(table, flags, [len(x.as_py()) // SHORT for x in table["key"]], 0)
+
+    return parted.groupBy("pid").applyInArrow(send, ASKS).groupBy("bucket").applyInArrow(answer, REPLY)
+
+
+def send_flags(asked: pa.Table, flags: np.ndarray, counts: list[int], kind: int) -> pa.Table:
+    """For each row asked, the flags (0 to 3) of its entries as two bit arrays."""
+    cut = np.r_[0, np.cumsum(counts)].astype(np.int64)
+    pack = lambda bit: [np.packbits(flags[i:j] >> bit & 1).tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+    return pa.table(
+        {
+            "pid": asked["pid"].combine_chunks(),
+            "kind": pa.array(np.full(asked.num_rows, kind), pa.int32()),
+            "bucket": asked["bucket"].combine_chunks(),
+            "key": pa.array(pack(0), pa.binary()),
+            "info": pa.array(pack(1), pa.binary()),
+        }
+    )
+
+
+def told(replies: pa.Table, kind: int, bucket: np.ndarray) -> np.ndarray:
+    """The flags of a partition's entries, given the bucket that each entry was sent to."""
+    out = np.zeros(len(bucket), np.uint8)
+    if not len(bucket):
+        return out
+    order = np.argsort(bucket, kind="stable")
+    rows = replies.filter(pa.compute.equal(replies["kind"], kind)).sort_by("bucket")
+    count = np.bincount(bucket)
+    count = count[count > 0]
+    flags = np.zeros(len(bucket), np.uint8)
+    for bit, column in enumerate(("key", "info")):
+        bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=c) for x, c in zip(rows[column], count, strict=True)]
+        flags += np.concatenate(bits) << bit
+    out[order] = flags
+    return out
+
+
+def to_parts(pid: np.ndarray, key: np.ndarray, info: np.ndarray, kind: int) -> pa.Table:
+    """Keyed replies: to each partition its keys and what there is to say about each."""
+    return by_group(pid, {"key": key, "info": info}, "pid", {"kind": kind, "bucket": 0}).select(["pid", "kind", "bucket", "key", "info"])
+
+
+def reply_arrays(replies: pa.Table, kind: int, info_type: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """A partition's keyed replies of a kind, sorted by key."""
+    rows = replies.filter(pa.compute.equal(replies["kind"], kind)) if replies.num_rows else replies
+    key, info = gather(rows, "key", np.uint64), gather(rows, "info", info_type)
     order = np.argsort(key, kind="stable")
     return key[order], info[order]

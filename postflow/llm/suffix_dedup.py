@@ -2,16 +2,18 @@
 
 A byte goes if a `size`-byte string that covers it also starts in a document with a smaller id. Strings are cut from the texts as
 "runs": neighbouring windows whose smallest k-gram hash is the same. Equal windows have the same smallest hash, so all copies of a
-window meet in the bucket of that hash. Three passes over the document partitions do the work:
+window meet in the bucket of that hash. Four passes over the document partitions do the work:
 
 1. Each partition sends its distinct hashes; it hears which of them other documents hold too (most are nobody else's).
-2. For those, it sends each distinct run once, with the smallest id that has it. A bucket puts the windows of the runs that differ
-   in suffix order; a window has an earlier copy if, within the stretch that shares `size` bytes, the longest-previous-factor
-   test finds a smaller document before it (previous smaller) or after it (next smaller) in suffix order.
-3. Each partition marks the bytes of its documents.
+2. For those, it sends a digest of each distinct run and the smallest id that has it. It hears which runs an earlier document has in
+   full, and which are first of their kind but meet other runs with the same hash.
+3. The latter's bytes go to a bucket, which puts their windows in suffix order; a window has an earlier copy if, within the stretch
+   that shares `size` bytes, the longest-previous-factor test finds a smaller document before it (previous smaller) or after it
+   (next smaller) in suffix order.
+4. Each partition marks the bytes of its documents.
 
-A hash that more than HOT distinct runs hold (a line that thousands of documents place in other surroundings) is split: its runs go
-out as single windows, keyed by their own content.
+A hash that more than HOT distinct runs hold (a line that thousands of documents place in other surroundings) is split: in step 2 its
+runs go out as single windows, keyed by their own content, for which the smallest id says all.
 
 Defined cases: a null text is empty; a null id counts as larger than every id; documents with the same id do not match each other;
 texts shorter than `size` stay whole; an empty table gives an empty result; other columns are ignored.
@@ -29,6 +31,8 @@ from .kernels import BYTE, CHUNK, U64, mix64, ranges, segment_hash, utf8
 
 HOT = 2000
 NO_ID = np.iinfo(np.int64).max
+FULL, CHECK = 1, 2
+OWN = np.dtype([("same", "<u8"), ("doc", "<i8")])
 RUN = np.dtype([("same", "<u8"), ("doc", "<i8"), ("len", "<i4")])
 SPAN = np.dtype([("a", "<i4"), ("b", "<i4")])
 RUNS = "bucket int, pid int, key binary, info binary, bytes binary"
@@ -164,7 +168,8 @@ def earlier_copy(order: np.ndarray, shares: np.ndarray, doc: np.ndarray) -> np.n
 
 def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_bytes, the removed spans (byte offsets, ascending, apart) and the kept bytes."""
-    n_buckets = 2 * ex.width(docs.sparkSession)
+    n_keys = ex.width(docs.sparkSession)
+    n_buckets = 2 * n_keys
     parted = ex.dealt(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
 
     def load(table: pa.Table) -> tuple[np.ndarray, Runs, np.ndarray]:
@@ -185,94 +190,88 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
         at = np.flatnonzero(new_key)
         return key[at], np.add.reduceat(new_run.astype(np.int64), at) + np.maximum.reduceat(again.astype(np.int64), at)
 
-    def split(runs: Runs, reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """The runs whose key others hold too: the plain ones and the hot ones."""
-        keys, hot = ex.reply_arrays(reply, 0, np.uint8)
-        at = ex.lookup(keys, runs.key)
-        is_hot = (at >= 0) & (hot[np.maximum(at, 0)] > 0) if len(keys) else np.zeros(len(at), bool)
-        return np.flatnonzero((at >= 0) & ~is_hot), np.flatnonzero(is_hot)
+    def entries(table: pa.Table, replies: pa.Table) -> tuple:
+        """All that the partition has of shared keys: runs, and windows where the key is hot.
 
-    def send_runs(group: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
-        if not table.num_rows or not reply.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "pid": pa.array([], pa.int32()), "key": pa.array([], pa.binary()), "info": pa.array([], pa.binary()), "bytes": pa.array([], pa.binary())})
-        ids, runs, _ = load(table)
-        plain, hot = split(runs, reply)
-        w_start, w_row, w_hash = runs.windows(hot)
+        Gives the loaded documents, then key, same, start, last, doc and pair of each entry; the index of one entry for each pair, with
+        the smallest id that the partition has for it; and that id for each entry.
+        """
+        ids, runs, offs = load(table)
+        keys = np.unique(runs.key)
+        flag = ex.told(replies, 0, ex.bucket_of(keys, n_keys))[np.searchsorted(keys, runs.key)]
+        plain = np.flatnonzero(flag == 1)
+        w_start, w_row, w_hash = runs.windows(np.flatnonzero(flag == 2))
         key, same = np.r_[runs.key[plain], w_hash], np.r_[runs.same[plain], w_hash]
-        start, end = np.r_[runs.start[plain], w_start], np.r_[runs.last[plain], w_start] + size
-        doc = ids[np.r_[runs.row[plain], w_row]]
-        _, heads = first_of(pair_key(key, same), doc)
+        start, last = np.r_[runs.start[plain], w_start], np.r_[runs.last[plain], w_start]
+        doc, pair = ids[np.r_[runs.row[plain], w_row]], pair_key(key, same)
+        least, heads = first_of(pair, doc)
+        return ids, runs, offs, key, same, start, last, doc, pair, heads, least
+
+    def send_ids(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("key", pa.binary()), ("info", pa.binary())]).empty_table()
+        _, _, _, key, same, _, _, doc, _, heads, _ = entries(table, replies)
+        info = np.zeros(len(heads), OWN)
+        info["same"], info["doc"] = same[heads], doc[heads]
+        return ex.by_group(ex.bucket_of(key[heads], n_buckets), {"key": key[heads], "info": info}, "bucket", {"pid": group[0].as_py()})
+
+    def answer_ids(_: tuple, table: pa.Table) -> pa.Table:
+        """FULL where another partition has the run in a smaller document; CHECK where this is the smallest, but other runs have the key."""
+        key, info = ex.gather(table, "key", np.uint64), ex.gather(table, "info", OWN)
+        pair = pair_key(key, info["same"])
+        least, heads = first_of(pair, info["doc"])
+        order = np.argsort(key[heads], kind="stable")
+        kinds = key[heads][order]
+        lo, hi = np.searchsorted(kinds, key, "left"), np.searchsorted(kinds, key, "right")
+        flags = np.where(info["doc"] > least, FULL, np.where(hi - lo > 1, CHECK, 0)).astype(np.uint8)
+        return ex.send_flags(table, flags, [len(x.as_py()) // 8 for x in table["key"]], 1)
+
+    def send_runs(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("key", pa.binary()), ("info", pa.binary()), ("bytes", pa.binary())]).empty_table()
+        _, runs, _, key, same, start, last, doc, _, heads, _ = entries(table, replies)
+        heads = heads[ex.told(replies, 1, ex.bucket_of(key[heads], n_buckets)) == CHECK]
         bucket = ex.bucket_of(key[heads], n_buckets)
         order = np.argsort(bucket, kind="stable")
         heads, bucket = heads[order], bucket[order]
+        size_ = last[heads] + size - start[heads]
         info = np.zeros(len(heads), RUN)
-        info["same"], info["doc"], info["len"] = same[heads], doc[heads], (end - start)[heads]
-        ids_, at = np.unique(bucket, return_index=True)
-        cut, key = np.r_[at, len(bucket)], key[heads]
-        size_, start = (end - start)[heads], start[heads]
-        pairs = list(zip(cut, cut[1:], strict=False))
-        return pa.table(
-            {
-                "bucket": pa.array(ids_, pa.int32()),
-                "pid": pa.array(np.full(len(ids_), group[0].as_py()), pa.int32()),
-                "key": pa.array([key[i:j].tobytes() for i, j in pairs], pa.binary()),
-                "info": pa.array([info[i:j].tobytes() for i, j in pairs], pa.binary()),
-                "bytes": pa.array([runs.buf[ranges(start[i:j], size_[i:j])].tobytes() for i, j in pairs], pa.binary()),
-            }
-        )
+        info["same"], info["doc"], info["len"] = same[heads], doc[heads], size_
+        out = ex.by_group(bucket, {"key": key[heads], "info": info}, "bucket", {"pid": group[0].as_py()})
+        cut = np.r_[np.unique(bucket, return_index=True)[1], len(bucket)]
+        text = [runs.buf[ranges(start[heads[i:j]], size_[i:j])].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+        return out.append_column("bytes", pa.array(text, pa.binary()))
 
     def judge(_: tuple, table: pa.Table) -> pa.Table:
-        key, info, pid = ex.gather(table, RUN)
+        key, info = ex.gather(table, "key", np.uint64), ex.gather(table, "info", RUN)
+        pid = table["pid"].to_numpy()[ex.origin(table, "key", 8)]
         text = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
         length = info["len"].astype(np.int64)
         at = np.cumsum(length) - length
-        both, doc = pair_key(key, info["same"]), info["doc"]
-        least, heads = first_of(both, doc)
-        full = np.flatnonzero(doc > least)
-        out = [(pid[full], both[full], np.full(len(full), -1), np.full(len(full), -1))]
-        heads = heads[np.argsort(key[heads], kind="stable")]
-        if len(heads):
-            new = np.r_[True, key[heads][1:] != key[heads][:-1]]
-            heads = heads[np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1]
-        if len(heads):
-            count = length[heads] - size + 1
-            start, of = ranges(at[heads], count), np.repeat(np.arange(len(heads)), count)
-            order, shares = suffix_order(text, start, size)
-            hit = earlier_copy(order, shares, doc[heads][of])
-            rel = start - at[heads][of]
-            begins = hit & ~np.r_[False, hit[:-1] & (of[1:] == of[:-1])]
-            ends = hit & ~np.r_[hit[1:] & (of[1:] == of[:-1]), False]
-            b, e = np.flatnonzero(begins), np.flatnonzero(ends)
-            run = heads[of[b]]
-            out.append((pid[run], both[run], rel[b], rel[e]))
-        pid, both, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-        span = np.zeros(len(pid), SPAN)
-        span["a"], span["b"] = a, b
-        return ex.to_parts(pid, both, span, 1)
-
-    def mark(_: tuple, table: pa.Table, reply: pa.Table) -> pa.Table:
-        import numpy as np  # noqa: PLC0415
-
-        ids, runs, offs = load(table)
+        count = length - size + 1
+        of = np.repeat(np.arange(len(key)), count)
+        start = ranges(at, count)
+        order, shares = suffix_order(text, start, size)
+        hit = earlier_copy(order, shares, info["doc"][of])
+        rel = start - at[of]
+        b = np.flatnonzero(hit & ~np.r_[False, hit[:-1] & (of[1:] == of[:-1])])
+        e = np.flatnonzero(hit & ~np.r_[hit[1:] & (of[1:] == of[:-1]), False])
+        span = np.zeros(len(b), SPAN)
+        span["a"], span["b"] = rel[b], rel[e]
+        return ex.to_parts(pid[of[b]], pair_key(key, info["same"])[of[b]], span, 2)
+
+    def mark(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        ids, runs, offs, key, _, start, last, doc, pair, heads, least = entries(table, replies)
+        full = np.zeros(len(pair), bool)
+        told = ex.told(replies, 1, ex.bucket_of(key[heads], n_buckets))
+        full[:] = told[np.searchsorted(pair[heads], pair)] == FULL if len(heads) else False
+        whole = np.flatnonzero(full | (doc > least))
+        known, span = ex.reply_arrays(replies, 2, SPAN)
+        lo, hi = np.searchsorted(known, pair, "left"), np.searchsorted(known, pair, "right")
+        at, of = ranges(lo, hi - lo), np.repeat(np.arange(len(pair)), hi - lo)
         edge = np.zeros(len(runs.buf) + 1, np.int32)
-        if reply.num_rows:
-            plain, hot = split(runs, reply)
-            both, span = ex.reply_arrays(reply, 1, SPAN)
-            w_start, w_row, w_hash = runs.windows(hot)
-            mine = pair_key(np.r_[runs.key[plain], w_hash], np.r_[runs.same[plain], w_hash])
-            start, last = np.r_[runs.start[plain], w_start], np.r_[runs.last[plain], w_start]
-            doc = ids[np.r_[runs.row[plain], w_row]]
-            least, _heads = first_of(mine, doc)
-            lo, hi = np.searchsorted(both, mine, "left"), np.searchsorted(both, mine, "right")
-            told = ranges(lo, hi - lo)
-            of = np.repeat(np.arange(len(mine)), hi - lo)
-            a, b = span["a"][told].astype(np.int64), span["b"][told].astype(np.int64)
-            whole = np.union1d(np.flatnonzero(doc > least), of[a < 0])
-            part = a >= 0
-            begin = np.r_[start[whole], start[of[part]] + a[part]]
-            end = np.r_[last[whole], start[of[part]] + b[part]] + size
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, end, -1)
+        np.add.at(edge, np.r_[start[whole], start[of] + span["a"][at]], 1)
+        np.add.at(edge, np.r_[last[whole], start[of] + span["b"][at]] + size, -1)
         gone = np.cumsum(edge[:-1]) > 0
         opens, closes = gone.copy(), gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -297,10 +296,14 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
             }
         )
 
+    def round_(replies: DataFrame, f, schema: str) -> DataFrame:
+        return parted.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(f, schema)
+
     shared = ex.shared_keys(parted, extract, HOT)
-    docs_by, reply_by = parted.groupBy("pid"), shared.groupBy("pid")
-    told = docs_by.cogroup(reply_by).applyInArrow(send_runs, RUNS).groupBy("bucket").applyInArrow(judge, ex.REPLY)
-    return parted.groupBy("pid").cogroup(shared.unionByName(told).groupBy("pid")).applyInArrow(mark, SPANS)
+    owners = round_(shared, send_ids, ex.ASKS).groupBy("bucket").applyInArrow(answer_ids, ex.REPLY)
+    heard = shared.unionByName(owners)
+    spans = round_(heard, send_runs, RUNS).groupBy("bucket").applyInArrow(judge, ex.REPLY)
+    return round_(heard.unionByName(spans), mark, SPANS)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
