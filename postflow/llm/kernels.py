@@ -120,3 +120,20 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenated aranges: start, start + 1, ... for each pair."""
     total = np.cumsum(lens) - lens
     return np.arange(int(lens.sum())) - np.repeat(total, lens) + np.repeat(starts, lens)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+    """Parts of a batch whose texts stay under about `limit` bytes, one row at least."""
+    offs = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        base = offs[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(offs, base + limit, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def per_row(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many flags are set in each [start, end)."""
+    c = np.r_[0, np.cumsum(flags, dtype=np.int64)]
+    return c[ends] - c[starts]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import op9_quality_rules
 from .suffix_dedup import op1_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op9_quality_rules)}
 ORACLE: dict[str, str] = {}

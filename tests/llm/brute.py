@@ -20,3 +20,20 @@ def suffix_dedup(rows, size=50):
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out)
+
+
+def quality_counts(text):
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = {}
+    for i in range(len(words) - 2):
+        grams.setdefault(tuple(words[i : i + 3]), []).append(i)
+    covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered))
