@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op6_embedding_dedup
 from .quality_rules import op9_quality_rules
 from .suffix_dedup import op1_suffix_dedup
+from .toxicity import op10_toxicity
+from .url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op6_embedding_dedup, op7_url_filter, op9_quality_rules, op10_toxicity)}
 ORACLE: dict[str, str] = {}

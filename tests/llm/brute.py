@@ -37,3 +37,37 @@ def quality_counts(text):
         grams.setdefault(tuple(words[i : i + 3]), []).append(i)
     covered = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered))
+
+
+def components(ids, links):
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {i: root(i) for i in ids}
+
+
+def embedding_dedup(rows, threshold=0.93):
+    import numpy as np
+
+    ok = []
+    for i, v, label in rows:
+        if v is None or label is None or any(c is None or not np.isfinite(c) for c in v) or not any(v):
+            continue
+        v = np.array(v, float)
+        ok.append((i, v / 1.0, label))
+    links, n = [], {i: 0 for i, _, _ in rows}
+    for k, (i, v, a) in enumerate(ok):
+        for j, w, b in ok[k + 1 :]:
+            if a == b and len(v) == len(w) and v @ w / (np.sqrt(v @ v) * np.sqrt(w @ w)) >= threshold:
+                links.append((i, j))
+                n[i] += 1
+                n[j] += 1
+    comp = components([i for i, _, _ in rows], links)
+    return sorted((i, n[i], comp[i], comp[i] == i) for i, _, _ in rows)
