@@ -25,6 +25,11 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets get less than partitions do, so there are fewer: each pair of the two is a row of the exchange."""
+    return max(1, width(spark) // 2)
+
+
 def dealt(df: DataFrame, key: str, times: int = 2) -> DataFrame:
     """Adds pid, the document partition of a row."""
     return df.withColumn("pid", F.pmod(F.xxhash64(F.col(key)), F.lit(times * width(df.sparkSession))).cast("int"))
@@ -71,7 +76,7 @@ def shared_keys(parted: DataFrame, extract: Callable[[pa.Table], tuple[np.ndarra
     extract gives a partition's distinct keys, ascending, and how often each counts there: 1 for one document, more for several. A key
     is hot when its counts (each 255 at most) add up to more than `hot`. Read the replies with `told`.
     """
-    n = width(parted.sparkSession)
+    n = buckets(parted.sparkSession)
 
     def send(group: tuple, table: pa.Table) -> pa.Table:
         keys, count = extract(table)

@@ -168,8 +168,8 @@ def earlier_copy(order: np.ndarray, shares: np.ndarray, doc: np.ndarray) -> np.n
 
 def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_bytes, the removed spans (byte offsets, ascending, apart) and the kept bytes."""
-    n_keys = ex.width(docs.sparkSession)
-    n_buckets = 2 * n_keys
+    n_keys = ex.buckets(docs.sparkSession)
+    n_buckets = n_keys
     parted = ex.dealt(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
 
     def load(table: pa.Table) -> tuple[np.ndarray, Runs, np.ndarray]:
