@@ -137,3 +137,37 @@ def per_row(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     """How many flags are set in each [start, end)."""
     c = np.r_[0, np.cumsum(flags, dtype=np.int64)]
     return c[ends] - c[starts]
+
+
+_ASCII = np.arange(256)
+STOP = np.isin(_ASCII, np.frombuffer(b".!?", np.uint8))
+INNER = (_ASCII >= 128) | ((_ASCII >= 48) & (_ASCII <= 57)) | ((_ASCII >= 65) & (_ASCII <= 90)) | ((_ASCII >= 97) & (_ASCII <= 122))
+
+
+def sentence_breaks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each word, whether its sentence ends with it: it ends in . ! or ?, or a line or the row ends after it."""
+    if not len(ends):
+        return np.zeros(0, bool)
+    lines = per_row(buf == 10, ends, np.r_[starts[1:], ends[-1]])
+    return STOP[buf[ends - 1]] | (lines > 0) | np.r_[row[1:] != row[:-1], True]
+
+
+def cores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The words without up to `rounds` ASCII punctuation marks at either end; one byte is left at least."""
+    a, b = starts.copy(), ends.copy()
+    for _ in range(rounds if len(buf) else 0):
+        a += (b - a > 1) & ~INNER[buf[a]]
+        b -= (b - a > 1) & ~INNER[buf[b - 1]]
+    return a, b
+
+
+def chain_hash(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A hash of each run of values [start, start + len); runs have a value at least and do not overlap."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    at = ranges(starts, lens)
+    first = np.cumsum(lens) - lens
+    rel = np.arange(len(at)) - np.repeat(first, lens)
+    pw = _POW if lens.max() <= len(_POW) else powers(int(lens.max()))
+    with np.errstate(over="ignore"):
+        return mix64(np.add.reduceat(values[at] * pw[rel], first) + lens.astype(U64))

@@ -20,13 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, U64, mix64, per_row, segment_hash, slices, utf8, words
+from .kernels import LOWER, U64, cores, mix64, segment_hash, sentence_breaks, slices, utf8, words
 
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes of a word's beginnings
-_ASCII = np.arange(256)
-STOP = np.isin(_ASCII, np.frombuffer(b".!?", np.uint8))
-INNER = (_ASCII >= 128) | ((_ASCII >= 48) & (_ASCII <= 57)) | ((_ASCII >= 65) & (_ASCII <= 90)) | ((_ASCII >= 97) & (_ASCII <= 122))
 OUT = "doc_id bigint, score double, sentences array<struct<start:bigint,end:bigint,score:double>>"
 
 
@@ -49,16 +46,11 @@ class Sentences:
 def parse(column: pa.Array) -> Sentences:
     buf, offs = utf8(column)
     starts, ends, row, _ = words(buf, offs)
-    breaks = STOP[buf[ends - 1]] if len(ends) else np.zeros(0, bool)
-    if len(ends):
-        lines = per_row(buf == 10, ends, np.r_[starts[1:], ends[-1]])
-        breaks = breaks | (lines > 0) | np.r_[row[1:] != row[:-1], True]
-    of = np.r_[0, np.cumsum(breaks)[:-1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    first, last = np.flatnonzero(np.r_[True, breaks[:-1]]) if len(ends) else of, np.flatnonzero(breaks)
-    a, b = starts.copy(), ends.copy()
-    for _ in range(8):
-        a += (b - a > 1) & ~INNER[buf[np.minimum(a, len(buf) - 1)]] if len(buf) else 0
-        b -= (b - a > 1) & ~INNER[buf[b - 1]] if len(buf) else 0
+    breaks = sentence_breaks(buf, starts, ends, row)
+    of = np.r_[0, np.cumsum(breaks)[:-1]][: len(ends)].astype(np.int64)
+    last = np.flatnonzero(breaks)
+    first = np.r_[0, last[:-1] + 1][: len(last)].astype(np.int64)
+    a, b = cores(buf, starts, ends)
     low = LOWER[buf]
     found = [(of, segment_hash(low, a, b))]
     for n in PREFIXES:
