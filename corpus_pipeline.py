@@ -1,17 +1,55 @@
-"""From raw documents to packed training sequences: the stages of the corpus pipeline."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, with the columns of documents; the last gives the packed
+pieces. Extra columns of the documents pass through the filters and are dropped by the stages that rewrite texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from postflow.llm import ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from postflow.llm.components import saved
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    return quality_rules.keep(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    return toxicity.keep(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, similarity 0.8) the smallest document stays."""
+    found = saved(ngram_join.join(docs))
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
 
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that an earlier document has go; a character cut in two becomes U+FFFD."""
+    found = suffix_dedup.dedup(docs, carry=("lang", "source"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", text.alias("text"), F.col("carry_0").alias("lang"), F.col("carry_1").alias("source"), F.length(text).cast("bigint").alias("n_chars"))
 
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenised pieces with their places in sequences of 4096 tokens."""
+    found = packing.pack(saved(packing.pieces(docs, with_ids=False)))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("quality rules", quality), ("toxicity", clean), ("n-gram Jaccard join", distinct), ("suffix-array dedup", unrepeated), ("best-fit packing", packed)]
+
+#: SQL cannot train the two filters; tests hold the stages against plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

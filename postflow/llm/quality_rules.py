@@ -238,31 +238,35 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, doc_id: str
     return fit(row, bins, state)
 
 
+def verdicts(column: pa.Array, model: Crf, min_share: float) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The measured lines, the state of each, and by text: base_failed, content share and kept."""
+    x = measure(column)
+    n, s = len(column), x.stats
+    state = decode(model, x.row, x.bins)
+    share = np.bincount(x.row, x.size * state, n) / np.maximum(np.bincount(x.row, x.size, n), 1)
+    failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+    return x, state, failed, share, ~failed & (share >= min_share)
+
+
 def judge(docs: DataFrame, model: Crf, min_share: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: the counts, base_failed, content_share, marks (a letter for each line: C, B, or - without a word) and kept."""
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = measure(part.column("text"))
-                n = part.num_rows
-                state = decode(model, x.row, x.bins)
-                total, content = np.bincount(x.row, x.size, n), np.bincount(x.row, x.size * state, n)
-                share = content / np.maximum(total, 1)
-                s = x.stats
-                failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+                x, state, failed, share, kept = verdicts(part.column("text"), model, min_share)
                 marks = np.full(int(x.n_lines.sum()), ord("-"), np.uint8)
                 first = np.cumsum(x.n_lines) - x.n_lines
                 marks[first[x.row] + x.at] = np.where(state == 1, ord("C"), ord("B"))
                 cut = np.r_[0, np.cumsum(x.n_lines)].astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": part.column("doc_id")}
-                    | {k: pa.array(v.astype(np.int64)) for k, v in s.items()}
+                    | {k: pa.array(v.astype(np.int64)) for k, v in x.stats.items()}
                     | {
                         "base_failed": pa.array(failed),
                         "content_share": pa.array(share),
-                        "marks": pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(marks.tobytes())]),
-                        "kept": pa.array(~failed & (share >= min_share)),
+                        "marks": pa.Array.from_buffers(pa.string(), part.num_rows, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(marks.tobytes())]),
+                        "kept": pa.array(kept),
                     }
                 )
 
@@ -270,6 +274,17 @@ def judge(docs: DataFrame, model: Crf, min_share: float = 0.5, doc_id: str = "do
     return own.mapInArrow(rate, f"doc_id bigint, {STATS}, base_failed boolean, content_share double, marks string, kept boolean")
 
 
+def keep(docs: DataFrame, model: Crf, min_share: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns, in one pass."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(verdicts(part.column(text), model, min_share)[-1]))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

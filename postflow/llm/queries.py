@@ -3,10 +3,29 @@
 from __future__ import annotations
 
 from .embedding_dedup import op6_embedding_dedup
+from .license_scan import op2_license_scan
+from .ngram_join import op4_ngram_jaccard_join
+from .packing import op5_best_fit_packing
 from .quality_rules import op9_quality_rules
+from .sentencepiece_codec import op3_sentencepiece
+from .span_dedup import op8_span_dedup
 from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op10_toxicity
 from .url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op6_embedding_dedup, op7_url_filter, op9_quality_rules, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_license_scan,
+        op3_sentencepiece,
+        op4_ngram_jaccard_join,
+        op5_best_fit_packing,
+        op6_embedding_dedup,
+        op7_url_filter,
+        op8_span_dedup,
+        op9_quality_rules,
+        op10_toxicity,
+    )
+}
 ORACLE: dict[str, str] = {}

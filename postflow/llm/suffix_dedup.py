@@ -166,11 +166,16 @@ def earlier_copy(order: np.ndarray, shares: np.ndarray, doc: np.ndarray) -> np.n
     return out
 
 
-def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_bytes, the removed spans (byte offsets, ascending, apart) and the kept bytes."""
+def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, the removed spans (byte offsets, ascending, apart) and the kept bytes.
+
+    carry names columns of the documents to take along, as carry_0, carry_1, ...
+    """
+    along = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     n_keys = ex.buckets(docs.sparkSession)
     n_buckets = n_keys
-    parted = ex.dealt(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
+    parted = ex.dealt(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *along), "doc_id")
+    shape = "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def load(table: pa.Table) -> tuple[np.ndarray, Runs, np.ndarray]:
         buf, offs = utf8(table["text"])
@@ -294,6 +299,7 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
                 "spans": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), spans),
                 "kept": pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(kept)]),
             }
+            | {c: table[c].combine_chunks() for c in table.column_names if c.startswith("carry_")}
         )
 
     def round_(replies: DataFrame, f, schema: str) -> DataFrame:
@@ -303,7 +309,7 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
     owners = round_(shared, send_ids, ex.ASKS).groupBy("bucket").applyInArrow(answer_ids, ex.REPLY)
     heard = shared.unionByName(owners)
     spans = round_(heard, send_runs, RUNS).groupBy("bucket").applyInArrow(judge, ex.REPLY)
-    return round_(heard.unionByName(spans), mark, SPANS)
+    return round_(heard.unionByName(spans), mark, SPANS + shape)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -151,17 +151,22 @@ def hits(x: Sentences, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair // len(vocabulary), pair % len(vocabulary)
 
 
+def logits(column: pa.Array, model: Model) -> tuple[Sentences, np.ndarray, np.ndarray]:
+    """The sentences, the logit of each, and the score of each text."""
+    x = parse(column)
+    s, f = hits(x, model.vocabulary)
+    logit = model.bias + (np.bincount(s, model.weights[f], len(x.row)) if len(s) else np.zeros(len(x.row)))
+    return x, logit, -np.expm1(-np.bincount(x.row, np.logaddexp(0, logit), len(column)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its score, and the sentences (byte offsets) whose own probability reaches the threshold."""
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x, n = parse(part.column("text")), part.num_rows
-                logit = np.full(len(x.row), model.bias)
-                s, f = hits(x, model.vocabulary)
-                logit += np.bincount(s, model.weights[f], len(x.row)) if len(s) else 0
-                total = -np.expm1(-np.bincount(x.row, np.logaddexp(0, logit), n))
+                x, logit, total = logits(part.column("text"), model)
+                n = part.num_rows
                 p = 1 / (1 + np.exp(-logit))
                 bad = np.flatnonzero(p >= threshold)
                 cut = np.r_[0, np.cumsum(np.bincount(x.row[bad], minlength=n))].astype(np.int32)
@@ -172,6 +177,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, doc_id: str = "
     return own.mapInArrow(rate, OUT)
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns, in one pass."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(logits(part.column(text), model)[2] < threshold))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -71,3 +71,23 @@ def embedding_dedup(rows, threshold=0.93):
                 n[j] += 1
     comp = components([i for i, _, _ in rows], links)
     return sorted((i, n[i], comp[i], comp[i] == i) for i, _, _ in rows)
+
+
+def ngram_join(rows, size=4, percent=85):
+    import re
+
+    sets = {}
+    for i, t in rows:
+        t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+    where, links = {}, []
+    for i in sorted(sets):
+        seen = {}
+        for s in sets[i]:
+            for j in where.setdefault(s, []):
+                seen[j] = seen.get(j, 0) + 1
+            where[s].append(i)
+        links += [(j, i) for j, both in seen.items() if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)]
+    comp = components(list(sets), links)
+    return sorted((i, len(sets[i]), comp[i]) for i in sets)
