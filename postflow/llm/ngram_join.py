@@ -3,11 +3,12 @@
 1. Filter. A partner of a document with n shingles holds all but n - ceil(t n) of them. So among the missing + 1 + n/10 shingles that
    hash lowest, at least 1 + n/10 must also occur in another document. Partitions exchange these shingles (exchange.py); documents that
    fail have no partner. Equal sets become one class.
-2. Regions. By the prefix rule, partners share one of their missing + 1 lowest shingles, so every shingle spans a region: the classes
-   with it among those. (In the whole metric space almost all documents lie at distance 1 from any pivot, so Voronoi cells of document
-   pivots would not part them; inside such a region distances say something.) The pivot of a region is the class whose shingles are most
-   common around it. Each class joins the region of the pivot that it shares most low shingles with, and its Jaccard distance to that
-   pivot is computed exactly. Classes within 1 - t of a pivot are linked to it, and so connected, without being compared to each other.
+2. Regions. Partners have so many of these shingles (probes) in common that they also share one of the rarest of them, so every rare
+   probe spans a region: the classes that hold it. (In the whole metric space almost all documents lie at distance 1 from any pivot, so
+   Voronoi cells of document pivots would not part them; inside such a region distances say something.) The pivot of a region is the
+   class whose probes are most common around it. Each class joins the region of the pivot that it shares most rare probes with, and its
+   Jaccard distance to that pivot is computed exactly. Classes within 1 - t of a pivot are linked to it, and so connected, without being
+   compared to each other.
 3. Boundaries. Only classes of different components can still add anything. They are compared where they share a region, sizes are within
    t, and, if they lie around the same pivot, their distances to it differ by at most 1 - t (triangle inequality). This joins regions
    recursively: pivots of the components in a region are compared first, then, component by component, what is still apart.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as ex
@@ -37,6 +38,17 @@ def missing(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100)
 
 
+def n_probes(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the shingles that hash lowest a document probes with."""
+    return np.minimum(n, missing(n, percent) + 1 + -(-n // 10))
+
+
+def least_common(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many probes partners have in common at least, whatever the partner's size."""
+    smallest = -(-percent * n // 100)
+    return np.minimum(1 + -(-smallest // 10), smallest - missing(smallest, percent))
+
+
 class Sets:
     """The shingle sets of a partition's documents."""
 
@@ -49,13 +61,46 @@ class Sets:
         self.n = np.bincount(self.row, minlength=len(self.ids))
         self.begin = np.cumsum(self.n) - self.n
         self.may_lack = missing(self.n, percent)
-        self.n_probe = np.minimum(self.n, self.may_lack + 1 + -(-self.n // 10))
+        self.n_probe = n_probes(self.n, percent)
         self.probe = ranges(self.begin, self.n_probe)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.token[self.probe], return_counts=True)
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose probes have as much in common as a link needs.
+
+    With I = |x & y| >= a, the p_x lowest of x and the p_y lowest of y share at least min(p_x - n_x, p_y - n_y) + a.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            p = n_probes(batch.column("n").to_numpy(), percent).tolist()
+            low = [x.as_py()[: 8 * k] for x, k in zip(batch.column("tokens"), p, strict=True)]
+            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "n": batch.column("n"), "low": pa.array(low, pa.binary())})
+
+    lows = classes.select("rep", "n", "tokens").mapInArrow(cut, "rep bigint, n bigint, low binary")
+    own = lambda c: lows.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("low").alias(f"low_{c}"))
+    both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
+
+    def sift(batches):
+        for batch in batches:
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            need = np.minimum(n_probes(n, percent) - n, n_probes(m, percent) - m) - (-percent * (n + m) // (100 + percent))
+            lows = zip(batch.column("low_a"), batch.column("low_b"), strict=True)
+            have = np.array([common(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in lows], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(have >= need))
+
+    return both.mapInArrow(sift, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, linked) for pairs of classes, from their whole sets."""
     own = lambda c: classes.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}"))
@@ -66,9 +111,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             distance, linked = [], []
             for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
+                both = common(x, y)
                 union = len(x) + len(y) - both
                 distance.append(1 - both / union)
                 linked.append(100 * both >= percent * union)
@@ -117,18 +160,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     sets = saved(parted.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(survive, SETS))
     classes = saved(sets.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
 
-    def prefixes(batches):
+    def probes(batches):
         for batch in batches:
             n = batch.column("n").to_numpy()
-            take = missing(n, percent) + 1
-            tokens = [np.frombuffer(x.as_buffer(), np.int64, t) for x, t in zip(batch.column("tokens"), take.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), take)), "n": pa.array(np.repeat(n, take))})
-
-    low = saved(classes.select("rep", "n", "tokens").mapInArrow(prefixes, "token bigint, rep bigint, n bigint"))
-    common = low.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    low = low.join(common, "token")
-    score = low.groupBy("rep").agg(F.avg("df").alias("score"))
-    low = saved(low.join(score, "rep"))
+            p = n_probes(n, percent)
+            k = p - least_common(n, percent) + 1
+            tokens = [np.frombuffer(x.as_buffer(), np.int64, t) for x, t in zip(batch.column("tokens"), p.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), p)), "n": pa.array(np.repeat(n, p)), "k": pa.array(np.repeat(k, p))})
+
+    low = classes.select("rep", "n", "tokens").mapInArrow(probes, "token bigint, rep bigint, n bigint, k bigint")
+    low = low.join(low.groupBy("token").agg(F.count("*").alias("df")), "token")
+    rarest = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
+    low = low.withColumn("rank", rarest).where("rank <= k and df > 1").select("token", "rep", "n", F.avg("df").over(Window.partitionBy("rep")).alias("score"))
+    low = saved(low)
     best = F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n"))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     pivots = low.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"))
@@ -158,7 +202,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     side = lambda c: mixed.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "component", "pivot", "distance")))
     window = F.coalesce((F.col("pivot_a") != F.col("pivot_b")) | (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9), F.lit(True))
     pairs = side("a").join(side("b"), "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")) & window)
-    last = verified(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), classes, percent)
+    pairs = bounded(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), classes, percent)
+    last = verified(pairs, classes, percent)
     links = saved(links.union(last.where("linked").select("a", "b")))
 
     found = components(links).select(F.col("node").alias("rep"), "component")
