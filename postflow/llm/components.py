@@ -1,19 +1,31 @@
-"""Connected components of a table of links, as DataFrame joins."""
+"""Saved tables, and connected components of a table of links as DataFrame joins."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The table written to the checkpoint folder, its lineage cut. A folder is made up only where spark.checkpoint.dir is unset."""
+    """The table written once to the shared checkpoint folder and read from there, its lineage cut.
+
+    A folder is made up only where spark.checkpoint.dir is unset. As with checkpoints, the folder's owner clears it.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def followed(step: DataFrame) -> DataFrame:
+    """Pointers (node, to) with each target replaced by its own target, if it has one."""
+    onward = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+    return step.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,15 +35,14 @@ def components(links: DataFrame) -> DataFrame:
     links by what they point at. Links inside a tree vanish, so the graph shrinks until none is left.
     """
     edges = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("component"))
+    found = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
     while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select("b", "a"))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         step = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
         while True:
-            onward = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            longer = saved(step.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), (F.coalesce("next", "to") != F.col("to")).alias("moved")))
-            moved = not longer.where("moved").isEmpty()
-            step = longer.drop("moved")
+            after = saved(followed(followed(step)))
+            moved = not after.join(step.withColumnRenamed("to", "was"), "node").where("to <> was").isEmpty()
+            step = after
             if not moved:
                 break
         found = saved(found.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))

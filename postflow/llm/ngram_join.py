@@ -9,9 +9,9 @@
    class whose probes are most common around it. Each class joins the region of the pivot that it shares most rare probes with, and its
    Jaccard distance to that pivot is computed exactly. Classes within 1 - t of a pivot are linked to it, and so connected, without being
    compared to each other.
-3. Boundaries. Only classes of different components can still add anything. They are compared where they share a region, sizes are within
+3. Boundaries. Only classes of different groups (sets known to be connected) can still add anything. They are compared where they share a region, sizes are within
    t, and, if they lie around the same pivot, their distances to it differ by at most 1 - t (triangle inequality). This joins regions
-   recursively: pivots of the components in a region are compared first, then, component by component, what is still apart.
+   recursively: the pivots of a region's groups are compared first, then, group by group, what is still apart.
 
 A component is named by its smallest document id. Nothing is sampled or capped.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .components import components, saved
+from .components import components, followed, saved
 from .kernels import U64, mix64, ranges, shingles, utf8, words
 
 SETS = "doc_id bigint, n bigint, same binary, tokens binary"
@@ -181,23 +181,31 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     around = saved(verified(home, classes, percent))
     links = around.where("linked").select("a", "b")
 
-    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The components so far, and the low shingles of regions that hold more than one."""
-        found = components(links)
-        placed = low.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    def apart(groups: DataFrame) -> DataFrame:
+        """The rare probes of regions whose classes are not yet all in one group; groups: (node, to)."""
+        placed = low.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("to", "rep")).drop("to")
         mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        return found, saved(placed.join(mixed, "token"))
+        return saved(placed.join(mixed, "token"))
 
-    # the pivots of the components of a region, each against the region's first
-    _, mixed = apart(links)
+    # classes with one name are connected: that of the pivot they are linked to, or of that pivot's own
+    groups = saved(followed(links.select(F.col("a").alias("node"), F.col("b").alias("to"))))
+
+    # the pivots of the groups of a region, each against the region's first
+    mixed = apart(groups)
     heads = mixed.groupBy("token", "component").agg(best.alias("p")).select("token", "component", "p.score", (-F.col("p.minus")).alias("rep"), F.col("p.n").alias("n"))
     lead = heads.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n")).alias("p")).select("token", (-F.col("p.minus")).alias("b"), F.col("p.n").alias("n_b"))
     met = heads.join(lead, "token").where((F.col("rep") != F.col("b")) & fits(F.col("n"), F.col("n_b"))).select(F.col("rep").alias("a"), "b").distinct()
     more = saved(verified(met.join(around.select("a", "b"), ["a", "b"], "left_anti"), classes, percent))
-    links = links.union(more.where("linked").select("a", "b"))
+    fresh = more.where("linked").select("a", "b")
+    links = links.union(fresh)
+    name = lambda c: groups.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
+    joined = fresh.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("to_a", "a").alias("to"), F.coalesce("to_b", "b").alias("next"))
+    joined = joined.where("next < to").groupBy("to").agg(F.min("next").alias("next"))
+    named = classes.select(F.col("rep").alias("node")).join(groups, "node", "left").select("node", F.coalesce("to", "node").alias("to"))
+    groups = saved(named.join(joined, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
 
     # what is still apart, pair by pair within the windows
-    _, mixed = apart(links)
+    mixed = apart(groups)
     mixed = mixed.join(around.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "distance"), "rep", "left")
     side = lambda c: mixed.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "component", "pivot", "distance")))
     window = F.coalesce((F.col("pivot_a") != F.col("pivot_b")) | (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9), F.lit(True))
