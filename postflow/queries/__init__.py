@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from postflow.queries import posting, relational, scalars, summaries
+
+MODULES = [relational, summaries, scalars, posting]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in MODULES for name, q in m.ORACLE.items()}
