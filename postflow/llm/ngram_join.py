@@ -2,7 +2,8 @@
 
 1. Filter. A partner of a document with n shingles holds all but n - ceil(t n) of them. So among the missing + 1 + n/10 shingles that
    hash lowest, at least 1 + n/10 must also occur in another document. Partitions exchange these shingles (exchange.py); documents that
-   fail have no partner. Equal sets become one class.
+   fail have no partner. Equal sets become one class. Of the classes, all shingles are exchanged: shingles that no other class holds are
+   dropped, which leaves s of n, and a pair can only be linked if both have at least t/(1+t) (n + n') left.
 2. Regions. Partners have so many of these shingles (probes) in common that they also share one of the rarest of them, so every rare
    probe spans a region: the classes that hold it. (In the whole metric space almost all documents lie at distance 1 from any pivot, so
    Voronoi cells of document pivots would not part them; inside such a region distances say something.) The pivot of a region is the
@@ -38,9 +39,9 @@ def missing(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100)
 
 
-def n_probes(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many of the shingles that hash lowest a document probes with."""
-    return np.minimum(n, missing(n, percent) + 1 + -(-n // 10))
+def n_probes(n: np.ndarray, s: np.ndarray, percent: int) -> np.ndarray:
+    """How many of the s usable shingles of a document of n, the ones that hash lowest, it probes with."""
+    return np.minimum(s, s - (n - missing(n, percent)) + 1 + -(-n // 10))
 
 
 def least_common(n: np.ndarray, percent: int) -> np.ndarray:
@@ -61,7 +62,7 @@ class Sets:
         self.n = np.bincount(self.row, minlength=len(self.ids))
         self.begin = np.cumsum(self.n) - self.n
         self.may_lack = missing(self.n, percent)
-        self.n_probe = n_probes(self.n, percent)
+        self.n_probe = n_probes(self.n, self.n, percent)
         self.probe = ranges(self.begin, self.n_probe)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
@@ -77,23 +78,24 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose probes have as much in common as a link needs.
 
-    With I = |x & y| >= a, the p_x lowest of x and the p_y lowest of y share at least min(p_x - n_x, p_y - n_y) + a.
+    With I = |x & y| >= a, the p_x lowest of the s_x usable shingles of x and the p_y lowest of y share at least min(p_x - s_x, p_y - s_y) + a.
     """
 
     def cut(batches):
         for batch in batches:
-            p = n_probes(batch.column("n").to_numpy(), percent).tolist()
+            p = n_probes(batch.column("n").to_numpy(), batch.column("s").to_numpy(), percent).tolist()
             low = [x.as_py()[: 8 * k] for x, k in zip(batch.column("tokens"), p, strict=True)]
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "n": batch.column("n"), "low": pa.array(low, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "n": batch.column("n"), "s": batch.column("s"), "low": pa.array(low, pa.binary())})
 
-    lows = classes.select("rep", "n", "tokens").mapInArrow(cut, "rep bigint, n bigint, low binary")
-    own = lambda c: lows.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("low").alias(f"low_{c}"))
+    lows = classes.select("rep", "n", "s", "tokens").mapInArrow(cut, "rep bigint, n bigint, s bigint, low binary")
+    own = lambda c: lows.select(F.col("rep").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "s", "low")))
     both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
 
     def sift(batches):
         for batch in batches:
             n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            need = np.minimum(n_probes(n, percent) - n, n_probes(m, percent) - m) - (-percent * (n + m) // (100 + percent))
+            s, z = batch.column("s_a").to_numpy(), batch.column("s_b").to_numpy()
+            need = np.minimum(n_probes(n, s, percent) - s, n_probes(m, z, percent) - z) - (-percent * (n + m) // (100 + percent))
             lows = zip(batch.column("low_a"), batch.column("low_b"), strict=True)
             have = np.array([common(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in lows], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(have >= need))
@@ -103,19 +105,15 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, linked) for pairs of classes, from their whole sets."""
-    own = lambda c: classes.select(F.col("rep").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+    own = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
     both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
 
     def compare(batches):
         for batch in batches:
-            distance, linked = [], []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = common(x, y)
-                union = len(x) + len(y) - both
-                distance.append(1 - both / union)
-                linked.append(100 * both >= percent * union)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "distance": pa.array(distance, pa.float64()), "linked": pa.array(linked, pa.bool_())})
+            tokens = zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True)
+            both = np.array([common(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in tokens], np.int64)
+            union = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy() - both
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "distance": pa.array(1 - both / union), "linked": pa.array(100 * both >= percent * union)})
 
     return both.mapInArrow(compare, "a bigint, b bigint, distance double, linked boolean")
 
@@ -160,25 +158,43 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     sets = saved(parted.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(survive, SETS))
     classes = saved(sets.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
 
+    usable = ex.dealt(classes.select("rep", "n", "tokens"), "rep")
+
+    def whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(ex.gather(table, "tokens", U64), return_counts=True)
+
+    def thin(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        keys, _n = whole(table)
+        shared = keys[ex.told(replies, 0, ex.bucket_of(keys, n_buckets)) > 0]
+        rows = [np.frombuffer(x.as_buffer(), U64) for x in table["tokens"]]
+        rows = [x[ex.lookup(shared, x) >= 0] for x in rows]
+        n, s = table["n"].to_numpy(), np.array([len(x) for x in rows], np.int64)
+        keep = pa.array(s >= n - missing(n, percent))
+        out = {"rep": table["rep"].combine_chunks(), "n": pa.array(n), "s": pa.array(s), "tokens": pa.array([x.tobytes() for x in rows], pa.binary())}
+        return pa.table(out).filter(keep)
+
+    asked = ex.shared_keys(usable, whole)
+    rivals = saved(usable.groupBy("pid").cogroup(asked.groupBy("pid")).applyInArrow(thin, "rep bigint, n bigint, s bigint, tokens binary"))
+
     def probes(batches):
         for batch in batches:
-            n = batch.column("n").to_numpy()
-            p = n_probes(n, percent)
+            n, s = batch.column("n").to_numpy(), batch.column("s").to_numpy()
+            p = n_probes(n, s, percent)
             k = p - least_common(n, percent) + 1
             tokens = [np.frombuffer(x.as_buffer(), np.int64, t) for x, t in zip(batch.column("tokens"), p.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), p)), "n": pa.array(np.repeat(n, p)), "k": pa.array(np.repeat(k, p))})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), p)), "n": pa.array(np.repeat(n, p)), "s": pa.array(np.repeat(s, p)), "k": pa.array(np.repeat(k, p))})
 
-    low = classes.select("rep", "n", "tokens").mapInArrow(probes, "token bigint, rep bigint, n bigint, k bigint")
+    low = rivals.mapInArrow(probes, "token bigint, rep bigint, n bigint, s bigint, k bigint")
     low = low.join(low.groupBy("token").agg(F.count("*").alias("df")), "token")
     rarest = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
-    low = low.withColumn("rank", rarest).where("rank <= k and df > 1").select("token", "rep", "n", F.avg("df").over(Window.partitionBy("rep")).alias("score"))
+    low = low.withColumn("rank", rarest).where("rank <= k and df > 1").select("token", "rep", "n", "s", F.avg("df").over(Window.partitionBy("rep")).alias("score"))
     low = saved(low)
-    best = F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n"))
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    pivots = low.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"))
-    near = low.join(pivots, "token").where((F.col("rep") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).groupBy("rep", "pivot").agg(F.count("*").alias("m"))
+    best = F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n", "s"))
+    fits = lambda n, s, m, z: (F.col(n) + F.col(m)) * percent <= F.least(s, z) * (100 + percent)
+    pivots = low.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.s").alias("pivot_s"))
+    near = low.join(pivots, "token").where((F.col("rep") != F.col("pivot")) & fits("n", "s", "pivot_n", "pivot_s")).groupBy("rep", "pivot").agg(F.count("*").alias("m"))
     home = near.groupBy("rep").agg(F.max(F.struct("m", (-F.col("pivot")).alias("minus"))).alias("h")).select(F.col("rep").alias("a"), (-F.col("h.minus")).alias("b"))
-    around = saved(verified(home, classes, percent))
+    around = saved(verified(home, rivals, percent))
     links = around.where("linked").select("a", "b")
 
     def apart(groups: DataFrame) -> DataFrame:
@@ -192,10 +208,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
 
     # the pivots of the groups of a region, each against the region's first
     mixed = apart(groups)
-    heads = mixed.groupBy("token", "component").agg(best.alias("p")).select("token", "component", "p.score", (-F.col("p.minus")).alias("rep"), F.col("p.n").alias("n"))
-    lead = heads.groupBy("token").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n")).alias("p")).select("token", (-F.col("p.minus")).alias("b"), F.col("p.n").alias("n_b"))
-    met = heads.join(lead, "token").where((F.col("rep") != F.col("b")) & fits(F.col("n"), F.col("n_b"))).select(F.col("rep").alias("a"), "b").distinct()
-    more = saved(verified(met.join(around.select("a", "b"), ["a", "b"], "left_anti"), classes, percent))
+    heads = mixed.groupBy("token", "component").agg(best.alias("p")).select("token", "component", "p.score", (-F.col("p.minus")).alias("rep"), F.col("p.n").alias("n"), F.col("p.s").alias("s"))
+    lead = heads.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("b"), F.col("p.n").alias("n_b"), F.col("p.s").alias("s_b"))
+    met = heads.join(lead, "token").where((F.col("rep") != F.col("b")) & fits("n", "s", "n_b", "s_b")).select(F.col("rep").alias("a"), "b").distinct()
+    more = saved(verified(met.join(around.select("a", "b"), ["a", "b"], "left_anti"), rivals, percent))
     fresh = more.where("linked").select("a", "b")
     links = links.union(fresh)
     name = lambda c: groups.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
@@ -207,11 +223,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     # what is still apart, pair by pair within the windows
     mixed = apart(groups)
     mixed = mixed.join(around.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "distance"), "rep", "left")
-    side = lambda c: mixed.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "component", "pivot", "distance")))
+    side = lambda c: mixed.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "s", "component", "pivot", "distance")))
     window = F.coalesce((F.col("pivot_a") != F.col("pivot_b")) | (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9), F.lit(True))
-    pairs = side("a").join(side("b"), "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")) & window)
-    pairs = bounded(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), classes, percent)
-    last = verified(pairs, classes, percent)
+    pairs = side("a").join(side("b"), "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & fits("n_a", "s_a", "n_b", "s_b") & window)
+    pairs = bounded(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), rivals, percent)
+    last = verified(pairs, rivals, percent)
     links = saved(links.union(last.where("linked").select("a", "b")))
 
     found = components(links).select(F.col("node").alias("rep"), "component")
