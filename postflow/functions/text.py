@@ -151,7 +151,7 @@ def simhash(df, key: str, text: str, size: int = 2):
     parts = words.select(key, half(1).alias("hi"), half(9).alias("lo"))
     votes = [F.sum(F.shiftright(h, i).bitwiseAND(1)).alias(f"{h}_{i}") for h in ("hi", "lo") for i in range(32)]
     counted = parts.groupBy(key).agg(F.count("*").alias("n"), *votes)
-    value = lambda h: reduce(lambda a, b: a + b, [F.when(F.col(f"{h}_{i}") * 2 > F.col("n"), 1 << i).otherwise(0) for i in range(32)]).cast("bigint")
+    value = lambda h: F.conv(F.concat(*[F.when(F.col(f"{h}_{i}") * 2 > F.col("n"), "1").otherwise("0") for i in reversed(range(32))]), 2, 10).cast("bigint")
     return counted.select(key, value("hi").alias("hi"), value("lo").alias("lo"))
 
 
@@ -159,21 +159,31 @@ def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
     return F.bit_count(hi_a.bitwiseXOR(hi_b)) + F.bit_count(lo_a.bitwiseXOR(lo_b))
 
 
+def _votes(text: str | None, digest) -> bytes:
+    """The 8 bytes of a 64-bit simhash over two-word shingles."""
+    w = re.findall("[a-z0-9À-ɏ]+", (text or "").lower())
+    parts = [" ".join(w[i : i + 2]) for i in range(max(len(w) - 1, 0))] or ([w[0]] if w else [])
+    if not parts:
+        return bytes(8)
+    raw = b"".join(digest(p.encode()) for p in parts)
+    votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0)
+    return np.packbits(votes * 2 > len(parts)).tobytes()
+
+
 def _simhash_blake2b(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The 64-bit simhash over BLAKE2b digests of two-word shingles, as 16 hexadecimal digits."""
-    word = re.compile("[a-z0-9À-ɏ]+")
+    for batch in batches:
+        yield batch.map(lambda t: _votes(t, lambda b: hashlib.blake2b(b, digest_size=8).digest()).hex())
 
-    def one(text: str | None) -> str:
-        w = word.findall((text or "").lower())
-        parts = [" ".join(w[i : i + 2]) for i in range(max(len(w) - 1, 0))] or ([w[0]] if w else [])
-        if not parts:
-            return "0" * 16
-        raw = b"".join(hashlib.blake2b(p.encode(), digest_size=8).digest() for p in parts)
-        votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0)
-        return np.packbits(votes * 2 > len(parts)).tobytes().hex()
 
+def _simhash_md5(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.map(one)
+        found = [_votes(t, lambda b: hashlib.md5(b).digest()[:8]) for t in batch]
+        yield pd.DataFrame({"hi": [int.from_bytes(v[:4], "big") for v in found], "lo": [int.from_bytes(v[4:], "big") for v in found]})
+
+
+def simhash_md5(text: Column) -> Column:
+    """struct(hi, lo), as `simhash` gives them, in one pass over Arrow batches and without a shuffle."""
+    return F.pandas_udf(_simhash_md5, "hi bigint, lo bigint")(text)
 
 
 def content_hash(title: Column, location: Column, body: Column) -> Column:

@@ -14,6 +14,7 @@ def near_pairs(hashes: DataFrame, max_distance: int = 12, bands: int = 13) -> Da
     hashes: key, block, hi, lo (32 bits each). By the pigeonhole principle two hashes with at most max_distance differing bits agree on
     one of max_distance + 1 bands, so only records that share a band of the 64 bits meet.
     """
+    hashes = saved(hashes)  # else the projections below would repeat the expressions that made the hashes
     bits = F.concat(F.lpad(F.bin("hi"), 32, "0"), F.lpad(F.bin("lo"), 32, "0"))
     cuts = [round(i * 64 / bands) for i in range(bands + 1)]
     band = F.array(*[F.concat(F.lit(f"{i}:"), F.substring(bits, cuts[i] + 1, cuts[i + 1] - cuts[i])) for i in range(bands)])

@@ -146,11 +146,11 @@ def a12(spark, d):
 
 
 def hashed(spark, d):
-    docs = table(spark, d, "documents")
-    return T.simhash(docs, "doc_id", "text").join(docs.select("doc_id", F.col("lang").alias("block")), "doc_id").withColumnRenamed("doc_id", "key")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("block"), T.simhash_md5(F.col("text")).alias("h"))
+    return docs.where(F.length("block") > 0).select("key", "block", "h.hi", "h.lo")
 
 
-EDGES_SQL = f"{SIMHASH_SQL}, h AS (SELECT s.*, lang FROM simhash s JOIN documents USING (doc_id)), edges AS (SELECT a.doc_id AS u, b.doc_id AS v FROM h a JOIN h b ON a.lang = b.lang AND a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12)"
+EDGES_SQL = f"{SIMHASH_SQL}, h AS (SELECT s.*, lang FROM simhash s JOIN documents USING (doc_id)), edges AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM h a JOIN h b ON a.lang = b.lang AND a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12)"
 
 
 @add("j14_near_pairs", f"+ {EDGES_SQL} SELECT u, v FROM edges")
@@ -159,8 +159,8 @@ def j14(spark, d):
 
 
 ROUNDS = 6
-STATES_SQL = "s0 AS (SELECT doc_id AS k, CASE WHEN doc_id IN (SELECT v FROM edges) THEN NULL ELSE true END AS h FROM simhash)" + "".join(
-    f", s{i} AS (SELECT s.k, coalesce(s.h, x.h) AS h FROM s{i - 1} s LEFT JOIN (SELECT v, CASE WHEN bool_or(coalesce(p.h, false)) THEN false WHEN bool_and(coalesce(NOT p.h, false)) THEN true END AS h FROM edges JOIN s{i - 1} p ON p.k = u GROUP BY 1) x ON x.v = s.k)"
+STATES_SQL = "s0 AS MATERIALIZED (SELECT doc_id AS k, CASE WHEN doc_id IN (SELECT v FROM edges) THEN NULL ELSE true END AS h FROM simhash)" + "".join(
+    f", s{i} AS MATERIALIZED (SELECT s.k, coalesce(s.h, x.h) AS h FROM s{i - 1} s LEFT JOIN (SELECT v, CASE WHEN bool_or(coalesce(p.h, false)) THEN false WHEN bool_and(coalesce(NOT p.h, false)) THEN true END AS h FROM edges JOIN s{i - 1} p ON p.k = u GROUP BY 1) x ON x.v = s.k)"
     for i in range(1, ROUNDS + 1)
 )
 HEADS_SQL = f"{EDGES_SQL}, {STATES_SQL}, heads AS (SELECT s.k AS doc_id, CASE WHEN s.h THEN s.k ELSE x.head END AS head FROM s{ROUNDS} s LEFT JOIN (SELECT v, min(u) AS head FROM edges JOIN s{ROUNDS} p ON p.k = u AND p.h GROUP BY 1) x ON x.v = s.k)"

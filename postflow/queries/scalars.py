@@ -84,7 +84,7 @@ BITS = ", ".join(f"sum(({h} >> {i}) & 1) * 2 > count(*) AS {h}{i}" for h in ("hi
 WORD = lambda h: " + ".join(f"CASE WHEN {h}{i} THEN {1 << i} ELSE 0 END" for i in range(32))
 SIMHASH_SQL = f"""w AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents), s AS (SELECT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS x FROM w),
     g AS (SELECT doc_id, CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(md5(x), 9, 8) AS BIGINT) AS lo FROM s), v AS (SELECT doc_id, {BITS} FROM g GROUP BY 1),
-    simhash AS (SELECT doc_id, CAST({WORD('hi')} AS BIGINT) AS hi, CAST({WORD('lo')} AS BIGINT) AS lo FROM v)"""
+    simhash AS MATERIALIZED (SELECT doc_id, CAST({WORD('hi')} AS BIGINT) AS hi, CAST({WORD('lo')} AS BIGINT) AS lo FROM v)"""
 
 
 @add("n07_simhash", f"+ {SIMHASH_SQL} SELECT * FROM simhash")
