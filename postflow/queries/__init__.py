@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postflow.queries import posting, relational, scalars, summaries
+from postflow.queries import posting, relational, scalars, streams, summaries
 
-MODULES = [relational, summaries, scalars, posting]
+MODULES = [relational, summaries, scalars, posting, streams]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in MODULES for name, q in m.ORACLE.items()}
