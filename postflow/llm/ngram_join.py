@@ -12,7 +12,7 @@
    compared to each other.
 3. Boundaries. Only classes of different groups (sets known to be connected) can still add anything. They are compared where they share a region, sizes are within
    t, and, if they lie around the same pivot, their distances to it differ by at most 1 - t (triangle inequality). This joins regions
-   recursively: the pivots of a region's groups are compared first, then, group by group, what is still apart.
+   recursively: first the pivots of a region's groups, then neighbours in random orders of the region, then, pair by pair, what is apart.
 
 A component is named by its smallest document id. Nothing is sampled or capped.
 
@@ -190,7 +190,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     low = low.withColumn("rank", rarest).where("rank <= k and df > 1").select("token", "rep", "n", "s", F.avg("df").over(Window.partitionBy("rep")).alias("score"))
     low = saved(low)
     best = F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n", "s"))
-    fits = lambda n, s, m, z: (F.col(n) + F.col(m)) * percent <= F.least(s, z) * (100 + percent)
+    fits = lambda n, s, m, z: (F.col(n) + F.col(m)) * percent <= F.least(F.col(s), F.col(z)) * (100 + percent)
     pivots = low.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.s").alias("pivot_s"))
     near = low.join(pivots, "token").where((F.col("rep") != F.col("pivot")) & fits("n", "s", "pivot_n", "pivot_s")).groupBy("rep", "pivot").agg(F.count("*").alias("m"))
     home = near.groupBy("rep").agg(F.max(F.struct("m", (-F.col("pivot")).alias("minus"))).alias("h")).select(F.col("rep").alias("a"), (-F.col("h.minus")).alias("b"))
@@ -220,6 +220,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     named = classes.select(F.col("rep").alias("node")).join(groups, "node", "left").select("node", F.coalesce("to", "node").alias("to"))
     groups = saved(named.join(joined, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
 
+    # neighbours in two random orders of a region join most of what belongs together, by a few comparisons for each class
+    mixed = apart(groups)
+    order = lambda seed: Window.partitionBy("token").orderBy(F.xxhash64(F.lit(seed), "rep"))
+    own = F.struct("rep", "n", "s", "component")
+    walk = mixed.select(own.alias("x"), F.array(*[F.lead(own, j).over(order(seed)) for seed in (1, 2) for j in (1, 2, 3)]).alias("ys"))
+    walk = walk.select("x", F.explode("ys").alias("y"))
+    walk = walk.where((F.col("x.component") != F.col("y.component")) & fits("x.n", "x.s", "y.n", "y.s"))
+    walk = walk.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    walked = saved(verified(bounded(walk, rivals, percent), rivals, percent))
+    links = saved(links.union(walked.where("linked").select("a", "b")))
+    groups = components(links).withColumnRenamed("component", "to")
+
     # what is still apart, pair by pair within the windows
     mixed = apart(groups)
     mixed = mixed.join(around.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "distance"), "rep", "left")
