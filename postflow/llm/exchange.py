@@ -30,7 +30,7 @@ def buckets(spark: SparkSession) -> int:
     return max(1, width(spark) // 2)
 
 
-def dealt(df: DataFrame, key: str, times: int = 2) -> DataFrame:
+def dealt(df: DataFrame, key: str, times: int = 3) -> DataFrame:
     """Adds pid, the document partition of a row."""
     return df.withColumn("pid", F.pmod(F.xxhash64(F.col(key)), F.lit(times * width(df.sparkSession))).cast("int"))
 

@@ -135,8 +135,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
 
 def per_row(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """How many flags are set in each [start, end)."""
-    c = np.r_[0, np.cumsum(flags, dtype=np.int64)]
-    return c[ends] - c[starts]
+    c = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, dtype=c.dtype, out=c[1:])
+    return (c[ends] - c[starts]).astype(np.int64)
 
 
 _ASCII = np.arange(256)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as ex
-from .kernels import BYTE, CHUNK, U64, mix64, ranges, segment_hash, utf8
+from .kernels import BYTE, CHUNK, U64, mix64, per_row, ranges, segment_hash, utf8
 
 HOT = 2000
 NO_ID = np.iinfo(np.int64).max
@@ -277,7 +277,8 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
         edge = np.zeros(len(runs.buf) + 1, np.int32)
         np.add.at(edge, np.r_[start[whole], start[of] + span["a"][at]], 1)
         np.add.at(edge, np.r_[last[whole], start[of] + span["b"][at]] + size, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0
+        del edge
         opens, closes = gone.copy(), gone.copy()
         opens[1:] &= ~gone[:-1]
         closes[:-1] &= ~gone[1:]
@@ -288,8 +289,7 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
         b, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         row = np.searchsorted(offs, b, "right") - 1
         per = np.bincount(row, minlength=len(offs) - 1)
-        left = np.cumsum(~gone)
-        left = np.r_[0, left][offs]
+        left = per_row(~gone, np.zeros(len(offs), np.int64), offs)
         spans = pa.StructArray.from_arrays([pa.array(b - offs[row]), pa.array(e - offs[row])], names=["start", "end"])
         kept = runs.buf[~gone].tobytes()
         return pa.table(
