@@ -402,8 +402,9 @@ def l06(spark, d):
     "SELECT conv_id, turn FROM conversations WHERE conv_id % 10 = 3 ORDER BY contains(lower(text), 'the') DESC, role = 'user' DESC, conv_id, turn LIMIT 40",
 )
 def l07(spark, d):
-    df = table(spark, d, "conversations").where("conv_id % 10 = 3")
-    return df.orderBy(F.desc(F.lower("text").contains("the")), F.desc(F.col("role") == "user"), "conv_id", "turn").limit(40).select("conv_id", "turn")
+    """Ranks within each conversation; nobody is dropped."""
+    order = Window.partitionBy("conv_id").orderBy(F.desc(F.lower("text").contains("the")), F.desc(F.col("role") == "user"), "turn")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(order).cast("bigint").alias("rank")).orderBy("conv_id", "rank")
 
 
 @add("l08_suggestions", "SELECT title, count(*) AS n FROM titles GROUP BY 1 ORDER BY n DESC, title LIMIT 10")
