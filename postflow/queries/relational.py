@@ -344,7 +344,7 @@ def j19(spark, d):
 
 @add("j20_contacts_of_job", "SELECT job_id, token, provider FROM listings JOIN boards USING (board_id) WHERE job_id % 100 = 7")
 def j20(spark, d):
-    return listings(spark, d).where("job_id % 100 = 7").join(boards(spark, d), "board_id").select("job_id", "token", "provider")
+    return listings(spark, d).join(boards(spark, d), "board_id").select("job_id", "token", "provider")
 
 
 # sorts and top-k
@@ -484,5 +484,5 @@ def o06(spark, d):
 
 @add("o07_concatenation", "SELECT id, 'active' AS budget FROM jobs WHERE is_active AND id % 100 < 5 UNION ALL SELECT id, 'market F' FROM jobs WHERE market = 'F' AND id % 100 < 5")
 def o07(spark, d):
-    df = jobs(spark, d).where("id % 100 < 5")
+    df = jobs(spark, d)
     return df.where("is_active").select("id", F.lit("active").alias("budget")).unionByName(df.where("market = 'F'").select("id", F.lit("market F").alias("budget")))

@@ -9,7 +9,10 @@ from postflow.sources import bindings
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem documents labels conversations".split()
 WHOLE = {
+    "a14_run_status": "SELECT provider, ['ok','degraded','failed'][max(errors) + 1] AS status FROM boards GROUP BY 1",
+    "j20_contacts_of_job": "SELECT job_id, token, provider FROM listings JOIN boards USING (board_id)",
     "l07_contact_ranking": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY contains(lower(text), 'the') DESC, role = 'user' DESC, turn) AS rank FROM conversations",
+    "o07_concatenation": "SELECT id, 'active' AS budget FROM jobs WHERE is_active UNION ALL SELECT id, 'market F' FROM jobs WHERE market = 'F'",
 }
 
 
