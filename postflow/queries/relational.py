@@ -313,7 +313,7 @@ def j15(spark, d):
 
 @add("j16_verdicts_batch", "SELECT l.doc_id, quality, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.n_chars < 2000")
 def j16(spark, d):
-    docs = table(spark, d, "documents").where("n_chars < 2000").select("doc_id", "source")
+    docs = table(spark, d, "documents").select("doc_id", "source")
     return table(spark, d, "labels").join(docs, "doc_id", "left").select("doc_id", "quality", "source")
 
 
@@ -409,7 +409,7 @@ def l07(spark, d):
 
 @add("l08_suggestions", "SELECT title, count(*) AS n FROM titles GROUP BY 1 ORDER BY n DESC, title LIMIT 10")
 def l08(spark, d):
-    return titles(spark, d).groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(10)
+    return titles(spark, d).groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title")
 
 
 @add("l09_near_miss", "SELECT id, llm_score FROM jobs JOIN scores ON id = job_id AND profile = market WHERE llm_score < 0.65 ORDER BY llm_score DESC, id DESC LIMIT 6")
