@@ -3,10 +3,11 @@
 A sentence's probability is logistic in the weights of its words and of their beginnings (lower-cased, outer ASCII punctuation off;
 beginnings let inflected and compound forms share evidence); a document's is 1 - prod(1 - p) over its sentences. Only document labels are known, so training climbs the likelihood of the documents; sentence
 probabilities, and with them the offending sentences, fall out. The model is fitted to at most `max_docs` labelled rows outside the
-held-out fold (those whose id hashes lowest). Spark counts the hashed features of these by class; the `max_features` that differ most
-are the vocabulary, and only their places in sentences come to the driver, which climbs the gradient.
+held-out fold (those with a document whose id hashes lowest). Spark counts the hashed features of these by class; those that differ by
+`least_z` standard errors, and in any case the `min_features` that differ most, are the vocabulary, and only their places in sentences
+come to the driver, which climbs the gradient.
 
-Defined cases: a null or empty text has score 0; without labels of both kinds all scores are 0; ids may be null (then not held out);
+Defined cases: a null or empty text has score 0; without labelled documents of both kinds all scores are 0; ids may be null (then not held out);
 repeated rows score alike; an empty table gives an empty result. Labels, lang, source and doc_id are never features.
 """
 
@@ -86,11 +87,12 @@ def fit(toxic: np.ndarray, n_sentences: np.ndarray, doc: np.ndarray, sentence: n
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20000, max_features: int = 1000, doc_id: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20000, min_features: int = 1000, least_z: float = 3.0, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fits the model to labelled documents outside the held-out fold, `max_docs` of them at most."""
     told = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     told = told.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    told = told.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(docs.select(F.col(doc_id).cast("bigint").alias("doc_id")), "doc_id", "left_semi")
+    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(told), "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +109,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20000, max_feature
                 if len(first):
                     yield pa.RecordBatch.from_pydict({"word": pa.array(word[first].view(np.int64)), "df": pa.array(np.diff(np.r_[first, len(word)])), "hits": pa.array(np.add.reduceat(hit, first).astype(np.int64))})
 
-    n, positive = told.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n, positive = own.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < positive < n:
         return Model(np.zeros(0, U64), np.zeros(0), -30.0)
     base = positive / n
     counted = own.mapInArrow(count, "word bigint, df bigint, hits bigint").groupBy("word").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).where("df >= 3")
     z = (F.col("hits") - F.col("df") * base) / F.sqrt(F.col("df") * (base * (1 - base)))
-    chosen = counted.orderBy(F.abs(z).desc(), "word").limit(max_features).toArrow()["word"].to_numpy()
+    chosen = counted.where(F.abs(z) >= least_z).select("word").toArrow()["word"].to_numpy()
+    if len(chosen) < min_features:
+        chosen = counted.orderBy(F.abs(z).desc(), "word").limit(min_features).toArrow()["word"].to_numpy()
     vocabulary = np.sort(chosen.view(U64)) if len(chosen) else np.zeros(0, U64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

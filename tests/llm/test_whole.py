@@ -11,3 +11,23 @@ def test_pipeline_tells_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     kept = sorted(map(tuple, corpus_pipeline.distinct(spark, docs, "").collect()), key=repr)
     assert kept == sorted([(1, LONG), (7, OTHER), (8, "same text"), (9, None), (None, LONG), (None, LONG)], key=repr)
+
+
+def test_toxicity_is_fitted_to_labels_with_documents(spark):
+    from postflow.llm import toxicity
+
+    docs = spark.createDataFrame([(i, "bad words here. Plain end." if i % 2 else "good words here. Plain end.") for i in range(60)], "doc_id bigint, text string")
+    labels = lambda ids: spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
+    want = toxicity.train(docs, labels(range(60)), max_docs=20)
+    got = toxicity.train(docs, labels(range(2000)), max_docs=20)
+    assert got.vocabulary.tolist() == want.vocabulary.tolist() and got.weights.tolist() == want.weights.tolist() and got.bias == want.bias
+    assert toxicity.keep(docs, toxicity.train(docs, labels(range(1000, 2000)))).count() == 60
+
+
+def test_toxicity_has_every_telling_feature(spark):
+    from postflow.llm import toxicity
+
+    text = " ".join(f"{i:03d}" for i in range(999)) + " " + " ".join(f"q{i:02d}" for i in range(99)) + "."
+    docs = spark.createDataFrame([(i, text if i % 2 else "plain.") for i in range(80)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    assert len(toxicity.train(docs, labels).vocabulary) == 999 + 99 + 1 + 1  # each word, "plain", its beginning
