@@ -153,12 +153,14 @@ def sentence_breaks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row:
     return STOP[buf[ends - 1]] | (lines > 0) | np.r_[row[1:] != row[:-1], True]
 
 
-def cores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The words without up to `rounds` ASCII punctuation marks at either end; one byte is left at least."""
-    a, b = starts.copy(), ends.copy()
-    for _ in range(rounds if len(buf) else 0):
-        a += (b - a > 1) & ~INNER[buf[a]]
-        b -= (b - a > 1) & ~INNER[buf[b - 1]]
+def cores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words without the ASCII punctuation marks at either end; of a word of marks alone, its middle byte is left."""
+    inner = np.flatnonzero(INNER[buf])
+    before, after = np.searchsorted(inner, starts), np.searchsorted(inner, ends)
+    some = before < after
+    a = starts + (ends - starts) // 2
+    b = a + 1
+    a[some], b[some] = inner[before[some]], inner[after[some] - 1] + 1
     return a, b
 
 

@@ -49,7 +49,7 @@ TEMPLATES = {
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-OUT = "doc_id bigint, n_units bigint, license string, dice double, start bigint, end bigint"
+OUT = "doc_id bigint, n_units bigint, license string, dice double, start bigint, end bigint, matches array<struct<license:string,dice:double,start:bigint,end:bigint>>"
 
 
 def bigrams(column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -80,7 +80,7 @@ def units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: how many units match a template, and the best match (name, dice, byte offsets), null without one."""
+    """One row for each document: how many units match a template, the best match (name, dice, byte offsets), null without one, and all of them, best first."""
     names = sorted(templates)
 
     def template_sets() -> list[np.ndarray]:
@@ -126,6 +126,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
                 pick[doc[head]] = ok[head]
                 hits = [None if p < 0 else int(p) for p in pick]
                 origin = offs[:-1]
+                cut = np.r_[0, np.cumsum(np.bincount(doc, minlength=part.num_rows))].astype(np.int32)
+                every = [pa.array([names[k] for k in name[ok]], pa.string()), pa.array(best[ok]), pa.array(starts[a[ok]] - origin[doc], pa.int64()), pa.array(ends[b[ok]] - origin[doc], pa.int64())]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
@@ -134,6 +136,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
                         "dice": pa.array([None if p is None else float(best[p]) for p in hits], pa.float64()),
                         "start": pa.array([None if p is None else int(starts[a[p]] - origin[i]) for i, p in enumerate(hits)], pa.int64()),
                         "end": pa.array([None if p is None else int(ends[b[p]] - origin[i]) for i, p in enumerate(hits)], pa.int64()),
+                        "matches": pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays(every, names=["license", "dice", "start", "end"])),
                     }
                 )
 
@@ -142,4 +145,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("dice", F.round("dice", 6))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("dice", F.round("dice", 6)).withColumn("matches", F.transform("matches", lambda x: x.withField("dice", F.round(x["dice"], 6))))

@@ -31,3 +31,13 @@ def test_toxicity_has_every_telling_feature(spark):
     docs = spark.createDataFrame([(i, text if i % 2 else "plain.") for i in range(80)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
     assert len(toxicity.train(docs, labels).vocabulary) == 999 + 99 + 1 + 1  # each word, "plain", its beginning
+
+
+def test_every_license_of_a_text_is_given(spark):
+    from postflow.llm import license_scan
+
+    rows = [(1, "Released under the MIT License. And more words here.\nLicensed under CC BY-NC 4.0."), (2, 'Released under the ((((((((((((MIT)))))))))))) """"""""""""License"""""""""""".'), (3, "((((((((((((((((((((")]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {m["license"] for m in got[1]["matches"]} == {"MIT", "CC-BY-NC-4.0 (short)"} and len(got[1]["matches"]) == got[1]["n_units"]
+    assert tuple(got[1]["matches"][0]) == tuple(got[1][c] for c in ("license", "dice", "start", "end"))
+    assert got[2]["license"] == "MIT" and got[3]["matches"] == []
