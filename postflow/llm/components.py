@@ -1,25 +1,11 @@
-"""Saved tables, and connected components of a table of links as DataFrame joins."""
+"""Connected components of a table of links as DataFrame joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """The table written once to the shared checkpoint folder and read from there, its lineage cut.
-
-    A folder is made up only where spark.checkpoint.dir is unset. As with checkpoints, the folder's owner clears it.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from postflow.operators.storage import saved
 
 
 def followed(step: DataFrame) -> DataFrame:

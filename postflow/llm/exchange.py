@@ -3,36 +3,50 @@
 Corpus-wide questions ("which keys occur in several documents?") are answered without moving a row per key: documents are dealt to
 partitions by a hash of their id, each partition sends its distinct keys to key buckets as packed arrays, and the buckets answer
 each partition with packed arrays. A key costs one entry for each partition that holds it, however many documents share it, so a key
-that a third of all documents hold still loads no task. The number of partitions and buckets follows spark.sql.shuffle.partitions.
+that a third of all documents hold still loads no task. The number of partitions and buckets follows the bytes of the texts (`layout`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ASKS = "bucket int, pid int, key binary, info binary"
 REPLY = "pid int, kind int, bucket int, key binary, info binary"
+PART_BYTES, LARGE = 8 << 20, 100 << 30
 SHORT = 5  # bytes of a key in the first round; two keys that agree there and in their bucket only look shared
 
 
-def width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+@dataclass(frozen=True)
+class Layout:
+    """How many document partitions and key buckets an exchange has."""
 
+    parts: int
+    buckets: int
 
-def buckets(spark: SparkSession) -> int:
-    """Buckets get less than partitions do, so there are fewer: each pair of the two is a row of the exchange."""
-    return max(1, width(spark) // 2)
 
+def layout(df: DataFrame, column: str = "text") -> Layout:
+    """Partitions and buckets by the bytes of a column, whatever the number of shuffle partitions.
 
-def dealt(df: DataFrame, key: str, times: int = 3) -> DataFrame:
-    """Adds pid, the document partition of a row."""
-    return df.withColumn("pid", F.pmod(F.xxhash64(F.col(key)), F.lit(times * width(df.sparkSession))).cast("int"))
+    A partition holds about PART_BYTES. Beyond LARGE bytes of input it grows with their root, so that the rows of the exchange (one for
+    each partition and bucket) grow with the input and not with its square; operators read a partition in slices.
+    """
+    total = df.agg(F.sum(F.octet_length(column).cast("bigint"))).first()[0] or 0
+    parts = max(1, math.ceil(total / (PART_BYTES * max(1.0, math.sqrt(total / LARGE)))))
+    return Layout(parts, math.ceil(parts / 3))
+
+
+def dealt(df: DataFrame, key: str, parts: int, spread: str | None = None) -> DataFrame:
+    """Adds pid, the document partition of a row, by its key; rows with a null key are dealt by the column `spread`."""
+    at = F.xxhash64(key) if spread is None else F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.xxhash64(key))
+    return df.withColumn("pid", F.pmod(at, F.lit(parts)).cast("int"))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -70,13 +84,12 @@ def lengthen(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shared_keys(parted: DataFrame, extract: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], hot: int = 1 << 62) -> DataFrame:
-    """Replies of kind 0: for each key that a partition has, in order, whether another document has it too, and whether it is hot.
+def shared_keys(parted: DataFrame, extract: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n: int, hot: int = 1 << 62) -> DataFrame:
+    """Replies of kind 0, from n buckets: for each key that a partition has, in order, whether another document has it too, and whether it is hot.
 
     extract gives a partition's distinct keys, ascending, and how often each counts there: 1 for one document, more for several. A key
     is hot when its counts (each 255 at most) add up to more than `hot`. Read the replies with `told`.
     """
-    n = buckets(parted.sparkSession)
 
     def send(group: tuple, table: pa.Table) -> pa.Table:
         keys, count = extract(table)

@@ -4,20 +4,23 @@
    hash lowest, at least 1 + n/10 must also occur in another document. Partitions exchange these shingles (exchange.py); documents that
    fail have no partner. Equal sets become one class. Of the classes, all shingles are exchanged: shingles that no other class holds are
    dropped, which leaves s of n, and a pair can only be linked if both have at least t/(1+t) (n + n') left.
-2. Regions. Partners have so many of these shingles (probes) in common that they also share one of the rarest of them, so every rare
-   probe spans a region: the classes that hold it. (In the whole metric space almost all documents lie at distance 1 from any pivot, so
-   Voronoi cells of document pivots would not part them; inside such a region distances say something.) The pivot of a region is the
-   class whose probes are most common around it. Each class joins the region of the pivot that it shares most rare probes with, and its
-   Jaccard distance to that pivot is computed exactly. Classes within 1 - t of a pivot are linked to it, and so connected, without being
-   compared to each other.
-3. Boundaries. Only classes of different groups (sets known to be connected) can still add anything. They are compared where they share a region, sizes are within
-   t, and, if they lie around the same pivot, their distances to it differ by at most 1 - t (triangle inequality). This joins regions
-   recursively: first the pivots of a region's groups, then neighbours in random orders of the region, then, pair by pair, what is apart.
+2. Regions. In the whole metric space almost all documents lie at distance 1 from any pivot, so every window would copy everything.
+   Regions are therefore gathered around pivots by rare shingles: partners share one of the rarest of their probes, the pivot of a
+   probe is the class whose probes are most common around it, and a class belongs to the regions of its probes' pivots. Each class is
+   first compared with the pivot that it shares most rare probes with; classes within 1 - t are linked to it, and a region whose classes
+   are all connected by then has nothing more to say.
+3. Recursion (`divided`). A region too large for one task is cut into Voronoi cells of pivots drawn from it. A class goes home to its
+   nearest pivot p, and is copied into the cell of another pivot q if its distance to q is at most the distance to p plus 2 (1 - t), and
+   at most the radius of q's cell plus 1 - t: by the triangle inequality, no partner of a class at home in q lies beyond. Cells that are
+   still too large are cut again; a region that its windows do not part (all of its classes are about equally far from each other) is
+   compared block by block.
+4. A region, cell or pair of blocks is joined exactly in one task (`forest`), which gives a spanning forest of its links, never pairs.
 
 A component is named by its smallest document id. Nothing is sampled or capped.
 
 Defined cases: a null text, and one without words, has no shingles and links with nothing; fewer words than a shingle make one shingle;
-a null id links with nothing; rows with the same id and text count as one; an empty table gives an empty result; other columns are ignored.
+a null id links with nothing; rows with the same id and text count as one, as do all rows with one id; texts of any length are read
+whole; ties between pivots go to the smallest id; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ from pyspark.sql import functions as F
 
 from . import exchange as ex
 from .components import components, followed, saved
-from .kernels import U64, mix64, ranges, shingles, utf8, words
+from .kernels import U64, mix64, ranges, shingles, slices, utf8, words
 
+TILE = 1 << 20  # shingles that a task compares at once
+PIVOTS = 16  # of a region that is cut
+ROWS = 1024  # of a block inside a task
 SETS = "doc_id bigint, n bigint, same binary, tokens binary"
 
 
@@ -56,9 +62,15 @@ class Sets:
     def __init__(self, table: pa.Table, size: int, percent: int):
         table = table.filter(pa.compute.is_valid(table["doc_id"])).sort_by("doc_id")
         self.ids = table["doc_id"].combine_chunks().to_numpy()
-        buf, offs = utf8(table["text"])
-        _, _, row, hashed = words(buf, offs, lower=True)
-        self.row, self.token = shingles(hashed, row, size, len(self.ids))
+        rows, tokens, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
+        for batch in table.select(["text"]).combine_chunks().to_batches():
+            for part in slices(batch, "text"):
+                _, _, row, hashed = words(*utf8(part.column("text")), lower=True)
+                row, token = shingles(hashed, row, size, part.num_rows)
+                rows.append(row + at)
+                tokens.append(token)
+                at += part.num_rows
+        self.row, self.token = np.concatenate(rows), np.concatenate(tokens)
         self.n = np.bincount(self.row, minlength=len(self.ids))
         self.begin = np.cumsum(self.n) - self.n
         self.may_lack = missing(self.n, percent)
@@ -75,34 +87,6 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose probes have as much in common as a link needs.
-
-    With I = |x & y| >= a, the p_x lowest of the s_x usable shingles of x and the p_y lowest of y share at least min(p_x - s_x, p_y - s_y) + a.
-    """
-
-    def cut(batches):
-        for batch in batches:
-            p = n_probes(batch.column("n").to_numpy(), batch.column("s").to_numpy(), percent).tolist()
-            low = [x.as_py()[: 8 * k] for x, k in zip(batch.column("tokens"), p, strict=True)]
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "n": batch.column("n"), "s": batch.column("s"), "low": pa.array(low, pa.binary())})
-
-    lows = classes.select("rep", "n", "s", "tokens").mapInArrow(cut, "rep bigint, n bigint, s bigint, low binary")
-    own = lambda c: lows.select(F.col("rep").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "s", "low")))
-    both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
-
-    def sift(batches):
-        for batch in batches:
-            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            s, z = batch.column("s_a").to_numpy(), batch.column("s_b").to_numpy()
-            need = np.minimum(n_probes(n, s, percent) - s, n_probes(m, z, percent) - z) - (-percent * (n + m) // (100 + percent))
-            lows = zip(batch.column("low_a"), batch.column("low_b"), strict=True)
-            have = np.array([common(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in lows], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(have >= need))
-
-    return both.mapInArrow(sift, "a bigint, b bigint")
-
-
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, linked) for pairs of classes, from their whole sets."""
     own = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
@@ -118,10 +102,157 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a bigint, b bigint, distance double, linked boolean")
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles and component_id. percent: the least similarity, in hundredths."""
-    n_buckets = ex.buckets(docs.sparkSession)
-    parted = ex.dealt(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
+def overlaps(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets as 0/1 rows over groups of shingles that the same sets hold, and how many shingles each group has; shingles of one set are left out."""
+    lens = np.array([len(x) for x in tokens])
+    token, row = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), lens)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[at, len(token)])
+    with np.errstate(over="ignore"):
+        name = np.add.reduceat(mix64(np.arange(1, len(tokens) + 1, dtype=U64))[row], at) if len(at) else np.zeros(0, U64)
+    several = np.flatnonzero(count > 1)
+    _, first, weight = np.unique(name[several], return_index=True, return_counts=True)
+    first = several[first]
+    held = count[first]
+    out = np.zeros((len(tokens), len(first)), np.float32)
+    out[row[ranges(at[first], held)], np.repeat(np.arange(len(first)), held)] = 1
+    return out, weight.astype(np.float32)
+
+
+def forest(rep: np.ndarray, group: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the groups of a region as all links of its classes would. Groups are connected already."""
+    order = np.argsort(n, kind="stable")
+    rep, group, n, tokens = rep[order], np.unique(group[order], return_inverse=True)[1], n[order], [tokens[i] for i in order]
+    links = []
+    for a in range(0, len(rep), ROWS):
+        for b in range(a, len(rep), ROWS):
+            i, j = slice(a, min(a + ROWS, len(rep))), slice(b, min(b + ROWS, len(rep)))
+            if percent * n[b] > 100 * n[i.stop - 1] or (group[i].min() == group[j].max() and group[i].max() == group[j].min()):
+                continue
+            both = np.zeros((i.stop - a, j.stop - b), np.float32)
+            for x, y in shared_parts(tokens[i], tokens[j] if a != b else None):
+                both += x @ y.T
+            link = both.astype(np.int64) * (100 + percent) >= percent * (n[i][:, None] + n[j])
+            for k in np.flatnonzero((link & (group[i][:, None] != group[j])).any(1)):
+                near = b + np.flatnonzero(link[k])
+                near = near[group[near] != group[a + k]]
+                if len(near):
+                    others, first = np.unique(group[near], return_index=True)
+                    links += [(int(rep[a + k]), int(rep[x])) for x in near[first]]
+                    group[np.isin(group, others)] = group[a + k]
+    return links
+
+
+def shared_parts(x: list[np.ndarray], y: list[np.ndarray] | None, budget: int = 1 << 22):
+    """Matrices whose products add up to the sizes of the intersections of each x with each y (None: x itself), a range of shingles at a time."""
+    both = x if y is None else x + y
+    total = sum(map(len, both))
+    cuts = max(1, -(-total * len(both) // budget))
+    edges = [int(k * 2**64 // cuts) for k in range(1, cuts)]
+    bounds = [np.r_[0, np.searchsorted(t, np.array(edges, U64)) if cuts > 1 else [], len(t)].astype(np.int64) for t in both]
+    for k in range(cuts):
+        rows, weight = overlaps([t[e[k] : e[k + 1]] for t, e in zip(both, bounds, strict=True)])
+        if len(weight):
+            left = rows[: len(x)] * weight
+            yield left, rows if y is None else rows[len(x) :]
+
+
+def compared(regions: DataFrame, percent: int, weight: int, tile: int) -> DataFrame:
+    """Links (a, b) that join the groups of each region (region, rep, component, n, tokens). weight: the shingles of all regions."""
+    bundles = max(1, -(-weight // tile))
+
+    def judge(_: tuple, table: pa.Table) -> pa.Table:
+        region = table["region"].combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.argsort(region, kind="stable")
+        rep, group, n = (table[c].to_numpy()[order] for c in ("rep", "component", "n"))
+        tokens = table["tokens"].combine_chunks().take(pa.array(order))
+        at = np.r_[0, np.flatnonzero(np.diff(region[order])) + 1, len(order)]
+        links = []
+        for i, j in zip(at, at[1:], strict=False):
+            _, once = np.unique(rep[i:j], return_index=True)
+            mine = i + once
+            if len(mine) > 1 and len(np.unique(group[mine])) > 1:
+                links += forest(rep[mine], group[mine], n[mine], [np.frombuffer(tokens[k].as_buffer(), U64) for k in mine.tolist()], percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return regions.withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles))).groupBy("bundle").applyInArrow(judge, "a bigint, b bigint")
+
+
+def mixed(regions: DataFrame) -> DataFrame:
+    """(region, weight, classes) of the regions whose classes are not all in one group."""
+    sums = regions.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("s").alias("weight"), F.count("*").alias("classes"))
+    return sums.where("lo < hi").select("region", "weight", "classes")
+
+
+def divided(regions: DataFrame, sets: DataFrame, percent: int, tile: int, level: int) -> DataFrame:
+    """Each region (region, weight, rep, component, n, s) cut into the Voronoi cells of PIVOTS of its classes, boundary classes copied; sets has the tokens."""
+    eps = 1 - percent / 100 + 1e-9
+    drawn = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64(F.lit(level), "rep"), "rep"))
+    pivots = regions.select("region", "weight", "rep").withColumn("pivot", drawn).where(F.col("pivot") <= PIVOTS)
+    n_slices = F.ceil(F.col("weight") / F.lit(tile)).cast("int")
+    pivots = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).select("region", "slice", "rep", "pivot")
+    dealt = regions.withColumn("slice", F.pmod(F.xxhash64("rep"), n_slices).cast("int")).select("region", "slice", "rep", F.lit(0).alias("pivot"))
+    rows = dealt.unionByName(pivots).join(sets.select("rep", "n", "tokens"), "rep")
+
+    def measure(_: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pivot", "ascending"), ("rep", "ascending")])
+        rep, pivot, n = (table[c].to_numpy() for c in ("rep", "pivot", "n"))
+        tokens = [np.frombuffer(x.as_buffer(), U64) for x in table["tokens"]]
+        own, centres = np.flatnonzero(pivot == 0), np.flatnonzero(pivot > 0)
+        far = np.empty((len(own), len(centres)))
+        for k, c in enumerate(centres):
+            both = np.array([common(tokens[i], tokens[c]) for i in own])
+            far[:, k] = 1 - both / (n[own] + n[c] - both)
+        home = far.argmin(1) if len(own) else np.zeros(0, np.int64)
+        least = far[np.arange(len(own)), home]
+        i, k = np.nonzero(far <= least[:, None] + 2 * eps)
+        region = table["region"].combine_chunks().take(pa.array(own[i]))
+        return pa.table({"region": region, "cell": pa.array(k, pa.int32()), "rep": pa.array(rep[own[i]]), "far": pa.array(far[i, k]), "home": pa.array(k == home[i])})
+
+    near = saved(rows.groupBy("region", "slice").applyInArrow(measure, "region string, cell int, rep bigint, far double, home boolean"))
+    radius = near.where("home").groupBy("region", "cell").agg(F.max("far").alias("radius"))
+    inside = near.join(radius, ["region", "cell"]).where(F.col("home") | (F.col("far") <= F.col("radius") + eps))
+    back = regions.select("region", "rep", "component", "n", "s", F.col("classes").alias("before"))
+    return inside.join(back, ["region", "rep"]).select(F.concat_ws(".", "region", "cell").alias("region"), "rep", "component", "n", "s", "before")
+
+
+def tiled(regions: DataFrame, tile: int) -> DataFrame:
+    """Each region dealt into blocks of about half a tile, and every pair of blocks as a region."""
+    k = F.ceil(2 * F.col("weight") / F.lit(tile)).cast("int")
+    dealt = regions.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("rep"), "k").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat_ws("-", "region", F.least("block", i), F.greatest("block", i)))
+    return dealt.select(F.explode(pairs).alias("region"), "rep", "component", "n", "s")
+
+
+def joined(regions: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Links that join the groups of all regions (region, rep, component, n, s), recursively."""
+    found, level = [], 0
+    ready = None
+    regions = regions.withColumn("before", F.lit(None).cast("bigint"))
+    while True:
+        regions = saved(regions.join(mixed(regions), "region"))
+        small = regions.where(F.col("weight") <= tile).select("region", "rep", "component", "n", "s")
+        ready = small if ready is None else ready.unionByName(small)
+        large = regions.where(F.col("weight") > tile)
+        compact = large.where(F.col("classes") > 0.7 * F.col("before"))
+        ready = ready.unionByName(tiled(compact, tile))
+        regions = large.where(F.col("before").isNull() | (F.col("classes") <= 0.7 * F.col("before")))
+        if regions.isEmpty():
+            break
+        level += 1
+        regions = divided(regions, sets, percent, tile, level)
+    ready = ready.join(sets.select("rep", "tokens"), "rep")
+    weight = ready.agg(F.sum("s")).first()[0] or 0
+    return compared(ready, percent, weight, tile)
+
+
+def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """One row for each document: doc_id, n_shingles and component_id. percent: the least similarity, in hundredths; tile: the shingles that a task compares at once."""
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    shape = ex.layout(own)
+    n_buckets, parted = shape.buckets, ex.dealt(own, "doc_id", shape.parts, "text")
 
     def extract(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return Sets(table, size, percent).keys()
@@ -154,18 +285,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
             found = pa.concat_tables([found, pa.table({"doc_id": pa.nulls(n_lost, pa.int64()), "n": pa.array(n, pa.int64()), "same": pa.nulls(n_lost, pa.binary()), "tokens": pa.nulls(n_lost, pa.binary())})])
         return found
 
-    replies = ex.shared_keys(parted, extract)
+    replies = ex.shared_keys(parted, extract, n_buckets)
     sets = saved(parted.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(survive, SETS))
     classes = saved(sets.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
 
-    usable = ex.dealt(classes.select("rep", "n", "tokens"), "rep")
+    shape = ex.layout(classes, "tokens")
+    n_classes, usable = shape.buckets, ex.dealt(classes.select("rep", "n", "tokens"), "rep", shape.parts)
 
     def whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(ex.gather(table, "tokens", U64), return_counts=True)
 
     def thin(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         keys, _n = whole(table)
-        shared = keys[ex.told(replies, 0, ex.bucket_of(keys, n_buckets)) > 0]
+        shared = keys[ex.told(replies, 0, ex.bucket_of(keys, n_classes)) > 0]
         rows = [np.frombuffer(x.as_buffer(), U64) for x in table["tokens"]]
         rows = [x[ex.lookup(shared, x) >= 0] for x in rows]
         n, s = table["n"].to_numpy(), np.array([len(x) for x in rows], np.int64)
@@ -173,7 +305,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
         out = {"rep": table["rep"].combine_chunks(), "n": pa.array(n), "s": pa.array(s), "tokens": pa.array([x.tobytes() for x in rows], pa.binary())}
         return pa.table(out).filter(keep)
 
-    asked = ex.shared_keys(usable, whole)
+    asked = ex.shared_keys(usable, whole, n_classes)
     rivals = saved(usable.groupBy("pid").cogroup(asked.groupBy("pid")).applyInArrow(thin, "rep bigint, n bigint, s bigint, tokens binary"))
 
     def probes(batches):
@@ -190,57 +322,17 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     low = low.withColumn("rank", rarest).where("rank <= k and df > 1").select("token", "rep", "n", "s", F.avg("df").over(Window.partitionBy("rep")).alias("score"))
     low = saved(low)
     best = F.max(F.struct("score", (-F.col("rep")).alias("minus"), "n", "s"))
-    fits = lambda n, s, m, z: (F.col(n) + F.col(m)) * percent <= F.least(F.col(s), F.col(z)) * (100 + percent)
     pivots = low.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.s").alias("pivot_s"))
-    near = low.join(pivots, "token").where((F.col("rep") != F.col("pivot")) & fits("n", "s", "pivot_n", "pivot_s")).groupBy("rep", "pivot").agg(F.count("*").alias("m"))
-    home = near.groupBy("rep").agg(F.max(F.struct("m", (-F.col("pivot")).alias("minus"))).alias("h")).select(F.col("rep").alias("a"), (-F.col("h.minus")).alias("b"))
-    around = saved(verified(home, rivals, percent))
-    links = around.where("linked").select("a", "b")
-
-    def apart(groups: DataFrame) -> DataFrame:
-        """The rare probes of regions whose classes are not yet all in one group; groups: (node, to)."""
-        placed = low.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("to", "rep")).drop("to")
-        mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        return saved(placed.join(mixed, "token"))
+    fits = (F.col("n") + F.col("pivot_n")) * percent <= F.least("s", "pivot_s") * (100 + percent)
+    members = saved(low.join(pivots, "token").groupBy("rep", "pivot").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("s").alias("s"), F.first(fits).alias("fits")))
+    home = members.where("fits and rep <> pivot").groupBy("rep").agg(F.max(F.struct("m", (-F.col("pivot")).alias("minus"))).alias("h")).select(F.col("rep").alias("a"), (-F.col("h.minus")).alias("b"))
+    links = saved(verified(home, rivals, percent).where("linked").select("a", "b"))
 
     # classes with one name are connected: that of the pivot they are linked to, or of that pivot's own
-    groups = saved(followed(links.select(F.col("a").alias("node"), F.col("b").alias("to"))))
-
-    # the pivots of the groups of a region, each against the region's first
-    mixed = apart(groups)
-    heads = mixed.groupBy("token", "component").agg(best.alias("p")).select("token", "component", "p.score", (-F.col("p.minus")).alias("rep"), F.col("p.n").alias("n"), F.col("p.s").alias("s"))
-    lead = heads.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("b"), F.col("p.n").alias("n_b"), F.col("p.s").alias("s_b"))
-    met = heads.join(lead, "token").where((F.col("rep") != F.col("b")) & fits("n", "s", "n_b", "s_b")).select(F.col("rep").alias("a"), "b").distinct()
-    more = saved(verified(met.join(around.select("a", "b"), ["a", "b"], "left_anti"), rivals, percent))
-    fresh = more.where("linked").select("a", "b")
-    links = links.union(fresh)
-    name = lambda c: groups.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}"))
-    joined = fresh.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("to_a", "a").alias("to"), F.coalesce("to_b", "b").alias("next"))
-    joined = joined.where("next < to").groupBy("to").agg(F.min("next").alias("next"))
-    named = classes.select(F.col("rep").alias("node")).join(groups, "node", "left").select("node", F.coalesce("to", "node").alias("to"))
-    groups = saved(named.join(joined, "to", "left").select("node", F.coalesce("next", "to").alias("to")))
-
-    # neighbours in two random orders of a region join most of what belongs together, by a few comparisons for each class
-    mixed = apart(groups)
-    order = lambda seed: Window.partitionBy("token").orderBy(F.xxhash64(F.lit(seed), "rep"))
-    own = F.struct("rep", "n", "s", "component")
-    walk = mixed.select(own.alias("x"), F.array(*[F.lead(own, j).over(order(seed)) for seed in (1, 2) for j in (1, 2, 3)]).alias("ys"))
-    walk = walk.select("x", F.explode("ys").alias("y"))
-    walk = walk.where((F.col("x.component") != F.col("y.component")) & fits("x.n", "x.s", "y.n", "y.s"))
-    walk = walk.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    walked = saved(verified(bounded(walk, rivals, percent), rivals, percent))
-    links = saved(links.union(walked.where("linked").select("a", "b")))
-    groups = components(links).withColumnRenamed("component", "to")
-
-    # what is still apart, pair by pair within the windows
-    mixed = apart(groups)
-    mixed = mixed.join(around.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "distance"), "rep", "left")
-    side = lambda c: mixed.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "s", "component", "pivot", "distance")))
-    window = F.coalesce((F.col("pivot_a") != F.col("pivot_b")) | (F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9), F.lit(True))
-    pairs = side("a").join(side("b"), "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & fits("n_a", "s_a", "n_b", "s_b") & window)
-    pairs = bounded(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), rivals, percent)
-    last = verified(pairs, rivals, percent)
-    links = saved(links.union(last.where("linked").select("a", "b")))
+    groups = followed(links.select(F.col("a").alias("node"), F.col("b").alias("to")))
+    regions = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    regions = regions.select(F.col("pivot").cast("string").alias("region"), "rep", F.coalesce("to", "rep").alias("component"), "n", "s")
+    links = links.union(joined(saved(regions), rivals, percent, tile))
 
     found = components(links).select(F.col("node").alias("rep"), "component")
     members = classes.select("same", "rep").join(found, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))

@@ -71,8 +71,9 @@ def first_seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def dedup(docs: DataFrame, size: int = 2, min_words: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_sentences, n_removed and the kept text."""
-    n = ex.buckets(docs.sparkSession)
-    parted = ex.dealt(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")), "doc_id")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    shape = ex.layout(own)
+    n, parted = shape.buckets, ex.dealt(own, "doc_id", shape.parts)
 
     def extract(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(parse(table, size, min_words).key, return_counts=True)
@@ -130,7 +131,7 @@ def dedup(docs: DataFrame, size: int = 2, min_words: int = 8, doc_id: str = "doc
             }
         )
 
-    first = ex.shared_keys(parted, extract)
+    first = ex.shared_keys(parted, extract, n)
     owners = parted.groupBy("pid").cogroup(first.groupBy("pid")).applyInArrow(send, ex.ASKS).groupBy("bucket").applyInArrow(answer, ex.REPLY)
     return parted.groupBy("pid").cogroup(first.unionByName(owners).groupBy("pid")).applyInArrow(cut, OUT)
 
