@@ -55,12 +55,13 @@ _POW = powers(4096)
 
 
 def segment_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
-    """A 64-bit hash of each segment [start, end) of the buffer; segments ascend and do not overlap."""
+    """A 64-bit hash of each segment [start, end) of the buffer, a bounded number of bytes at a time."""
     out = np.zeros(len(starts), U64)
     i, lens = 0, ends - starts
+    upto = np.cumsum(lens)
     with np.errstate(over="ignore"):
         while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + 16 * CHUNK, "right")))
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] - lens[i] + 16 * CHUNK, "right")))
             ln = lens[i:j]
             total = np.cumsum(ln) - ln
             rel = np.arange(int(ln.sum())) - np.repeat(total, ln)

@@ -12,15 +12,21 @@ window meet in the bucket of that hash. Four passes over the document partitions
    (next smaller) in suffix order.
 4. Each partition marks the bytes of its documents.
 
-A hash that more than HOT distinct runs hold (a line that thousands of documents place in other surroundings) is split: in step 2 its
-runs go out as single windows, keyed by their own content, for which the smallest id says all.
+A hash that more than HOT distinct runs hold (a line that thousands of documents place in other surroundings) is split by content: in
+step 2 its runs go out as single windows, keyed by their own bytes, for which the smallest id says all. Runs are told apart by 128 bits.
+
+A partition is read in slices of SLICE bytes; a longer text is cut into pieces that overlap by `size` - 1 bytes, so memory follows the
+runs and not the text. Which windows a run has is only a matter of transport: any cut gives the same answer.
 
 Defined cases: a null text is empty; a null id counts as larger than every id; documents with the same id do not match each other;
-texts shorter than `size` stay whole; an empty table gives an empty result; other columns are ignored.
+texts shorter than `size` stay whole, texts of any length are read whole; of equal passages with different ids the smallest id's stays,
+with equal ids all stay; an empty table gives an empty result; other columns are ignored, whatever their names, but for those carried.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +36,13 @@ from . import exchange as ex
 from .kernels import BYTE, CHUNK, U64, mix64, per_row, ranges, segment_hash, utf8
 
 HOT = 2000
+SLICE = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 FULL, CHECK = 1, 2
-OWN = np.dtype([("same", "<u8"), ("doc", "<i8")])
-RUN = np.dtype([("same", "<u8"), ("doc", "<i8"), ("len", "<i4")])
-SPAN = np.dtype([("a", "<i4"), ("b", "<i4")])
+OWN = np.dtype([("same", "<u8"), ("more", "<u8"), ("doc", "<i8")])
+RUN = np.dtype([("same", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("len", "<i4")])
+SPAN = np.dtype([("more", "<u8"), ("a", "<i4"), ("b", "<i4")])
+SECOND = mix64(BYTE ^ U64(0x5851F42D4C957F2D))
 RUNS = "bucket int, pid int, key binary, info binary, bytes binary"
 SPANS = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -72,17 +80,31 @@ class Runs:
     """The runs of a buffer of documents: first and last window start, row, smallest hash (key), hash of the run's bytes (same)."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, size: int):
-        k = max(1, size * 24 // 50)
         self.buf, self.size = buf, size
+        found, i = [], 0
+        while i < len(offs) - 1:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE, "right")) - 1)
+            if offs[j] - offs[i] <= SLICE:
+                found.append(self.cut(offs[i : j + 1], i))
+            else:
+                found += [self.cut(np.array([a, min(a + SLICE + size - 1, offs[j])]), i) for a in range(int(offs[i]), int(offs[j]) - size + 1, SLICE)]
+            i = j
+        none = np.zeros(0, np.int64)
+        self.start, self.last, self.row, self.key, self.same = (np.concatenate(x) for x in zip(*found, (none, none, none, none.astype(U64), none.astype(U64)), strict=True))
+
+    def cut(self, offs: np.ndarray, row: int) -> tuple[np.ndarray, ...]:
+        """The runs of the rows from `row` on, whose bytes lie at offs."""
+        size, base = self.size, offs[0]
+        buf, offs = self.buf[base : offs[-1]], offs - base
+        k = max(1, size * 24 // 50)
         h = kgram_hash(buf, k)
         w, n = size - k + 1, len(buf) - size + 1
-        lens = np.diff(offs)
         edge = np.zeros(len(buf) + 1, np.int8)
-        fits = lens >= size
+        fits = np.diff(offs) >= size
         edge[offs[:-1][fits]] = 1
         edge[offs[1:][fits] - size + 1] = -1
         valid = np.cumsum(edge, dtype=np.int8)[: max(n, 0)].astype(bool)
-        starts, keys, prev, prev_ok = [], [], U64(0), False
+        starts, keys, prev, prev_ok = [np.zeros(0, np.int64)], [np.zeros(0, U64)], U64(0), False
         for a in range(0, max(n, 0), CHUNK):
             m, ok = sliding_min(h[a : min(a + CHUNK, n) + w - 1], w), valid[a : a + CHUNK]
             new = np.r_[not prev_ok or m[0] != prev, ~ok[:-1] | (m[1:] != m[:-1])] & ok
@@ -90,27 +112,43 @@ class Runs:
             starts.append(at + a)
             keys.append(m[at])
             prev, prev_ok = m[-1], ok[-1]
-        self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.key = np.concatenate(keys) if keys else np.zeros(0, U64)
-        self.row = np.searchsorted(offs, self.start, "right") - 1
-        self.last = np.minimum(np.r_[self.start[1:] - 1, n], offs[self.row + 1] - size) if len(self.start) else self.start
-        end = self.last + size
+        start, key = np.concatenate(starts), np.concatenate(keys)
+        of = np.searchsorted(offs, start, "right") - 1
+        last = np.minimum(np.r_[start[1:] - 1, n], offs[of + 1] - size) if len(start) else start
+        end = last + size
         with np.errstate(over="ignore"):
-            same, at = h[self.start] + self.key * U64(3), self.start + k
+            same, at = h[start] + key * U64(3), start + k
             for _ in range(3):
                 same = mix64(same) + h[np.minimum(at, end - k)]
                 at = at + k
-            same += (end - self.start).astype(U64)
-        long = np.flatnonzero(end - self.start > 4 * k)
+            same += (end - start).astype(U64)
+        long = np.flatnonzero(end - start > 4 * k)
         if len(long):
-            same[long] = segment_hash(buf, self.start[long], end[long])
-        self.same = mix64(same)
+            same[long] = segment_hash(buf, start[long], end[long])
+        return start + base, last + base, of + row, key, mix64(same)
 
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, row and content hash of each window of the chosen runs."""
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and row of each window of the chosen runs."""
         count = self.last[of] - self.start[of] + 1
-        start = ranges(self.start[of], count)
-        return start, np.repeat(self.row[of], count), segment_hash(self.buf, start, start + self.size) if len(start) else np.zeros(0, U64)
+        return ranges(self.start[of], count), np.repeat(self.row[of], count)
+
+
+@dataclass
+class Entries:
+    """All that a partition has of shared keys: runs, and windows where the key is hot."""
+
+    key: np.ndarray
+    same: np.ndarray  # 128 bits with more
+    more: np.ndarray
+    start: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+    heads: np.ndarray  # of each distinct entry, one with the smallest id
+    of: np.ndarray  # for each entry, its place among the heads
+
+    @property
+    def least(self) -> np.ndarray:
+        return self.doc[self.heads][self.of] if len(self.of) else self.doc
 
 
 def pair_key(key: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -118,63 +156,93 @@ def pair_key(key: np.ndarray, same: np.ndarray) -> np.ndarray:
         return mix64(key + same * U64(0x9E3779B97F4A7C15))
 
 
-def first_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry, the smallest id of its key; and the index of one entry for each key that has this id."""
-    order = np.lexsort((ids, keys))
+def first_of(pair: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct (pair, more), in order, the index of an entry with the smallest id; and for each entry its place among them."""
+    order = np.lexsort((ids, more, pair))
     if not len(order):
-        return ids, order
-    new = np.r_[True, keys[order][1:] != keys[order][:-1]]
-    heads = order[new]
-    least = np.empty_like(ids)
-    least[order] = ids[heads][np.cumsum(new) - 1]
-    return least, heads
+        return order, order
+    p, m = pair[order], more[order]
+    new = np.r_[True, (p[1:] != p[:-1]) | (m[1:] != m[:-1])]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of the given starts, cut at `size` bytes, and for each place in it whether the place before shares `size` bytes."""
+    """The suffix array of the given starts, cut at `size` bytes, and the cut suffixes as rows of 8-byte words."""
     padded = np.r_[text, np.zeros(8, np.uint8)]
     steps = sorted({*range(0, max(size - 7, 1), 8), max(size - 8, 0)})
-    cols = []
-    for s in steps:
-        word = np.zeros(len(starts), U64)
+    words = np.zeros((len(steps), len(starts)), U64)
+    for k, s in enumerate(steps):
         for j in range(min(8, size)):
-            word = (word << U64(8)) | padded[starts + s + j].astype(U64)
-        cols.append(word)
-    order = np.lexsort(cols[::-1])
-    shares = np.ones(len(starts), bool)
-    shares[:1] = False
-    for word in cols:
-        w = word[order]
-        shares[1:] &= w[1:] == w[:-1]
-    return order, shares
-
-
-def earlier_copy(order: np.ndarray, shares: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each suffix: does its longest previous factor, from a document with a smaller id, reach the cut?
-
-    The nearest place before (previous smaller) or after (next smaller) with a smaller document, inside the stretch of places that
-    share the cut length, is such a factor. A running minimum that restarts with each stretch tells whether there is one.
+            words[k] = (words[k] << U64(8)) | padded[starts + s + j].astype(U64)
+    return np.lexsort(words[::-1]), words
+
+
+def previous_smaller(rank: np.ndarray) -> np.ndarray:
+    """For each place, the nearest place before it with a smaller value, or -1. What lies between is skipped by the pointers found so far."""
+    at = np.arange(-1, len(rank) - 1)
+    open_ = np.flatnonzero((at >= 0) & (rank[at] >= rank))
+    while len(open_):
+        at[open_] = at[at[open_]]
+        to = at[open_]
+        open_ = open_[(to >= 0) & (rank[to] >= rank[open_])]
+    return at
+
+
+def longest_previous(order: np.ndarray, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each suffix, how many of its leading words the longest previous factor has: a string that starts in a document with a smaller id.
+
+    In suffix order the best such factor starts at the previous or at the next place with a smaller document.
     """
+    out = np.zeros(len(doc), np.int64)
     rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)[order]
-    stretch = np.cumsum(~shares)
-    span = np.int64(len(doc) + 1)
-    down = np.minimum.accumulate(rank - stretch * span) + stretch * span
-    back = stretch[-1:] - stretch
-    up = (np.minimum.accumulate((rank - back * span)[::-1])[::-1]) + back * span
-    out = np.zeros(len(doc), bool)
-    out[order] = (down < rank) | (up < rank)
+    before = previous_smaller(rank)
+    after = len(rank) - 1 - previous_smaller(rank[::-1])[::-1]
+    for other in (before, after):
+        some = np.flatnonzero((other >= 0) & (other < len(rank)))
+        mine, its = order[some], order[other[some]]
+        same, shared = np.ones(len(some), bool), np.zeros(len(some), np.int64)
+        for w in words:
+            same &= w[mine] == w[its]
+            shared += same
+        out[mine] = np.maximum(out[mine], shared)
     return out
 
 
+def remains(buf: np.ndarray, offs: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each row, its removed spans (the union of [first, last), relative to the row) and the bytes that are left."""
+    edge = np.zeros(len(buf) + 1, np.int32)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0
+    del edge
+    opens, closes = gone.copy(), gone.copy()
+    opens[1:] &= ~gone[:-1]
+    closes[:-1] &= ~gone[1:]
+    heads = offs[:-1][offs[:-1] < offs[-1]]
+    opens[heads] = gone[heads]
+    tails = offs[1:][offs[1:] > 0] - 1
+    closes[tails] = gone[tails]
+    b, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    row = np.searchsorted(offs, b, "right") - 1
+    per = np.bincount(row, minlength=len(offs) - 1)
+    left = per_row(~gone, np.zeros(len(offs), np.int64), offs)
+    spans = pa.StructArray.from_arrays([pa.array(b - offs[row]), pa.array(e - offs[row])], names=["start", "end"])
+    spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), spans)
+    return spans, pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(buf[~gone].tobytes())])
+
+
 def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, n_bytes, the removed spans (byte offsets, ascending, apart) and the kept bytes.
 
     carry names columns of the documents to take along, as carry_0, carry_1, ...
     """
     along = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
-    n_keys = ex.buckets(docs.sparkSession)
-    n_buckets = n_keys
-    parted = ex.dealt(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *along), "doc_id")
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *along)
+    plan = ex.layout(own)
+    n_keys = n_buckets = plan.buckets
+    parted = ex.dealt(own, "doc_id", plan.parts, "text")
     shape = "".join(f", carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def load(table: pa.Table) -> tuple[np.ndarray, Runs, np.ndarray]:
@@ -195,56 +263,51 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
         at = np.flatnonzero(new_key)
         return key[at], np.add.reduceat(new_run.astype(np.int64), at) + np.maximum.reduceat(again.astype(np.int64), at)
 
-    def entries(table: pa.Table, replies: pa.Table) -> tuple:
-        """All that the partition has of shared keys: runs, and windows where the key is hot.
-
-        Gives the loaded documents, then key, same, start, last, doc and pair of each entry; the index of one entry for each pair, with
-        the smallest id that the partition has for it; and that id for each entry.
-        """
+    def entries(table: pa.Table, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, Entries]:
+        """The bytes and offsets of the partition's documents, and what it has of shared keys."""
         ids, runs, offs = load(table)
         keys = np.unique(runs.key)
         flag = ex.told(replies, 0, ex.bucket_of(keys, n_keys))[np.searchsorted(keys, runs.key)]
         plain = np.flatnonzero(flag == 1)
-        w_start, w_row, w_hash = runs.windows(np.flatnonzero(flag == 2))
+        w_start, w_row = runs.windows(np.flatnonzero(flag == 2))
+        w_hash = segment_hash(runs.buf, w_start, w_start + size)
         key, same = np.r_[runs.key[plain], w_hash], np.r_[runs.same[plain], w_hash]
         start, last = np.r_[runs.start[plain], w_start], np.r_[runs.last[plain], w_start]
-        doc, pair = ids[np.r_[runs.row[plain], w_row]], pair_key(key, same)
-        least, heads = first_of(pair, doc)
-        return ids, runs, offs, key, same, start, last, doc, pair, heads, least
+        doc = ids[np.r_[runs.row[plain], w_row]]
+        more = segment_hash(runs.buf, start, last + size, SECOND)
+        return runs.buf, offs, Entries(key, same, more, start, last, doc, *first_of(pair_key(key, same), more, doc))
 
     def send_ids(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("key", pa.binary()), ("info", pa.binary())]).empty_table()
-        _, _, _, key, same, _, _, doc, _, heads, _ = entries(table, replies)
-        info = np.zeros(len(heads), OWN)
-        info["same"], info["doc"] = same[heads], doc[heads]
-        return ex.by_group(ex.bucket_of(key[heads], n_buckets), {"key": key[heads], "info": info}, "bucket", {"pid": group[0].as_py()})
+        _, _, e = entries(table, replies)
+        info = np.zeros(len(e.heads), OWN)
+        info["same"], info["more"], info["doc"] = e.same[e.heads], e.more[e.heads], e.doc[e.heads]
+        return ex.by_group(ex.bucket_of(e.key[e.heads], n_buckets), {"key": e.key[e.heads], "info": info}, "bucket", {"pid": group[0].as_py()})
 
     def answer_ids(_: tuple, table: pa.Table) -> pa.Table:
         """FULL where another partition has the run in a smaller document; CHECK where this is the smallest, but other runs have the key."""
         key, info = ex.gather(table, "key", np.uint64), ex.gather(table, "info", OWN)
-        pair = pair_key(key, info["same"])
-        least, heads = first_of(pair, info["doc"])
-        order = np.argsort(key[heads], kind="stable")
-        kinds = key[heads][order]
+        heads, of = first_of(pair_key(key, info["same"]), info["more"], info["doc"])
+        kinds = np.sort(key[heads])
         lo, hi = np.searchsorted(kinds, key, "left"), np.searchsorted(kinds, key, "right")
-        flags = np.where(info["doc"] > least, FULL, np.where(hi - lo > 1, CHECK, 0)).astype(np.uint8)
+        flags = np.where(info["doc"] > info["doc"][heads][of], FULL, np.where(hi - lo > 1, CHECK, 0)).astype(np.uint8)
         return ex.send_flags(table, flags, [len(x.as_py()) // 8 for x in table["key"]], 1)
 
     def send_runs(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("key", pa.binary()), ("info", pa.binary()), ("bytes", pa.binary())]).empty_table()
-        _, runs, _, key, same, start, last, doc, _, heads, _ = entries(table, replies)
-        heads = heads[ex.told(replies, 1, ex.bucket_of(key[heads], n_buckets)) == CHECK]
-        bucket = ex.bucket_of(key[heads], n_buckets)
+        buf, _, e = entries(table, replies)
+        heads = e.heads[ex.told(replies, 1, ex.bucket_of(e.key[e.heads], n_buckets)) == CHECK]
+        bucket = ex.bucket_of(e.key[heads], n_buckets)
         order = np.argsort(bucket, kind="stable")
         heads, bucket = heads[order], bucket[order]
-        size_ = last[heads] + size - start[heads]
+        size_ = e.last[heads] + size - e.start[heads]
         info = np.zeros(len(heads), RUN)
-        info["same"], info["doc"], info["len"] = same[heads], doc[heads], size_
-        out = ex.by_group(bucket, {"key": key[heads], "info": info}, "bucket", {"pid": group[0].as_py()})
+        info["same"], info["more"], info["doc"], info["len"] = e.same[heads], e.more[heads], e.doc[heads], size_
+        out = ex.by_group(bucket, {"key": e.key[heads], "info": info}, "bucket", {"pid": group[0].as_py()})
         cut = np.r_[np.unique(bucket, return_index=True)[1], len(bucket)]
-        text = [runs.buf[ranges(start[heads[i:j]], size_[i:j])].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+        text = [buf[ranges(e.start[heads[i:j]], size_[i:j])].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
         return out.append_column("bytes", pa.array(text, pa.binary()))
 
     def judge(_: tuple, table: pa.Table) -> pa.Table:
@@ -256,56 +319,51 @@ def dedup(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "
         count = length - size + 1
         of = np.repeat(np.arange(len(key)), count)
         start = ranges(at, count)
-        order, shares = suffix_order(text, start, size)
-        hit = earlier_copy(order, shares, info["doc"][of])
+        order, words = suffix_order(text, start, size)
+        hit = longest_previous(order, words, info["doc"][of]) == len(words)
         rel = start - at[of]
         b = np.flatnonzero(hit & ~np.r_[False, hit[:-1] & (of[1:] == of[:-1])])
         e = np.flatnonzero(hit & ~np.r_[hit[1:] & (of[1:] == of[:-1]), False])
         span = np.zeros(len(b), SPAN)
-        span["a"], span["b"] = rel[b], rel[e]
+        span["more"], span["a"], span["b"] = info["more"][of[b]], rel[b], rel[e]
         return ex.to_parts(pid[of[b]], pair_key(key, info["same"])[of[b]], span, 2)
 
     def mark(_: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, runs, offs, key, _, start, last, doc, pair, heads, least = entries(table, replies)
-        full = np.zeros(len(pair), bool)
-        told = ex.told(replies, 1, ex.bucket_of(key[heads], n_buckets))
-        full[:] = told[np.searchsorted(pair[heads], pair)] == FULL if len(heads) else False
-        whole = np.flatnonzero(full | (doc > least))
+        buf, offs, x = entries(table, replies)
+        told = ex.told(replies, 1, ex.bucket_of(x.key[x.heads], n_buckets))
+        whole = np.flatnonzero((told[x.of] == FULL) | (x.doc > x.least)) if len(x.of) else x.of
         known, span = ex.reply_arrays(replies, 2, SPAN)
+        pair = pair_key(x.key, x.same)
         lo, hi = np.searchsorted(known, pair, "left"), np.searchsorted(known, pair, "right")
         at, of = ranges(lo, hi - lo), np.repeat(np.arange(len(pair)), hi - lo)
-        edge = np.zeros(len(runs.buf) + 1, np.int32)
-        np.add.at(edge, np.r_[start[whole], start[of] + span["a"][at]], 1)
-        np.add.at(edge, np.r_[last[whole], start[of] + span["b"][at]] + size, -1)
-        gone = np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0
-        del edge
-        opens, closes = gone.copy(), gone.copy()
-        opens[1:] &= ~gone[:-1]
-        closes[:-1] &= ~gone[1:]
-        heads = offs[:-1][offs[:-1] < offs[-1]]
-        opens[heads] = gone[heads]
-        tails = offs[1:][offs[1:] > 0] - 1
-        closes[tails] = gone[tails]
-        b, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        row = np.searchsorted(offs, b, "right") - 1
-        per = np.bincount(row, minlength=len(offs) - 1)
-        left = per_row(~gone, np.zeros(len(offs), np.int64), offs)
-        spans = pa.StructArray.from_arrays([pa.array(b - offs[row]), pa.array(e - offs[row])], names=["start", "end"])
-        kept = runs.buf[~gone].tobytes()
+        own = span["more"][at] == x.more[of]
+        at, of = at[own], of[own]
+        first = np.r_[x.start[whole], x.start[of] + span["a"][at]]
+        last = np.r_[x.last[whole], x.start[of] + span["b"][at]] + size
+        order = np.argsort(first, kind="stable")
+        first, last = first[order], last[order]
+        spans, kept, i = [], [], 0
+        while i < len(offs) - 1:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + 4 * SLICE, "right")) - 1)
+            p, q = np.searchsorted(first, offs[i]), np.searchsorted(first, offs[j])
+            some, left = remains(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], first[p:q] - offs[i], last[p:q] - offs[i])
+            spans.append(some)
+            kept.append(left)
+            i = j
         return pa.table(
             {
-                "doc_id": table["doc_id"].combine_chunks(),
+                "doc_id": table["doc_id"],
                 "n_bytes": pa.array(np.diff(offs)),
-                "spans": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), spans),
-                "kept": pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(kept)]),
+                "spans": pa.chunked_array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                "kept": pa.chunked_array(kept, pa.binary()),
             }
-            | {c: table[c].combine_chunks() for c in table.column_names if c.startswith("carry_")}
+            | {c: table[c] for c in table.column_names if c.startswith("carry_")}
         )
 
     def round_(replies: DataFrame, f, schema: str) -> DataFrame:
         return parted.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(f, schema)
 
-    shared = ex.shared_keys(parted, extract, HOT)
+    shared = ex.shared_keys(parted, extract, n_keys, HOT)
     owners = round_(shared, send_ids, ex.ASKS).groupBy("bucket").applyInArrow(answer_ids, ex.REPLY)
     heard = shared.unionByName(owners)
     spans = round_(heard, send_runs, RUNS).groupBy("bucket").applyInArrow(judge, ex.REPLY)
