@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postflow.llm import ngram_join, packing, quality_rules, suffix_dedup, toxicity
-from postflow.llm.components import saved
+from postflow.operators.storage import saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules go."""
+    """Documents that fail the quality rules go. A null text has no words and fails; rows with one id are judged each by its own text."""
     return quality_rules.keep(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
+    """Toxic documents go. A document without sentences is not toxic; rows with one id are judged each by its own text."""
     return toxicity.keep(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -37,14 +37,19 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that an earlier document has go; a character cut in two becomes U+FFFD."""
-    found = suffix_dedup.dedup(docs, carry=("lang", "source"))
+    """Passages of 50 bytes or more that a document with a smaller id has go; a character cut in two becomes U+FFFD.
+
+    A null text becomes an empty one; a null id counts as larger than every id. lang and source are null where the documents lack them.
+    """
+    carry = tuple(c for c in ("lang", "source") if c in docs.columns)
+    found = suffix_dedup.dedup(docs, carry=carry)
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    return found.select("doc_id", text.alias("text"), F.col("carry_0").alias("lang"), F.col("carry_1").alias("source"), F.length(text).cast("bigint").alias("n_chars"))
+    along = [(F.col(f"carry_{carry.index(c)}") if c in carry else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")]
+    return found.select("doc_id", text.alias("text"), *along, F.length(text).cast("bigint").alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised pieces with their places in sequences of 4096 tokens."""
+    """Tokenised pieces with their places in sequences of 4096 tokens; an empty text is its end token alone."""
     found = packing.pack(saved(packing.pieces(docs, with_ids=False)))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
