@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, saved
+from postflow.operators.storage import saved
+
+from .components import components
 
 BLOCK = 1500
 SAMPLE = 4096

@@ -30,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postflow.operators.storage import saved
+
 from . import exchange as ex
-from .components import components, followed, saved
+from .components import components, followed
 from .kernels import U64, mix64, ranges, shingles, slices, utf8, words
 
 TILE = 1 << 20  # shingles that a task compares at once
@@ -232,7 +234,7 @@ def joined(regions: DataFrame, sets: DataFrame, percent: int, tile: int) -> Data
     ready = None
     regions = regions.withColumn("before", F.lit(None).cast("bigint"))
     while True:
-        regions = saved(regions.join(mixed(regions), "region"))
+        regions = saved(regions.join(saved(mixed(regions)), "region"))  # saved, so that the join alone shuffles and can split a large region
         small = regions.where(F.col("weight") <= tile).select("region", "rep", "component", "n", "s")
         ready = small if ready is None else ready.unionByName(small)
         large = regions.where(F.col("weight") > tile)

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import exchange as ex
-from .components import saved
+from postflow.operators.storage import saved
+
 from .kernels import ranges, slices, utf8, words
 from .word_ids import WordIds
 
@@ -40,11 +40,10 @@ def default_tokenizer() -> str:
 
 def _encoder(spec: str) -> WordIds:
     if spec not in _WORKER:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(spec)
-        _WORKER[spec] = WordIds(lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)])
+        _WORKER[spec] = WordIds(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
     return _WORKER[spec]
 
 
@@ -57,6 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN
         spec = f.read()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         word_ids = _encoder(spec)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -92,8 +92,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN
     return found if with_ids else found.drop("ids")
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """The combination of lengths (each at most as often as it is left) with the largest sum up to room: subset sums as bits."""
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """The combination of lengths (each at most as often as it is left) with the largest sum up to room: subset sums as bits.
+
+    Longer lengths come first, and no shorter ones are looked at once at most `slack` of the room is left over.
+    """
     reach, full, taken = 1, (1 << (room + 1)) - 1, []
     for length in sorted((x for x in counts if x <= room), reverse=True):
         left, step = min(counts[length], room // length), 1
@@ -103,7 +106,7 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
             reach |= (reach << (length * step)) & full
             left -= step
             step *= 2
-        if reach >> room:
+        if reach >> (room - min(slack, room)):
             break
     at, used = reach.bit_length() - 1, {}
     for length, step, before in reversed(taken):
@@ -113,17 +116,18 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     return used
 
 
-def plan(histogram: dict[int, int], max_len: int = MAX_LEN) -> dict[str, np.ndarray]:
-    """Where the pieces of each length go: slots by (length, first rank), with the first sequence, pieces a sequence and first offset."""
+def filled(histogram: dict[int, int], max_len: int, slack: int) -> tuple[list[tuple[int, ...]], int]:
+    """Sequences filled one after the other, and how many there are: each starts with the longest length left and gets the fullest combination of the rest.
+
+    A combination is taken as often as its lengths last, so the work follows the number of lengths and not that of pieces.
+    """
     counts = {k: v for k, v in histogram.items() if v}
     taken = dict.fromkeys(counts, 0)
     rows, sequence = [], 0
     while counts:
         longest = max(counts)
-        counts[longest] -= 1
-        left = {k: v for k, v in counts.items() if v}
-        use = fullest(left, max_len - longest)
-        counts[longest] += 1
+        left = {k: v - (k == longest) for k, v in counts.items() if v > (k == longest)}
+        use = fullest(left, max_len - longest, slack)
         use[longest] = use.get(longest, 0) + 1
         times = min(counts[k] // m for k, m in use.items())
         offset = 0
@@ -135,13 +139,27 @@ def plan(histogram: dict[int, int], max_len: int = MAX_LEN) -> dict[str, np.ndar
             if not counts[k]:
                 del counts[k]
         sequence += times
-    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
+    return rows, sequence
+
+
+def plan(histogram: dict[int, int], max_len: int = MAX_LEN) -> dict[str, np.ndarray]:
+    """Where the pieces of each length go: slots by (length, first rank), with the first sequence, pieces a sequence and first offset.
+
+    If minimum bin slack needs more sequences than the sum of lengths does, it is tried again with some slack allowed early on, which saves
+    short lengths for later; the plan with the fewest sequences counts.
+    """
+    bound = -(-sum(k * v for k, v in histogram.items()) // max_len)
+    best, n = filled(histogram, max_len, 0)
+    for part in (100, 50, 25):
+        if n > bound:
+            best, n = min((best, n), filled(histogram, max_len, max_len // part), key=lambda x: x[1])
+    table = np.array(sorted(best), np.int64).reshape(-1, 5)
     return dict(zip(("length", "rank", "sequence", "each", "offset"), table.T, strict=True))
 
 
 def pack(found: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     """Adds sequence_id and offset to pieces; the pieces are read more than once and should be saved."""
-    parted = found.withColumn("pid", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(ex.width(found.sparkSession))).cast("int"))
+    parted = found.withColumn("pid", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int"))
     counts = saved(parted.groupBy("length", "pid").agg(F.count("*").alias("n")))
     slots = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, max_len)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -134,7 +134,6 @@ class Codec:
     def __init__(self, raw: bytes):
         import sentencepiece
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         self.model = m = Model.parse(raw)
         self.chunked = m.by_chunks()
         self.tok = m.tokenizer(prefix=not self.chunked)
@@ -149,7 +148,8 @@ class Codec:
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts (with the first dummy space written out, if chunked), and after them a 1 if the libraries differ."""
-        found = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # another operator may have turned it off in this worker
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         plain = [t[1:] if self.chunked and self.model.dummy_prefix else t for t in texts]
         want = self.check.encode(plain, num_threads=1)
         mark = [self.check.piece_to_id(MARK)]
