@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 ASKS = "bucket int, pid int, key binary, info binary"
 REPLY = "pid int, kind int, bucket int, key binary, info binary"
-PART_BYTES, LARGE = 8 << 20, 100 << 30
+PART_BYTES, LARGE = 4 << 20, 10 << 30
 SHORT = 5  # bytes of a key in the first round; two keys that agree there and in their bucket only look shared
 
 

@@ -89,19 +89,33 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) for pairs of classes, from their whole sets."""
-    own = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}"))
-    both = pairs.select("a", "b").join(own("a"), "a").join(own("b"), "b")
+def linked(home: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """The links (a, b) among pairs (a, b, s) of a class and the pivot of its region, from their whole sets.
 
-    def compare(batches):
-        for batch in batches:
-            tokens = zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True)
-            both = np.array([common(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)) for x, y in tokens], np.int64)
-            union = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy() - both
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "distance": pa.array(1 - both / union), "linked": pa.array(100 * both >= percent * union)})
-
-    return both.mapInArrow(compare, "a bigint, b bigint, distance double, linked boolean")
+    A pivot's classes are dealt into slices of about `tile` shingles, each with the pivot's set once; slices are bundled into tasks of that size.
+    """
+    weights = home.groupBy("b").agg(F.sum("s").alias("weight"))
+    bundles = max(1, -(-(weights.agg(F.sum("weight")).first()[0] or 0) // tile))
+    n_slices = F.ceil(F.col("weight") / F.lit(tile)).cast("int")
+    own = home.join(weights, "b").select("b", F.col("a").alias("rep"), F.pmod(F.xxhash64("a"), n_slices).cast("int").alias("slice"))
+    pivots = weights.select("b", F.col("b").alias("rep"), F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("slice"))
+    rows = own.unionByName(pivots).join(sets.select("rep", "n", "tokens"), "rep").withColumn("bundle", F.pmod(F.xxhash64("b", "slice"), F.lit(bundles)))
+
+    def compare(_: tuple, table: pa.Table) -> pa.Table:
+        b, part, rep, n = (table[c].to_numpy() for c in ("b", "slice", "rep", "n"))
+        tokens = table["tokens"].combine_chunks()
+        order = np.lexsort((rep != b, part, b))
+        a, pivot, centre, size = [], [], None, 0
+        for i in order.tolist():
+            own = np.frombuffer(tokens[i].as_buffer(), U64)
+            if rep[i] == b[i]:
+                centre, size = own, n[i]
+            elif common(own, centre) * (100 + percent) >= percent * (n[i] + size):
+                a.append(rep[i])
+                pivot.append(b[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(pivot, pa.int64())})
+
+    return rows.groupBy("bundle").applyInArrow(compare, "a bigint, b bigint")
 
 
 def overlaps(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -310,15 +324,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     asked = ex.shared_keys(usable, whole, n_classes)
     rivals = saved(usable.groupBy("pid").cogroup(asked.groupBy("pid")).applyInArrow(thin, "rep bigint, n bigint, s bigint, tokens binary"))
 
+    may_lack = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    n_low = F.least("s", F.col("s") - (F.col("n") - may_lack) + 1 + F.ceil(F.col("n") / 10)).cast("int")
+    lowest = rivals.withColumn("p", n_low).select("rep", "n", "s", F.expr("substring(tokens, 1, 8 * p)").alias("tokens"))
+
     def probes(batches):
         for batch in batches:
             n, s = batch.column("n").to_numpy(), batch.column("s").to_numpy()
             p = n_probes(n, s, percent)
             k = p - least_common(n, percent) + 1
-            tokens = [np.frombuffer(x.as_buffer(), np.int64, t) for x, t in zip(batch.column("tokens"), p.tolist(), strict=True)]
+            tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
             yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), "rep": pa.array(np.repeat(batch.column("rep").to_numpy(), p)), "n": pa.array(np.repeat(n, p)), "s": pa.array(np.repeat(s, p)), "k": pa.array(np.repeat(k, p))})
 
-    low = rivals.mapInArrow(probes, "token bigint, rep bigint, n bigint, s bigint, k bigint")
+    low = lowest.mapInArrow(probes, "token bigint, rep bigint, n bigint, s bigint, k bigint")
     low = low.join(low.groupBy("token").agg(F.count("*").alias("df")), "token")
     rarest = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
     low = low.withColumn("rank", rarest).where("rank <= k and df > 1").select("token", "rep", "n", "s", F.avg("df").over(Window.partitionBy("rep")).alias("score"))
@@ -327,8 +345,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     pivots = low.groupBy("token").agg(best.alias("p")).select("token", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.s").alias("pivot_s"))
     fits = (F.col("n") + F.col("pivot_n")) * percent <= F.least("s", "pivot_s") * (100 + percent)
     members = saved(low.join(pivots, "token").groupBy("rep", "pivot").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("s").alias("s"), F.first(fits).alias("fits")))
-    home = members.where("fits and rep <> pivot").groupBy("rep").agg(F.max(F.struct("m", (-F.col("pivot")).alias("minus"))).alias("h")).select(F.col("rep").alias("a"), (-F.col("h.minus")).alias("b"))
-    links = saved(verified(home, rivals, percent).where("linked").select("a", "b"))
+    home = members.where("fits and rep <> pivot").groupBy("rep").agg(F.max(F.struct("m", (-F.col("pivot")).alias("minus"), "s")).alias("h")).select(F.col("rep").alias("a"), (-F.col("h.minus")).alias("b"), "h.s")
+    links = saved(linked(home, rivals, percent, tile))
 
     # classes with one name are connected: that of the pivot they are linked to, or of that pivot's own
     groups = followed(links.select(F.col("a").alias("node"), F.col("b").alias("to")))
