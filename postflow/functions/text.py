@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -74,8 +76,32 @@ EMPLOYMENT = (
 #: Tags whose content is no text, and tags that end a paragraph. Fixed values.
 DROPPED_TAGS = ("script", "style", "nav", "footer", "noscript")
 BLOCK_TAGS = ("p", "div", "li", "ul", "ol", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "blockquote", "header", "main", "aside", "figure", "hr", "dl", "dt", "dd")
-#: Phrases by which a page says that a posting is closed. Fixed values of this library.
-CLOSED = ("no longer accepting applications", "position has been filled", "job is no longer available", "posting has expired", "this job has closed", "vacancy is closed", "no longer open", "ilan yayından kaldırıldı")
+#: Phrases by which a page says that a posting is closed. Fixed values.
+CLOSED = (
+    "no longer accepting applications",
+    "this job is no longer available",
+    "this job is no longer open",
+    "this position is no longer available",
+    "this position has been filled",
+    "this job has expired",
+    "this job posting has expired",
+    "this posting has closed",
+    "the job you are looking for is no longer",
+    "the position you are looking for is no longer",
+)
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are a compatibility form of one other character, and that character without its marks."""
+    pairs = []
+    for char in map(chr, range(0x80, 0x10000)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != char:
+            pairs.append((char, plain))
+    return "".join(c for c, _ in pairs), "".join(c for _, c in pairs)
+
+
+MARKED, UNMARKED = _plain_letters()
 
 
 def squeezed(text: Column) -> Column:
@@ -86,9 +112,14 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
+def unaccented(text: Column) -> Column:
+    """Letters of any script without their accents: marked letters to plain ones, then marks that stand alone go."""
+    return F.regexp_replace(F.translate(text, MARKED, UNMARKED), r"\p{M}", "")
+
+
 def normalize_company_name(name: Column) -> Column:
-    """Lower case, without accents, punctuation and legal forms at the end; a name of legal forms alone stays whole."""
-    bare = squeezed(F.regexp_replace(folded(F.coalesce(name, F.lit(""))), r"[^a-z0-9_\s]", " "))
+    """Lower case, without accents, punctuation and legal forms at the end; a name of legal forms alone stays whole. Letters of all scripts count."""
+    bare = squeezed(F.regexp_replace(F.lower(unaccented(F.coalesce(name, F.lit("")))), r"[^\p{L}\p{N}_\s]", " "))
     cut = F.regexp_replace(bare, rf"(^|\s)({'|'.join(LEGAL_SUFFIXES)})(\s({'|'.join(LEGAL_SUFFIXES)}))*$", "")
     return F.when(cut == "", bare).otherwise(cut)
 
@@ -144,46 +175,50 @@ def shingles(words: Column, size: int = 2) -> Column:
     return F.when(n >= size, runs).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def simhash(df, key: str, text: str, size: int = 2):
-    """(key, hi, lo): 64 votes over the MD5 digests of the shingles; a bit is set if more shingles set it than not."""
-    words = df.select(key, F.explode(shingles(tokens(F.col(text)), size)).alias("shingle")).withColumn("digest", F.md5("shingle"))
-    half = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("bigint")
-    parts = words.select(key, half(1).alias("hi"), half(9).alias("lo"))
-    votes = [F.sum(F.shiftright(h, i).bitwiseAND(1)).alias(f"{h}_{i}") for h in ("hi", "lo") for i in range(32)]
-    counted = parts.groupBy(key).agg(F.count("*").alias("n"), *votes)
-    value = lambda h: F.conv(F.concat(*[F.when(F.col(f"{h}_{i}") * 2 > F.col("n"), "1").otherwise("0") for i in reversed(range(32))]), 2, 10).cast("bigint")
-    return counted.select(key, value("hi").alias("hi"), value("lo").alias("lo"))
-
-
 def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
     return F.bit_count(hi_a.bitwiseXOR(hi_b)) + F.bit_count(lo_a.bitwiseXOR(lo_b))
 
 
-def _votes(text: str | None, digest) -> bytes:
-    """The 8 bytes of a 64-bit simhash over two-word shingles."""
+def _votes(text: str | None, digest) -> bytes | None:
+    """The 8 bytes of a 64-bit simhash over two-word shingles: a bit is set if more shingles set it than not. None without words."""
     w = re.findall("[a-z0-9À-ɏ]+", (text or "").lower())
-    parts = [" ".join(w[i : i + 2]) for i in range(max(len(w) - 1, 0))] or ([w[0]] if w else [])
+    parts = [f"{a} {b}" for a, b in pairwise(w)] or w
     if not parts:
-        return bytes(8)
-    raw = b"".join(digest(p.encode()) for p in parts)
+        return None
+    raw = b"".join([digest(p.encode()) for p in parts])
     votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0)
     return np.packbits(votes * 2 > len(parts)).tobytes()
 
 
+def _blake2b(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=8).digest()
+
+
+def _md5(x: bytes) -> bytes:
+    return hashlib.md5(x).digest()[:8]
+
+
 def _simhash_blake2b(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        yield batch.map(lambda t: _votes(t, lambda b: hashlib.blake2b(b, digest_size=8).digest()).hex())
+        found = [_votes(t, _blake2b) for t in batch]
+        yield pd.Series([v and v.hex() for v in found], dtype=object)
 
 
-def _simhash_md5(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _simhash_md5(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
-        found = [_votes(t, lambda b: hashlib.md5(b).digest()[:8]) for t in batch]
-        yield pd.DataFrame({"hi": [int.from_bytes(v[:4], "big") for v in found], "lo": [int.from_bytes(v[4:], "big") for v in found]})
+        found = [_votes(t, _md5) for t in batch]
+        yield pd.Series([v and v.hex() for v in found], dtype=object)
 
 
 def simhash_md5(text: Column) -> Column:
-    """struct(hi, lo), as `simhash` gives them, in one pass over Arrow batches and without a shuffle."""
-    return F.pandas_udf(_simhash_md5, "hi bigint, lo bigint")(text)
+    """struct(hi, lo) over MD5 digests, null without words, in one pass over Arrow batches and without a shuffle."""
+    return halves(F.pandas_udf(_simhash_md5, "string")(text))
+
+
+def halves(digits: Column) -> Column:
+    """16 hexadecimal digits as struct(hi, lo) of 32 bits each."""
+    half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint")
+    return F.when(digits.isNotNull(), F.struct(half(1).alias("hi"), half(9).alias("lo")))
 
 
 def content_hash(title: Column, location: Column, body: Column) -> Column:
@@ -328,6 +363,18 @@ def says_closed(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in CLOSED])
 
 
+def lost_call_to_action(page: Column, text: Column, button: str, whole: str) -> Column:
+    """A page without its way to apply is closed if it is whole (has `whole`) or its text says so; a page cut short says nothing."""
+    return ~page.contains(button) & (page.contains(whole) | says_closed(text))
+
+
+def candidate_place(text: Column, names: tuple[str, ...], longest: int = 60) -> Column:
+    """The first line that names one of the places: whole if it has at most `longest` characters, else the name alone."""
+    named = rf"(?<!\p{{L}})({'|'.join(names)})(?!\p{{L}})"
+    line = F.try_element_at(F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(named)), F.lit(1))
+    return F.when(F.length(line) <= longest, line).otherwise(F.regexp_extract(F.lower(line), named, 1))
+
+
 def left_posting(url: Column, posting_id: Column) -> Column:
     """A redirect that reports an error, or whose address has lost the posting's id."""
     return (F.regexp_extract(url, r"[?&]error=([^&#]*)", 1) == "true") | ~F.contains(url, posting_id)

@@ -1,28 +1,103 @@
-"""Near-duplicate clustering: each record joins its earliest adjacent head, or becomes a head."""
+"""Near-duplicate clustering: each record joins its earliest adjacent head, or becomes a head.
+
+Records have a key (earlier keys come first), a block (company and normalised title: only records of one block can be the same posting),
+a 64-bit hash of the description as hi and lo (null: no description) and three discriminators: country, city and seniority.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postflow.operators.storage import saved
 
+TILE = 2048  # classes of a block that are compared at once with as many others
+KIND = ("block", "hi", "lo", "country", "city", "seniority")
+
+
+def conflict(a: Column, b: Column) -> Column:
+    """Two known values that differ; an unknown one (null or empty) never conflicts."""
+    return F.coalesce((a != "") & (b != "") & (a != b), F.lit(False))
+
+
+def city_tokens(city: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(city), F.lit("[a-z0-9]+"), 0))
+
+
+def city_conflict(a: Column, b: Column) -> Column:
+    """Neither city's words contain the other's: "New York" and "New York City" are one place. A city without words is unknown."""
+    x, y = city_tokens(a), city_tokens(b)
+    apart = (F.size(F.array_except(x, y)) > 0) & (F.size(F.array_except(y, x)) > 0)
+    return F.coalesce(apart & (F.size(x) > 0) & (F.size(y) > 0), F.lit(False))
+
 
-def near_pairs(hashes: DataFrame, max_distance: int = 12, bands: int = 13) -> DataFrame:
-    """(u, v) with u before v, in the same block, at most max_distance bits apart.
+def classes_of(records: DataFrame) -> DataFrame:
+    """(class, rep, ...): records that agree in all that is compared, and the earliest of each.
 
-    hashes: key, block, hi, lo (32 bits each). By the pigeonhole principle two hashes with at most max_distance differing bits agree on
-    one of max_distance + 1 bands, so only records that share a band of the 64 bits meet.
+    They are adjacent to each other and to the same others, so they end in the same cluster: m copies cost one class, not m * m pairs.
     """
-    hashes = saved(hashes)  # else the projections below would repeat the expressions that made the hashes
-    bits = F.concat(F.lpad(F.bin("hi"), 32, "0"), F.lpad(F.bin("lo"), 32, "0"))
-    cuts = [round(i * 64 / bands) for i in range(bands + 1)]
-    band = F.array(*[F.concat(F.lit(f"{i}:"), F.substring(bits, cuts[i] + 1, cuts[i + 1] - cuts[i])) for i in range(bands)])
-    spread = hashes.withColumn("band", F.explode(band))
-    a = spread.select("block", "band", F.col("key").alias("u"), F.col("hi").alias("hu"), F.col("lo").alias("lu"))
-    b = spread.select("block", "band", F.col("key").alias("v"), F.col("hi").alias("hv"), F.col("lo").alias("lv"))
-    distance = F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) + F.bit_count(F.col("lu").bitwiseXOR(F.col("lv")))
-    return a.join(b, ["block", "band"]).where((F.col("u") < F.col("v")) & (distance <= max_distance)).select("u", "v").distinct()
+    return records.groupBy(F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).agg(F.min("key").alias("rep"), *(F.first(c).alias(c) for c in KIND))
+
+
+def near_pairs(classes: DataFrame, max_distance: int = 12, tile: int = TILE) -> DataFrame:
+    """(u, v): adjacent classes, u the earlier. Neither discriminator conflicts, and the hashes differ in at most max_distance bits or one is unknown.
+
+    A block's classes are dealt into parts of about `tile`; two parts are compared inside one task by XOR and bit counts, so a large
+    block costs rows in proportion to its parts, not to its pairs.
+    """
+    parts = classes.groupBy("block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("k"))
+    dealt = classes.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "k").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat_ws("-", F.least("part", i), F.greatest("part", i)))
+    spread = dealt.select("rep", "hi", "lo", "country", "city", "seniority", "block", F.explode(pairs).alias("tile"))
+    rows = classes.count()
+    bundled = spread.withColumn("bundle", F.pmod(F.xxhash64("block", "tile"), F.lit(max(1, rows // (2 * tile)))))
+    return bundled.groupBy("bundle").applyInArrow(lambda _, table: _adjacent(table, max_distance), "u bigint, v bigint")
+
+
+def _adjacent(table: pa.Table, max_distance: int) -> pa.Table:
+    table = table.sort_by([("block", "ascending"), ("tile", "ascending"), ("rep", "ascending")])
+    code = lambda c: table[c].combine_chunks().dictionary_encode()
+    place = lambda c: code(c).indices.to_numpy(zero_copy_only=False)
+    known = lambda c: np.array([-1 if not x else k for k, x in enumerate(code(c).dictionary.to_pylist())] + [-1])[np.nan_to_num(place(c).astype(float), nan=-1).astype(np.int64)]
+    rep = table["rep"].to_numpy()
+    value = (table["hi"].fill_null(0).to_numpy().astype(np.uint64) << np.uint64(32)) | table["lo"].fill_null(0).to_numpy().astype(np.uint64)
+    blank = pa.compute.is_null(table["hi"]).to_numpy()
+    country, level = known("country"), known("seniority")
+    cities = [set(re.findall("[a-z0-9]+", (x or "").lower())) for x in code("city").dictionary.to_pylist()]
+    city = np.nan_to_num(place("city").astype(float), nan=-1).astype(np.int64)
+    block, tile = place("block"), place("tile")
+    at = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (tile[1:] != tile[:-1])]) if len(rep) else np.zeros(0, np.int64)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in zip(at, np.r_[at[1:], len(rep)], strict=True):
+        own = np.unique(city[i:j])
+        apart = np.zeros((len(own), len(own)), bool)
+        for a, x in enumerate(own):
+            for b, y in enumerate(own):
+                p, q = cities[x] if x >= 0 else set(), cities[y] if y >= 0 else set()
+                apart[a, b] = bool(p and q and not (p <= q or q <= p))
+        c = np.searchsorted(own, city[i:j])
+        for a in range(i, j, 256):
+            x, y = slice(a, min(a + 256, j)), slice(a, j)
+            differ = lambda z: (z[x][:, None] != z[y]) & (z[x][:, None] >= 0) & (z[y] >= 0)
+            close = (np.bitwise_count(value[x][:, None] ^ value[y]) <= max_distance) | blank[x][:, None] | blank[y]
+            close &= ~differ(country) & ~differ(level) & ~apart[c[x.start - i : x.stop - i][:, None], c[x.start - i :]] & (rep[x][:, None] < rep[y])
+            m, n = np.nonzero(close)
+            us.append(rep[a + m])
+            vs.append(rep[a + n])
+    out = pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+    return out.group_by(["u", "v"]).aggregate([])
+
+
+def clustered(records: DataFrame, max_distance: int = 12, tile: int = TILE) -> DataFrame:
+    """(key, head) of every record."""
+    classes = saved(classes_of(records))
+    heads = greedy_heads(classes.select(F.col("rep").alias("key")), near_pairs(classes, max_distance, tile))
+    named = classes.select("class", F.col("rep").alias("rep_")).join(heads.withColumnRenamed("key", "rep_"), "rep_").select("class", "head")
+    return records.select("key", F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).join(named, "class").select("key", "head")
 
 
 def greedy_heads(records: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -31,7 +106,7 @@ def greedy_heads(records: DataFrame, pairs: DataFrame) -> DataFrame:
     A record is a head once all its earlier neighbours are known not to be, and no head once one of them is. Rounds end when nothing is
     open; their number is the longest chain of such decisions.
     """
-    edges = saved(pairs)
+    edges = saved(pairs.distinct())
     state = saved(records.select("key").join(edges.select(F.col("v").alias("key")).distinct().withColumn("open", F.lit(True)), "key", "left").select("key", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(True).alias("is_head")))
     while not state.where("is_head is null").isEmpty():
         before = edges.join(state.withColumnsRenamed({"key": "u", "is_head": "u_head"}), "u")

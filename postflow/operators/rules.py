@@ -8,11 +8,14 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postflow.functions.authorization import decision, merged, required_codes, sponsorship
 from postflow.functions.places import is_worldwide, offset_of, overlap_hours
+from postflow.functions.text import normalize_company_name
 from postflow.functions.values import annual, convert
 
 #: Levels from lowest to highest. Fixed values.
@@ -40,6 +43,10 @@ class Rules:
     min_overlap: float | None = None
     base_offset: float = 3.0
     boosts: dict[str, float] = field(default_factory=dict)
+    authorized: tuple[str, ...] = ()
+    needs_sponsorship: bool = False
+    anywhere: bool = True
+    profile_titles: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 def fingerprint(rules: Rules) -> str:
@@ -65,7 +72,12 @@ def age(days: Column, rules: Rules) -> list[Column]:
 
 
 def company_blocked(name: Column, rules: Rules) -> list[Column]:
-    return [violated("company_blocked", F.lower(name).isin(*(c.lower() for c in rules.blocked_companies)))] if rules.blocked_companies else []
+    """A company is blocked by its name as written or by its normalised name ("Acme, Inc." is "acme")."""
+    if not rules.blocked_companies:
+        return []
+    blocked = [F.lit(c) for c in rules.blocked_companies]
+    same = F.lower(name).isin(*(c.lower() for c in rules.blocked_companies)) | ((normalize_company_name(name) != "") & normalize_company_name(name).isin(*map(normalize_company_name, blocked)))
+    return [violated("company_blocked", same)]
 
 
 def title_excluded(title: Column, rules: Rules) -> list[Column]:
@@ -73,13 +85,14 @@ def title_excluded(title: Column, rules: Rules) -> list[Column]:
     return [violated("title_excluded", title.rlike(f"(?i){p}")) for p in rules.excluded_titles]
 
 
-def title_unmatched(title: Column, rules: Rules) -> list[Column]:
-    if not rules.required_titles:
-        return []
-    hit = F.lit(False)
-    for p in rules.required_titles:
-        hit = hit | F.coalesce(title, F.lit("")).rlike(f"(?i){p}")
-    return [violated("title_unmatched", ~hit)]
+def title_unmatched(title: Column, rules: Rules, profile: Column | None = None) -> list[Column]:
+    """No required pattern matches. A profile with patterns of its own is held to those instead."""
+    any_of = lambda ps: reduce(lambda a, b: a | b, [F.coalesce(title, F.lit("")).rlike(f"(?i){p}") for p in ps])
+    hit = any_of(rules.required_titles) if rules.required_titles else F.lit(True)
+    if profile is not None:
+        for name, patterns in rules.profile_titles.items():
+            hit = F.when(profile == name, any_of(patterns) if patterns else F.lit(True)).otherwise(hit)
+    return [violated("title_unmatched", ~hit)] if rules.required_titles or rules.profile_titles else []
 
 
 def field_mismatch(columns: dict[str, Column], rules: Rules, location: Column | None = None) -> list[Column]:
@@ -93,8 +106,13 @@ def field_mismatch(columns: dict[str, Column], rules: Rules, location: Column |
     return out
 
 
+def haystack(title: Column, location: Column, body: Column, read: int = 4000) -> Column:
+    """Where phrases are looked for: title, location and the opening of the body, as footers speak of other things."""
+    return F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(location, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, read))
+
+
 def phrase_excluded(text: Column, rules: Rules) -> list[Column]:
-    """A whole phrase in the text, letters and digits not touching it."""
+    """A whole phrase in the haystack, letters and digits not touching it."""
     return [violated("phrase_excluded", F.lower(text).rlike(rf"(?U)(?<!\w)\Q{p.lower()}\E(?!\w)")) for p in rules.excluded_phrases]
 
 
@@ -132,6 +150,16 @@ def time_zone(country: Column, location: Column, rules: Rules) -> list[Column]:
     return [violated("tz_overlap", hours < rules.min_overlap)]
 
 
+def authorization(text: Column, country: Column, rules: Rules, stored: Column | None = None) -> list[Column]:
+    """What a reader stored (struct of required and sponsorship, null if none has) and what the text says, merged, then decided."""
+    if rules.anywhere and not rules.authorized and not rules.needs_sponsorship:
+        return []
+    empty = F.array().cast("array<string>")
+    had = [] if stored is None else [F.coalesce(stored["required"], empty)]
+    facts = merged([*had, required_codes(text)], [*([] if stored is None else [stored["sponsorship"]]), sponsorship(text)])
+    return [decision(facts["required"], facts["sponsorship"], country, rules.authorized, rules.needs_sponsorship)]
+
+
 def boost(rules: Rules, signs: dict[str, Column]) -> Column:
     """The product of the boosts whose sign is known to hold."""
     out = F.lit(1.0)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postflow.queries import authorisation, posting, relational, scalars, streams, summaries
+from postflow.queries import authorisation, feeds, posting, relational, scalars, streams, summaries
 
-MODULES = [authorisation, relational, summaries, scalars, posting, streams]
+MODULES = [authorisation, feeds, relational, summaries, scalars, posting, streams]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: q for m in MODULES for name, q in m.ORACLE.items()}

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postflow.functions import text as T
+from postflow.functions.authorization import decision, required_codes, sponsorship
+from postflow.functions.html import job_posting, main_block
+from postflow.functions.places import literal_map
 from postflow.functions.quality import assess
 from postflow.functions.urls import board_hits, clean_token, domain_hints, registrable
+from postflow.operators import extraction as X
+from postflow.operators import preferences as P
 from postflow.operators import rules as R
-from postflow.operators.dedupe import greedy_heads, near_pairs
+from postflow.operators.dedupe import city_conflict, classes_of, clustered, near_pairs
+from postflow.operators.storage import saved
+from postflow.queries.authorisation import CODES, listed, told
 from postflow.queries.registry import Family
 from postflow.queries.relational import ACTED_SQL, acted_on, active_canonical, age_days, also_on, cluster, scored
 from postflow.queries.scalars import PLACE_CODES, SIMHASH_SQL, html_sql, quoted
-from postflow.sources.bindings import applications, boards, companies, jobs, now, pick, scores, table, titles
+from postflow.sources.bindings import applications, boards, companies, jobs, listings, now, pick, scores, table, titles
 
 family = Family()
 QUERIES, ORACLE, add = family.QUERIES, family.ORACLE, family.add
@@ -23,10 +32,11 @@ QUERIES, ORACLE, add = family.QUERIES, family.ORACLE, family.add
 RULES = R.Rules(
     retired_sources=("5-LOW",),
     max_age_days=365,
-    blocked_companies=("Customer#000000012",),
+    blocked_companies=("Customer#000000012", "customer 000000017, Inc."),
     excluded_titles=("^red", "ring$"),
     required_titles=("ring", "plate", "bolt"),
-    allowed={"market": ("P", "F")},
+    profile_titles={"O": ("gear", "plate")},
+    allowed={"market": ("P", "F"), "country": ("GB", "DE", "TR", "US", "IN", "JP", "NZ")},
     min_level="mid",
     max_level="staff",
     min_annual=60000.0,
@@ -36,28 +46,30 @@ RULES = R.Rules(
     boosts={"machinery": 1.2, "big": 1.1},
 )
 LEVEL_NAMES = ("intern", "junior", "mid", "senior", "staff", None)
+LOCATIONS = ("Office", "Remote, anywhere", None, "City centre")
 
 
 def postings(spark, d):
     """Jobs with all that the rules look at."""
     df = jobs(spark, d).join(titles(spark, d), "id", "left").join(companies(spark, d), "company_id", "left")
-    return df.withColumns({"level": pick(F.col("id"), LEVEL_NAMES), "place": pick(F.col("id"), PLACE_CODES), "days": age_days(F.col("posted_at"))})
+    return df.withColumns({"level": pick(F.col("id"), LEVEL_NAMES), "place": pick(F.col("id"), PLACE_CODES), "location": pick(F.col("id"), LOCATIONS), "days": age_days(F.col("posted_at"))})
 
 
-POSTINGS_SQL = f"postings AS (SELECT j.*, title, name, segment, {quoted(('intern', 'junior', 'mid', 'senior', 'staff'))}[id % 6 + 1] AS level, {quoted(PLACE_CODES)}[id % 9 + 1] AS place, date_diff('day', posted_at, TIMESTAMP '2001-08-02') AS days FROM jobs j LEFT JOIN titles USING (id) LEFT JOIN companies USING (company_id))"
+POSTINGS_SQL = f"postings AS (SELECT j.*, title, name, segment, {quoted(('intern', 'junior', 'mid', 'senior', 'staff'))}[id % 6 + 1] AS level, {quoted(PLACE_CODES)}[id % 9 + 1] AS place, id % 4 = 1 AS worldwide, date_diff('day', posted_at, TIMESTAMP '2001-08-02') AS days FROM jobs j LEFT JOIN titles USING (id) LEFT JOIN companies USING (company_id))"
 TOP_SQL = "CASE WHEN salary_currency IS NULL OR salary_currency = 'EUR' THEN 1.0::DOUBLE WHEN salary_currency = 'USD' THEN 0.9::DOUBLE ELSE 0.9::DOUBLE / 32.5::DOUBLE END * salary_max * CASE coalesce(salary_period, 'annual') WHEN 'annual' THEN 1 WHEN 'monthly' THEN 12 ELSE 52 END"
 HOURS_SQL = "CASE place WHEN 'GB' THEN 6 WHEN 'DE' THEN 7 WHEN 'TR' THEN 9 WHEN 'IN' THEN 6.5 WHEN 'US' THEN 0 WHEN 'JP' THEN 3 WHEN 'NZ' THEN 0 WHEN 'BR' THEN 3 END"
 CONDITIONS = {
     "source_excluded": "source = '5-LOW'",
     "age": "days > 365",
-    "company_blocked": "lower(name) = 'customer#000000012'",
+    "company_blocked": "lower(name) = 'customer#000000012' OR trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) IN ('customer 000000012', 'customer 000000017')",
     "title_excluded": "regexp_matches(title, '(?i)^red')",
     "title_excluded_2": "regexp_matches(title, '(?i)ring$')",
-    "title_unmatched": "NOT regexp_matches(coalesce(title, ''), '(?i)ring|plate|bolt')",
+    "title_unmatched": "NOT CASE WHEN market = 'O' THEN regexp_matches(coalesce(title, ''), '(?i)gear|plate') ELSE regexp_matches(coalesce(title, ''), '(?i)ring|plate|bolt') END",
     "field_mismatch": "market NOT IN ('P', 'F')",
+    "field_mismatch_2": "place <> '' AND place NOT IN ('GB', 'DE', 'TR', 'US', 'IN', 'JP', 'NZ') AND NOT worldwide",
     "seniority_low": "level IN ('intern', 'junior')",
     "salary_below": f"{TOP_SQL} < 60000",
-    "tz_overlap": f"{HOURS_SQL} < 4",
+    "tz_overlap": f"CASE WHEN worldwide THEN 9 ELSE {HOURS_SQL} END < 4",
 }
 CODES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k.removesuffix('_2')}' END" for k, c in CONDITIONS.items()) + "], lambda x: x IS NOT NULL)"
 
@@ -69,11 +81,11 @@ def reasons(rules: R.Rules = RULES):
         *R.age(c("days"), rules),
         *R.company_blocked(c("name"), rules),
         *R.title_excluded(c("title"), rules),
-        *R.title_unmatched(c("title"), rules),
-        *R.field_mismatch({"market": c("market")}, rules),
+        *R.title_unmatched(c("title"), rules, c("market")),
+        *R.field_mismatch({"market": c("market"), "country": c("place")}, rules, c("location")),
         *R.seniority(c("level"), rules),
         *R.salary(c("salary_max"), c("salary_period"), c("salary_currency"), rules),
-        *R.time_zone(c("place"), F.lit(None).cast("string"), rules),
+        *R.time_zone(c("place"), c("location"), rules),
     ]
 
 
@@ -105,16 +117,17 @@ r01 = _single("r01_source_excluded", "source_excluded", lambda r: R.source_exclu
 r02 = _single("r02_age", "age", lambda r: R.age(F.col("days"), r))
 r03 = _single("r03_company_blocked", "company_blocked", lambda r: R.company_blocked(F.col("name"), r))
 r04 = _single("r04_title_excluded", "title_excluded", lambda r: R.title_excluded(F.col("title"), r))
-r05 = _single("r05_title_unmatched", "title_unmatched", lambda r: R.title_unmatched(F.col("title"), r))
-r06 = _single("r06_field_mismatch", "field_mismatch", lambda r: R.field_mismatch({"market": F.col("market")}, r))
+r05 = _single("r05_title_unmatched", "title_unmatched", lambda r: R.title_unmatched(F.col("title"), r, F.col("market")))
+r06 = _single("r06_field_mismatch", "field_mismatch", lambda r: R.field_mismatch({"market": F.col("market"), "country": F.col("place")}, r, F.col("location")))
 r08 = _single("r08_seniority", "seniority_low", lambda r: R.seniority(F.col("level"), r))
 r09 = _single("r09_salary", "salary_below", lambda r: R.salary(F.col("salary_max"), F.col("salary_period"), F.col("salary_currency"), r))
-r12 = _single("r12_tz_overlap", "tz_overlap", lambda r: R.time_zone(F.col("place"), F.lit(None).cast("string"), r))
+r12 = _single("r12_tz_overlap", "tz_overlap", lambda r: R.time_zone(F.col("place"), F.col("location"), r))
 
 
-@add("r07_phrases", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^0-9a-z_])mit license($|[^0-9a-z_])')")
+@add("r07_phrases", "SELECT doc_id FROM documents WHERE regexp_matches(lower(source || chr(10) || lang || chr(10) || text[1:4000]), '(^|[^0-9a-z_])mit license($|[^0-9a-z_])')")
 def r07(spark, d):
-    rule = R.phrase_excluded(F.col("text"), R.Rules(excluded_phrases=("MIT License",)))
+    """Source and language stand for title and location."""
+    rule = R.phrase_excluded(R.haystack(F.col("source"), F.col("lang"), F.col("text")), R.Rules(excluded_phrases=("MIT License",)))
     return table(spark, d, "documents").where(F.coalesce(*rule).isNotNull()).select("doc_id")
 
 
@@ -145,21 +158,46 @@ def a12(spark, d):
 # clustering
 
 
-def hashed(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("block"), T.simhash_md5(F.col("text")).alias("h"))
-    return docs.where(F.length("block") > 0).select("key", "block", "h.hi", "h.lo")
+COUNTRIES = ("US", None, "US", "GB", None, "US")
+CITIES = ("New York", "New York City", "", None, "Boston", "new york", "New York")
+LEVELS = ("senior", None, "senior", "junior", "senior")
+
+
+def records(spark, d):
+    """Documents as postings: the language and the first three words stand for company and title; every 19th has no description yet."""
+    key = F.col("doc_id")
+    docs = table(spark, d, "documents").select(
+        key.alias("key"),
+        F.concat_ws("|", F.col("lang"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ")).alias("block"),
+        pick(key, COUNTRIES).alias("country"),
+        pick(key, CITIES).alias("city"),
+        pick(key, LEVELS).alias("seniority"),
+        F.when(key % 19 != 0, T.simhash_md5(F.col("text"))).alias("h"),
+    )
+    return saved(docs.select("key", "block", "h.hi", "h.lo", "country", "city", "seniority"))
+
+
+def _list_sql(values):
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
-EDGES_SQL = f"{SIMHASH_SQL}, h AS (SELECT s.*, lang FROM simhash s JOIN documents USING (doc_id)), edges AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM h a JOIN h b ON a.lang = b.lang AND a.doc_id < b.doc_id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12)"
+RECORDS_SQL = f"""{SIMHASH_SQL}, r AS MATERIALIZED (SELECT d.doc_id, concat_ws('|', d.lang, array_to_string(list_slice(w.w, 1, 3), ' ')) AS block, CASE WHEN d.doc_id % 19 <> 0 THEN hi END AS hi, CASE WHEN d.doc_id % 19 <> 0 THEN lo END AS lo,
+    {_list_sql(COUNTRIES)}[d.doc_id % 6 + 1] AS country, {_list_sql(CITIES)}[d.doc_id % 7 + 1] AS city, {_list_sql(LEVELS)}[d.doc_id % 5 + 1] AS seniority FROM documents d JOIN w USING (doc_id) LEFT JOIN simhash USING (doc_id)),
+    t AS (SELECT *, regexp_extract_all(lower(coalesce(city, '')), '[a-z0-9]+') AS words FROM r)"""
+SAME_SQL = """a.block = b.block AND a.doc_id < b.doc_id AND (a.hi IS NULL OR b.hi IS NULL OR bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12)
+    AND (a.country IS NULL OR b.country IS NULL OR a.country = b.country) AND (a.seniority IS NULL OR b.seniority IS NULL OR a.seniority = b.seniority)
+    AND (len(a.words) = 0 OR len(b.words) = 0 OR list_has_all(a.words, b.words) OR list_has_all(b.words, a.words))"""
+EDGES_SQL = f"{RECORDS_SQL}, edges AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON {SAME_SQL})"
 
 
-@add("j14_near_pairs", f"+ {EDGES_SQL} SELECT u, v FROM edges")
+@add("j14_near_pairs", f"+ {RECORDS_SQL}, c AS (SELECT block, hi, lo, country, city, seniority, min(doc_id) AS doc_id, any_value(words) AS words FROM t GROUP BY block, hi, lo, country, city, seniority) SELECT a.doc_id AS u, b.doc_id AS v FROM c a JOIN c b ON {SAME_SQL}")
 def j14(spark, d):
-    return near_pairs(hashed(spark, d))
+    """Pairs between the earliest records of classes that agree in all that is compared; members of a class are adjacent to each other and to the same others."""
+    return near_pairs(saved(classes_of(records(spark, d))))
 
 
 ROUNDS = 6
-STATES_SQL = "s0 AS MATERIALIZED (SELECT doc_id AS k, CASE WHEN doc_id IN (SELECT v FROM edges) THEN NULL ELSE true END AS h FROM simhash)" + "".join(
+STATES_SQL = "s0 AS MATERIALIZED (SELECT doc_id AS k, CASE WHEN doc_id IN (SELECT v FROM edges) THEN NULL ELSE true END AS h FROM r)" + "".join(
     f", s{i} AS MATERIALIZED (SELECT s.k, coalesce(s.h, x.h) AS h FROM s{i - 1} s LEFT JOIN (SELECT v, CASE WHEN bool_or(coalesce(p.h, false)) THEN false WHEN bool_and(coalesce(NOT p.h, false)) THEN true END AS h FROM edges JOIN s{i - 1} p ON p.k = u GROUP BY 1) x ON x.v = s.k)"
     for i in range(1, ROUNDS + 1)
 )
@@ -168,16 +206,15 @@ HEADS_SQL = f"{EDGES_SQL}, {STATES_SQL}, heads AS (SELECT s.k AS doc_id, CASE WH
 
 @add("g01_greedy_clusters", f"+ {HEADS_SQL} SELECT doc_id, head FROM heads")
 def g01(spark, d):
-    df = hashed(spark, d)
-    return greedy_heads(df, near_pairs(df)).select(F.col("key").alias("doc_id"), "head")
+    return clustered(records(spark, d)).select(F.col("key").alias("doc_id"), "head")
 
 
-@add("g02_scoped_clusters", f"+ {HEADS_SQL} SELECT h.doc_id, head FROM heads h JOIN documents USING (doc_id) WHERE lang IN (SELECT lang FROM documents WHERE doc_id % 100 = 1)")
+@add("g02_scoped_clusters", f"+ {HEADS_SQL} SELECT h.doc_id, head FROM heads h JOIN r USING (doc_id) WHERE block IN (SELECT block FROM r WHERE doc_id % 100 = 1)")
 def g02(spark, d):
     """Only the blocks that new records touch are clustered again."""
-    touched = table(spark, d, "documents").where("doc_id % 100 = 1").select(F.col("lang").alias("block")).distinct()
-    df = hashed(spark, d).join(touched, "block", "left_semi")
-    return greedy_heads(df, near_pairs(df)).select(F.col("key").alias("doc_id"), "head")
+    df = records(spark, d)
+    touched = df.where("key % 100 = 1").select("block").distinct()
+    return clustered(df.join(touched, "block", "left_semi")).select(F.col("key").alias("doc_id"), "head")
 
 
 @add("g03_changed_heads", f"+ {HEADS_SQL} SELECT count(*) AS changed FROM heads WHERE head IS DISTINCT FROM (CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE head END)")
@@ -186,11 +223,16 @@ def g03(spark, d):
     return found.where(~F.col("head").eqNullSafe(F.col("stored"))).agg(F.count("*").alias("changed"))
 
 
-@add("g04_city_conflict", "SELECT p_partkey, NOT (list_has_all(a, b) OR list_has_all(b, a)) AS conflict FROM (SELECT p_partkey, string_split(p_name, ' ') AS a, [split_part(p_name, ' ', 1), lower(p_type)] AS b FROM part)")
+CITY_TAILS = ("", " City", " metal", "!", None)
+
+
+@add(
+    "g04_city_conflict",
+    f"SELECT p_partkey, coalesce(len(a) > 0 AND len(b) > 0 AND NOT (list_has_all(a, b) OR list_has_all(b, a)), false) AS conflict FROM (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS a, regexp_extract_all(lower(split_part(p_name, ' ', 1) || {_list_sql(CITY_TAILS)}[p_partkey % 5 + 1]), '[a-z0-9]+') AS b FROM part)",
+)
 def g04(spark, d):
-    a, b = F.split("p_name", " "), F.array(F.substring_index("p_name", " ", 1), F.lower("p_type"))
-    within = lambda x, y: F.size(F.array_except(x, y)) == 0
-    return table(spark, d, "part").select("p_partkey", (~(within(a, b) | within(b, a))).alias("conflict"))
+    other = F.concat(F.substring_index("p_name", " ", 1), pick(F.col("p_partkey"), CITY_TAILS))
+    return table(spark, d, "part").select("p_partkey", city_conflict(F.col("p_name"), other).alias("conflict"))
 
 
 # upsert and lifecycle
@@ -233,31 +275,64 @@ def g06(spark, d):
     return df.select("page_id", F.length("body").cast("bigint").alias("chars"), T.completeness(F.col("body")).alias("completeness"), F.md5("body").alias("hash"))
 
 
+def latest_run(spark, d, cut_at=12):
+    """(board_id, job_id, listed, cut): each posting of a board and whether the latest run listed it. A listing of cut_at postings or more came cut short."""
+    seen = listings(spark, d).groupBy("board_id", "job_id").agg(F.max("run").alias("run"))
+    last = seen.groupBy("board_id").agg(F.max("run").alias("last"))
+    seen = seen.join(last, "board_id").withColumn("listed", F.col("run") == F.col("last"))
+    size = seen.where("listed").groupBy("board_id").agg((F.count("*") >= cut_at).alias("cut"))
+    return seen.join(size, "board_id").select("board_id", "job_id", "listed", "cut")
+
+
+LATEST_SQL = "seen AS (SELECT board_id, job_id, max(run) AS run FROM listings GROUP BY 1, 2), latest AS (SELECT *, run = max(run) OVER (PARTITION BY board_id) AS listed FROM seen), sized AS (SELECT *, count(*) FILTER (WHERE listed) OVER (PARTITION BY board_id) >= 12 AS cut FROM latest)"
+
+
 @add(
     "g07_deactivate_missing",
-    "SELECT id, CASE WHEN source = '1-URGENT' THEN missed_runs WHEN id % 3 = 0 THEN missed_runs + 1 ELSE 0 END AS missed_runs, CASE WHEN source = '1-URGENT' THEN is_active WHEN id % 3 = 0 THEN is_active AND missed_runs + 1 < 2 ELSE true END AS is_active FROM jobs",
+    f"+ {LATEST_SQL} SELECT s.board_id, id, CASE WHEN cut AND NOT listed THEN missed_runs WHEN listed THEN 0 ELSE missed_runs + 1 END AS missed_runs, CASE WHEN listed THEN true WHEN cut THEN is_active ELSE is_active AND missed_runs + 1 < 2 END AS is_active FROM jobs JOIN sized s ON id = job_id",
 )
 def g07(spark, d, grace=2):
-    """A listing that was cut short (here: one source) retires nothing."""
-    cut, missing = F.col("source") == "1-URGENT", F.col("id") % 3 == 0
-    missed = F.when(cut, F.col("missed_runs")).when(missing, F.col("missed_runs") + 1).otherwise(0)
-    active = F.when(cut, F.col("is_active")).when(missing, F.col("is_active") & (F.col("missed_runs") + 1 < grace)).otherwise(True)
-    return jobs(spark, d).select("id", missed.alias("missed_runs"), active.alias("is_active"))
+    """A posting that its board's latest run lists is active; else it has missed one more run. A listing that was cut short retires nothing."""
+    df = jobs(spark, d).join(latest_run(spark, d).withColumnRenamed("job_id", "id"), "id")
+    listed, cut = F.col("listed"), F.col("cut")
+    missed = F.when(listed, 0).when(cut, F.col("missed_runs")).otherwise(F.col("missed_runs") + 1)
+    active = F.when(listed, True).when(cut, F.col("is_active")).otherwise(F.col("is_active") & (F.col("missed_runs") + 1 < grace))
+    return df.select("board_id", "id", missed.alias("missed_runs"), active.alias("is_active"))
+
+
+COUNT_SQL = "o AS (SELECT b.*, coalesce(n, 0) AS n FROM boards b LEFT JOIN (SELECT board_id, count(DISTINCT job_id) AS n FROM listings WHERE run = (SELECT max(run) FROM listings) GROUP BY 1) USING (board_id))"
+
+
+def outcomes(spark, d):
+    """Boards with the number of postings that the latest run of all found there."""
+    run = listings(spark, d)
+    last = run.agg(F.max("run").alias("run"))
+    found = run.join(F.broadcast(last), "run").groupBy("board_id").agg(F.count_distinct("job_id").alias("n"))
+    return boards(spark, d).join(found, "board_id", "left").fillna(0, ["n"])
 
 
 @add(
     "g08_board_outcome",
-    "SELECT board_id, CASE WHEN tier = 'feed' THEN TIMESTAMP '2001-08-03' WHEN tier = 'warm' THEN TIMESTAMP '2001-08-09' ELSE TIMESTAMP '2001-09-01' END AS next_fetch_at, CASE WHEN status = 'candidate' THEN 'validated' ELSE status END AS status FROM boards",
+    f"+ {COUNT_SQL} SELECT board_id, n, CASE WHEN n > 0 THEN 'validated' ELSE 'empty' END AS status, CASE WHEN n > 0 THEN 'warm' ELSE 'cold' END AS tier, CASE WHEN n = 0 THEN TIMESTAMP '2001-09-01' WHEN provider = 'feed' THEN TIMESTAMP '2001-08-03' ELSE TIMESTAMP '2001-08-09' END AS next_fetch_at FROM o",
 )
 def g08(spark, d):
-    wait = F.when(F.col("tier") == "feed", 1).when(F.col("tier") == "warm", 7).otherwise(30)
-    return boards(spark, d).select("board_id", (now() + F.make_dt_interval(wait)).alias("next_fetch_at"), F.when(F.col("status") == "candidate", "validated").otherwise(F.col("status")).alias("status"))
+    """After a good fetch: postings make a board validated and warm (again in a week, a feed in a day), none make it empty and cold (in thirty days)."""
+    some = F.col("n") > 0
+    wait = F.when(~some, 30).when(F.col("provider") == "feed", 1).otherwise(7)
+    return outcomes(spark, d).select("board_id", "n", F.when(some, "validated").otherwise("empty").alias("status"), F.when(some, "warm").otherwise("cold").alias("tier"), (now() + F.make_dt_interval(wait)).alias("next_fetch_at"))
 
 
-@add("g09_failure_ageing", "SELECT board_id, errors + 1 AS errors, CASE WHEN status = 'candidate' OR errors + 1 >= 3 THEN 'dead' ELSE status END AS status FROM boards")
-def g09(spark, d):
-    errors = F.col("errors") + 1
-    return boards(spark, d).select("board_id", errors.alias("errors"), F.when((F.col("status") == "candidate") | (errors >= 3), "dead").otherwise(F.col("status")).alias("status"))
+@add(
+    "g09_failure_ageing",
+    f"+ {COUNT_SQL} SELECT board_id, CASE WHEN n = 0 THEN errors + 1 ELSE 0 END AS errors, n = 0 AND (status = 'candidate' OR errors + 1 >= 3) AS died, CASE WHEN n = 0 AND (status = 'candidate' OR errors + 1 >= 3) THEN 'dead' ELSE status END AS status, CASE WHEN n > 0 THEN next_fetch_at WHEN status = 'candidate' OR errors + 1 >= 3 THEN NULL ELSE TIMESTAMP '2001-08-03' END AS next_fetch_at FROM o",
+)
+def g09(spark, d, dead_at=3):
+    """A board that the latest run could not list ages: a candidate dies at once, others at the third failure in a row, else the next try is in a day."""
+    failed = F.col("n") == 0
+    errors = F.when(failed, F.col("errors") + 1).otherwise(0)
+    dies = failed & ((F.col("status") == "candidate") | (errors >= dead_at))
+    due = F.when(~failed, F.col("next_fetch_at")).when(~dies, now() + F.make_dt_interval(F.lit(1)))
+    return outcomes(spark, d).select("board_id", errors.alias("errors"), dies.alias("died"), F.when(dies, "dead").otherwise(F.col("status")).alias("status"), due.alias("next_fetch_at"))
 
 
 @add("g10_incremental", "SELECT id FROM jobs WHERE id NOT IN (SELECT job_id FROM scores WHERE job_id % 4 <> 1)")
@@ -283,11 +358,17 @@ def g11(spark, d):
     return df.agg(F.count("*").alias("read"), F.count_if(~valid).alias("invalid"), F.count_if(valid & F.col("known").isNull()).alias("unknown"), F.count_if(valid & F.col("known").isNotNull()).alias("written"))
 
 
-@add("g12_gate_writeback", f"+ {POSTINGS_SQL} SELECT id, array_to_string(CASE WHEN id % 5 = 0 THEN list_append(codes, 'auth_required') ELSE codes END, ',') AS codes, len(codes) = 0 AND id % 5 <> 0 AS passed FROM (SELECT id, {CODES_SQL} AS codes FROM postings)")
+GATE_SQL = f"g AS (SELECT p.*, {CODES_SQL} AS codes, CASE WHEN doc_id IS NULL OR doc_id % 8 = 5 THEN NULL WHEN {listed(CODES)}[doc_id % 8 + 1] NOT IN ('', 'DE', 'FR') THEN 'auth_required' WHEN doc_id % 8 = 4 AND place NOT IN ('', 'DE', 'FR') THEN 'no_sponsorship' END AS late FROM postings p LEFT JOIN (SELECT doc_id FROM documents) ON doc_id = id)"
+
+
+@add("g12_gate_writeback", f"+ {POSTINGS_SQL}, {GATE_SQL} SELECT id, array_to_string(CASE WHEN late IS NULL OR list_contains(codes, late) THEN codes ELSE list_append(codes, late) END, ',') AS codes, len(codes) = 0 AND late IS NULL AS passed FROM g")
 def g12(spark, d):
-    failed = F.col("id") % 5 == 0
-    codes = F.when(failed, F.array_append("verdict.codes", F.lit("auth_required"))).otherwise(F.col("verdict.codes"))
-    return verdicts(spark, d).select("id", F.array_join(codes, ",").alias("codes"), (F.col("verdict.passed") & ~failed).alias("passed"))
+    """What the reader of a posting's text found on authorisation can fail a posting that had passed; its code joins the others."""
+    read = told(spark, d).select(F.col("doc_id").alias("id"), required_codes(F.col("text")).alias("required"), sponsorship(F.col("text")).alias("sponsorship"))
+    df = verdicts(spark, d).join(read, "id", "left")
+    late = decision(F.coalesce("required", F.array().cast("array<string>")), F.col("sponsorship"), F.nullif("place", F.lit("")), ("DE", "FR"), True)
+    codes = F.when(late.isNull() | F.array_contains("verdict.codes", late), F.col("verdict.codes")).otherwise(F.array_append("verdict.codes", late))
+    return df.select("id", F.array_join(codes, ",").alias("codes"), (F.col("verdict.passed") & late.isNull()).alias("passed"))
 
 
 @add("g13_red_flags", f"+ {POSTINGS_SQL} SELECT id, array_to_string(list_slice(codes, 1, 3), '; ') AS flags FROM (SELECT id, {CODES_SQL} AS codes FROM postings)")
@@ -325,17 +406,30 @@ def g14b(spark, d):
     return candidates(spark, d).where(F.col("llm_score") < F.col("bar")).orderBy(F.desc("rank_key"), F.desc("id")).limit(6).select(F.col("id").alias("job_id"), "market", F.col("llm_score").alias("score"))
 
 
-#: Which states an application may go to from each. Fixed values of this library.
-TRANSITIONS = {"interested": ("applied", "skipped"), "applied": ("screening", "rejected", "ghosted", "withdrawn"), "screening": ("interview", "rejected", "withdrawn"), "interview": ("offer", "rejected", "withdrawn"), "ghosted": ("screening", "rejected")}
+#: Which states an application may go to from each. Fixed values.
+TRANSITIONS = {
+    "new": ("surfaced", "interested", "tailored", "applied", "skipped"),
+    "surfaced": ("interested", "tailored", "applied", "skipped"),
+    "interested": ("tailored", "applied", "skipped"),
+    "tailored": ("applied", "skipped", "interested"),
+    "applied": ("screening", "interview", "rejected", "ghosted", "offer"),
+    "screening": ("interview", "rejected", "ghosted", "offer"),
+    "interview": ("offer", "rejected", "ghosted"),
+    "offer": ("rejected",),
+    "rejected": (),
+    "ghosted": ("screening", "interview", "rejected"),
+    "skipped": (),
+}
 EDGE_SQL = "[" + ",".join(f"'{a}>{b}'" for a, bs in TRANSITIONS.items() for b in bs) + "]"
+STATES = tuple(TRANSITIONS)
 
 
-@add("g15_state_machine", f"+ e AS (SELECT job_id, status, lag(status) OVER (ORDER BY job_id) AS before FROM applications WHERE job_id % 22 = 0) SELECT a.job_id, a.status, b.status AS next, list_contains({EDGE_SQL}, a.status || '>' || b.status) AS allowed FROM applications a JOIN applications b ON b.job_id = a.job_id + 11")
+@add("g15_state_machine", f"SELECT id, before, after, list_contains({EDGE_SQL}, before || '>' || after) AS allowed FROM (SELECT id, {quoted(STATES)}[id % 11 + 1] AS before, {quoted(STATES)}[id // 11 % 11 + 1] AS after FROM jobs)")
 def g15(spark, d):
+    """Every posting asks for one of the 121 steps between the eleven states."""
     steps = F.array(*[F.lit(f"{a}>{b}") for a, bs in TRANSITIONS.items() for b in bs])
-    a = applications(spark, d).select("job_id", "status")
-    b = a.select((F.col("job_id") - 11).alias("job_id"), F.col("status").alias("next"))
-    return a.join(b, "job_id").select("job_id", "status", "next", F.array_contains(steps, F.concat("status", F.lit(">"), "next")).alias("allowed"))
+    df = jobs(spark, d).select("id", pick(F.col("id"), STATES).alias("before"), pick(F.floor(F.col("id") / len(STATES)), STATES).alias("after"))
+    return df.withColumn("allowed", F.array_contains(steps, F.concat("before", F.lit(">"), "after")))
 
 
 @add("g16_ghosted", "SELECT job_id, CASE WHEN status = 'applied' AND applied_at < TIMESTAMP '2001-07-03' THEN 'ghosted' ELSE status END AS status FROM applications")
@@ -477,3 +571,142 @@ def t26(spark, d):
 def t28(spark, d):
     df = table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
     return df.select("page_id", F.when(T.completeness(F.col("body")) == "full", F.md5("body")).alias("filled"))
+
+
+# preferences compiled to rules
+
+PREFS = P.updated(
+    P.Preferences(),
+    {"titles": "hot rod, Red Plate", "locations": "Germany, Benelux, US", "experience": "mid+", "experience_max": "staff", "min_salary": "60k", "currency": "eur", "max_age_days": "3000", "work_authorization": "germany", "sponsorship_required": "yes"},
+)
+COMPILED = P.compiled(PREFS, ("global_remote", "tr_local"))
+
+
+@add(
+    "r16_compiled_rules",
+    f"+ {POSTINGS_SQL} SELECT id, array_to_string(list_filter([CASE WHEN days > 3000 THEN 'age' END, CASE WHEN NOT regexp_matches(coalesce(title, ''), '(?i)(^|[^a-z0-9_])(hot rod|red plate)') THEN 'title_unmatched' END, CASE WHEN place <> '' AND place NOT IN ('DE', 'NL', 'BE', 'LU', 'US') AND NOT worldwide THEN 'field_mismatch' END,"
+    f" CASE WHEN level IN ('intern', 'junior') THEN 'seniority_low' END, CASE WHEN {TOP_SQL} < 60000 THEN 'salary_below' END], lambda x: x IS NOT NULL), ',') AS codes FROM postings",
+)
+def r16(spark, d):
+    """Postings judged by rules that were compiled from what a reader typed."""
+    c, rules = F.col, P.rules_for(COMPILED, "global_remote", rates=RULES.rates)
+    found = [*R.age(c("days"), rules), *R.title_unmatched(c("title"), rules), *R.field_mismatch({"country": c("place")}, rules, c("location")), *R.seniority(c("level"), rules), *R.salary(c("salary_max"), c("salary_period"), c("salary_currency"), rules)]
+    return R.judged(postings(spark, d), found).select("id", F.array_join("verdict.codes", ",").alias("codes"))
+
+
+@add("r15_fingerprint", "SELECT p_partkey, true AS same_with_other_rates, p_size = 30 AS same_with_other_age FROM part")
+def r15(spark, d):
+    """The mark of the rules changes with an age limit (here: each part's size) and not with exchange rates."""
+    ages = sorted(r[0] for r in table(spark, d, "part").select("p_size").distinct().collect())
+    own = P.rules_for(COMPILED | {"global": COMPILED["global"] | {"max_age_days": 30}}, "global_remote")
+    mark = R.fingerprint(own)
+    marks = {a: R.fingerprint(R.Rules(**{**vars(own), "max_age_days": a, "rates": {"USD": float(a)}})) == mark for a in ages}
+    free = all(R.fingerprint(R.Rules(**{**vars(own), "rates": {"USD": float(a)}})) == mark for a in ages)
+    return table(spark, d, "part").select("p_partkey", F.lit(free).alias("same_with_other_rates"), literal_map(marks)[F.col("p_size")].alias("same_with_other_age"))
+
+
+TITLE_CASES = ("Backend Intern", "International Tax Lead", "Software Engineering Manager", "Hot-rod Internship", "intern, rod shop", "Shot rod seller")
+TYPED = P.Preferences(titles=["Software Engineer", "hot rod"], experience_max="mid")
+
+
+@add("r17_title_pattern", "SELECT id, regexp_matches(t, '(?i)(^|[^a-z0-9_])(software engineer|hot rod)') AS hit FROM (SELECT id, title || ' / ' || " + quoted(TITLE_CASES) + "[id % 6 + 1] AS t FROM titles)")
+def r17(spark, d):
+    """Titles as typed, whatever their case; not inside a longer word at the left, open at the right."""
+    text = F.concat_ws(" / ", "title", pick(F.col("id"), TITLE_CASES))
+    return titles(spark, d).select("id", text.rlike("(?i)" + P.title_pattern(TYPED.titles)).alias("hit"))
+
+
+@add(
+    "r18_level_titles",
+    "SELECT id, regexp_matches(t, '(?i)(^|[^a-z0-9_])(software engineer|hot rod)') OR (regexp_matches(t, '(?i)(^|[^a-z0-9_])(intern|interns|internship|internships|working student|werkstudent|trainee|stajyer|junior|graduate|grad|new grad|entry level|entry-level)($|[^a-z0-9_])') AND regexp_matches(t, '(?i)(^|[^a-z0-9_])(software|hot|rod)($|[^a-z0-9_])')) AS hit FROM (SELECT id, "
+    + quoted(TITLE_CASES) + "[id % 6 + 1] AS t FROM titles)",
+)
+def r18(spark, d):
+    """Also postings of the lowest levels that name the level and a telling word of the titles."""
+    t = pick(F.col("id"), TITLE_CASES)
+    hit = F.lit(False)
+    for parts in P.title_patterns(TYPED):
+        found = F.lit(True)
+        for p in parts:
+            found = found & t.rlike(f"(?i){p}")
+        hit = hit | found
+    return titles(spark, d).select("id", hit.alias("hit"))
+
+
+WANTED = ("Germany", "benelux", "US", "worldwide")
+
+
+@add("r19_read_settings", f"SELECT r_regionkey, r_regionkey * 1000.0::DOUBLE AS min_salary, {quoted(WANTED)}[r_regionkey % 4 + 1] AS location, r_regionkey % 2 = 1 AS refused FROM region")
+def r19(spark, d):
+    """Settings read for each region: an amount such as "$12k", a place by name; a level that there is none of is refused."""
+    out = []
+    for (k,) in table(spark, d, "region").select("r_regionkey").collect():
+        typed = {"min_salary": f"${k}k", "locations": WANTED[k % 4]}
+        try:
+            P.updated(P.Preferences(), typed | {"experience": "wizard" if k % 2 else "Senior+"})
+            refused = False
+        except P.PreferenceError:
+            refused = True
+        prefs = P.updated(P.Preferences(), typed)
+        out.append((k, prefs.min_salary, prefs.locations[0], refused))
+    return spark.createDataFrame(out, "r_regionkey int, min_salary double, location string, refused boolean")
+
+
+@add("r20_merged_document", "SELECT n_nationkey, n_name AS hand_written, true AS read_back FROM nation")
+def r20(spark, d):
+    """Preferences saved into documents that hold other keys: those stay, and what was saved is read back."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()
+    out = []
+    for k, name in rows:
+        prefs = P.updated(PREFS, {"max_age_days": str(k + 1)})
+        document = json.loads(P.to_text(P.merged({"profiles": {"yc": {"prompt": name, "seniority_min": "lead"}}, "global": {"note": name}}, prefs)))
+        out.append((k, document["profiles"]["yc"]["prompt"] if document["global"]["note"] == name else None, P.from_document(document) == prefs))
+    return spark.createDataFrame(out, "n_nationkey int, hand_written string, read_back boolean")
+
+
+# extraction from pages
+
+
+def sent_pages(spark, d):
+    """Pages with structured data put before them: whole, broken (a comma too many), nested, of another type, or none."""
+    k = F.col("page_id")
+    body = F.concat(F.lit("<p>"), F.repeat(F.lit("You will build things with us. "), (k % 30).cast("int")), F.lit("</p>"))
+    address = F.struct(F.lit("Germany").alias("addressCountry"), F.lit("Berlin").alias("addressLocality"))
+    pay = F.struct(F.lit("EUR").alias("currency"), F.struct((k * 10).alias("minValue"), (k * 20).alias("maxValue"), F.lit("YEAR").alias("unitText")).alias("value"))
+    node = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.concat(F.lit("Job "), k).alias("title"), body.alias("description"), F.struct(F.lit("Acme").alias("name"), F.lit("https://www.acme.dev/x").alias("sameAs")).alias("hiringOrganization"), F.struct(address.alias("address")).alias("jobLocation"), pay.alias("baseSalary"), F.array(F.lit("FULL_TIME")).alias("employmentType")))
+    df = table(spark, d, "pages").select("page_id", "html", node.alias("n"))
+    data = F.when(k % 5 == 0, F.col("n")).when(k % 5 == 1, F.concat(F.expr("left(n, length(n) - 1)"), F.lit(", }"))).when(k % 5 == 2, F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, {"mainEntity": '), "n", F.lit("}]}"))).when(k % 5 == 3, F.replace("n", F.lit("JobPosting"), F.lit("Recipe")))
+    script = F.when(data.isNotNull(), F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>"))).otherwise("")
+    return df.select("page_id", F.concat(script, F.lit("<nav>Home</nav><article><h1>Page</h1>"), F.repeat(F.lit("<p>We are looking for people who do good work here.</p>"), (k % 13).cast("int")), F.lit("</article><footer>End</footer>")).alias("html"))
+
+
+@add("t23_structured_data", "SELECT page_id, CASE WHEN page_id % 5 < 3 THEN 'Job ' || page_id END AS title FROM pages")
+def t23(spark, d):
+    """The first JobPosting of a page: at the top, after one repair, or nested; other types are none."""
+    return sent_pages(spark, d).select("page_id", F.get_json_object(job_posting(F.col("html")), "$.title").alias("title"))
+
+
+@add("t24_posting_fields", "SELECT page_id, 'Acme' AS company, 'acme.dev' AS company_domain, 'DE' AS country, 'Berlin' AS city, 'FULL_TIME' AS employment_type, (page_id * 10) || '-' || (page_id * 20) || ' EUR YEAR' AS salary_text FROM pages WHERE page_id % 5 < 3")
+def t24(spark, d):
+    df = X.with_posting(sent_pages(spark, d)).where("posting is not null")
+    return df.select("page_id", *(f"posting.{c}" for c in ("company", "company_domain", "country", "city", "employment_type", "salary_text")))
+
+
+MAIN_SQL = "'Page' || repeat(chr(10) || chr(10) || 'We are looking for people who do good work here.', CAST(page_id % 13 AS INTEGER))"
+
+
+@add("t25_main_block", f"SELECT page_id, md5({MAIN_SQL}) AS hash FROM pages")
+def t25(spark, d):
+    """The article of a page, its navigation and footer left out."""
+    return sent_pages(spark, d).select("page_id", F.md5(T.html_to_text(main_block(F.col("html")))).alias("hash"))
+
+
+@add(
+    "t27_extraction_ladder",
+    "+ l AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 1 ELSE 0 END AS api, CASE WHEN page_id % 5 < 3 AND page_id % 30 * 31 - 1 >= 400 THEN 1 ELSE 0 END AS jsonld, CASE WHEN 4 + page_id % 13 * 50 >= 400 THEN 1 ELSE 0 END AS block FROM pages) SELECT page_id, CASE WHEN page_id % 50 = 7 THEN 'manual_paste' WHEN api = 1 THEN 'api' WHEN jsonld = 1 THEN 'jsonld' WHEN block = 1 THEN 'readability' END AS rung FROM l",
+)
+def t27(spark, d):
+    """Every tenth posting has a full text from its listing, the others a stub; every fiftieth or so was pasted by hand."""
+    k = F.col("page_id")
+    df = sent_pages(spark, d).withColumns({"description_text": F.when(k % 10 == 0, F.repeat(F.lit("You will do good work with all of us here. "), 12)).otherwise("stub"), "pasted": F.when(k % 50 == 7, "Pasted text.")})
+    return X.filled(df).select("page_id", "rung")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from postflow.operators.storage import saved
 from postflow.queries.registry import Family
 from postflow.sources.bindings import applications, boards, companies, jobs, listings, now, scores, table, titles
 
@@ -311,7 +312,7 @@ def j15(spark, d):
     return df.groupBy("title", "company_id").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")
 
 
-@add("j16_verdicts_batch", "SELECT l.doc_id, quality, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.n_chars < 2000")
+@add("j16_verdicts_batch", "SELECT l.doc_id, quality, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")
 def j16(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     return table(spark, d, "labels").join(docs, "doc_id", "left").select("doc_id", "quality", "source")
@@ -342,7 +343,7 @@ def j19(spark, d):
     return registry.join(active, "source", "left").join(latest, "source", "left").select("source", F.coalesce("active", F.lit(0)).alias("active"), "latest")
 
 
-@add("j20_contacts_of_job", "SELECT job_id, token, provider FROM listings JOIN boards USING (board_id) WHERE job_id % 100 = 7")
+@add("j20_contacts_of_job", "SELECT job_id, token, provider FROM listings JOIN boards USING (board_id)")
 def j20(spark, d):
     return listings(spark, d).join(boards(spark, d), "board_id").select("job_id", "token", "provider")
 
@@ -393,13 +394,20 @@ def l05(spark, d):
     "SELECT id, row_number() OVER (PARTITION BY market ORDER BY applied, llm_score DESC NULLS LAST, id DESC) AS place FROM (SELECT id, market, llm_score, id % 11 = 0 AS applied FROM jobs JOIN scores ON id = job_id AND profile = market)",
 )
 def l06(spark, d):
-    order = Window.partitionBy("market").orderBy(F.col("id") % 11 == 0, F.desc_nulls_last("llm_score"), F.desc("id"))
-    return scored(spark, d).select("id", F.row_number().over(order).cast("bigint").alias("place"))
+    """Places inside a market. Rows are dealt by range; a row's place is its place in its range and the rows of the market's earlier ranges, so no task sorts a market."""
+    rows = scored(spark, d).select("id", "market", (F.col("id") % 11 == 0).alias("applied"), (-F.coalesce("llm_score", F.lit(-1.0))).alias("score"), (-F.col("id")).alias("number"))
+    order = ["market", "applied", "score", "number"]
+    dealt = saved(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    counts = dealt.groupBy("market", "part").agg(F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("market").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("market", "part").orderBy(*order[1:]))
+    placed = dealt.withColumn("own", own).join(saved(counts.select("market", "part", earlier.alias("base"))), ["market", "part"])
+    return placed.select("id", (F.col("base") + F.col("own")).cast("bigint").alias("place"))
 
 
 @add(
     "l07_contact_ranking",
-    "SELECT conv_id, turn FROM conversations WHERE conv_id % 10 = 3 ORDER BY contains(lower(text), 'the') DESC, role = 'user' DESC, conv_id, turn LIMIT 40",
+    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY contains(lower(text), 'the') DESC, role = 'user' DESC, turn) AS rank FROM conversations",
 )
 def l07(spark, d):
     """Ranks within each conversation; nobody is dropped."""
@@ -407,7 +415,7 @@ def l07(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(order).cast("bigint").alias("rank")).orderBy("conv_id", "rank")
 
 
-@add("l08_suggestions", "SELECT title, count(*) AS n FROM titles GROUP BY 1 ORDER BY n DESC, title LIMIT 10")
+@add("l08_suggestions", "SELECT title, count(*) AS n FROM titles GROUP BY 1")
 def l08(spark, d):
     return titles(spark, d).groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title")
 
@@ -482,7 +490,7 @@ def o06(spark, d):
     return jobs(spark, d).groupBy("company_id").agg((F.size(F.array_except(F.collect_set("market"), F.array(F.lit("F"), F.lit("O")))) == 0).alias("contained"))
 
 
-@add("o07_concatenation", "SELECT id, 'active' AS budget FROM jobs WHERE is_active AND id % 100 < 5 UNION ALL SELECT id, 'market F' FROM jobs WHERE market = 'F' AND id % 100 < 5")
+@add("o07_concatenation", "SELECT id, 'active' AS budget FROM jobs WHERE is_active UNION ALL SELECT id, 'market F' FROM jobs WHERE market = 'F'")
 def o07(spark, d):
     df = jobs(spark, d)
     return df.where("is_active").select("id", F.lit("active").alias("budget")).unionByName(df.where("market = 'F'").select("id", F.lit("market F").alias("budget")))

@@ -15,7 +15,7 @@ QUERIES, ORACLE, add = family.QUERIES, family.ORACLE, family.add
 #: What is put after titles and companies' names, or stands for places, ages and pay, by a row's key: the tables' own words match few of
 #: the patterns. Fixed values of the bindings.
 TITLE_TAILS = ("Senior Backend Engineer (Remote)", "Staff Machine Learning Engineer", "Junior Data Analyst", "Head of Platform", "Product Manager, Hybrid", "Front-end Developer - Remote", "Founding Engineer", "DevOps Intern", "Full-Stack Developer", "Sr. Data Scientist (m/f/d)", "Clerk")
-NAME_TAILS = ("Inc.", "Labs Ltd", "GmbH & Co", "Holding Company", "Group", "Söğüt A.S", "")
+NAME_TAILS = ("Inc.", "Labs Ltd", "GmbH & Co", "Holding Company", "Group", "Söğüt A.S", "株式会社テスト", "Яндекс ООО", "Škoda a.s.", "")
 PLACES = ("Berlin, Germany (Hybrid)", "Remote (United States)", "Istanbul", "Austin, TX", "Remote - California", "London / Paris, France", "Anywhere", "Toronto, Canada", "US Remote National", "Saint-Denis", "Worldwide", "")
 PAY = ("$120k - 150k", "80,000 EUR", "€70k", "from 500", "£45,500.50 - £60k", "competitive")
 KINDS = ("FullTime", "Part-time", "Contractor", "Internship, full time", "seasonal", "other")
@@ -37,7 +37,7 @@ SUFFIX = "|".join(text.LEGAL_SUFFIXES)
 
 @add(
     "n01_company_name",
-    f"+ b AS (SELECT company_id, trim(regexp_replace(regexp_replace(translate(lower(name || ' ' || {quoted(NAME_TAILS)}[company_id % 7 + 1]), '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS bare FROM companies) SELECT company_id, CASE WHEN regexp_replace(bare, '(^|\\s)({SUFFIX})(\\s({SUFFIX}))*$', '') = '' THEN bare ELSE regexp_replace(bare, '(^|\\s)({SUFFIX})(\\s({SUFFIX}))*$', '') END AS name FROM b",
+    f"+ b AS (SELECT company_id, trim(regexp_replace(regexp_replace(strip_accents(lower(name || ' ' || {quoted(NAME_TAILS)}[company_id % {len(NAME_TAILS)} + 1])), '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS bare FROM companies) SELECT company_id, CASE WHEN regexp_replace(bare, '(^|\\s)({SUFFIX})(\\s({SUFFIX}))*$', '') = '' THEN bare ELSE regexp_replace(bare, '(^|\\s)({SUFFIX})(\\s({SUFFIX}))*$', '') END AS name FROM b",
 )
 def n01(spark, d):
     return companies(spark, d).select("company_id", text.normalize_company_name(F.concat_ws(" ", "name", pick(F.col("company_id"), NAME_TAILS))).alias("name"))
@@ -87,9 +87,14 @@ SIMHASH_SQL = f"""w AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents), s AS (
     simhash AS MATERIALIZED (SELECT doc_id, CAST({WORD('hi')} AS BIGINT) AS hi, CAST({WORD('lo')} AS BIGINT) AS lo FROM v)"""
 
 
+def hashes(spark, d):
+    df = table(spark, d, "documents").select("doc_id", text.simhash_md5(F.col("text")).alias("h"))
+    return df.where("h is not null").select("doc_id", "h.hi", "h.lo")
+
+
 @add("n07_simhash", f"+ {SIMHASH_SQL} SELECT * FROM simhash")
 def n07(spark, d):
-    return text.simhash(table(spark, d, "documents"), "doc_id", "text")
+    return hashes(spark, d)
 
 
 @add("n07_simhash_blake2b")
@@ -99,7 +104,7 @@ def n07b(spark, d):
 
 @add("n08_hamming", f"+ {SIMHASH_SQL} SELECT a.doc_id, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS distance FROM simhash a JOIN simhash b ON b.doc_id = a.doc_id + 1")
 def n08(spark, d):
-    a = text.simhash(table(spark, d, "documents"), "doc_id", "text")
+    a = hashes(spark, d)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"))
     return a.join(b, "doc_id").select("doc_id", text.hamming(F.col("hi"), F.col("lo"), F.col("hi_b"), F.col("lo_b")).cast("bigint").alias("distance"))
 
@@ -138,12 +143,14 @@ def n12(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-@add("n13_unescape", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html ELSE replace(replace(h, '<', '&lt;'), '>', '&gt;') END = h AS same, length(h) AS n FROM (SELECT page_id, html, html AS h FROM pages)")
+@add("n13_unescape", "SELECT page_id, md5(html) AS hash FROM pages")
 def n13(spark, d):
-    escaped = F.replace(F.replace("html", F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    df = table(spark, d, "pages").withColumn("sent", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(escaped))
-    back = F.replace(F.replace(text.unescape_if_escaped(F.col("sent")), F.lit("<"), F.lit("<")), F.lit(">"), F.lit(">"))
-    return df.select("page_id", (F.col("sent") == F.col("html")).alias("same"), F.when(F.length(back) > 0, F.length("html")).cast("bigint").alias("n"))
+    """Every third page arrives escaped (ampersands first, as a feed sends it) and is unescaped once; a page with tags of its own is left alone."""
+    escaped = F.col("html")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(entity))
+    sent = F.when((F.col("page_id") % 3 == 0) & F.col("html").contains("<"), escaped).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.unescape_if_escaped(sent)).alias("hash"))
 
 
 @add("n14_employment", f"SELECT id, {case_sql(quoted(KINDS) + '[id % 6 + 1]', text.EMPLOYMENT)} AS employment FROM jobs")
@@ -212,16 +219,21 @@ def n23(spark, d):
     return jobs(spark, d).select("id", text.parsed_number(pick(F.col("id"), NUMBERS)).alias("amount"))
 
 
-@add("n24_says_closed", f"SELECT page_id, page_id % 9 = 0 AS closed FROM pages")
+NOTICES = tuple(p[:1].upper() + p[1:] for p in text.CLOSED) + ("The office is no longer open on Sundays.", "This job has closed its books.", "")
+
+
+@add("n24_says_closed", f"SELECT page_id, page_id % 13 < 10 OR regexp_matches(lower(regexp_replace(html, '<[^>]*>', ' ', 'g')), '{'|'.join(text.CLOSED)}') AS closed FROM pages")
 def n24(spark, d):
-    """Every ninth page is given a closing notice."""
-    body = F.concat(text.html_to_text(F.col("html")), F.when(F.col("page_id") % 9 == 0, " This job has closed.").otherwise(""))
+    """Each page ends in one of the ten closing phrases, or in a phrase that is none."""
+    body = F.concat_ws(" ", text.html_to_text(F.col("html")), pick(F.col("page_id"), NOTICES))
     return table(spark, d, "pages").select("page_id", text.says_closed(body).alias("closed"))
 
 
-@add("n25_call_to_action", "SELECT page_id, contains(html, '<footer') AND NOT contains(html, 'apply-button') AS closed FROM pages")
+@add("n25_call_to_action", f"SELECT page_id, NOT contains(html, 'apply-button') AND (contains(html, '<footer') OR page_id % 13 < 10) AS closed FROM pages")
 def n25(spark, d):
-    return table(spark, d, "pages").select("page_id", (F.col("html").contains("<footer") & ~F.col("html").contains("apply-button")).alias("closed"))
+    """Closed: a page without a way to apply that is whole (its footer came) or says so."""
+    body = F.concat_ws(" ", text.html_to_text(F.col("html")), pick(F.col("page_id"), NOTICES))
+    return table(spark, d, "pages").select("page_id", text.lost_call_to_action(F.col("html"), body, "apply-button", "<footer").alias("closed"))
 
 
 @add("n26_left_posting", "SELECT page_id, regexp_extract(u, '[?&]error=([^&#]*)', 1) = 'true' OR NOT contains(u, CAST(page_id AS VARCHAR)) AS gone FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN url || '?error=true' ELSE url END AS u FROM pages)")
@@ -230,15 +242,21 @@ def n26(spark, d):
     return table(spark, d, "pages").select("page_id", text.left_posting(url, F.col("page_id").cast("string")).alias("gone"))
 
 
+LINE_PLACES = ("Berlin, Germany", "We have been hiring people in Turkey since the year in which the first of our offices opened its doors", "", "Remote, India", "germany is a country")
+LINES_SQL = f"l AS (SELECT conv_id, turn, {quoted(LINE_PLACES)}[(conv_id + turn) % 5 + 1] || CASE WHEN turn % 4 = 0 THEN '' ELSE chr(10) || text END AS text FROM conversations)"
+
+
 @add(
     "n27_candidate_place",
-    "+ l AS (SELECT conv_id, turn, text FROM conversations WHERE regexp_matches(lower(text), '(^|[^a-z])(de|la|the)([^a-z]|$)')) SELECT conv_id, arg_min(CASE WHEN length(text) <= 60 THEN text ELSE regexp_extract(lower(text), '(^|[^a-z])(de|la|the)([^a-z]|$)', 2) END, turn) AS place FROM l GROUP BY 1",
+    f"""+ {LINES_SQL}, s AS (SELECT conv_id, turn, i, string_split(text, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM l)),
+    n AS (SELECT *, regexp_extract(lower(line), '(^|[^a-z])(germany|india|turkey)([^a-z]|$)', 2) AS named FROM s)
+    SELECT conv_id, arg_min(CASE WHEN length(line) <= 60 THEN line ELSE named END, turn * 100000 + i) AS place FROM n WHERE named <> '' GROUP BY 1""",
 )
 def n27(spark, d):
-    """The first line that names a known place; a short line is kept as it is."""
-    named = r"(^|[^a-z])(de|la|the)([^a-z]|$)"
-    lines = table(spark, d, "conversations").where(F.lower("text").rlike(named))
-    return lines.groupBy("conv_id").agg(F.min_by(F.when(F.length("text") <= 60, F.col("text")).otherwise(F.regexp_extract(F.lower("text"), named, 2)), "turn").alias("place"))
+    """The first line of a conversation that names a country; a short line is kept as it is, of a long one the country."""
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.concat(pick(F.col("conv_id") + F.col("turn"), LINE_PLACES), F.when(F.col("turn") % 4 == 0, "").otherwise(F.concat(F.lit("\n"), "text"))).alias("text"))
+    found = lines.select("conv_id", "turn", text.candidate_place(F.col("text"), ("germany", "india", "turkey")).alias("place"))
+    return found.where("place is not null").groupBy("conv_id").agg(F.min_by("place", "turn").alias("place"))
 
 
 # places, times, money

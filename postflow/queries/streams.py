@@ -4,13 +4,72 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postflow.functions.urls import board_hits
+from postflow.queries.posting import BANK, HARVEST_SQL
 from postflow.queries.registry import Family
+from postflow.queries.summaries import RUNS_SQL, numbered
+from postflow.sources.bindings import table
 from postflow.streaming import events
 
 family = Family()
 QUERIES, ORACLE, add = family.QUERIES, family.ORACLE, family.add
 
 
+@add("ts1_harvest_passes", f"SELECT page_id, token, CASE WHEN page_id <= (SELECT max(page_id) FROM pages) // 2 THEN 1 ELSE 2 END AS pass FROM ({HARVEST_SQL}) WHERE token NOT IN ('', 'www', 'blog')")
+def ts1(spark, d):
+    """Pages harvested in two passes; the checkpoint is the watermark of what was read."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    found = events.in_passes(pages, "page_id", lambda df: df.select("page_id", F.explode(board_hits(F.col("url"), BANK, ())).alias("hit")).select("page_id", "hit.token"))
+    return found.select("page_id", "token", "pass")
+
+
+RUN_COUNT = 4
+
+
+def arriving(spark, d):
+    """Four runs: each lists the line items of a supplier but for every fourth order; in run 2 every seventh supplier's listing is cut short."""
+    k = F.col("l_orderkey")
+    items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("board"), k.alias("item")).distinct()
+    spread = items.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUN_COUNT - 1)))).where((F.col("item") % 4 != F.col("run")) & ((F.col("item") % 5 != 0) | (F.col("run") < 2)))
+    cut = (F.col("run") == 2) & (F.col("board") % 7 == 0)
+    return spread.groupBy(F.col("run").cast("bigint").alias("run"), "board").agg(F.collect_list("item").alias("items")).withColumn("truncated", cut)
+
+
+SYNC_SQL = f"""i AS (SELECT DISTINCT l_suppkey AS board, l_orderkey AS item FROM lineitem), n AS (SELECT CAST(unnest(range({RUN_COUNT})) AS BIGINT) AS run),
+    l AS (SELECT board, item, run FROM i, n WHERE item % 4 <> run AND (item % 5 <> 0 OR run < 2)), b AS (SELECT DISTINCT board, run, run = 2 AND board % 7 = 0 AS truncated FROM l),
+    f AS (SELECT board, item, min(run) AS first_run, max(run) AS last_run FROM l GROUP BY 1, 2),
+    m AS (SELECT f.*, count(*) FILTER (WHERE b.run > last_run AND NOT truncated) AS missed FROM f JOIN b USING (board) GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY f.board, f.item, f.first_run, f.last_run")
+
+
+@add("ts2_incremental_sync", f"+ {SYNC_SQL} SELECT board, item, first_run, last_run, missed, missed < 2 AS is_active FROM m")
+def ts2(spark, d):
+    return events.synced(arriving(spark, d))
+
+
+@add("ts13_truncated_listings", f"+ {SYNC_SQL} SELECT board, count(*) FILTER (WHERE missed >= 2) AS retired, count(*) AS stored FROM m WHERE board % 7 = 0 GROUP BY 1")
+def ts13(spark, d):
+    """Boards whose listing was once cut short: that run retires nothing."""
+    found = events.synced(arriving(spark, d)).where("board % 7 = 0")
+    return found.groupBy("board").agg(F.count_if(~F.col("is_active")).alias("retired"), F.count("*").alias("stored"))
+
+
+@add("ts3_missed_runs", f"+ {RUNS_SQL} SELECT board_id, job_id, run, coalesce(nth - lag(nth) OVER (PARTITION BY board_id, job_id ORDER BY nth) - 1, -1) AS missed FROM seen")
+def ts3(spark, d):
+    """How many runs a posting was missed for when its board lists it again; -1 for its first."""
+    seen = numbered(spark, d)
+    found = events.missed_runs(seen.select(F.col("board_id").alias("key"), F.col("job_id").alias("item"), F.col("nth").alias("at")))
+    runs = seen.select("run", F.col("nth").cast("bigint").alias("at")).distinct()
+    return found.join(F.broadcast(runs), "at").select(F.col("key").alias("board_id"), F.col("item").alias("job_id"), "run", "missed")
+
+
+@add("ts4_error_streaks", f"+ {RUNS_SQL}, good AS (SELECT board_id, nth FROM seen GROUP BY 1, 2 HAVING count(*) >= 5) SELECT board_id, nth, coalesce(nth - lag(nth) OVER (PARTITION BY board_id ORDER BY nth) - 1, -1) AS failed FROM good")
+def ts4(spark, d):
+    """Failed runs in a row before each good run of a board; -1 before its first."""
+    good = numbered(spark, d).groupBy("board_id", "nth").agg(F.count("*").alias("n")).where("n >= 5")
+    found = events.missed_runs(good.select(F.col("board_id").alias("key"), F.col("board_id").alias("item"), F.col("nth").alias("at")))
+    return found.select(F.col("key").alias("board_id"), F.col("at").alias("nth"), F.col("missed").alias("failed"))
+
+
 @add("ts5_daily_budgets", "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def ts5(spark, d):
     return events.daily_budgets(spark, d).withColumn("day", F.col("day").cast("timestamp_ntz"))
@@ -24,6 +83,23 @@ def ts6(spark, d):
     return events.weekly_caps(spark, d).withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
+@add(
+    "ts7_queue_outcomes",
+    "SELECT i.event_id, min(a.ts) AS released_at FROM events i LEFT JOIN events a ON a.event_type = 'purchase' AND a.user_id = i.user_id AND a.ts > i.ts AND a.ts <= i.ts + INTERVAL 3 DAY WHERE i.event_type = 'signup' GROUP BY 1",
+)
+def ts7(spark, d):
+    """Sign-ups wait for a purchase by the same user for three days."""
+    return events.queue_outcomes(spark, d, 3).withColumn("released_at", F.col("released_at").cast("timestamp_ntz"))
+
+
+@add("ts10_resume", "SELECT event_id, ts, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500) WHERE event_id > (SELECT max(event_id) FROM events) - 300")
+def ts10(spark, d, keep=500, behind=300):
+    """A reader resumes after the last event it saw; the log keeps the newest 500."""
+    log = table(spark, d, "events").orderBy(F.desc("event_id")).limit(keep)
+    last = log.agg((F.max("event_id") - behind).alias("last"))
+    return log.crossJoin(F.broadcast(last)).where(F.col("event_id") > F.col("last")).select("event_id", "ts", "event_type")
+
+
 @add(
     "ts11_sessions",
     """+ g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
@@ -33,6 +109,6 @@ def ts11(spark, d):
     return events.sessions(spark, d).withColumn("began", F.col("began").cast("timestamp_ntz"))
 
 
-@add("ts12_seen_keys", "SELECT DISTINCT user_id, event_type FROM events")
+@add("ts12_seen_keys", "SELECT event_id, user_id FROM events")
 def ts12(spark, d):
     return events.seen_keys(spark, d)

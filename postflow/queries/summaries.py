@@ -97,7 +97,7 @@ def a13(spark, d):
     return jobs(spark, d).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@add("a14_run_status", "SELECT provider, ['ok','degraded','failed'][max(errors) + 1] AS status FROM boards WHERE board_id % 5 < 2 GROUP BY 1")
+@add("a14_run_status", "SELECT provider, ['ok','degraded','failed'][max(errors) + 1] AS status FROM boards GROUP BY 1")
 def a14(spark, d):
     worst = F.element_at(F.array(F.lit("ok"), F.lit("degraded"), F.lit("failed")), F.max("errors") + 1)
     return boards(spark, d).groupBy("provider").agg(worst.alias("status"))
@@ -236,30 +236,44 @@ def w06(spark, d):
     return listings(spark, d).groupBy("job_id").agg(first).select("job_id", "x.board_id", "x.run")
 
 
-def runs_of(spark, d):
-    """For each board, the runs (months) in order and whether the board was listed well: a run with fewer than two postings is a miss."""
-    return listings(spark, d).groupBy("board_id", "run").agg(F.count_distinct("job_id").alias("n")).select("board_id", "run", (F.col("n") >= 8).alias("hit"))
+def numbered(spark, d):
+    """(board_id, job_id, run, nth): listings with the number of their run among all runs, whoever was listed in them."""
+    seen = listings(spark, d).distinct()
+    runs = seen.select("run").distinct().withColumn("nth", F.row_number().over(Window.orderBy("run")))
+    return seen.join(F.broadcast(runs), "run")
 
 
-RUNS_SQL = "runs AS (SELECT board_id, run, count(DISTINCT job_id) >= 8 AS hit FROM listings GROUP BY 1, 2)"
-ISLANDS_SQL = f"{RUNS_SQL}, isl AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY board_id ORDER BY run) AS island FROM runs), miss AS (SELECT *, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY board_id, island ORDER BY run) AS missed FROM isl)"
+RUNS_SQL = "runs AS (SELECT run, row_number() OVER (ORDER BY run) AS nth FROM (SELECT DISTINCT run FROM listings)), seen AS (SELECT DISTINCT board_id, job_id, run, nth FROM listings JOIN runs USING (run))"
 
 
-def misses(spark, d):
-    """Consecutive misses so far; a hit starts a new island."""
-    by = Window.partitionBy("board_id").orderBy("run")
-    df = runs_of(spark, d).withColumn("island", F.sum(F.when(F.col("hit"), 1).otherwise(0)).over(by))
-    return df.withColumn("missed", F.count_if(~F.col("hit")).over(Window.partitionBy("board_id", "island").orderBy("run")))
-
-
-@add("w07_missed_runs", f"+ {ISLANDS_SQL} SELECT board_id, run, missed, missed < 2 AS is_active FROM miss")
+@add(
+    "w07_missed_runs",
+    f"+ {RUNS_SQL}, g AS (SELECT *, coalesce(lead(nth) OVER w, (SELECT max(nth) FROM runs) + 1) - nth - 1 AS missed, lag(nth) OVER w AS before FROM seen WINDOW w AS (PARTITION BY board_id, job_id ORDER BY nth)) SELECT board_id, job_id, run, missed, missed < 2 AS stayed, coalesce(nth - before > 2, false) AS reposted FROM g",
+)
 def w07(spark, d, grace=2):
-    return misses(spark, d).select("board_id", "run", "missed", (F.col("missed") < grace).alias("is_active"))
+    """For each time that a board listed a posting: the runs in a row that missed it afterwards, whether it stayed active, and whether this listing brought it back."""
+    seen = numbered(spark, d)
+    by = Window.partitionBy("board_id", "job_id").orderBy("nth")
+    last = seen.agg(F.max("nth").alias("last"))
+    df = seen.crossJoin(F.broadcast(last)).withColumns({"missed": F.coalesce(F.lead("nth").over(by), F.col("last") + 1) - F.col("nth") - 1, "before": F.lag("nth").over(by)})
+    return df.select("board_id", "job_id", "run", F.col("missed").cast("bigint").alias("missed"), (F.col("missed") < grace).alias("stayed"), F.coalesce(F.col("nth") - F.col("before") > grace, F.lit(False)).alias("reposted"))
 
 
-@add("w08_error_streak", f"+ {ISLANDS_SQL} SELECT board_id, max(missed) AS worst, max(missed) >= 3 AS died FROM miss GROUP BY 1")
-def w08(spark, d, dead_at=3):
-    return misses(spark, d).groupBy("board_id").agg(F.max("missed").alias("worst"), (F.max("missed") >= dead_at).alias("died"))
+@add(
+    "w08_error_streak",
+    f"+ {RUNS_SQL}, good AS (SELECT board_id, nth FROM (SELECT board_id, nth, count(*) AS n FROM seen GROUP BY 1, 2) WHERE n >= 5), e AS (SELECT board_id, nth FROM good UNION ALL SELECT board_id, x FROM boards, (SELECT unnest([0, (SELECT max(nth) FROM runs) + 1]) AS x)),"
+    " g AS (SELECT board_id, lead(nth) OVER (PARTITION BY board_id ORDER BY nth) - nth - 1 AS streak FROM e), m AS (SELECT board_id, max(streak) AS worst FROM g GROUP BY 1) SELECT board_id, worst, worst >= CASE WHEN status = 'candidate' THEN 1 ELSE 3 END AS died FROM m JOIN boards USING (board_id)",
+)
+def w08(spark, d, dead_at=3, least=5):
+    """The longest row of failed runs of each board. A run fails that lists fewer than `least` postings there, or none at all; a candidate dies at the first."""
+    seen = numbered(spark, d)
+    good = seen.groupBy("board_id", "nth").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("board_id", "nth")
+    ends = boards(spark, d).select("board_id").crossJoin(F.broadcast(seen.agg((F.max("nth") + 1).alias("end")))).select("board_id", F.explode(F.array(F.lit(0), "end")).alias("nth"))
+    by = Window.partitionBy("board_id").orderBy("nth")
+    gaps = good.unionByName(ends).select("board_id", (F.lead("nth").over(by) - F.col("nth") - 1).cast("bigint").alias("streak"))
+    worst = gaps.groupBy("board_id").agg(F.max("streak").alias("worst"))
+    limit = F.when(F.col("status") == "candidate", 1).otherwise(dead_at)
+    return worst.join(boards(spark, d).select("board_id", "status"), "board_id").select("board_id", "worst", (F.col("worst") >= limit).alias("died"))
 
 
 @add(
