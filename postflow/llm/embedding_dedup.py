@@ -28,6 +28,7 @@ from postflow.operators.storage import saved
 from .components import components
 
 BLOCK = 1500
+STRIP = 256
 SAMPLE = 4096
 CHUNKS = (8, 16, 32, 64, 128, 256, 512)
 PREPARED = "vec_id bigint, label string, dim int, same binary, cell int, vector binary"
@@ -60,27 +61,34 @@ def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 
 def close_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) with cosine(x[i], y[j]) >= threshold."""
+    """Places (i, j) with cosine(x[i], y[j]) >= threshold, STRIP rows of x at a time."""
     nx, ny = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
     u, v = (x / nx[:, None]) @ axes, (y / ny[:, None]) @ axes
     dim, least = x.shape[1], threshold - 1e-9
     tail = lambda w, d: np.sqrt(np.einsum("ij,ij->i", w[:, d:], w[:, d:]))
-    cut = min(CHUNKS[0], dim)
-    i, j = np.nonzero(u[:, :cut] @ v[:, :cut].T + np.outer(tail(u, cut), tail(v, cut)) >= least)
-    total = np.einsum("ij,ij->i", u[i, :cut], v[j, :cut]) if len(i) < 200_000 else None
-    if total is None:
-        whole = u @ v.T
-        keep = whole[i, j] >= least
-        i, j = i[keep], j[keep]
-    else:
-        for upto in [c for c in CHUNKS[1:] if c < dim] + [dim]:
-            total = total + np.einsum("ij,ij->i", u[i, cut:upto], v[j, cut:upto])
-            cut = upto
-            keep = total + tail(u, cut)[i] * tail(v, cut)[j] >= least
+    cuts = [c for c in CHUNKS if c < dim] + [dim]
+    tails_u, tails_v = [tail(u, c) for c in cuts], [tail(v, c) for c in cuts]
+    found = []
+    for a in range(0, len(x), STRIP):
+        rows = slice(a, a + STRIP)
+        total = u[rows, : cuts[0]] @ v[:, : cuts[0]].T
+        i, j = np.nonzero(total + np.outer(tails_u[0][rows], tails_v[0]) >= least)
+        total, i = total[i, j], i + a
+        for k in range(1, len(cuts)):
+            if not len(i):
+                break
+            part = slice(cuts[k - 1], cuts[k])
+            if len(i) * 8 > len(u[rows]) * len(v):  # most pairs are still open: their next products as one matrix, else one by one
+                total = total + (u[rows, part] @ v[:, part].T)[i - a, j]
+            else:
+                total = total + np.einsum("ij,ij->i", u[i, part], v[j, part])
+            keep = total + tails_u[k][i] * tails_v[k][j] >= least
             i, j, total = i[keep], j[keep], total[keep]
-    sure = [np.einsum("ij,ij->i", x[i[k : k + 50_000]], y[j[k : k + 50_000]]) / (nx[i[k : k + 50_000]] * ny[j[k : k + 50_000]]) for k in range(0, len(i), 50_000)]
-    keep = np.concatenate(sure) >= threshold if sure else np.zeros(0, bool)
-    return i[keep], j[keep]
+        sure = [np.einsum("ij,ij->i", x[i[k : k + 50_000]], y[j[k : k + 50_000]]) / (nx[i[k : k + 50_000]] * ny[j[k : k + 50_000]]) for k in range(0, len(i), 50_000)]
+        keep = np.concatenate(sure) >= threshold if sure else np.zeros(0, bool)
+        found.append((i[keep], j[keep]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(i for i, _ in found)]), np.concatenate([none, *(j for _, j in found)])
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:

@@ -2,11 +2,12 @@
 
 Everything on the way of the rows is DataFrame functions. A rule fits its host and all subdomains if the path starts with the rule's;
 the longest rule wins. URLs that a rule judges are the labelled ones: the trees (pyspark.ml, fitted to `max_rows` of them at most, those
-whose hash is lowest) learn to tell blocked from allowed by length, depth, digit ratio, entropy, parameter counts and how often URLs
-with the same suffix are blocked. The fitted trees are written out as nested conditions, so that scoring needs no model object.
+whose hash is lowest) learn to tell blocked from allowed by length, depth, digit ratio, entropy, parameter counts and how often other
+URLs with the same suffix are blocked. The fitted trees are written out as nested conditions, so that scoring needs no model object.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule, and is scored like any other; if the rules label
-no URL, or all alike, the verdict where none fits is allow (or the one label); repeated URLs are judged alike; other columns are ignored.
+no URL, or all alike, the verdict where none fits is allow (or the one label); repeated URLs are judged alike; null page ids are kept; URLs of any length are read
+whole; ties of the sample's order go by page id; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postflow.operators.storage import saved
+
 #: The rules that the registered query is asked to use: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "n_params", "query_length", "has_fragment", "suffix_blocked", "suffix_log_count")
@@ -70,14 +73,20 @@ def lexical(df: DataFrame) -> DataFrame:
 
 
 def suffix_table(ruled: DataFrame) -> DataFrame:
-    """For each suffix (the last two labels of the host): how many URLs have it, and how often the rules block those they judge."""
-    block = F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0))
-    return ruled.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_count"), ((block + 1.0) / (F.count("ruled") + 2.0)).alias("suffix_blocked"))
+    """For each suffix (the last two labels of the host): how many URLs have it, and how many of them the rules judge and block."""
+    return ruled.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_count"), F.count("ruled").alias("told"), F.count_if(F.col("ruled") == "block").alias("blocked"))
 
 
 def featured(ruled: DataFrame) -> DataFrame:
+    """All features. How often a suffix is blocked is counted over the other URLs only, so that no row's own label is among its features.
+
+    The table of suffixes is written first: then it is broadcast if it is small, and else the join alone shuffles, so that a suffix that most
+    URLs share can be split.
+    """
     df = lexical(ruled)
-    return df.join(suffix_table(df), "suffix", "left")
+    own = F.col("ruled").isNotNull().cast("int")
+    others = (F.col("blocked") - F.coalesce((F.col("ruled") == "block").cast("int"), F.lit(0)) + 1.0) / (F.col("told") - own + 2.0)
+    return df.join(saved(suffix_table(df)), "suffix", "left").withColumn("suffix_blocked", others).drop("told", "blocked")
 
 
 def as_condition(tree: str) -> Column:
@@ -100,23 +109,34 @@ def as_condition(tree: str) -> Column:
     return node()
 
 
-def train(table: DataFrame, max_rows: int = 20000, rounds: int = 8, depth: int = 4) -> Column:
-    """The trees' margin as a Column: above 0 means block."""
+def fit(table: DataFrame, max_rows: int = 20000, rounds: int = 8, depth: int = 4) -> GBTClassificationModel | float:
+    """Trees fitted to the URLs that rules judge; if these are all alike (or none), the constant margin of their label."""
     told = table.where("ruled is not null").orderBy(F.xxhash64("url"), "page_id").limit(max_rows)
     told = told.select((F.col("ruled") == "block").cast("double").alias("label"), *FEATURES)
     kinds = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
     if len(kinds) < 2:
-        return F.lit(1.0 if kinds.get(1.0) else -1.0)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(told).select("label", "features")
+        return 1.0 if kinds.get(1.0) else -1.0
+    rows = assembled(told).select("label", "features")
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.3, seed=1, cacheNodeIds=False).fit(rows.cache())
     rows.unpersist()
+    return model
+
+
+def assembled(table: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
+
+
+def margin_of(model: GBTClassificationModel | float) -> Column:
+    """The trees' margin as a Column: above 0 means block."""
+    if isinstance(model, float):
+        return F.lit(model)
     return reduce(lambda a, b: a + b, [as_condition(t.toDebugString) * F.lit(float(w)) for t, w in zip(model.trees, model.treeWeights, strict=True)])
 
 
 def url_filter(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url", max_rows: int = 20000) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict and the trees' margin."""
     table = featured(judged(pages, rules, page_id, url))
-    margin = train(table, max_rows)
+    margin = margin_of(fit(table, max_rows))
     learnt = F.when(F.col("margin") > 0, "block").otherwise("allow")
     return table.withColumn("margin", margin).select("page_id", "host", "path", "rule", F.coalesce("ruled", learnt).alias("verdict"), "margin")
 
