@@ -10,7 +10,8 @@ vectors and a spanning forest of its links, never the links themselves, so a den
 The rotation comes from at most SAMPLE vectors (those whose id hashes lowest); any rotation gives the same links.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link with
-nothing; vectors of different lengths do not link; rows with the same id are separate vectors; other columns are ignored.
+nothing; vectors of different lengths do not link; rows with the same id are separate vectors; equal vectors count as links of each other;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ the corpus is. For each bin, the longest length left is set, and a bitset subset
 finds the fullest feasible combination; the combination is taken as often as its lengths last and removed. Each piece then finds its
 place from its rank among the pieces of its length: ranks come from counts by (length, partition), so no task sees all of a length.
 
-Defined cases: a null text is empty and still has its end id; equal ids and rows are separate pieces; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: a null text is empty and still has its end id; equal ids, null ids and repeated rows are separate pieces, so that their
+number and order among equal lengths does not matter; texts of any length are cut, never dropped; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ label of their document; then the lines of low-quality documents that the first
 boilerplate line is left) and the CRF is fitted again. Only binned features come to the driver, never texts.
 
 Defined cases: a null text has no words and fails; without labelled rows of both kinds every line is content; a null id stays null;
-repeated rows are judged alike; an empty table gives an empty result.
+repeated rows, and rows with one id and other texts, are judged each by its own text; of equal paths the first in order counts;
+texts of any length are read whole; an empty table gives an empty result; other columns are ignored by `judge` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -155,25 +156,54 @@ def chains(row: np.ndarray) -> list[np.ndarray]:
     return [begin[:m] + t for t, m in enumerate(live)]
 
 
-def decode(model: Crf, row: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Viterbi: 1 for each content line."""
+def decode(model: Crf, row: np.ndarray, bins: np.ndarray, block: int = 512) -> np.ndarray:
+    """Viterbi: 1 for each content line.
+
+    Chains are cut into blocks; each is decoded for both states before it, all blocks at once, and then the blocks of a chain are joined.
+    So a chain of a million lines takes a few thousand rounds.
+    """
+    if not len(row):
+        return np.zeros(0, np.int8)
     score = model.weights[bins].sum(1)
     emit = np.stack([np.zeros(len(score)), score], 1)
-    steps = chains(row)
-    best, back, state = np.zeros((len(row), 2)), np.zeros((len(row), 2), np.int8), np.zeros(len(row), np.int8)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    of = np.cumsum(place % block == 0) - 1  # the block of each line
+    steps = chains(of)
+    best = np.zeros((len(row), 2, 2))  # by line, state before its block, own state
+    back = np.zeros((len(row), 2, 2), np.int8)
     for t, at in enumerate(steps):
         if t == 0:
-            best[at] = emit[at] + model.start
+            enter = np.where((place[at] == 0)[:, None, None], model.start[None, None, :], model.step[None, :, :])
+            best[at] = enter + emit[at][:, None, :]
         else:
-            way = best[at - 1][:, :, None] + model.step
-            back[at] = way.argmax(1)
-            best[at] = way.max(1) + emit[at]
-    for t in range(len(steps) - 1, -1, -1):
-        at = steps[t]
-        more = len(steps[t + 1]) if t + 1 < len(steps) else 0
-        state[at[more:]] = best[at[more:]].argmax(1)
+            way = best[at - 1][:, :, :, None] + model.step
+            back[at] = way.argmax(2)
+            best[at] = way.max(2) + emit[at][:, None, :]
+    head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    tail = np.r_[head[1:] - 1, len(row) - 1]
+    rounds = chains(row[head])
+    total, came = np.zeros((len(head), 2)), np.zeros((len(head), 2), np.int8)
+    for t, k in enumerate(rounds):
+        if t == 0:
+            total[k] = best[tail[k], 0]
+        else:
+            way = total[k - 1][:, :, None] + best[tail[k]]
+            came[k] = way.argmax(1)
+            total[k] = way.max(1)
+    last, before = np.zeros(len(head), np.int8), np.zeros(len(head), np.int8)
+    for t in range(len(rounds) - 1, -1, -1):
+        k = rounds[t]
+        more = len(rounds[t + 1]) if t + 1 < len(rounds) else 0
+        last[k[more:]] = total[k[more:]].argmax(1)
         if more:
-            state[at[:more]] = back[steps[t + 1], state[steps[t + 1]]]
+            last[k[:more]] = before[rounds[t + 1]]
+        before[k] = came[k, last[k]]
+    state = np.zeros(len(row), np.int8)
+    state[tail] = last
+    for t in range(len(steps) - 1, 0, -1):
+        at = steps[t]
+        state[at - 1] = back[at, before[of[at]], state[at]]
     return state
 
 
@@ -208,8 +238,8 @@ def fit(row: np.ndarray, bins: np.ndarray, state: np.ndarray, rounds: int = 120,
     return Crf(theta[: BASE[-1]], theta[BASE[-1] : BASE[-1] + 2], theta[-4:].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, doc_id: str = "doc_id", text: str = "text") -> Crf:
-    """Fits the CRF to the labelled documents, `max_docs` of them at most."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 5000, doc_id: str = "doc_id", text: str = "text") -> Crf:
+    """Fits the CRF to the labelled documents, `max_docs` of them at most; those with more than `max_lines` lines are left out of the fit (and judged like all)."""
     flat = Crf(np.ones(BASE[-1]), np.zeros(2), np.zeros((2, 2)))
     told = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good in (0, 1)")
     told = told.groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -223,9 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, doc_id: str
                 packed = [x.bins[i:j].astype(np.int32).tobytes() for i, j in zip(begin, begin[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "good": part.column("good"), "bins": pa.array(packed, pa.binary())})
 
-    found = own.join(F.broadcast(told), "doc_id").mapInArrow(lines, "doc_id bigint, good int, bins binary").toArrow().sort_by("doc_id")
-    blobs, good = found["bins"].to_pylist(), found["good"].to_numpy()
     width = 4 * len(BINS)
+    found = own.join(F.broadcast(told), "doc_id").mapInArrow(lines, "doc_id bigint, good int, bins binary").where(F.octet_length("bins") <= max_lines * width).toArrow().sort_by("doc_id")
+    blobs, good = found["bins"].to_pylist(), found["good"].to_numpy()
     row = np.repeat(np.arange(len(blobs)), [len(b) // width for b in blobs])
     bins = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, len(BINS))
     if not len(row) or len(set(good[row])) < 2:

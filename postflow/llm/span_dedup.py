@@ -8,7 +8,8 @@ word, or at a line break; it owns the white space after it.
 Keys travel as described in exchange.py, so a span that thousands of documents share costs one entry for each partition.
 
 Defined cases: a null text is empty and has no sentences; a null id counts as larger than every id; of rows with the same id, the smaller
-text counts as earlier; an empty table gives an empty result; other columns are ignored.
+text counts as earlier (of null ids too, inside a partition); repeated rows keep one copy; texts of any length are read whole; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

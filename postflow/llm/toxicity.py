@@ -8,7 +8,8 @@ held-out fold (those with a document whose id hashes lowest). Spark counts the h
 come to the driver, which climbs the gradient.
 
 Defined cases: a null or empty text has score 0; without labelled documents of both kinds all scores are 0; ids may be null (then not held out);
-repeated rows score alike; an empty table gives an empty result. Labels, lang, source and doc_id are never features.
+repeated rows, and rows with one id and other texts, score each by its own text; texts of any length are read whole; ties of the sample's
+order go by id; an empty table gives an empty result; other columns are ignored by `score` and kept by `keep`. Labels, lang, source and doc_id are never features.
 """
 
 from __future__ import annotations
