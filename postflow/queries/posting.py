@@ -14,9 +14,11 @@ from postflow.functions.places import literal_map
 from postflow.functions.quality import assess
 from postflow.functions.urls import board_hits, clean_token, domain_hints, registrable
 from postflow.operators import extraction as X
+from postflow.operators import outreach as O
 from postflow.operators import preferences as P
 from postflow.operators import rules as R
 from postflow.operators.dedupe import city_conflict, classes_of, clustered, near_pairs
+from postflow.operators.lifecycle import harvested, last_standing, upserted
 from postflow.operators.storage import saved
 from postflow.queries.authorisation import CODES, listed, told
 from postflow.queries.registry import Family
@@ -239,34 +241,38 @@ def g04(spark, d):
 
 
 def stored_and_listed(spark, d):
-    """What is stored (without every fourth posting) and what a run lists (without every third), with shorter bodies and lost pay."""
-    df = jobs(spark, d).select("id", "market", "salary_max", "is_active")
-    stored = df.where("id % 4 <> 0").select("id", F.col("market").alias("old_title"), F.col("salary_max").alias("old_pay"), F.lit("full").alias("old_kind"), "is_active")
-    listed = df.where("id % 3 <> 0").select(
-        "id",
-        F.when(F.col("id") % 5 == 0, "changed").otherwise(F.col("market")).alias("new_title"),
-        F.when(F.col("id") % 7 != 0, F.col("salary_max")).alias("new_pay"),
-        F.when(F.col("id") % 2 == 0, "snippet").otherwise("full").alias("new_kind"),
-    )
-    return stored, listed
+    """What is stored (without every fourth posting) and what a run lists (without every third): bodies shorter or missing, pay and posters lost."""
+    k, none = F.col("id"), F.lit(None).cast("string")
+    df = jobs(spark, d)
+
+    def row(title, text, full, pay, poster):
+        body = {"description_html": none, "description_text": text, "description_md": none, "description_lang": F.when(text.isNotNull(), "en"), "jd_completeness": F.when(text.isNull(), "none").when(full, "full").otherwise("snippet"), "jd_source": F.when(text.isNotNull(), "api"), "jd_extracted_at": none, "description_hash": F.md5(text)}
+        money = {"salary_min": none.cast("double"), "salary_max": F.when(pay, F.col("salary_max")), "salary_currency": F.when(pay, "EUR"), "salary_period": F.when(pay, "annual"), "salary_is_stated": pay}
+        return {"title": title, "location_raw": none} | body | money | {"poster_name": poster, "poster_profile_url": F.when(poster.isNotNull(), F.concat(F.lit("u/"), poster))}
+
+    def made(rows, fields):
+        return rows.select("id", "is_active", "missed_runs", "salary_max").select("id", F.col("is_active").alias("active"), F.col("missed_runs").alias("missed"), *(c.alias(n) for n, c in fields.items()))
+
+    old = row(F.lit("role"), F.concat(F.lit("Old body "), k), k % 2 == 0, k % 2 == 1, F.when(k % 3 == 1, "Ann"))
+    new = row(F.when(k % 5 == 0, "changed").otherwise("role"), F.when(k % 6 != 0, F.when(k % 10 == 1, "New  body").otherwise(F.concat(F.lit("old BODY "), k))), k % 4 == 1, k % 7 != 0, F.when(k % 7 == 0, "Bob"))
+    stored = made(df.where(k % 4 != 0), old).withColumns({"content_hash": T.content_hash(F.col("title"), F.col("location_raw"), F.col("description_text")), "repost_count": F.lit(0), "missed_runs": F.col("missed"), "is_active": F.col("active")})
+    return stored.drop("active", "missed"), made(df.where(k % 3 != 0), new).drop("active", "missed")
 
 
 @add(
     "g05_upsert",
-    """+ o AS (SELECT id, market AS old_title, salary_max AS old_pay, is_active FROM jobs WHERE id % 4 <> 0),
-    n AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE market END AS new_title, CASE WHEN id % 7 <> 0 THEN salary_max END AS new_pay, CASE WHEN id % 2 = 0 THEN 'snippet' ELSE 'full' END AS new_kind FROM jobs WHERE id % 3 <> 0)
-    SELECT coalesce(o.id, n.id) AS id, coalesce(new_title, old_title) AS title, coalesce(new_pay, old_pay) AS pay, CASE WHEN o.id IS NULL THEN new_kind ELSE 'full' END AS kind,
-    CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'absent' WHEN new_title <> old_title THEN 'updated' ELSE 'unchanged' END AS outcome, n.id IS NOT NULL AND o.id IS NOT NULL AND NOT is_active AS reposted
-    FROM o FULL JOIN n ON o.id = n.id""",
+    """+ o AS (SELECT id, 'role' AS title, 'Old body ' || id AS text, id % 2 = 0 AS whole, CASE WHEN id % 2 = 1 THEN salary_max END AS pay, CASE WHEN id % 3 = 1 THEN 'Ann' END AS poster, is_active, missed_runs FROM jobs WHERE id % 4 <> 0),
+    n AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'changed' ELSE 'role' END AS title, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 10 = 1 THEN 'New  body' ELSE 'old BODY ' || id END AS text, id % 4 = 1 AS whole, CASE WHEN id % 7 <> 0 THEN salary_max END AS pay, CASE WHEN id % 7 = 0 THEN 'Bob' END AS poster FROM jobs WHERE id % 3 <> 0),
+    b AS (SELECT coalesce(o.id, n.id) AS id, o.id IS NULL AS is_new, n.id IS NULL AS absent, coalesce(n.title, o.title) AS title, o.title AS old_title, o.text AS old_text, o.id IS NOT NULL AND (n.id IS NULL OR n.text IS NULL OR (o.whole AND NOT n.whole)) AS keep,
+        o.text AS o_text, n.text AS n_text, o.whole AS o_whole, n.whole AS n_whole, o.pay AS o_pay, n.pay AS n_pay, coalesce(n.poster, o.poster) AS poster, coalesce(o.is_active, true) AS was_active, coalesce(missed_runs, 0) AS missed FROM o FULL JOIN n ON o.id = n.id),
+    c AS (SELECT *, CASE WHEN keep THEN o_text ELSE n_text END AS text, CASE WHEN keep THEN o_whole ELSE n_whole END AS whole, CASE WHEN absent OR (o_pay IS NOT NULL AND n_pay IS NULL) THEN o_pay ELSE n_pay END AS pay FROM b)
+    SELECT id, title, text, CASE WHEN text IS NULL THEN 'none' WHEN whole THEN 'full' ELSE 'snippet' END AS jd_completeness, md5(text) AS description_hash, pay AS salary_max, poster AS poster_name,
+    CASE WHEN is_new THEN 'new' WHEN absent THEN 'absent' WHEN title = old_title AND lower(regexp_replace(text, '\\s+', ' ', 'g')) = lower(old_text) THEN 'unchanged' ELSE 'updated' END AS outcome,
+    CASE WHEN NOT is_new AND NOT absent AND NOT was_active THEN 1 ELSE 0 END AS repost_count, CASE WHEN absent THEN missed ELSE 0 END AS missed_runs, CASE WHEN absent THEN was_active ELSE true END AS is_active FROM c""",
 )
 def g05(spark, d):
-    """A listing never takes away: a stored full body outlives a snippet, stated pay outlives its absence."""
-    stored, listed = stored_and_listed(spark, d)
-    df = stored.join(listed, "id", "full")
-    is_new, absent = F.col("old_title").isNull(), F.col("new_title").isNull()
-    kind = F.when(is_new, F.col("new_kind")).when(F.col("old_kind") == "full", "full").otherwise(F.coalesce("new_kind", "old_kind"))
-    outcome = F.when(is_new, "new").when(absent, "absent").when(F.col("new_title") != F.col("old_title"), "updated").otherwise("unchanged")
-    return df.select("id", F.coalesce("new_title", "old_title").alias("title"), F.coalesce("new_pay", "old_pay").alias("pay"), kind.alias("kind"), outcome.alias("outcome"), (~is_new & ~absent & ~F.coalesce("is_active", F.lit(False))).alias("reposted"))
+    found = upserted(*stored_and_listed(spark, d))
+    return found.select("id", "title", F.col("description_text").alias("text"), "jd_completeness", "description_hash", "salary_max", "poster_name", "outcome", "repost_count", "missed_runs", "is_active")
 
 
 @add("g06_row_derivation", "SELECT page_id, length(body) AS chars, CASE WHEN length(body) >= 400 THEN 'full' WHEN length(body) = 0 THEN 'none' ELSE 'snippet' END AS completeness, md5(body) AS hash FROM (SELECT page_id, " + html_sql("html") + " AS body FROM pages)")
@@ -438,10 +444,17 @@ def g16(spark, d):
     return applications(spark, d).select("job_id", F.when(stale, "ghosted").otherwise(F.col("status")).alias("status"))
 
 
-@add("g17_cluster_latest", "SELECT cluster, arg_max(status, job_id) AS status FROM (SELECT coalesce(canonical_id, id) AS cluster, job_id, status FROM applications JOIN jobs ON job_id = id) GROUP BY 1")
+ACTIONS = {"signup": "applied", "purchase": "screening", "click": "skipped", "error": "undo"}
+
+
+@add(
+    "g17_cluster_latest",
+    "+ l AS (SELECT user_id AS cluster, ts, event_id, CASE event_type WHEN 'signup' THEN 'applied' WHEN 'purchase' THEN 'screening' WHEN 'click' THEN 'skipped' WHEN 'error' THEN 'undo' END AS status FROM events WHERE event_type <> 'view'), n AS (SELECT *, lead(status) OVER (PARTITION BY cluster ORDER BY ts, event_id) AS after FROM l) SELECT cluster, arg_max(status, (ts, event_id)) AS status FROM n WHERE status <> 'undo' AND after IS DISTINCT FROM 'undo' GROUP BY 1",
+)
 def g17(spark, d):
-    df = applications(spark, d).join(jobs(spark, d).withColumnRenamed("id", "job_id"), "job_id")
-    return df.groupBy(F.coalesce("canonical_id", "job_id").alias("cluster")).agg(F.max_by("status", "job_id").alias("status"))
+    """The log of a cluster (here: a user's events) comes down to the last action that was not undone."""
+    log = table(spark, d, "events").where("event_type <> 'view'").select(F.col("user_id").alias("cluster"), "ts", "event_id", literal_map(ACTIONS)[F.col("event_type")].alias("status"))
+    return last_standing(log, "cluster", ["ts", "event_id"])
 
 
 BANK = (("site", r"([a-z0-9-]+)\.example\.(?:com|net|org)"),)
@@ -469,11 +482,24 @@ def t22b(spark, d):
     return table(spark, d, "pages").select("page_id", F.inline(domain_hints(F.col("url"), (("feed", r"[?&]utm_source="),))))
 
 
-@add("g18_harvest", f"+ h AS ({HARVEST_SQL}), k AS (SELECT token, min(page_id) AS page_id FROM h WHERE token NOT IN ('', 'www', 'blog') AND page_id > 50 GROUP BY 1) SELECT token, page_id FROM k WHERE token NOT IN (SELECT token FROM h WHERE page_id <= 50)")
-def g18(spark, d, watermark=50):
-    """Tokens first seen past the watermark and not known before it."""
-    hits = t20(spark, d)
-    return hits.where(F.col("page_id") > watermark).groupBy("token").agg(F.min("page_id").alias("page_id")).join(hits.where(F.col("page_id") <= watermark).select("token").distinct(), "token", "left_anti")
+@add(
+    "g18_harvest",
+    f"""+ t AS ({HARVEST_SQL}), s AS (SELECT token, page_id, page_id % 7 AS company FROM t WHERE token NOT IN ('', 'www', 'blog')), w AS (SELECT max(page_id) // 2 AS w FROM pages),
+    h AS (SELECT token, page_id, company FROM s, w WHERE page_id > w UNION ALL SELECT 'seen' || (page_id % 9), page_id, NULL FROM pages, w WHERE page_id > w),
+    k AS (SELECT DISTINCT token, CASE WHEN length(token) % 2 = 0 THEN 99 END AS own FROM s, w WHERE page_id <= w)
+    SELECT h.token, coalesce(max(own), arg_min(company, page_id) FILTER (WHERE company IS NOT NULL)) AS company_id, CASE WHEN max(k.token) IS NULL THEN 'new' WHEN max(own) IS NULL AND count(company) > 0 THEN 'linked' ELSE 'known' END AS outcome FROM h LEFT JOIN k ON h.token = k.token GROUP BY 1""",
+)
+def g18(spark, d):
+    """Pages past the watermark: links in their address name a company's board, links in their body a board of anyone. Boards seen before it are known, half of them without a company."""
+    pages = table(spark, d, "pages").crossJoin(F.broadcast(table(spark, d, "pages").agg(F.floor(F.max("page_id") / 2).alias("w"))))
+    found = lambda text: pages.select("page_id", "w", F.inline(board_hits(text, BANK, ())))
+    own = found(F.col("url"))
+    body = found(F.concat(F.lit("see https://seen"), F.col("page_id") % 9, F.lit(".example.com/jobs")))
+    past = F.col("page_id") > F.col("w")
+    hit = lambda df, company: df.where(past).select("provider", "token", F.col("page_id").alias("at"), company.alias("company_id"))
+    hits = hit(own, F.col("page_id") % 7).unionByName(hit(body, F.lit(None).cast("bigint")))
+    known = own.where(~past).select("provider", "token").distinct().withColumn("company_id", F.when(F.length("token") % 2 == 0, 99).cast("bigint"))
+    return harvested(hits, known).select("token", "company_id", "outcome")
 
 
 @add("g19_renormalise", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) <> text AS changed FROM documents")
@@ -481,10 +507,15 @@ def g19(spark, d):
     return table(spark, d, "documents").select("doc_id", (T.squeezed(F.col("text")) != F.col("text")).alias("changed"))
 
 
-@add("g20_routing", "SELECT user_id, CASE WHEN purchases > 5 THEN 'dm' WHEN clicks > 5 THEN 'invite' ELSE 'none' END AS route FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM events GROUP BY 1)")
+@add(
+    "g20_routing",
+    "SELECT company_id, CASE WHEN company_id % 4 = 0 THEN 'dm' WHEN company_id % 5 = 0 THEN 'free_inmail' END AS route, CASE WHEN company_id % 4 = 0 THEN 'dm' WHEN company_id % 5 = 0 THEN 'free_inmail' WHEN balance > 0 THEN 'invite_note,invite_then_dm,paid_inmail' ELSE 'invite_note,invite_then_dm' END AS allowed FROM companies",
+)
 def g20(spark, d):
-    n = lambda kind: F.count_if(F.col("event_type") == kind)
-    return table(spark, d, "events").groupBy("user_id").agg(F.when(n("purchase") > 5, "dm").when(n("click") > 5, "invite").otherwise("none").alias("route"))
+    """A contact at each company: connected, open to messages, or neither; a positive balance stands for credits."""
+    k = F.col("company_id")
+    ways = O.allowed(k % 4 == 0, k % 5 == 0, F.col("balance"))
+    return companies(spark, d).select("company_id", O.route(k % 4 == 0, k % 5 == 0).alias("route"), F.array_join(ways, ",").alias("allowed"))
 
 
 @add("g21_outreach_states", "SELECT user_id, event_type, prev, prev IS NULL OR (prev, event_type) IN (('view','click'),('click','signup'),('signup','purchase')) AS allowed FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)")
@@ -507,10 +538,20 @@ def g22(spark, d):
     return table(spark, d, "events").where("event_type = 'click'").groupBy("user_id").agg(refusal.alias("refusal"))
 
 
-@add("g23_message", "SELECT company_id, substring('Hello ' || name || ', about ' || lower(segment) || ' in ' || country || '.', 1, 40) AS message FROM companies")
-def g23(spark, d, most=40):
-    text = F.concat(F.lit("Hello "), "name", F.lit(", about "), F.lower("segment"), F.lit(" in "), "country", F.lit("."))
-    return companies(spark, d).select("company_id", F.substring(text, 1, most).alias("message"))
+@add(
+    "g23_message",
+    "+ m AS (SELECT company_id, company_id % 2 = 0 AS short, CASE WHEN company_id % 3 = 0 THEN 'there' ELSE 'Ann' || company_id END AS who, CASE WHEN company_id % 5 = 0 THEN repeat('long ', 60) ELSE segment END AS title, CASE WHEN company_id % 7 = 0 THEN 'your team' ELSE name END AS place FROM companies),"
+    " t AS (SELECT company_id, short, CASE WHEN short THEN 'Hello ' || who || ', your opening for ' || title || ' at ' || place || ' is close to what I do. May I connect?' ELSE 'Hello ' || who || ',' || chr(10) || chr(10) || 'I read about the ' || title || ' position at ' || place || ' and have applied for it. I would be glad to tell you more about my work.' || chr(10) || chr(10) || 'Kind regards' END AS message FROM m) SELECT company_id, message, length(message) > CASE WHEN short THEN 300 ELSE 1900 END AS over FROM t",
+)
+def g23(spark, d):
+    """A note for every second company, a longer message for the others; some lack a name, some titles are too long for a note."""
+    k = F.col("company_id")
+    way = F.when(k % 2 == 0, O.INVITE_NOTE).otherwise(O.DM)
+    name = F.when(k % 3 != 0, F.concat(F.lit("Ann"), k, F.lit(" Lee")))
+    title = F.when(k % 5 == 0, F.repeat(F.lit("long "), 60)).otherwise(F.col("segment"))
+    df = companies(spark, d).withColumn("way", way)
+    df = df.withColumn("message", O.message(F.col("way"), name, title, F.when(k % 7 != 0, F.col("name"))))
+    return df.select("company_id", "message", O.over_limit(F.col("message"), F.col("way")).alias("over"))
 
 
 @add("g24_search_cache", "SELECT user_id, arg_max(event_id, ts) AS event_id FROM events WHERE ts > TIMESTAMP '2024-01-30' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '2024-01-30' GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from postflow.functions.text import normalize_company_name, safe_key
 from postflow.operators.storage import saved
 from postflow.queries.registry import Family
 from postflow.sources.bindings import applications, boards, companies, jobs, listings, now, scores, table, titles
@@ -296,20 +297,38 @@ def j12(spark, d):
     return old.join(new, "id", "full").select("id", F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "absent").otherwise("known").alias("outcome"))
 
 
+J13_SQL = """f AS (SELECT company_id, CASE WHEN company_id % 3 = 0 THEN NULL ELSE 'c' || (company_id % 40) || '.example' END AS domain, 'Acme ' || (company_id % 50) || [' Inc.', ' GmbH', ''][company_id % 3 + 1] AS name FROM companies),
+    g AS (SELECT *, 'acme ' || (company_id % 50) AS plain FROM f)"""
+
+
 @add(
     "j13_company_resolve",
-    "+ known AS (SELECT company_id, name, batch FROM companies WHERE company_id % 2 = 0), b AS (SELECT batch, min(company_id) AS by_batch FROM known GROUP BY 1), n AS (SELECT name, min(company_id) AS by_name FROM known GROUP BY 1) SELECT c.company_id, coalesce(by_name, by_batch) AS resolved FROM companies c LEFT JOIN n ON n.name = c.name LEFT JOIN b ON b.batch = c.batch",
+    f"+ {J13_SQL}, k AS (SELECT * FROM g WHERE company_id % 2 = 0), d AS (SELECT domain, min(company_id) AS by_domain FROM k WHERE domain IS NOT NULL GROUP BY 1), n AS (SELECT plain, min(company_id) AS by_name FROM k GROUP BY 1) SELECT g.company_id, coalesce(by_domain, by_name) AS resolved FROM g LEFT JOIN d USING (domain) LEFT JOIN n USING (plain)",
 )
 def j13(spark, d):
-    all_, known = companies(spark, d), companies(spark, d).where("company_id % 2 = 0")
-    by = lambda c: known.groupBy(c).agg(F.min("company_id").alias(f"by_{c}"))
-    return all_.join(by("name"), "name", "left").join(by("batch"), "batch", "left").select("company_id", F.coalesce("by_name", "by_batch").alias("resolved"))
+    """Companies found among the known ones by domain, else by their normalised name; of several the first."""
+    k = F.col("company_id")
+    name = F.concat(F.lit("Acme "), k % 50, F.element_at(F.array(F.lit(" Inc."), F.lit(" GmbH"), F.lit("")), (k % 3 + 1).cast("int")))
+    df = companies(spark, d).select("company_id", F.when(k % 3 != 0, F.concat(F.lit("c"), k % 40, F.lit(".example"))).alias("domain"), normalize_company_name(name).alias("plain"))
+    known = df.where(k % 2 == 0)
+    by = lambda c, to: known.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("company_id").alias(to))
+    return df.join(by("domain", "by_domain"), "domain", "left").join(by("plain", "by_name"), "plain", "left").select("company_id", F.coalesce("by_domain", "by_name").alias("resolved"))
 
 
-@add("j15_unambiguous_match", "SELECT title, company_id, min(id) AS id FROM jobs JOIN titles USING (id) GROUP BY 1, 2 HAVING count(DISTINCT id) = 1")
+@add(
+    "j15_unambiguous_match",
+    """+ j AS (SELECT id, title, name, regexp_replace(lower(name || '-' || title), '[^a-z0-9._-]+', '-', 'g') AS folder FROM jobs JOIN titles USING (id) JOIN companies USING (company_id)),
+    f AS (SELECT folder, min(id) AS by_folder FROM j WHERE id % 3 <> 0 GROUP BY 1 HAVING count(*) = 1), t AS (SELECT lower(title) AS lt, lower(name) AS ln, min(id) AS by_title FROM j GROUP BY 1, 2 HAVING count(*) = 1)
+    SELECT id AS application, coalesce(by_folder, by_title) AS job_id FROM j LEFT JOIN f ON j.folder = f.folder LEFT JOIN t ON lower(title) = lt AND lower(name) = ln WHERE id % 11 = 0""",
+)
 def j15(spark, d):
-    df = jobs(spark, d).join(titles(spark, d), "id")
-    return df.groupBy("title", "company_id").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")
+    """Applications find their posting by folder, else by title and company whatever their case; two that fit are none. Every third posting has no folder."""
+    df = jobs(spark, d).join(titles(spark, d), "id").join(companies(spark, d), "company_id")
+    df = df.select("id", F.lower("title").alias("lt"), F.lower("name").alias("ln"), safe_key(F.concat_ws("-", "name", "title")).alias("folder"))
+    one = lambda rows, to, *keys: rows.groupBy(*keys).agg(F.min("id").alias(to), F.count("*").alias("n")).where("n = 1").drop("n")
+    wanted = df.where("id % 11 = 0")
+    found = wanted.join(one(df.where("id % 3 <> 0"), "by_folder", "folder"), "folder", "left").join(one(df, "by_title", "lt", "ln"), ["lt", "ln"], "left")
+    return found.select(F.col("id").alias("application"), F.coalesce("by_folder", "by_title").alias("job_id"))
 
 
 @add("j16_verdicts_batch", "SELECT l.doc_id, quality, d.source FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")

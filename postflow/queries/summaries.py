@@ -298,14 +298,18 @@ def w10(spark, d, budget=600):
     return lines.withColumn("upto", upto).where(F.col("upto") <= budget).groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
+#: Seconds that rolling counts look back.
+FRAMES = {"last_minute": 60, "last_ten_minutes": 600, "last_day": 86400, "last_week": 604800}
+
+
 @add(
     "w11_rolling_counts",
-    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS last_day, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS last_week FROM events",
+    "SELECT event_id, " + ", ".join(f"count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN {n} PRECEDING AND CURRENT ROW) AS {name}" for name, n in FRAMES.items()) + " FROM events",
 )
 def w11(spark, d):
     df = table(spark, d, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
     back = lambda s: F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-s, 0))
-    return df.select("event_id", back(86400).alias("last_day"), back(604800).alias("last_week"))
+    return df.select("event_id", *(back(n).alias(name) for name, n in FRAMES.items()))
 
 
 @add(
