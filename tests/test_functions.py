@@ -66,3 +66,34 @@ def test_unknown_is_never_a_reason(spark):
     reasons = [*rules.age(c("d"), own), *rules.field_mismatch({"country": c("s")}, own), *rules.seniority(c("s"), own), *rules.salary(c("v"), c("s"), c("s"), own), *rules.time_zone(c("s"), c("s"), own)]
     df = spark.createDataFrame([(None, None, None)], "d int, s string, v double")
     assert rules.judged(df, reasons).first()["verdict"]["passed"]
+
+
+def test_simhash_by_hand(spark):
+    import hashlib
+
+    def plain(said, digest):
+        w = said.lower().split()
+        parts = [" ".join(w[i : i + 2]) for i in range(len(w) - 1)] or w
+        value = [int.from_bytes(digest(p.encode()), "big") for p in parts]
+        return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in value) > len(value))
+
+    said = "one two three four five six seven"
+    assert one(spark, text.simhash_blake2b, said) == f"{plain(said, lambda x: hashlib.blake2b(x, digest_size=8).digest()):016x}"
+    got = one(spark, text.simhash_md5, said)
+    assert got["hi"] << 32 | got["lo"] == plain(said, lambda x: hashlib.md5(x).digest()[:8])
+    assert one(spark, text.simhash_md5, " .,! ") is None and one(spark, text.simhash_md5, None) is None and one(spark, text.simhash_blake2b, "") is None
+
+
+def test_latex_prose(spark):
+    source = "\\documentclass{article} % c\n\\begin{document}\n\\section{Work}\nBuilt \\textbf{things} at scale. % note\n\\end{document}"
+    got = one(spark, text.latex_to_prose, source)
+    assert "Work" in got and "Built things at scale." in got and "\\" not in got and "note" not in got and "article" not in got
+    assert not one(spark, text.latex_to_prose, None)
+
+
+def test_quality_parts(spark):
+    low = ("Cookie policy: we are an equal opportunity employer. " * 20).strip()
+    assert not one(spark, quality.assess, low)["passed"]
+    cut = ("We are looking for people who do this. " * 12).strip() + " read more"
+    got = one(spark, quality.assess, cut)
+    assert got["score"] == 0.75 and got["passed"] and got["chars"] == len(cut)
