@@ -32,7 +32,7 @@ def arriving(spark, d):
     items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("board"), k.alias("item")).distinct()
     spread = items.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUN_COUNT - 1)))).where((F.col("item") % 4 != F.col("run")) & ((F.col("item") % 5 != 0) | (F.col("run") < 2)))
     cut = (F.col("run") == 2) & (F.col("board") % 7 == 0)
-    return spread.groupBy(F.col("run").cast("bigint").alias("run"), "board").agg(F.collect_list("item").alias("items")).withColumn("truncated", cut)
+    return spread.select(F.col("run").cast("bigint").alias("run"), "board", "item", cut.alias("truncated"))
 
 
 SYNC_SQL = f"""i AS (SELECT DISTINCT l_suppkey AS board, l_orderkey AS item FROM lineitem), n AS (SELECT CAST(unnest(range({RUN_COUNT})) AS BIGINT) AS run),

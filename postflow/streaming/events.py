@@ -1,9 +1,10 @@
 """Structured Streaming over the event log and over runs of listings: budgets, caps, sessions, duplicates, counters, queues and replays.
 
-The tables are single files, so a stream of them would be one batch. `arrivals` lays a table out as the files in which it would have
-arrived, in order of time; streams read one file a batch, carry their state from batch to batch, and drop it once the watermark has
-passed. Two empty closing files move the watermark past the end, so that everything still open is given out. Results are written to the
-shared checkpoint folder, a folder for each batch (a replayed batch overwrites its own), and the query gives that table.
+The tables are single files, so a stream of them would be one batch. `arrivals` cuts a table into the parts in which it would have
+arrived, in order of time; `drained` lays one part down after the other and lets the stream take it, always from the same checkpoint: a
+part is a batch, state goes from batch to batch and is dropped once the watermark has passed it. Two empty closing parts move the
+watermark past the end, so that everything still open is given out. Results are written to the shared checkpoint folder, a folder for
+each batch (a replayed batch overwrites its own), and the query gives that table.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postflow.operators.storage import shared_folder
 
-FILES = 4
+PARTS = 4
 END = "end"  # the kind of a closing row
 
 
@@ -27,22 +28,16 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def arrivals(df: DataFrame, at: str, files: int = FILES, closing: DataFrame | None = None) -> str:
-    """The folder of a table written as `files` files of rising `at`, each in a write of its own, and twice the closing rows."""
-    spark = df.sparkSession
-    folder = fresh(spark, "arrivals")
+def arrivals(df: DataFrame, at: str, parts: int = PARTS, closing: DataFrame | None = None) -> list[DataFrame]:
+    """A table in parts of rising `at`, and twice the closing rows."""
     place = (F.unix_micros(at) if df.schema[at].dataType.typeName() == "timestamp" else F.col(at)).cast("double")
     low, high = df.agg(F.min(place), F.max(place)).first()
-    step = ((high or 0.0) - (low or 0.0)) / files + 1e-9
-    part = F.least(F.floor((place - (low or 0.0)) / step), F.lit(files - 1))
-    for k in range(files):
-        df.where(part == k).write.mode("append").parquet(folder)
-    for _ in range(2 if closing is not None else 0):
-        closing.coalesce(1).write.mode("append").parquet(folder)
-    return folder
+    step = ((high or 0.0) - (low or 0.0)) / parts + 1e-9
+    part = F.least(F.floor((place - (low or 0.0)) / step), F.lit(parts - 1))
+    return [df.where(part == k) for k in range(parts)] + ([closing, closing] if closing is not None else [])
 
 
-def event_files(spark: SparkSession, sf_dir: str, again: bool = False) -> str:
+def event_parts(spark: SparkSession, sf_dir: str, again: bool = False) -> list[DataFrame]:
     """Events as they arrived; `again`: every event comes twice."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     df = df.select("event_id", "ts", "user_id", "event_type")
@@ -50,28 +45,36 @@ def event_files(spark: SparkSession, sf_dir: str, again: bool = False) -> str:
     return arrivals(df.unionAll(df) if again else df, "ts", closing=end)
 
 
-def stream(spark: SparkSession, folder: str, schema: str = "event_id bigint, ts timestamp, user_id bigint, event_type string", late: str = "1 day") -> DataFrame:
-    """A file a batch, in the order of their writing. Closing rows must reach the stateful operator (a filter would be pushed into the scan); results are freed of them."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).withWatermark("ts", late)
+def drained(parts: list[DataFrame], read: Callable[[DataFrame], DataFrame], keep: str = "true") -> DataFrame:
+    """What the stream `read` makes of parts that arrive in turn, with the number of the pass. keep: which rows are results.
 
+    Closing rows must reach the stateful operator (a filter before it would be pushed into the scan); results are freed of them here.
+    """
+    spark = parts[0].sparkSession
+    folder, base, state = (fresh(spark, x) for x in ("arrivals", "stream", "state"))
+    schema = None
+    for number, part in enumerate(parts, 1):
+        part.write.mode("append").parquet(folder)
+        found = read(spark.readStream.schema(parts[0].schema).parquet(folder))
+        schema = found.schema
 
-def drained(df: DataFrame, keep: str = "true", state: str | None = None) -> DataFrame:
-    """Runs the stream over all that is there and gives what it wrote. keep: which rows are results; state: the checkpoint to go on from."""
-    spark = df.sparkSession
-    base = fresh(spark, "stream")
+        def put(batch: DataFrame, k: int, to: str = f"{base}/pass={number}") -> None:
+            batch.where(keep).write.mode("overwrite").parquet(f"{to}/batch={k}")
+
+        found.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/pass=0/batch=-1")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return spark.read.schema(f"{columns}, pass int, batch int").parquet(base).drop("batch")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.where(keep).write.mode("overwrite").parquet(f"{base}/batch={number}")
 
-    df.writeStream.outputMode("append").option("checkpointLocation", state or f"{base}-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{base}/batch=-1")
-    return spark.read.schema(df.schema).parquet(base).drop("batch")
+def late_by(df: DataFrame, delay: str = "1 day") -> DataFrame:
+    return df.withWatermark("ts", delay)
 
 
 def windowed(spark: SparkSession, sf_dir: str, window: Column, key: str) -> DataFrame:
     """(key, start, n) of events; a window is given out once, when the watermark has passed its end."""
-    counted = stream(spark, event_files(spark, sf_dir)).groupBy(window.alias("w"), key).agg(F.count("*").alias("n"))
-    return drained(counted.select(key, F.col("w.start").alias("start"), "n"), f"cast({key} as string) not in ('-1', '{END}')")
+    counted = lambda df: late_by(df).groupBy(window.alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
+    return drained(event_parts(spark, sf_dir), counted, f"cast({key} as string) not in ('-1', '{END}')").drop("pass")
 
 
 def daily_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,55 +94,56 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str = "6 hours") -> DataFram
 
 def seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event once, though all of them come twice within the watermark."""
-    return drained(stream(spark, event_files(spark, sf_dir, again=True)).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id"), "event_id >= 0")
+    once = lambda df: late_by(df).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id")
+    return drained(event_parts(spark, sf_dir, again=True), once, "event_id >= 0").drop("pass")
 
 
 def queue_outcomes(spark: SparkSession, sf_dir: str, days: int = 21, asked: str = "signup", accepted: str = "purchase") -> DataFrame:
     """(event_id, released_at): invitations and the first acceptance by the same user within `days`; null once they have expired."""
-    folder = event_files(spark, sf_dir)
-    invites = stream(spark, folder).where(F.col("event_type").isin(asked, END)).select("event_id", F.col("user_id").alias("who"), F.col("ts").alias("invited_at"))
-    accepts = stream(spark, folder).where(F.col("event_type").isin(accepted, END)).select("user_id", F.col("ts").alias("accepted_at"))
     within = (F.col("who") == F.col("user_id")) & (F.col("accepted_at") > F.col("invited_at")) & (F.col("accepted_at") <= F.col("invited_at") + F.expr(f"interval {days} days"))
-    found = drained(invites.join(accepts, within, "leftOuter").select("event_id", "accepted_at"), "event_id >= 0")
+
+    def answered(df: DataFrame) -> DataFrame:
+        of = lambda kind: late_by(df).where(F.col("event_type").isin(kind, END))
+        invites = of(asked).select("event_id", F.col("user_id").alias("who"), F.col("ts").alias("invited_at"))
+        accepts = of(accepted).select("user_id", F.col("ts").alias("accepted_at"))
+        return invites.join(accepts, within, "leftOuter").select("event_id", "accepted_at")
+
+    found = drained(event_parts(spark, sf_dir), answered, "event_id >= 0")
     return found.groupBy("event_id").agg(F.min("accepted_at").alias("released_at"))
 
 
-def _since_last(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _since_last(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """How many runs each item of a key was missed for when it comes again (-1: it is new). State: the items and the run each was last in."""
-    rows = pd.concat(list(batches)).sort_values(["at", "item"])
-    items, last = (np.frombuffer(x, np.int64) for x in (state.get if state.exists else (b"", b"")))
-    known = pd.concat([pd.DataFrame({"item": items, "at": last}), rows[["item", "at"]]], ignore_index=True)
-    before = known.groupby("item", sort=False)["at"].shift().to_numpy()[len(items) :]
-    newest = known.groupby("item", sort=True)["at"].max()
-    state.update((newest.index.to_numpy(np.int64).tobytes(), newest.to_numpy(np.int64).tobytes()))
-    at = rows["at"].to_numpy()
-    missed = np.where(np.isnan(before), -1, at - np.nan_to_num(before) - 1).astype(np.int64)
-    yield pd.DataFrame({"key": key[0], "item": rows["item"].to_numpy(), "at": at, "missed": missed})
+    rows = pd.concat(list(batches))[["key", "item", "at"]].sort_values("at", kind="stable")
+    stored = state.get if state.exists else (b"", b"", b"")
+    known = pd.DataFrame({c: np.frombuffer(x, np.int64) for c, x in zip(("key", "item", "at"), stored, strict=True)})
+    both = pd.concat([known, rows], ignore_index=True)
+    before = both.groupby(["key", "item"], sort=False)["at"].shift().to_numpy()[len(known) :]
+    newest = both.groupby(["key", "item"], sort=False, as_index=False)["at"].max()
+    state.update(tuple(newest[c].to_numpy(np.int64).tobytes() for c in ("key", "item", "at")))
+    rows["missed"] = np.where(np.isnan(before), -1, rows["at"].to_numpy() - np.nan_to_num(before) - 1).astype(np.int64)
+    yield rows
 
 
-def missed_runs(seen: DataFrame, files: int = FILES) -> DataFrame:
-    """(key, item, at, missed) from (key, item, at): a counter for each item of a board, carried through runs that arrive in turn."""
-    folder = arrivals(seen.select("key", "item", F.col("at").cast("bigint").alias("at")), "at", files)
-    source = seen.sparkSession.readStream.schema("key bigint, item bigint, at bigint").option("maxFilesPerTrigger", 1).parquet(folder)
-    counted = source.groupBy("key").applyInPandasWithState(_since_last, "key bigint, item bigint, at bigint, missed bigint", "items binary, last binary", "append", GroupStateTimeout.NoTimeout)
-    return drained(counted)
+def missed_runs(seen: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(key, item, at, missed) from (key, item, at): a counter for each item of a board, carried through runs that arrive in turn.
+
+    Counters lie in slots by a hash of board and item, four for each shuffle partition, so that no board is too large for its task.
+    """
+    slots = 4 * int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("key", "item"), F.lit(slots))
+    counted = lambda df: df.withColumn("slot", slot).groupBy("slot").applyInPandasWithState(_since_last, "key bigint, item bigint, at bigint, missed bigint", "key binary, item binary, last binary", "append", GroupStateTimeout.NoTimeout)
+    return drained(arrivals(seen.select("key", "item", F.col("at").cast("bigint").alias("at")), "at", parts), counted).drop("pass")
 
 
 def in_passes(df: DataFrame, at: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Two passes over a growing table with one checkpoint: the second reads only what came after the first. Adds pass."""
-    spark, folder = df.sparkSession, fresh(df.sparkSession, "growing")
-    state = fresh(spark, "state")
-    middle = df.agg(F.max(at)).first()[0] or 0
-    out = []
-    for number, part in enumerate((F.col(at) <= middle // 2, F.col(at) > middle // 2), 1):
-        df.where(part).write.mode("append").parquet(folder)
-        source = spark.readStream.schema(df.schema).parquet(folder)
-        out.append(drained(read(source), state=state).withColumn("pass", F.lit(number)))
-    return out[0].unionByName(out[1])
+    middle = F.lit((df.agg(F.max(at)).first()[0] or 0) // 2)
+    return drained([df.where(F.col(at) <= middle), df.where(F.col(at) > middle)], read)
 
 
 def synced(runs: DataFrame, grace: int = 2) -> DataFrame:
-    """The stored postings (board, item, first_run, last_run, missed, is_active) after runs (run, board, items, truncated) arrived one by one.
+    """The stored postings (board, item, first_run, last_run, missed, is_active) after runs (run, board, item, truncated) arrived one by one.
 
     Each batch is one run: listed postings are stored or seen again, the others of a board that was listed whole miss one more run and go
     inactive at `grace`. A listing that was cut short, or a board that was not listed at all, retires nothing.
@@ -147,24 +151,22 @@ def synced(runs: DataFrame, grace: int = 2) -> DataFrame:
     spark = runs.sparkSession
     folder, store = fresh(spark, "runs"), fresh(spark, "store")
     numbers = [r["run"] for r in runs.select("run").distinct().orderBy("run").collect()]
-    for n in numbers:
-        runs.where(F.col("run") == n).coalesce(1).write.mode("append").parquet(folder)
     schema = "board bigint, item bigint, first_run bigint, last_run bigint, missed bigint, is_active boolean"
     spark.createDataFrame([], schema).write.parquet(f"{store}/v=0")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.persist()
         old = spark.read.schema(schema).parquet(f"{store}/v={number}")
-        boards = batch.select(F.col("board").alias("of"), "truncated", "run")
-        listed = batch.select("board", F.col("run").cast("bigint").alias("run"), F.explode("items").alias("item"))
-        both = old.join(listed, ["board", "item"], "full").join(boards.withColumnRenamed("run", "now"), F.col("board") == F.col("of"), "left")
-        seen, missing = F.col("run").isNotNull(), F.col("run").isNull() & F.coalesce(~F.col("truncated"), F.lit(False))
+        whole = batch.groupBy(F.col("board").alias("of")).agg((~F.bool_or("truncated")).alias("whole"))
+        listed = batch.select("board", F.col("run").cast("bigint").alias("run"), "item")
+        both = old.join(listed, ["board", "item"], "full").join(whole, F.col("board") == F.col("of"), "left")
+        seen, missing = F.col("run").isNotNull(), F.col("run").isNull() & F.coalesce("whole", F.lit(False))
         missed = F.when(seen, 0).when(missing, F.col("missed") + 1).otherwise(F.col("missed"))
         active = F.when(seen, True).when(missing & (F.col("missed") + 1 >= grace), False).otherwise(F.col("is_active"))
         new = both.select("board", "item", F.coalesce("first_run", "run").alias("first_run"), F.coalesce("run", "last_run").alias("last_run"), missed.cast("bigint").alias("missed"), active.alias("is_active"))
         new.write.mode("overwrite").parquet(f"{store}/v={number + 1}")
-        batch.unpersist()
 
-    source = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    source.writeStream.option("checkpointLocation", f"{store}-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    for n in numbers:
+        runs.where(F.col("run") == n).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(runs.schema).parquet(folder)
+        source.writeStream.option("checkpointLocation", f"{store}-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{store}/v={len(numbers)}")
