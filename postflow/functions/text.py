@@ -21,25 +21,9 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿğışœæ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyygisoa"
 #: Legal forms that end a company's name. Fixed values.
 LEGAL_SUFFIXES = ("inc", "llc", "ltd", "limited", "corp", "corporation", "gmbh", "bv", "nv", "ab", "as", "oy", "sa", "plc", "co", "company", "holding", "holdings", "anonim", "sirketi", "sti")
-#: Hosts of hiring platforms, which name no employer. Fixed values.
-PLATFORM_HOSTS = (
-    "greenhouse.io",
-    "ashbyhq.com",
-    "lever.co",
-    "recruitee.com",
-    "workable.com",
-    "smartrecruiters.com",
-    "personio.de",
-    "myworkdayjobs.com",
-    "teamtailor.com",
-    "himalayas.app",
-    "remoteok.com",
-    "remotive.com",
-    "jobicy.com",
-    "arbeitnow.com",
-    "weworkremotely.com",
-    "linkedin.com",
-)
+#: Hosts of hiring platforms and of feeds, which name no employer. Fixed values.
+BOARD_HOSTS = ("greenhouse.io", "ashbyhq.com", "lever.co", "recruitee.com", "workable.com", "smartrecruiters.com", "personio.de", "personio.com", "teamtailor.com", "myworkdayjobs.com")
+FEED_HOSTS = ("himalayas.app", "remoteok.com", "remotive.com", "jobicy.com", "arbeitnow.com", "weworkremotely.com", "linkedin.com")
 #: Levels in titles, the first match counts. Fixed values.
 SENIORITY = (
     ("intern", r"\b(intern|internship|stajyer|trainee|working student|werkstudent)\b"),
@@ -127,7 +111,7 @@ def normalize_company_name(name: Column) -> Column:
 def domain_from_url(url: Column) -> Column:
     host = F.lower(F.regexp_extract(F.trim(url), r"(?i)^https?://([^/?#:]+)", 1))
     host = F.regexp_replace(host, r"^www\.", "")
-    platform = reduce(lambda a, b: a | b, [(host == h) | host.endswith("." + h) for h in PLATFORM_HOSTS])
+    platform = reduce(lambda a, b: a | b, [(host == h) | host.endswith("." + h) for h in BOARD_HOSTS + FEED_HOSTS])
     return F.when((host != "") & ~platform, host)
 
 

@@ -467,6 +467,36 @@ def t20(spark, d):
     return found.select("page_id", "provider", "token")
 
 
+#: Links to boards of every platform, with {} for the customer. Fixed values of the bindings.
+LINKS = (
+    ("recruitee", "https://{}.recruitee.com/o/x"),
+    ("personio", "https://{}.jobs.personio.de/job/1"),
+    ("teamtailor", "https://{}.teamtailor.com/jobs"),
+    ("workable", "https://{}.workable.com/j/AB"),
+    ("ashby", "https://jobs.ashbyhq.com/{}/1"),
+    ("ashby", "https://embed.ashbyhq.com/{}"),
+    ("ashby", "https://api.ashbyhq.com/posting-api/job-board/{}?x"),
+    ("greenhouse", "https://boards.greenhouse.io/embed/job_board?x=1&amp;for={}"),
+    ("greenhouse", "https:\\/\\/job-boards.greenhouse.io\\/{}\\/jobs"),
+    ("greenhouse", "https://boards-api.greenhouse.io/v1/boards/{}/jobs"),
+    ("lever", "https://jobs.eu.lever.co/{}/1"),
+    ("lever", "https://api.lever.co/v0/postings/{}"),
+    ("workable", "https://apply.workable.com/{}/j/AB/"),
+    ("smartrecruiters", "https://careers.smartrecruiters.com/{}"),
+    ("smartrecruiters", "https://api.smartrecruiters.com/v1/companies/{}/postings"),
+    ("workday", "https://{}.wd5.myworkdayjobs.com/en-US/Careers"),
+    (None, "https://jobs.lever.co/12345 https://{}.example.org/careers"),
+)
+
+
+@add("t20_platform_boards", f"SELECT page_id, {listed(tuple(p for p, _ in LINKS))}[page_id % {len(LINKS)} + 1] AS provider, 'acme' || page_id || CASE WHEN page_id % {len(LINKS)} = {len(LINKS) - 2} THEN '/wd5/Careers' ELSE '' END AS token FROM pages WHERE page_id % {len(LINKS)} < {len(LINKS) - 1}")
+def t20_platforms(spark, d):
+    """A link of every kind inside a text, some of them escaped; what names no customer is no board."""
+    link = F.replace(pick(F.col("page_id"), tuple(x for _, x in LINKS)), F.lit("{}"), F.concat(F.lit("acme"), "page_id"))
+    found = table(spark, d, "pages").select("page_id", F.inline(board_hits(F.concat(F.lit("see "), link, F.lit(" now")))))
+    return found.select("page_id", "provider", "token")
+
+
 @add("t21_clean_token", "SELECT page_id, CASE WHEN NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(lower(t), '\\.html$') THEN t END AS token FROM (SELECT page_id, regexp_extract(url, '([^/?#]+)/?([?#].*)?$', 1) AS t FROM pages)")
 def t21(spark, d):
     return table(spark, d, "pages").select("page_id", clean_token(F.regexp_extract("url", "([^/?#]+)/?([?#].*)?$", 1)).alias("token"))
