@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from postflow.functions.authorization import decision, merged, required_codes, sponsorship
 from postflow.functions.places import is_worldwide, offset_of, overlap_hours
-from postflow.functions.text import normalize_company_name
-from postflow.functions.values import annual, convert
+from postflow.functions.text import detect_role_family, normalize_company_name
+from postflow.functions.values import annual, convert, is_recent_batch
 
 #: Levels from lowest to highest. Fixed values.
 LEVELS = ("intern", "junior", "mid", "senior", "staff", "lead", "principal")
@@ -168,6 +168,11 @@ def boost(rules: Rules, signs: dict[str, Column]) -> Column:
     return out
 
 
+def signs(title: Column, batch: Column, year: int) -> dict[str, Column]:
+    """What boosts may look for: a founding role, work on AI, a company of a recent batch."""
+    return {"founding_engineer": F.lower(title).contains("founding"), "tag_ai": detect_role_family(title) == "ai_ml", "recent_batch": is_recent_batch(batch, year)}
+
+
 def judged(df: DataFrame, reasons: list[Column], boosted: Column | None = None) -> DataFrame:
     """Adds verdict: struct(passed, codes, boost)."""
     codes = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
