@@ -92,6 +92,17 @@ def ts7(spark, d):
     return events.queue_outcomes(spark, d, 3).withColumn("released_at", F.col("released_at").cast("timestamp_ntz"))
 
 
+@add(
+    "ts8_breaker",
+    """+ e AS (SELECT *, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
+    s AS (SELECT event_id, event_type, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM e)
+    SELECT event_id, streak, CAST(least(60 * pow(2, streak - 1), 3600) AS BIGINT) AS cooldown, streak >= 3 AS tripped FROM s WHERE event_type = 'error'""",
+)
+def ts8(spark, d):
+    """Errors stand for refusals: a pause after each, and a breaker after three in a row."""
+    return events.breakers(spark, d)
+
+
 @add("ts10_resume", "SELECT event_id, ts, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500) WHERE event_id > (SELECT max(event_id) FROM events) - 300")
 def ts10(spark, d, keep=500, behind=300):
     """A reader resumes after the last event it saw; the log keeps the newest 500."""

@@ -125,6 +125,32 @@ def _since_last(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield rows
 
 
+def _refusals(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The refusals of each user with their number in a row; anything else ends the row. State: users and how many refusals in a row they are at."""
+    rows = pd.concat(list(batches)).sort_values(["user_id", "ts", "event_id"])
+    users, counts = (np.frombuffer(x, np.int64) for x in (state.get if state.exists else (b"", b"")))
+    carried = pd.Series(counts, index=users)
+    refused = (rows["event_type"] == "error").astype(np.int64)
+    answers = (1 - refused).groupby(rows["user_id"]).cumsum()
+    streak = refused.groupby([rows["user_id"], answers]).cumsum()
+    streak = streak.where(answers > 0, streak + rows["user_id"].map(carried).fillna(0).astype(np.int64))
+    now = streak.where(refused == 1, 0).groupby(rows["user_id"]).last()
+    both = pd.concat([carried[~carried.index.isin(now.index)], now])
+    state.update((both.index.to_numpy(np.int64).tobytes(), both.to_numpy(np.int64).tobytes()))
+    out = rows.loc[refused == 1, ["event_id", "user_id"]]
+    yield out.assign(streak=streak[refused == 1].astype(np.int64))
+
+
+def breakers(spark: SparkSession, sf_dir: str, trips_at: int = 3, first: int = 60, longest: int = 3600) -> DataFrame:
+    """(event_id, streak, cooldown, tripped) of refusals: the pause doubles with every refusal in a row, and the breaker trips at `trips_at`."""
+    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("user_id"), F.lit(slots))
+    counted = lambda df: df.withColumn("slot", slot).groupBy("slot").applyInPandasWithState(_refusals, "event_id bigint, user_id bigint, streak bigint", "users binary, counts binary", "append", GroupStateTimeout.NoTimeout)
+    found = drained(event_parts(spark, sf_dir)[:PARTS], counted).drop("pass")
+    cooldown = F.least(F.lit(first) * F.pow(F.lit(2.0), F.col("streak") - 1), F.lit(longest)).cast("bigint")
+    return found.select("event_id", "streak", cooldown.alias("cooldown"), (F.col("streak") >= trips_at).alias("tripped"))
+
+
 def missed_runs(seen: DataFrame, parts: int = PARTS) -> DataFrame:
     """(key, item, at, missed) from (key, item, at): a counter for each item of a board, carried through runs that arrive in turn.
 
