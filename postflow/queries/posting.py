@@ -530,11 +530,12 @@ def t22b(spark, d):
 )
 def g18(spark, d):
     """Pages past the watermark: links in their address name a company's board, links in their body a board of anyone. Boards seen before it are known, half of them without a company."""
-    pages = table(spark, d, "pages").crossJoin(F.broadcast(table(spark, d, "pages").agg(F.floor(F.max("page_id") / 2).alias("w"))))
-    found = lambda text: pages.select("page_id", "w", F.inline(board_hits(text, BANK, ())))
+    pages = table(spark, d, "pages")
+    watermark = (pages.agg(F.max("page_id")).first()[0] or 0) // 2
+    found = lambda text: pages.select("page_id", F.inline(board_hits(text, BANK, ())))
     own = found(F.col("url"))
     body = found(F.concat(F.lit("see https://seen"), F.col("page_id") % 9, F.lit(".example.com/jobs")))
-    past = F.col("page_id") > F.col("w")
+    past = F.col("page_id") > watermark
     hit = lambda df, company: df.where(past).select("provider", "token", F.col("page_id").alias("at"), company.alias("company_id"))
     hits = hit(own, F.col("page_id") % 7).unionByName(hit(body, F.lit(None).cast("bigint")))
     known = own.where(~past).select("provider", "token").distinct().withColumn("company_id", F.when(F.length("token") % 2 == 0, 99).cast("bigint"))

@@ -107,8 +107,8 @@ def ts8(spark, d):
 def ts10(spark, d, keep=500, behind=300):
     """A reader resumes after the last event it saw; the log keeps the newest 500."""
     log = table(spark, d, "events").orderBy(F.desc("event_id")).limit(keep)
-    last = log.agg((F.max("event_id") - behind).alias("last"))
-    return log.crossJoin(F.broadcast(last)).where(F.col("event_id") > F.col("last")).select("event_id", "ts", "event_type")
+    last = (log.agg(F.max("event_id")).first()[0] or 0) - behind
+    return log.where(F.col("event_id") > last).select("event_id", "ts", "event_type")
 
 
 @add(

@@ -254,8 +254,8 @@ def w07(spark, d, grace=2):
     """For each time that a board listed a posting: the runs in a row that missed it afterwards, whether it stayed active, and whether this listing brought it back."""
     seen = numbered(spark, d)
     by = Window.partitionBy("board_id", "job_id").orderBy("nth")
-    last = seen.agg(F.max("nth").alias("last"))
-    df = seen.crossJoin(F.broadcast(last)).withColumns({"missed": F.coalesce(F.lead("nth").over(by), F.col("last") + 1) - F.col("nth") - 1, "before": F.lag("nth").over(by)})
+    last = seen.agg(F.max("nth")).first()[0] or 0
+    df = seen.withColumns({"missed": F.coalesce(F.lead("nth").over(by), F.lit(last + 1)) - F.col("nth") - 1, "before": F.lag("nth").over(by)})
     return df.select("board_id", "job_id", "run", F.col("missed").cast("bigint").alias("missed"), (F.col("missed") < grace).alias("stayed"), F.coalesce(F.col("nth") - F.col("before") > grace, F.lit(False)).alias("reposted"))
 
 
@@ -268,7 +268,8 @@ def w08(spark, d, dead_at=3, least=5):
     """The longest row of failed runs of each board. A run fails that lists fewer than `least` postings there, or none at all; a candidate dies at the first."""
     seen = numbered(spark, d)
     good = seen.groupBy("board_id", "nth").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("board_id", "nth")
-    ends = boards(spark, d).select("board_id").crossJoin(F.broadcast(seen.agg((F.max("nth") + 1).alias("end")))).select("board_id", F.explode(F.array(F.lit(0), "end")).alias("nth"))
+    last = seen.agg(F.max("nth")).first()[0] or 0
+    ends = boards(spark, d).select("board_id", F.explode(F.array(F.lit(0), F.lit(last + 1))).alias("nth"))
     by = Window.partitionBy("board_id").orderBy("nth")
     gaps = good.unionByName(ends).select("board_id", (F.lead("nth").over(by) - F.col("nth") - 1).cast("bigint").alias("streak"))
     worst = gaps.groupBy("board_id").agg(F.max("streak").alias("worst"))
