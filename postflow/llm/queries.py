@@ -8,6 +8,10 @@ from .ngram_join import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
 from .quality_rules import op9_quality_rules
 from .sentencepiece_codec import op3_sentencepiece
+from .source_divergence import SQL as DIVERGENCE_SQL
+from .source_divergence import op11_source_divergence
+from .source_mixing import SQL as MIXING_SQL
+from .source_mixing import op13_mixing_sources
 from .span_dedup import op8_span_dedup
 from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op10_toxicity
@@ -26,6 +30,8 @@ QUERIES = {
         op8_span_dedup,
         op9_quality_rules,
         op10_toxicity,
+        op11_source_divergence,
+        op13_mixing_sources,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_source_divergence": DIVERGENCE_SQL, "op13_mixing_sources": MIXING_SQL}
