@@ -91,6 +91,19 @@ def words(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.nd
     return starts, ends, np.searchsorted(offs, starts, "right") - 1, segment_hash(src, starts, ends)
 
 
+def spelled(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of bytes inside (whole characters) as strings, with the row, start and end of each; they never cross rows."""
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    heads = offs[:-1][offs[:-1] < offs[-1]]
+    head[heads] = inside[heads]
+    tail[:-1] &= head[1:] | ~inside[1:]
+    starts, ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    cut = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    text = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cut), pa.py_buffer(buf[inside])])
+    return text, np.searchsorted(offs, starts, "right") - 1, starts, ends
+
+
 def shingles(word_hash: np.ndarray, word_row: np.ndarray, size: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, hash) of the shingles of `size` words, sorted; a shorter row has its whole sequence as one shingle."""
     counts = np.bincount(word_row, minlength=n_rows)

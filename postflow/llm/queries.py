@@ -6,6 +6,7 @@ from .embedding_dedup import op6_embedding_dedup
 from .license_scan import op2_license_scan
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op5_best_fit_packing
+from .periodic_runs import op12_periodic_runs
 from .quality_rules import op9_quality_rules
 from .sentencepiece_codec import op3_sentencepiece
 from .source_divergence import SQL as DIVERGENCE_SQL
@@ -31,6 +32,7 @@ QUERIES = {
         op9_quality_rules,
         op10_toxicity,
         op11_source_divergence,
+        op12_periodic_runs,
         op13_mixing_sources,
     )
 }
