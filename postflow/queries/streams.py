@@ -59,7 +59,18 @@ def ts3(spark, d):
     seen = numbered(spark, d)
     found = events.missed_runs(seen.select(F.col("board_id").alias("key"), F.col("job_id").alias("item"), F.col("nth").alias("at")))
     runs = seen.select("run", F.col("nth").cast("bigint").alias("at")).distinct()
-    return found.join(F.broadcast(runs), "at").select(F.col("key").alias("board_id"), F.col("item").alias("job_id"), "run", "missed")
+    return found.join(runs, "at").select(F.col("key").alias("board_id"), F.col("item").alias("job_id"), "run", "missed")
+
+
+@add(
+    "ts3_retirements",
+    f"+ {RUNS_SQL}, g AS (SELECT board_id, job_id, nth, coalesce(lead(nth) OVER (PARTITION BY board_id, job_id ORDER BY nth), (SELECT max(nth) FROM runs) + 1) - nth - 1 AS missed FROM seen) SELECT board_id, job_id, nth + 2 AS retired_in FROM g WHERE missed >= 2",
+)
+def ts3_retirements(spark, d):
+    """Each time that two runs in a row missed a posting, the second of them; timers retire what is never listed again."""
+    seen = numbered(spark, d)
+    found = events.retirements(seen.select(F.col("board_id").alias("key"), F.col("job_id").alias("item"), F.col("nth").alias("at")))
+    return found.select(F.col("key").alias("board_id"), F.col("item").alias("job_id"), F.col("at").alias("retired_in"))
 
 
 @add("ts4_error_streaks", f"+ {RUNS_SQL}, good AS (SELECT board_id, nth FROM seen GROUP BY 1, 2 HAVING count(*) >= 5) SELECT board_id, nth, coalesce(nth - lag(nth) OVER (PARTITION BY board_id ORDER BY nth) - 1, -1) AS failed FROM good")
@@ -70,6 +81,17 @@ def ts4(spark, d):
     return found.select(F.col("key").alias("board_id"), F.col("at").alias("nth"), F.col("missed").alias("failed"))
 
 
+@add(
+    "ts4_dead_boards",
+    f"+ {RUNS_SQL}, good AS (SELECT board_id, nth FROM seen GROUP BY 1, 2 HAVING count(*) >= 5), g AS (SELECT board_id, nth, coalesce(lead(nth) OVER (PARTITION BY board_id ORDER BY nth), (SELECT max(nth) FROM good) + 1) - nth - 1 AS failed FROM good) SELECT board_id, nth + 3 AS died_in FROM g WHERE failed >= 3",
+)
+def ts4_dead_boards(spark, d):
+    """The run in which a board failed for the third time in a row; a run fails that lists fewer than five postings there."""
+    good = numbered(spark, d).groupBy("board_id", "nth").agg(F.count("*").alias("n")).where("n >= 5")
+    found = events.retirements(good.select(F.col("board_id").alias("key"), F.col("board_id").alias("item"), F.col("nth").alias("at")), grace=3)
+    return found.select(F.col("key").alias("board_id"), F.col("at").alias("died_in"))
+
+
 @add("ts5_daily_budgets", "SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def ts5(spark, d):
     return events.daily_budgets(spark, d).withColumn("day", F.col("day").cast("timestamp_ntz"))
@@ -103,6 +125,18 @@ def ts8(spark, d):
     return events.breakers(spark, d)
 
 
+@add(
+    "ts8_releases",
+    """+ e AS (SELECT *, count(*) FILTER (WHERE event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
+    s AS (SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM e WHERE event_type = 'error'),
+    u AS (SELECT event_id, user_id, again, ts + to_seconds(CAST(least(60 * pow(2, streak - 1), 3600) AS BIGINT)) AS released_at FROM s)
+    SELECT event_id, user_id, released_at FROM u WHERE again IS NULL OR again >= released_at""",
+)
+def ts8_releases(spark, d):
+    """When requests are let through again after a refusal."""
+    return events.releases(spark, d).withColumn("released_at", F.col("released_at").cast("timestamp_ntz"))
+
+
 @add("ts10_resume", "SELECT event_id, ts, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500) WHERE event_id > (SELECT max(event_id) FROM events) - 300")
 def ts10(spark, d, keep=500, behind=300):
     """A reader resumes after the last event it saw; the log keeps the newest 500."""

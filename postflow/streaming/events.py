@@ -10,15 +10,14 @@ each batch (a replayed batch overwrites its own), and the query gives that table
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from postflow.operators.storage import shared_folder
+from postflow.streaming.states import Absences, Breakers, keyed_state, processed
 
 PARTS = 4
 END = "end"  # the kind of a closing row
@@ -112,54 +111,42 @@ def queue_outcomes(spark: SparkSession, sf_dir: str, days: int = 21, asked: str
     return found.groupBy("event_id").agg(F.min("accepted_at").alias("released_at"))
 
 
-def _since_last(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """How many runs each item of a key was missed for when it comes again (-1: it is new). State: the items and the run each was last in."""
-    rows = pd.concat(list(batches))[["key", "item", "at"]].sort_values("at", kind="stable")
-    stored = state.get if state.exists else (b"", b"", b"")
-    known = pd.DataFrame({c: np.frombuffer(x, np.int64) for c, x in zip(("key", "item", "at"), stored, strict=True)})
-    both = pd.concat([known, rows], ignore_index=True)
-    before = both.groupby(["key", "item"], sort=False)["at"].shift().to_numpy()[len(known) :]
-    newest = both.groupby(["key", "item"], sort=False, as_index=False)["at"].max()
-    state.update(tuple(newest[c].to_numpy(np.int64).tobytes() for c in ("key", "item", "at")))
-    rows["missed"] = np.where(np.isnan(before), -1, rows["at"].to_numpy() - np.nan_to_num(before) - 1).astype(np.int64)
-    yield rows
-
-
-def _refusals(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The refusals of each user with their number in a row; anything else ends the row. State: users and how many refusals in a row they are at."""
-    rows = pd.concat(list(batches)).sort_values(["user_id", "ts", "event_id"])
-    users, counts = (np.frombuffer(x, np.int64) for x in (state.get if state.exists else (b"", b"")))
-    carried = pd.Series(counts, index=users)
-    refused = (rows["event_type"] == "error").astype(np.int64)
-    answers = (1 - refused).groupby(rows["user_id"]).cumsum()
-    streak = refused.groupby([rows["user_id"], answers]).cumsum()
-    streak = streak.where(answers > 0, streak + rows["user_id"].map(carried).fillna(0).astype(np.int64))
-    now = streak.where(refused == 1, 0).groupby(rows["user_id"]).last()
-    both = pd.concat([carried[~carried.index.isin(now.index)], now])
-    state.update((both.index.to_numpy(np.int64).tobytes(), both.to_numpy(np.int64).tobytes()))
-    out = rows.loc[refused == 1, ["event_id", "user_id"]]
-    yield out.assign(streak=streak[refused == 1].astype(np.int64))
+def in_runs(seen: DataFrame, processor: StatefulProcessor, parts: int = PARTS) -> DataFrame:
+    """What a processor of items says of (key, item, at), whose runs `at` arrive in turn; a closing row lets the timers of the last run fire."""
+    spark = seen.sparkSession
+    day = F.timestamp_seconds(F.col("at") * 86_400).alias("ts")
+    rows = seen.select("key", "item", F.col("at").cast("bigint").alias("at"))
+    close = rows.agg((F.max("at") + 1).alias("at")).select(F.lit(-1).cast("bigint").alias("key"), F.lit(-1).cast("bigint").alias("item"), "at").where("at is not null")
+    with keyed_state(spark):
+        return drained(arrivals(rows, "at", parts, close), lambda df: processed(df.select("key", "item", "at", day).withWatermark("ts", "0 seconds"), ["key", "item"], processor), "key >= 0").drop("pass")
+
+
+def missed_runs(seen: DataFrame, parts: int = PARTS, forget: int | None = None) -> DataFrame:
+    """(key, item, at, missed) from (key, item, at): how many runs an item of a board was missed for each time that it is seen."""
+    return in_runs(seen, Absences(forget=forget), parts).where("kind = 'seen'").drop("kind")
+
+
+def retirements(seen: DataFrame, grace: int = 2, parts: int = PARTS) -> DataFrame:
+    """(key, item, at): the runs by which items had been missed `grace` times in a row. Those of the last run come from timers alone."""
+    last = seen.agg(F.max("at")).first()[0] or 0
+    return in_runs(seen, Absences(grace), parts).where((F.col("kind") == "retired") & (F.col("at") <= last)).select("key", "item", "at")
+
+
+def breaker_rows(spark: SparkSession, sf_dir: str, processor: StatefulProcessor) -> DataFrame:
+    counted = lambda df: processed(late_by(df, "0 seconds"), ["user_id"], processor)
+    with keyed_state(spark):
+        return drained(event_parts(spark, sf_dir), counted, "user_id >= 0").drop("pass")
 
 
 def breakers(spark: SparkSession, sf_dir: str, trips_at: int = 3, first: int = 60, longest: int = 3600) -> DataFrame:
     """(event_id, streak, cooldown, tripped) of refusals: the pause doubles with every refusal in a row, and the breaker trips at `trips_at`."""
-    slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.pmod(F.xxhash64("user_id"), F.lit(slots))
-    counted = lambda df: df.withColumn("slot", slot).groupBy("slot").applyInPandasWithState(_refusals, "event_id bigint, user_id bigint, streak bigint", "users binary, counts binary", "append", GroupStateTimeout.NoTimeout)
-    found = drained(event_parts(spark, sf_dir)[:PARTS], counted).drop("pass")
-    cooldown = F.least(F.lit(first) * F.pow(F.lit(2.0), F.col("streak") - 1), F.lit(longest)).cast("bigint")
-    return found.select("event_id", "streak", cooldown.alias("cooldown"), (F.col("streak") >= trips_at).alias("tripped"))
+    found = breaker_rows(spark, sf_dir, Breakers("error", first, longest)).where("kind = 'refused'")
+    return found.select("event_id", "streak", "cooldown", (F.col("streak") >= trips_at).alias("tripped"))
 
 
-def missed_runs(seen: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(key, item, at, missed) from (key, item, at): a counter for each item of a board, carried through runs that arrive in turn.
-
-    Counters lie in slots by a hash of board and item, four for each shuffle partition, so that no board is too large for its task.
-    """
-    slots = 4 * int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.pmod(F.xxhash64("key", "item"), F.lit(slots))
-    counted = lambda df: df.withColumn("slot", slot).groupBy("slot").applyInPandasWithState(_since_last, "key bigint, item bigint, at bigint, missed bigint", "key binary, item binary, last binary", "append", GroupStateTimeout.NoTimeout)
-    return drained(arrivals(seen.select("key", "item", F.col("at").cast("bigint").alias("at")), "at", parts), counted).drop("pass")
+def releases(spark: SparkSession, sf_dir: str, first: int = 60, longest: int = 3600) -> DataFrame:
+    """(event_id, user_id, released_at): the cooldowns that ended before the user was refused again, by the refusal that set them."""
+    return breaker_rows(spark, sf_dir, Breakers("error", first, longest)).where("kind = 'released'").select("event_id", "user_id", F.col("at").alias("released_at"))
 
 
 def in_passes(df: DataFrame, at: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:

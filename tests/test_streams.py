@@ -37,3 +37,40 @@ def test_a_truncated_run_retires_nothing(spark):
     assert got == {(1, 10): (0, True), (1, 11): (2, False), (2, 20): (0, True)}
     back = {(r["board"], r["item"]): (r["missed"], r["is_active"]) for r in events.synced(spark.createDataFrame(rows, "run bigint, board bigint, item bigint, truncated boolean")).collect()}
     assert back[(1, 11)] == (0, True) and back[(1, 10)] == (1, True)
+
+
+SEEN = [(1, 5, 1), (1, 5, 2), (1, 5, 9), (2, 6, 9), (3, 7, 1), (3, 7, 5), (4, 8, 7)]
+
+
+def test_items_are_retired_by_timers(spark):
+    seen = spark.createDataFrame(SEEN, "key bigint, item bigint, at bigint")
+    want = [(1, 5, 4), (3, 7, 3), (3, 7, 7), (4, 8, 9)]
+    for parts in (1, 4):  # rows settle what was due before them, in whatever batch they come
+        assert sorted(tuple(r) for r in events.retirements(seen, parts=parts).collect()) == want
+    assert sorted(tuple(r) for r in events.missed_runs(seen, forget=4).collect() if r["at"] > 2) == [(1, 5, 9, -1), (2, 6, 9, -1), (3, 7, 5, 3), (4, 8, 7, -1)]
+
+
+def test_state_of_forgotten_items_goes(spark, tmp_path):
+    from postflow.streaming.states import Absences, keyed_state, processed
+
+    left = []
+    for at, keys in ((1, range(20)), (2, range(3)), (9, [50]), (10, [50])):
+        spark.createDataFrame([(k, k, at) for k in keys], "key bigint, item bigint, at bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema("key bigint, item bigint, at bigint").parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds(F.col("at") * 86_400)).withWatermark("ts", "0 seconds")
+        with keyed_state(spark):
+            query = processed(rows, ["key", "item"], Absences(forget=4)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            query.awaitTermination()
+        left.append(query.lastProgress["stateOperators"][0]["customMetrics"].get("numValueStateVars") and query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert left[0] > left[-1] > 0
+
+
+def test_cooldowns_end(spark, monkeypatch):
+    from postflow.streaming.states import Breakers
+
+    rows = [(1, at(1), 7, "error"), (2, at(1, 1), 7, "view"), (3, at(2), 7, "error"), (4, at(2), 7, "error"), (5, at(2), 8, "view"), (6, at(3), 8, "error")]
+    whole = spark.createDataFrame(rows, EVENT)
+    end = spark.createDataFrame([(-1, at(28), -1, "end")], EVENT)
+    for parts in (1, 3):
+        monkeypatch.setattr(events, "event_parts", lambda *_, n=parts: events.arrivals(whole, "ts", n, end))
+        got = sorted((r["event_id"], r["kind"], r["streak"], r["cooldown"], r["at"].strftime("%d %H:%M")) for r in events.breaker_rows(spark, "", Breakers()).collect())
+        assert got == [(1, "refused", 1, 60, "01 00:00"), (1, "released", 1, 60, "01 00:01"), (3, "refused", 1, 60, "02 00:00"), (4, "refused", 2, 120, "02 00:00"), (4, "released", 2, 120, "02 00:02"), (6, "refused", 1, 60, "03 00:00"), (6, "released", 1, 60, "03 00:01")]
