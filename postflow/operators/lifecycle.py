@@ -14,12 +14,13 @@ POSTER = ("poster_name", "poster_profile_url")
 PLAIN = ("title", "location_raw")
 
 
-def upserted(stored: DataFrame, listed: DataFrame, key: str = "id") -> DataFrame:
+def upserted(stored: DataFrame, listed: DataFrame, key: str = "id", first: tuple[str, ...] = (), latest: tuple[str, ...] = ()) -> DataFrame:
     """Stored postings (with content_hash, repost_count, missed_runs, is_active) after a listing, and the outcome: new, updated, unchanged or absent.
 
     A listing never takes away: a body that is missing, or poorer than a full one that is stored, leaves all eight fields of the body as
     they are; stated pay outlives its absence; poster fields are kept one by one. Whether anything changed is told by a hash over the body
     that survives. A posting that comes back after it went inactive is a repost. Absent postings are left to the missed-run counter.
+    Of further fields, `first` stay as first stored, and `latest` take each new value that is known.
     """
     both = stored.alias("o").join(listed.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     old, new = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
@@ -34,9 +35,10 @@ def upserted(stored: DataFrame, listed: DataFrame, key: str = "id") -> DataFrame
         return [F.when(keep, old(c)).otherwise(new(c)).alias(c) for c in fields]
 
     poster = [F.coalesce(new(c), old(c)).alias(c) for c in POSTER]
+    further = [F.coalesce(old(c), new(c)).alias(c) for c in first] + [F.coalesce(new(c), old(c)).alias(c) for c in latest]
     was_active = F.coalesce(old("is_active"), F.lit(True))
     kept = [F.when(absent, old("content_hash")).alias("_hash"), is_new.alias("_new"), absent.alias("_absent"), old("content_hash").alias("_old_hash"), was_active.alias("_was_active"), F.coalesce(old("repost_count"), F.lit(0)).alias("_reposts"), F.coalesce(old("missed_runs"), F.lit(0)).alias("_missed")]
-    rows = both.select(F.coalesce(old(key), new(key)).alias(key), *chosen(absent, PLAIN), *chosen(keep_body, BODY), *chosen(keep_pay, PAY), *poster, *kept)
+    rows = both.select(F.coalesce(old(key), new(key)).alias(key), *chosen(absent, PLAIN), *chosen(keep_body, BODY), *chosen(keep_pay, PAY), *poster, *further, *kept)
     rows = rows.withColumn("content_hash", F.coalesce("_hash", content_hash(F.col("title"), F.col("location_raw"), F.col("description_text"))))
     outcome = F.when(F.col("_new"), "new").when(F.col("_absent"), "absent").when(F.col("content_hash") == F.col("_old_hash"), "unchanged").otherwise("updated")
     back = ~F.col("_new") & ~F.col("_absent") & ~F.col("_was_active")

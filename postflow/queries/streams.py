@@ -8,8 +8,12 @@ from postflow.functions.urls import board_hits
 from postflow.queries.posting import BANK, HARVEST_SQL
 from postflow.queries.registry import Family
 from postflow.queries.summaries import RUNS_SQL, numbered
-from postflow.sources.bindings import table
+from postflow.operators.storage import saved
+from postflow.sources.adapters import ADAPTERS
+from postflow.sources.bindings import companies, jobs, pick, table
+from postflow.sources.envelopes import write_envelopes
 from postflow.streaming import events
+from postflow.streaming.sync import RUN_BITS, Sync
 
 family = Family()
 QUERIES, ORACLE, add = family.QUERIES, family.ORACLE, family.add
@@ -41,7 +45,7 @@ SYNC_SQL = f"""i AS (SELECT DISTINCT l_suppkey AS board, l_orderkey AS item FROM
     m AS (SELECT f.*, count(*) FILTER (WHERE b.run > last_run AND NOT truncated) AS missed FROM f JOIN b USING (board) GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY f.board, f.item, f.first_run, f.last_run")
 
 
-@add("ts2_incremental_sync", f"+ {SYNC_SQL} SELECT board, item, first_run, last_run, missed, missed < 2 AS is_active FROM m")
+@add("ts2_incremental_sync", f"+ {SYNC_SQL} SELECT board, item, first_run, last_run, least(missed, 2) AS missed, missed < 2 AS is_active FROM m")
 def ts2(spark, d):
     return events.synced(arriving(spark, d))
 
@@ -53,6 +57,42 @@ def ts13(spark, d):
     return found.groupBy("board").agg(F.count_if(~F.col("is_active")).alias("retired"), F.count("*").alias("stored"))
 
 
+SYNC_TITLES = ("Data Engineer", "data engineer ", "Analyst", "Platform Lead")
+SYNC_LISTED = "(id % 4 <> run) AND (id % 3 <> 0 OR run <> 1)"
+
+
+def crawled(spark, d, source="greenhouse"):
+    """Raw envelopes of three runs over the boards of a feed: each leaves out a fourth of the postings, the second another third; in the third run every fifth board's listing was cut short."""
+    df = jobs(spark, d).join(companies(spark, d).select("company_id", "name"), "company_id").select("id", "company_id", "name", F.floor(F.col("id") / 40).alias("page"))
+    title = F.when((F.col("id") % 9 == 0) & (F.col("run") == 2), "Renamed").otherwise(pick(F.col("id"), SYNC_TITLES))
+    item = F.struct(F.col("id").cast("string").alias("id"), title.alias("title"), F.col("name").alias("company_name"), F.lit("https://jobs.example.com/").alias("absolute_url"))
+    spread = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(SYNC_LISTED)
+    pages = spread.groupBy("run", "page").agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("jobs"))).alias("payload"))
+    none = F.lit(None).cast("string")
+    return pages.select("run", F.concat(F.lit("2001-08-0"), F.col("run") + 1).alias("run_key"), F.lit(source).alias("source"), F.lit(source).alias("provider"), F.concat(F.lit("board-"), "page").alias("token"), F.lit("global").alias("market"), none.cast("bigint").alias("board_id"), none.alias("fetched_at"), "payload", ((F.col("run") == 2) & (F.col("page") % 5 == 0)).alias("truncated"), F.lit(False).alias("refused"))
+
+
+@add(
+    "sync_composed",
+    f"""+ b AS (SELECT id, name, 'board-' || (id // 40) AS board, id // 40 AS page FROM jobs JOIN companies USING (company_id)), l AS (SELECT b.*, run FROM b, (SELECT unnest(range(3)) AS run) WHERE {SYNC_LISTED}),
+    w AS (SELECT page, run, run = 2 AND page % 5 = 0 AS cut FROM l GROUP BY page, run),
+    f AS (SELECT id, name, board, page, min(run) AS first_run, max(run) AS last_run, max(CASE WHEN id % 9 = 0 AND run = 2 THEN 1 ELSE 0 END) = 1 AS renamed FROM l GROUP BY id, name, board, page),
+    s AS (SELECT f.id, f.name, f.board, first_run, last_run, CASE WHEN renamed THEN 'Renamed' ELSE trim({['Data Engineer', 'data engineer ', 'Analyst', 'Platform Lead']}[f.id % 4 + 1]) END AS title, count(*) FILTER (WHERE w.run > last_run AND NOT cut) AS missed FROM f JOIN w USING (page) GROUP BY f.id, f.name, f.board, first_run, last_run, renamed)
+    SELECT id, board, title, '2001-08-0' || (first_run + 1) AS first_run, '2001-08-0' || (last_run + 1) AS last_run, least(missed, 2) AS missed, missed < 2 AS is_active, first_value(id) OVER (PARTITION BY lower(name), lower(title) ORDER BY first_run, id) AS head FROM s""",
+)
+def sync_composed(spark, d, source="greenhouse"):
+    """Raw runs replayed through adapter, upsert, retirement and scoped clustering, two runs first and the third later, from where the first pass stopped."""
+    folder, store = events.fresh(spark, "raw"), events.fresh(spark, "store")
+    sent = saved(crawled(spark, d, source))
+    sync = Sync(spark, store, ADAPTERS[source], number=F.col("external_id").cast("bigint"))
+    for rows in (sent.where("run < 2"), sent.where("run = 2")):
+        write_envelopes(rows.drop("run"), folder)
+        sync.drain(folder, source)
+    number = F.substring_index("id", "|", -1).cast("bigint")
+    head = F.col("head").bitwiseAND(F.lit((1 << RUN_BITS) - 1)).alias("head")
+    return sync.stored().select(number.alias("id"), "board", "title", "first_run", "last_run", F.col("missed_runs").cast("bigint").alias("missed"), "is_active", head)
+
+
 @add("ts3_missed_runs", f"+ {RUNS_SQL} SELECT board_id, job_id, run, coalesce(nth - lag(nth) OVER (PARTITION BY board_id, job_id ORDER BY nth) - 1, -1) AS missed FROM seen")
 def ts3(spark, d):
     """How many runs a posting was missed for when its board lists it again; -1 for its first."""
@@ -139,10 +179,10 @@ def ts8_releases(spark, d):
 
 @add("ts10_resume", "SELECT event_id, ts, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500) WHERE event_id > (SELECT max(event_id) FROM events) - 300")
 def ts10(spark, d, keep=500, behind=300):
-    """A reader resumes after the last event it saw; the log keeps the newest 500."""
-    log = table(spark, d, "events").orderBy(F.desc("event_id")).limit(keep)
-    last = (log.agg(F.max("event_id")).first()[0] or 0) - behind
-    return log.where(F.col("event_id") > last).select("event_id", "ts", "event_type")
+    """A reader of the event log stops and resumes after the last event it saw; the log answers for its newest 500."""
+    log = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    found = events.resumed(log, F.col("seq") <= (log.agg(F.max("seq")).first()[0] or 0) - behind, keep)
+    return found.select(F.col("seq").alias("event_id"), F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "event_type")
 
 
 @add(

@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from postflow.operators.storage import shared_folder
+from postflow.operators.storage import saved, shared_folder
+from postflow.sources.envelopes import write_envelopes
+from postflow.sources.logs import append_events, event_stream
 from postflow.streaming.states import Absences, Breakers, keyed_state, processed
+from postflow.streaming.sync import Sync
 
 PARTS = 4
 END = "end"  # the kind of a closing row
@@ -155,31 +158,49 @@ def in_passes(df: DataFrame, at: str, read: Callable[[DataFrame], DataFrame]) ->
     return drained([df.where(F.col(at) <= middle), df.where(F.col(at) > middle)], read)
 
 
-def synced(runs: DataFrame, grace: int = 2) -> DataFrame:
-    """The stored postings (board, item, first_run, last_run, missed, is_active) after runs (run, board, item, truncated) arrived one by one.
+def resumed(log: DataFrame, early: Column, keep: int = 500) -> DataFrame:
+    """What a reader of the event log gets once it resumes: it has read the early events, stopped, and the others have been appended since."""
+    spark = log.sparkSession
+    folder, out = fresh(spark, "log"), fresh(spark, "read")
+    for k, rows in enumerate((log.where(early), log.where(~early))):
+        append_events(rows, folder)
 
-    Each batch is one run: listed postings are stored or seen again, the others of a board that was listed whole miss one more run and go
-    inactive at `grace`. A listing that was cut short, or a board that was not listed at all, retires nothing.
+        def put(batch: DataFrame, number: int, to: str = f"{out}/pass={k}") -> None:
+            batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
+
+        put(spark.createDataFrame([], log.schema), -1)
+        stream = event_stream(spark, folder, log.schema, keep).writeStream.option("checkpointLocation", f"{out}-state")
+        stream.trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.parquet(f"{out}/pass=1").drop("batch")
+
+
+ITEMS = "items"  # the source of envelopes whose payload is a list of ids
+
+
+def listed_items(envelopes: DataFrame) -> DataFrame:
+    """Postings of envelopes whose payload is a JSON list of ids."""
+    found = envelopes.select("run_key", "source", "token", F.explode(F.from_json("payload", "array<string>")).alias("external_id"))
+    return found.withColumns({"title": F.concat_ws("|", "token", "external_id"), "location_raw": F.lit(None).cast("string")})
+
+
+def synced(runs: DataFrame, grace: int = 2, phases: int = 2, page: int = 1000) -> DataFrame:
+    """The stored postings (board, item, first_run, last_run, missed, is_active) after runs (run, board, item, truncated), sent as envelopes in phases.
+
+    Listed postings are stored or seen again; the others of a board that was listed whole miss one more run, and go inactive at `grace`.
+    A listing that was cut short, or a board that was not listed at all, retires nothing.
     """
     spark = runs.sparkSession
     folder, store = fresh(spark, "runs"), fresh(spark, "store")
-    numbers = [r["run"] for r in runs.select("run").distinct().orderBy("run").collect()]
-    schema = "board bigint, item bigint, first_run bigint, last_run bigint, missed bigint, is_active boolean"
-    spark.createDataFrame([], schema).write.parquet(f"{store}/v=0")
-
-    def put(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{store}/v={number}")
-        whole = batch.groupBy(F.col("board").alias("of")).agg((~F.bool_or("truncated")).alias("whole"))
-        listed = batch.select("board", F.col("run").cast("bigint").alias("run"), "item")
-        both = old.join(listed, ["board", "item"], "full").join(whole, F.col("board") == F.col("of"), "left")
-        seen, missing = F.col("run").isNotNull(), F.col("run").isNull() & F.coalesce("whole", F.lit(False))
-        missed = F.when(seen, 0).when(missing, F.col("missed") + 1).otherwise(F.col("missed"))
-        active = F.when(seen, True).when(missing & (F.col("missed") + 1 >= grace), False).otherwise(F.col("is_active"))
-        new = both.select("board", "item", F.coalesce("first_run", "run").alias("first_run"), F.coalesce("run", "last_run").alias("last_run"), missed.cast("bigint").alias("missed"), active.alias("is_active"))
-        new.write.mode("overwrite").parquet(f"{store}/v={number + 1}")
-
-    for n in numbers:
-        runs.where(F.col("run") == n).write.mode("append").parquet(folder)
-        source = spark.readStream.schema(runs.schema).parquet(folder)
-        source.writeStream.option("checkpointLocation", f"{store}-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{store}/v={len(numbers)}")
+    items = F.to_json(F.sort_array(F.collect_list(F.col("item").cast("string"))))
+    pages = runs.groupBy("run", "board", F.floor(F.col("item") / page).alias("page")).agg(items.alias("payload"), F.bool_or("truncated").alias("truncated"))
+    none = F.lit(None).cast("string")
+    sent = saved(pages.select("run", F.lpad(F.col("run").cast("string"), 12, "0").alias("run_key"), F.lit(ITEMS).alias("source"), F.lit(ITEMS).alias("provider"), F.col("board").cast("string").alias("token"), F.lit("global").alias("market"), none.cast("bigint").alias("board_id"), none.alias("fetched_at"), "payload", "truncated", F.lit(False).alias("refused")))
+    low, high = sent.agg(F.min("run"), F.max("run")).first()
+    sync = Sync(spark, store, listed_items, grace=grace)
+    for k in range(phases):
+        until = F.col("run") * phases < F.lit((low or 0) * phases + ((high or 0) - (low or 0) + 1) * (k + 1))
+        since = F.col("run") * phases >= F.lit((low or 0) * phases + ((high or 0) - (low or 0) + 1) * k)
+        write_envelopes(sent.where(until & since).drop("run"), folder)
+        sync.drain(folder, ITEMS)
+    item = F.substring_index("id", "|", -1).cast("bigint")
+    return sync.stored().select(F.col("board").cast("bigint").alias("board"), item.alias("item"), F.col("first_run").cast("bigint").alias("first_run"), F.col("last_run").cast("bigint").alias("last_run"), F.col("missed_runs").cast("bigint").alias("missed"), "is_active")
