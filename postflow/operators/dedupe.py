@@ -7,15 +7,17 @@ a 64-bit hash of the description as hi and lo (null: no description) and three d
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postflow.operators.storage import saved
 
-TILE = 2048  # classes of a block that are compared at once with as many others
+TILE = 32768  # classes of a block that one task walks
 KIND = ("block", "hi", "lo", "country", "city", "seniority")
 
 
@@ -43,74 +45,178 @@ def classes_of(records: DataFrame) -> DataFrame:
     return records.groupBy(F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).agg(F.min("key").alias("rep"), *(F.first(c).alias(c) for c in KIND))
 
 
-def near_pairs(classes: DataFrame, max_distance: int = 12, tile: int = TILE) -> DataFrame:
-    """(u, v): adjacent classes, u the earlier. Neither discriminator conflicts, and the hashes differ in at most max_distance bits or one is unknown.
-
-    A block's classes are dealt into parts of about `tile`; two parts are compared inside one task by XOR and bit counts, so a large
-    block costs rows in proportion to its parts, not to its pairs.
+class Compared:
+    """Records of one or more blocks as arrays: hashes as 64-bit words, discriminators as codes, the words of cities as bit rows."""
+
+    def __init__(self, table: pa.Table):
+        code = lambda c: table[c].combine_chunks().dictionary_encode()
+
+        def known(column: str) -> np.ndarray:
+            """A code for each value; -1 for unknown ones."""
+            coded = code(column)
+            values = np.array([-1 if not x else k for k, x in enumerate(coded.dictionary.to_pylist())] + [-1])
+            return values[coded.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False)]
+
+        self.rep = table["rep"].to_numpy()
+        half = lambda c: table[c].fill_null(0).to_numpy().astype(np.uint64)
+        self.value = (half("hi") << np.uint64(32)) | half("lo")
+        self.blank = pa.compute.is_null(table["hi"]).to_numpy()
+        self.country, self.level = known("country"), known("seniority")
+        coded = code("city")
+        words = [sorted(set(re.findall("[a-z0-9]+", (x or "").lower()))) for x in coded.dictionary.to_pylist()] + [[]]
+        self.city = coded.indices.fill_null(len(words) - 1).to_numpy(zero_copy_only=False)
+        place = {w: k for k, w in enumerate(sorted({w for x in words for w in x}))}
+        self.bits = np.zeros((len(words), max(1, -(-len(place) // 64))), np.uint64)
+        for k, x in enumerate(words):
+            for w in x:
+                self.bits[k, place[w] // 64] |= np.uint64(1) << np.uint64(place[w] % 64)
+
+    def cities_apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether neither of two cities' words contain the other's, for codes x against codes y; a city without words is unknown."""
+        a, b = self.bits[x], self.bits[y]
+        rest, other = np.zeros((len(x), len(y)), bool), np.zeros((len(x), len(y)), bool)
+        for k in range(self.bits.shape[1]):
+            rest |= (a[:, k][:, None] & ~b[:, k]) != 0
+            other |= (b[:, k] & ~a[:, k][:, None]) != 0
+        return rest & other & a.any(1)[:, None] & b.any(1)
+
+    def adjacent(self, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+        """Which records x are adjacent to which records y (places): no discriminator conflicts, and the hashes are close or one is unknown."""
+        differ = lambda z: (z[x][:, None] != z[y]) & (z[x][:, None] >= 0) & (z[y] >= 0)
+        close = (np.bitwise_count(self.value[x][:, None] ^ self.value[y]) <= most) | self.blank[x][:, None] | self.blank[y]
+        cx, at_x = np.unique(self.city[x], return_inverse=True)
+        cy, at_y = np.unique(self.city[y], return_inverse=True)
+        return close & ~differ(self.country) & ~differ(self.level) & ~self.cities_apart(cx, cy)[at_x][:, at_y]
+
+
+ACROSS = 4096  # records compared at once with STEP others
+STEP = 256
+
+
+def first_adjacent(c: Compared, heads: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """For each record y the place of its first adjacent head in `heads`, -1 if there is none."""
+    out = np.full(len(y), -1)
+    for i in range(0, len(y), ACROSS):
+        part = slice(i, i + ACROSS)
+        for j in range(0, len(heads), STEP):
+            live = np.flatnonzero(out[part] < 0)
+            if not len(live):
+                break
+            near = c.adjacent(heads[j : j + STEP], y[part][live], most)
+            hit = near.any(0)
+            out[i + live[hit]] = heads[j + near.argmax(0)[hit]]
+    return out
+
+
+def walk(c: Compared, order: np.ndarray, most: int) -> np.ndarray:
+    """For the records of a block, earliest first, the place of each one's head: the first head it is adjacent to, or itself.
+
+    The earliest STEP records that are still open settle among themselves; those that become heads then take what they can of the rest.
     """
-    parts = classes.groupBy("block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("k"))
-    dealt = classes.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "k").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat_ws("-", F.least("part", i), F.greatest("part", i)))
-    spread = dealt.select("rep", "hi", "lo", "country", "city", "seniority", "block", F.explode(pairs).alias("tile"))
-    rows = classes.count()
-    bundled = spread.withColumn("bundle", F.pmod(F.xxhash64("block", "tile"), F.lit(max(1, rows // (2 * tile)))))
-    return bundled.groupBy("bundle").applyInArrow(lambda _, table: _adjacent(table, max_distance), "u bigint, v bigint")
-
-
-def _adjacent(table: pa.Table, max_distance: int) -> pa.Table:
-    table = table.sort_by([("block", "ascending"), ("tile", "ascending"), ("rep", "ascending")])
-    code = lambda c: table[c].combine_chunks().dictionary_encode()
-    place = lambda c: code(c).indices.to_numpy(zero_copy_only=False)
-    known = lambda c: np.array([-1 if not x else k for k, x in enumerate(code(c).dictionary.to_pylist())] + [-1])[np.nan_to_num(place(c).astype(float), nan=-1).astype(np.int64)]
-    rep = table["rep"].to_numpy()
-    value = (table["hi"].fill_null(0).to_numpy().astype(np.uint64) << np.uint64(32)) | table["lo"].fill_null(0).to_numpy().astype(np.uint64)
-    blank = pa.compute.is_null(table["hi"]).to_numpy()
-    country, level = known("country"), known("seniority")
-    cities = [set(re.findall("[a-z0-9]+", (x or "").lower())) for x in code("city").dictionary.to_pylist()]
-    city = np.nan_to_num(place("city").astype(float), nan=-1).astype(np.int64)
-    block, tile = place("block"), place("tile")
-    at = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (tile[1:] != tile[:-1])]) if len(rep) else np.zeros(0, np.int64)
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in zip(at, np.r_[at[1:], len(rep)], strict=True):
-        own = np.unique(city[i:j])
-        apart = np.zeros((len(own), len(own)), bool)
-        for a, x in enumerate(own):
-            for b, y in enumerate(own):
-                p, q = cities[x] if x >= 0 else set(), cities[y] if y >= 0 else set()
-                apart[a, b] = bool(p and q and not (p <= q or q <= p))
-        c = np.searchsorted(own, city[i:j])
-        for a in range(i, j, 256):
-            x, y = slice(a, min(a + 256, j)), slice(a, j)
-            differ = lambda z: (z[x][:, None] != z[y]) & (z[x][:, None] >= 0) & (z[y] >= 0)
-            close = (np.bitwise_count(value[x][:, None] ^ value[y]) <= max_distance) | blank[x][:, None] | blank[y]
-            close &= ~differ(country) & ~differ(level) & ~apart[c[x.start - i : x.stop - i][:, None], c[x.start - i :]] & (rep[x][:, None] < rep[y])
-            m, n = np.nonzero(close)
-            us.append(rep[a + m])
-            vs.append(rep[a + n])
-    out = pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
-    return out.group_by(["u", "v"]).aggregate([])
+    head = np.full(len(order), -1)
+    left = np.arange(len(order))
+    while len(left):
+        now, left = left[:STEP], left[STEP:]
+        near = c.adjacent(order[now], order[now], most)
+        heads: list[int] = []
+        for k, place in enumerate(now):
+            first = next((h for h in heads if near[h, k]), None)
+            head[place] = order[place] if first is None else order[now[first]]
+            if first is None:
+                heads.append(k)
+        found = first_adjacent(c, order[now[heads]], order[left], most)
+        head[left] = found
+        left = left[found < 0]
+    return head
+
+
+FIELDS = ("rep", *KIND)
 
 
 def clustered(records: DataFrame, max_distance: int = 12, tile: int = TILE) -> DataFrame:
-    """(key, head) of every record."""
+    """(key, head) of every record: the heads of a walk through each block, earliest record first.
+
+    Classes of blocks of up to `tile` are walked inside one task. A larger block goes round by round: its earliest `tile` open classes are
+    walked, and only their heads are sent to the parts of the block that are still open, which keep what is not adjacent to any. Every
+    round settles a tile at least, and a block of near copies is settled by its first heads: no pair of records ever becomes a row.
+    """
     classes = saved(classes_of(records))
-    heads = greedy_heads(classes.select(F.col("rep").alias("key")), near_pairs(classes, max_distance, tile))
-    named = classes.select("class", F.col("rep").alias("rep_")).join(heads.withColumnRenamed("key", "rep_"), "rep_").select("class", "head")
+    rows = classes.count()
+    sized = saved(classes.join(classes.groupBy("block").agg(F.count("*").alias("n")), "block").select("n", *FIELDS))
+    small = sized.where(F.col("n") <= tile).drop("n").withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(max(1, rows // tile))))
+    told = [_walked(small, "bundle", max_distance)]
+    open_ = sized.where(F.col("n") > tile).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile)).cast("int"))
+    while not open_.isEmpty():
+        early = open_.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("rep"))).where(F.col("nth") <= tile).select(*FIELDS)
+        settled = saved(_walked(early, "block", max_distance))
+        told.append(settled)
+        heads = early.join(settled.where("rep = head").select("rep"), "rep", "left_semi")
+        rest = open_.join(settled.select("rep"), "rep", "left_anti")
+        parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / tile).cast("int") - 1)).alias("part")
+        sent = saved(heads.join(open_.select("block", "n").distinct(), "block").select(*FIELDS, parts))
+        found = saved(rest.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInArrow(_taken(max_distance), "rep bigint, head bigint"))
+        told.append(found.where("head is not null"))
+        open_ = saved(rest.join(found.where("head is null").select("rep"), "rep", "left_semi"))
+    heads = saved(reduce(DataFrame.unionByName, told))
+    named = classes.select("class", "rep").join(heads, "rep").select("class", "head")
     return records.select("key", F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).join(named, "class").select("key", "head")
 
 
-def greedy_heads(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, head). The heads are the lexicographically first maximal independent set of the graph of pairs.
+def _walked(df: DataFrame, by: str, most: int) -> DataFrame:
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("rep", "ascending")])
+        c = Compared(table)
+        block = table["block"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
+        heads = [walk(c, np.arange(i, j), most) for i, j in zip(cut, cut[1:], strict=False)]
+        return pa.table({"rep": pa.array(c.rep, pa.int64()), "head": pa.array(c.rep[np.concatenate([np.zeros(0, np.int64), *heads]).astype(np.int64)], pa.int64())})
+
+    return df.groupBy(by).applyInArrow(settle, "rep bigint, head bigint")
 
-    A record is a head once all its earlier neighbours are known not to be, and no head once one of them is. Rounds end when nothing is
-    open; their number is the longest chain of such decisions.
+
+def _taken(most: int):
+    def take(rest: pa.Table, heads: pa.Table) -> pa.Table:
+        """The open records of a part with the first new head each is adjacent to; null for those that stay open."""
+        heads = heads.sort_by("rep").select(list(FIELDS))
+        c = Compared(pa.concat_tables([heads, rest.select(list(FIELDS))]))
+        n = heads.num_rows
+        found = first_adjacent(c, np.arange(n), np.arange(n, len(c.rep)), most)
+        return pa.table({"rep": pa.array(c.rep[n:], pa.int64()), "head": pa.array(c.rep[found], pa.int64(), mask=found < 0)})
+
+    return take
+
+
+def linked(records: DataFrame, max_distance: int = 12, tile: int = 2048) -> DataFrame:
+    """(key, rep, links) of every record: the earliest record of its class, and how many others it is adjacent to.
+
+    A block's classes are dealt into parts of about `tile`, and each two parts are compared inside one task, which counts. A block gives
+    a row for each class and part, however many of its pairs are adjacent.
     """
-    edges = saved(pairs.distinct())
-    state = saved(records.select("key").join(edges.select(F.col("v").alias("key")).distinct().withColumn("open", F.lit(True)), "key", "left").select("key", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(True).alias("is_head")))
-    while not state.where("is_head is null").isEmpty():
-        before = edges.join(state.withColumnsRenamed({"key": "u", "is_head": "u_head"}), "u")
-        seen = before.groupBy(F.col("v").alias("key")).agg(F.bool_or(F.coalesce("u_head", F.lit(False))).alias("covered"), F.bool_and(F.coalesce(~F.col("u_head"), F.lit(False))).alias("free"))
-        state = saved(state.join(seen, "key", "left").select("key", F.coalesce("is_head", F.when(F.col("covered"), False).when(F.col("free"), True)).alias("is_head")))
-    heads = edges.join(state.where("is_head").select(F.col("key").alias("u")), "u").groupBy(F.col("v").alias("key")).agg(F.min("u").alias("head"))
-    return state.join(heads, "key", "left").select("key", F.when(F.col("is_head"), F.col("key")).otherwise(F.col("head")).alias("head"))
+    classes = saved(records.groupBy(F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).agg(F.min("key").alias("rep"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in KIND)))
+    parts = classes.groupBy("block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("k"))
+    dealt = classes.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "k").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat_ws("-", F.least("part", i), F.greatest("part", i)))
+    spread = dealt.select(*FIELDS, "times", "part", F.explode(pairs).alias("tile"))
+    bundled = spread.withColumn("bundle", F.pmod(F.xxhash64("block", "tile"), F.lit(max(1, classes.count() // (2 * tile)))))
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("tile", "ascending"), ("part", "ascending"), ("rep", "ascending")])
+        c = Compared(table)
+        codes = [table[x].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for x in ("block", "tile")]
+        part, times, links = table["part"].to_numpy(), table["times"].to_numpy(), np.zeros(table.num_rows, np.int64)
+        cut = np.flatnonzero(np.r_[True, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1]), True]) if table.num_rows else np.zeros(1, np.int64)
+        for i, j in zip(cut, cut[1:], strict=False):
+            m = i + int(np.searchsorted(part[i:j], part[i], "right"))  # two different parts are compared with each other only
+            x, y = (np.arange(i, m), np.arange(m, j)) if m < j else (np.arange(i, j), np.arange(i, j))
+            for a in range(0, len(x), STEP):
+                near = c.adjacent(x[a : a + STEP], y, max_distance)
+                if m == j:
+                    near[np.arange(len(near)), a + np.arange(len(near))] = False
+                else:
+                    links[y] += times[x[a : a + STEP]] @ near
+                links[x[a : a + STEP]] += near @ times[y]
+        return pa.table({"rep": pa.array(c.rep, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    counted = bundled.groupBy("bundle").applyInArrow(count, "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
+    named = classes.select("class", "rep", "times").join(counted, "rep").select("class", "rep", (F.col("links") + F.col("times") - 1).alias("links"))
+    return records.select("key", F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).join(named, "class").select("key", "rep", "links")

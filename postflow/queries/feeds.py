@@ -17,6 +17,7 @@ from postflow.sources import ledger
 from postflow.sources.adapters import ADAPTERS, clean_profile_url, clean_url
 from postflow.sources.bindings import boards, companies, jobs, listings, now, pick, table, titles
 from postflow.sources.envelopes import crawl_hits, guessed_boards, is_truncated, newest, printed_items, rates_in_use, read_through, scan_envelopes, search_refs, seeded, valid_verdicts, verdict_items, write_envelopes
+from postflow.sources.logs import envelopes_at
 
 family = Family()
 QUERIES, ORACLE, add = family.QUERIES, family.ORACLE, family.add
@@ -251,7 +252,7 @@ def s02(spark, d):
     """One run replayed from its envelopes, without fetching: postings of each board."""
     folder = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
     write_envelopes(all_envelopes(spark, d), folder)
-    found = ADAPTERS["remotive"](scan_envelopes(spark, folder, "remotive", RUN))
+    found = ADAPTERS["remotive"](envelopes_at(spark, folder, (F.col("source") == "remotive") & (F.col("run_key") == RUN)))
     return found.groupBy("token").agg(F.count("*").alias("postings"))
 
 

@@ -69,7 +69,9 @@ class EnvelopeFolder:
         store, _ = opened(self.path)
         return [EnvelopeFile(path, s, r) for s, r, folder in runs for path in files(store, folder, ".json")]
 
-    def read(self, partition: EnvelopeFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: EnvelopeFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # nothing was found
+            return
         store, _ = opened(self.path)
         schema, held = to_arrow_schema(self.schema), []
         kinds = {f.name: f.dataType.simpleString() for f in self.schema.fields}
@@ -184,7 +186,9 @@ class EventSegments:
         held = [p for (k, p), (after_it, _) in zip(segments, [*segments[1:], (None, "")], strict=True) if k <= upto and (after_it is None or after_it > after)]
         return [Segment(path, after, upto) for folder in held for path in files(store, folder, ".parquet")]
 
-    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Segment | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
         store, _ = opened(self.path)
         seq = ds.field("seq")
         table = ds.dataset(partition.path, filesystem=store, format="parquet").to_table(columns=self.schema.names, filter=(seq > partition.after) & (seq <= partition.upto))

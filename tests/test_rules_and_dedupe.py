@@ -82,7 +82,28 @@ def test_clusters_are_those_of_the_greedy_walk(spark, tile):
 
 
 def test_clusters_of_nothing(spark):
-    assert dedupe.clustered(spark.createDataFrame([], RECORD)).count() == 0
+    assert dedupe.clustered(spark.createDataFrame([], RECORD)).count() == 0 == dedupe.linked(spark.createDataFrame([], RECORD)).count()
+
+
+@pytest.mark.parametrize("tile", [16, 2048])
+def test_links_are_counted(spark, tile):
+    rows = records(120)
+    kind = {}
+    for r in rows:
+        kind.setdefault(r[1:], r[0])
+    near = lambda a, b: a[1] == b[1] and greedy([(0, *a[1:]), (1, *b[1:])])[1] == 0
+    want = sorted((a[0], kind[a[1:]], sum(near(a, b) for b in rows if b[0] != a[0])) for a in rows)
+    got = dedupe.linked(spark.createDataFrame(rows[::-1], RECORD).repartition(3), tile=tile)
+    assert sorted(tuple(r) for r in got.select("key", "rep", "links").collect()) == want
+
+
+def test_a_dense_block_costs_rows_in_proportion(spark):
+    """20,000 different near copies, of which every second has no hash: one head, and no row for a pair."""
+    rows = [(i, "b", None if i % 2 else i % 64, None if i % 2 else 1 << (i % 31), None, f"City {i}" if i % 2 else None, None) for i in range(20_000)]
+    rows = [(*r[:5], None, r[6]) if i % 4 == 1 else r for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, RECORD)
+    heads = {r["key"]: r["head"] for r in dedupe.clustered(df, tile=512).collect()}
+    assert len(heads) == 20_000 and set(heads.values()) == {0}
 
 
 def test_authorisation_sentences(spark):
