@@ -9,12 +9,12 @@
    probe is the class whose probes are most common around it, and a class belongs to the regions of its probes' pivots. Each class is
    first compared with the pivot that it shares most rare probes with; classes within 1 - t are linked to it, and a region whose classes
    are all connected by then has nothing more to say.
-3. Recursion (`divided`). A region too large for one task is cut into Voronoi cells of pivots drawn from it. A class goes home to its
-   nearest pivot p, and is copied into the cell of another pivot q if its distance to q is at most the distance to p plus 2 (1 - t), and
+3. Recursion. A region of more than LEAF classes is cut into Voronoi cells of pivots drawn from it: by Spark (`divided`) where it is too
+   large for one task, inside the task (`cells`) else. A class goes home to its nearest pivot p, and is copied into the cell of another pivot q if its distance to q is at most the distance to p plus 2 (1 - t), and
    at most the radius of q's cell plus 1 - t: by the triangle inequality, no partner of a class at home in q lies beyond. Cells that are
    still too large are cut again; a region that its windows do not part (all of its classes are about equally far from each other) is
    compared block by block.
-4. A region, cell or pair of blocks is joined exactly in one task (`forest`), which gives a spanning forest of its links, never pairs.
+4. A region or pair of blocks is joined exactly in one task (`forest`), which gives a spanning forest of its links, never pairs.
 
 A component is named by its smallest document id. Nothing is sampled or capped.
 
@@ -38,6 +38,7 @@ from .kernels import U64, mix64, ranges, shingles, slices, utf8, words
 
 TILE = 1 << 20  # shingles that a task compares at once
 PIVOTS = 16  # of a region that is cut
+LEAF = 64  # classes that are compared without cutting further
 ROWS = 1024  # of a block inside a task
 SETS = "doc_id bigint, n bigint, same binary, tokens binary"
 
@@ -137,27 +138,71 @@ def overlaps(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, weight.astype(np.float32)
 
 
+def jaccard_distances(x: list[np.ndarray], n: np.ndarray, y: list[np.ndarray], m: np.ndarray) -> np.ndarray:
+    """The distances of sets x (of n shingles in all) to sets y (of m); what is not among the usable shingles is in no intersection."""
+    both = np.zeros((len(x), len(y)), np.float32)
+    for left, right in shared_parts(x, y):
+        both += left @ right.T
+    both = both.astype(np.float64)
+    return 1 - both / np.maximum(n[:, None] + m - both, 1)
+
+
+def cells(far: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The Voronoi cells of pivots, with copies of boundary classes, as rows of far (class by pivot).
+
+    A class is at home with its nearest pivot. A partner of a class at home in cell q is at most 1 - t from it, so its distance to q is at most
+    that to its own nearest pivot plus 2 (1 - t), and at most the radius of the cell plus 1 - t.
+    """
+    eps = 1 - percent / 100 + 1e-6
+    home = far.argmin(1)
+    own = home[:, None] == np.arange(far.shape[1])
+    radius = np.where(own, far, -1.0).max(0)
+    inside = own | ((far <= far.min(1)[:, None] + 2 * eps) & (far <= radius + eps))
+    return [np.flatnonzero(inside[:, k]) for k in range(far.shape[1]) if own[:, k].any()]
+
+
 def forest(rep: np.ndarray, group: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the groups of a region as all links of its classes would. Groups are connected already."""
+    """Links that join the groups of a region as all links of its classes would. Groups are connected already.
+
+    A region of more than LEAF classes is cut into Voronoi cells, again and again; cells that their windows do not part are compared as they are.
+    """
     order = np.argsort(n, kind="stable")
     rep, group, n, tokens = rep[order], np.unique(group[order], return_inverse=True)[1], n[order], [tokens[i] for i in order]
+    links: list[tuple[int, int]] = []
+    spread = mix64(rep.astype(U64))
+    open_ = [(np.arange(len(rep)), None)]
+    while open_:
+        own, before = open_.pop()
+        if group[own].min() == group[own].max():
+            continue
+        if len(own) <= LEAF or (before is not None and len(own) > 0.9 * before):
+            links += between(own, rep, group, n, tokens, percent)
+            continue
+        centres = own[np.sort(np.argsort(spread[own], kind="stable")[:PIVOTS])]
+        far = np.concatenate([jaccard_distances([tokens[i] for i in own[a : a + ROWS]], n[own[a : a + ROWS]], [tokens[i] for i in centres], n[centres]) for a in range(0, len(own), ROWS)])
+        open_ += [(own[cell], len(own)) for cell in cells(far, percent)]
+    return links
+
+
+def between(own: np.ndarray, rep: np.ndarray, group: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the groups of the classes `own` (places, by size) as all their links would; joined groups get one name."""
     links = []
-    for a in range(0, len(rep), ROWS):
-        for b in range(a, len(rep), ROWS):
-            i, j = slice(a, min(a + ROWS, len(rep))), slice(b, min(b + ROWS, len(rep)))
-            if percent * n[b] > 100 * n[i.stop - 1] or (group[i].min() == group[j].max() and group[i].max() == group[j].min()):
+    for a in range(0, len(own), ROWS):
+        for b in range(a, len(own), ROWS):
+            i, j = own[a : a + ROWS], own[b : b + ROWS]
+            if percent * n[j[0]] > 100 * n[i[-1]] or (group[i].min() == group[j].max() and group[i].max() == group[j].min()):
                 continue
-            both = np.zeros((i.stop - a, j.stop - b), np.float32)
-            for x, y in shared_parts(tokens[i], tokens[j] if a != b else None):
+            both = np.zeros((len(i), len(j)), np.float32)
+            for x, y in shared_parts([tokens[k] for k in i], [tokens[k] for k in j] if a != b else None):
                 both += x @ y.T
             link = both.astype(np.int64) * (100 + percent) >= percent * (n[i][:, None] + n[j])
             for k in np.flatnonzero((link & (group[i][:, None] != group[j])).any(1)):
-                near = b + np.flatnonzero(link[k])
-                near = near[group[near] != group[a + k]]
+                near = j[link[k]]
+                near = near[group[near] != group[i[k]]]
                 if len(near):
                     others, first = np.unique(group[near], return_index=True)
-                    links += [(int(rep[a + k]), int(rep[x])) for x in near[first]]
-                    group[np.isin(group, others)] = group[a + k]
+                    links += [(int(rep[i[k]]), int(rep[x])) for x in near[first]]
+                    group[np.isin(group, others)] = group[i[k]]
     return links
 
 

@@ -49,8 +49,10 @@ def test_large_groups(spark, n, tile):
     assert sorted(map(tuple, ngram_join.join(docs, 4, 85, tile=tile).collect())) == want
 
 
-def test_region_in_blocks(monkeypatch):
+@pytest.mark.parametrize("leaf", [8, 1000])
+def test_region_in_cells_and_blocks(monkeypatch, leaf):
     monkeypatch.setattr(ngram_join, "ROWS", 16)
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
     r = np.random.default_rng(2)
     tokens = [np.unique(r.integers(0, 60, int(r.integers(1, 50)))).astype(np.uint64) for _ in range(120)]
     n = np.array([len(t) for t in tokens])
@@ -58,3 +60,29 @@ def test_region_in_blocks(monkeypatch):
     sets = [set(t.tolist()) for t in tokens]
     want = [(i, j) for i in range(120) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])]
     assert brute.components(range(120), links) == brute.components(range(120), want) and len(links) < 120
+
+
+def test_cells_part_a_region_and_lose_no_link(monkeypatch):
+    """Forty families of near copies, told apart by pivots: windows copy few classes, and every link lies inside a cell."""
+    r = np.random.default_rng(5)
+    sets = []
+    for f in range(40):
+        base = set((1000 * f + np.arange(60)).tolist()) | set(range(-20, 0))
+        for _ in range(12):
+            own = set(base)
+            for k in r.choice(60, int(r.integers(0, 9)), replace=False):
+                own.discard(1000 * f + int(k))
+            sets.append(own)
+    tokens = [np.sort(np.array(list(x), np.int64).astype(np.uint64)) for x in sets]
+    n = np.array([len(t) for t in tokens])
+    far = ngram_join.jaccard_distances(tokens, n, tokens[:96:6], n[:96:6])
+    assert np.allclose(far[5, 1], 1 - len(sets[5] & sets[6]) / len(sets[5] | sets[6]))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    held = [set(c.tolist()) for c in ngram_join.cells(far, 80)]
+    assert all(any(i in c and j in c for c in held) for i, j in near) and max(map(len, held)) < len(sets)
+    compared = []
+    plain = ngram_join.between
+    monkeypatch.setattr(ngram_join, "between", lambda own, *a: compared.append(len(own)) or plain(own, *a))
+    links = ngram_join.forest(np.arange(len(sets)), np.arange(len(sets)), n, tokens, 80)
+    assert brute.components(range(len(sets)), links) == brute.components(range(len(sets)), near)
+    assert len(compared) > 5 and sum(x * x for x in compared) < len(sets) ** 2 / 2
