@@ -170,17 +170,21 @@ def forest(rep: np.ndarray, group: np.ndarray, n: np.ndarray, tokens: list[np.nd
     rep, group, n, tokens = rep[order], np.unique(group[order], return_inverse=True)[1], n[order], [tokens[i] for i in order]
     links: list[tuple[int, int]] = []
     spread = mix64(rep.astype(U64))
-    open_ = [(np.arange(len(rep)), None)]
+    open_ = [np.arange(len(rep))]
     while open_:
-        own, before = open_.pop()
+        own = open_.pop()
         if group[own].min() == group[own].max():
             continue
-        if len(own) <= LEAF or (before is not None and len(own) > 0.9 * before):
+        if len(own) <= LEAF:
             links += between(own, rep, group, n, tokens, percent)
             continue
         centres = own[np.sort(np.argsort(spread[own], kind="stable")[:PIVOTS])]
         far = np.concatenate([jaccard_distances([tokens[i] for i in own[a : a + ROWS]], n[own[a : a + ROWS]], [tokens[i] for i in centres], n[centres]) for a in range(0, len(own), ROWS)])
-        open_ += [(own[cell], len(own)) for cell in cells(far, percent)]
+        parted = [own[cell] for cell in cells(far, percent)]
+        if sum(len(x) ** 2 for x in parted) > 0.8 * len(own) ** 2:  # windows that copy too much save nothing
+            links += between(own, rep, group, n, tokens, percent)
+        else:
+            open_ += parted
     return links
 
 
