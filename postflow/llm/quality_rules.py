@@ -239,10 +239,11 @@ def fit(row: np.ndarray, bins: np.ndarray, state: np.ndarray, rounds: int = 120,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 5000, doc_id: str = "doc_id", text: str = "text") -> Crf:
-    """Fits the CRF to the labelled documents, `max_docs` of them at most; those with more than `max_lines` lines are left out of the fit (and judged like all)."""
+    """Fits the CRF to labelled documents, `max_docs` of those that there are at most; those with more than `max_lines` lines are left out of the fit (and judged like all)."""
     flat = Crf(np.ones(BASE[-1]), np.zeros(2), np.zeros((2, 2)))
     told = labels.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good in (0, 1)")
-    told = told.groupBy("doc_id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    told = told.groupBy("doc_id").agg(F.max("good").alias("good")).join(docs.select(F.col(doc_id).cast("bigint").alias("doc_id")), "doc_id", "left_semi")
+    told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

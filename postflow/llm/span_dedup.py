@@ -8,7 +8,7 @@ word, or at a line break; it owns the white space after it.
 Keys travel as described in exchange.py, so a span that thousands of documents share costs one entry for each partition.
 
 Defined cases: a null text is empty and has no sentences; a null id counts as larger than every id; of rows with the same id, the smaller
-text counts as earlier (of null ids too, inside a partition); repeated rows keep one copy; texts of any length are read whole; an empty
+text counts as earlier; rows with null ids are dealt and ordered by a hash of their text; repeated rows keep one copy; texts of any length are read whole; an empty
 table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -74,7 +74,7 @@ def dedup(docs: DataFrame, size: int = 2, min_words: int = 8, doc_id: str = "doc
     """One row for each document: doc_id, n_sentences, n_removed and the kept text."""
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     shape = ex.layout(own)
-    n, parted = shape.buckets, ex.dealt(own, "doc_id", shape.parts)
+    n, parted = shape.buckets, ex.dealt(own, "doc_id", shape.parts, "text")
 
     def extract(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(parse(table, size, min_words).key, return_counts=True)
@@ -97,7 +97,8 @@ def dedup(docs: DataFrame, size: int = 2, min_words: int = 8, doc_id: str = "doc
 
     def answer(_: tuple, table: pa.Table) -> pa.Table:
         key, doc = ex.gather(table, "key", np.uint64), ex.gather(table, "info", np.int64)
-        order = np.lexsort((doc, key))
+        pid = table["pid"].to_numpy()[ex.origin(table, "key", 8)]  # tells null ids apart
+        order = np.lexsort((pid, doc, key))
         new = np.r_[True, key[order][1:] != key[order][:-1]]
         later = np.zeros(len(key), np.uint8)
         later[order] = ~new

@@ -41,3 +41,43 @@ def test_every_license_of_a_text_is_given(spark):
     assert {m["license"] for m in got[1]["matches"]} == {"MIT", "CC-BY-NC-4.0 (short)"} and len(got[1]["matches"]) == got[1]["n_units"]
     assert tuple(got[1]["matches"][0]) == tuple(got[1][c] for c in ("license", "dice", "start", "end"))
     assert got[2]["license"] == "MIT" and got[3]["matches"] == []
+
+
+def test_quality_is_fitted_to_labels_with_documents(spark):
+    import numpy as np
+
+    from postflow.llm import quality_rules
+
+    text = lambda i: "\n".join(["A plain sentence of some words that tells a thing, and then another." if i % 2 else "Menu | Home | Login | © $$$"] * 12)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(60)], "doc_id bigint, text string")
+    labels = lambda ids: spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    want, got = quality_rules.train(docs, labels(range(60)), max_docs=20), quality_rules.train(docs, labels(range(2000)), max_docs=20)
+    assert np.array_equal(want.weights, got.weights) and np.array_equal(want.step, got.step) and np.abs(want.weights).max() > 0.5
+
+
+def test_quality_on_documents_that_were_not_in_the_fit(spark):
+    """A fold of the labelled documents is held out; those that the base rules let through are told apart there."""
+    from pyspark.sql import functions as F
+
+    from postflow.llm import quality_rules
+
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = quality_rules.train(docs, labels.where(~fold))
+    judged = quality_rules.judge(docs.join(labels.where(fold).select("doc_id"), "doc_id", "left_semi"), model).join(labels, "doc_id")
+    rows = [(r["quality"], r["kept"]) for r in judged.collect()]
+    good, bad = [k for q, k in rows if q == 1], [k for q, k in rows if q == 0]
+    print(len(good), sum(good), len(bad), sum(bad))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.5 * len(bad)
+
+
+def test_spans_of_null_ids(spark):
+    """Rows with null ids lie in all partitions; of their repeated spans one copy stays, whatever the input's order."""
+    from postflow.llm import exchange, span_dedup
+
+    span = "This is a sentence of some eight words here. And this is another sentence of more words. "
+    docs = spark.createDataFrame([(None, span + f"Own sentence number {i} with its very own words here. " * 400) for i in range(300)], "doc_id bigint, text string")
+    assert exchange.dealt(docs, "doc_id", 4, "text").select("pid").distinct().count() == 4
+    got = [sorted(r["kept"].count(span) for r in span_dedup.dedup(docs.repartition(k, "text")).collect()) for k in (2, 7)]
+    assert got[0] == got[1] == [0] * 299 + [1]
