@@ -2,8 +2,8 @@
 
 Everything on the way of the rows is DataFrame functions. A rule fits its host and all subdomains if the path starts with the rule's;
 the longest rule wins. URLs that a rule judges are the labelled ones: the trees (pyspark.ml, fitted to `max_rows` of them at most, those
-whose hash is lowest) learn to tell blocked from allowed by length, depth, digit ratio, entropy, parameter counts and how often other
-URLs with the same suffix are blocked. The fitted trees are written out as nested conditions, so that scoring needs no model object.
+whose hash is lowest) learn to tell blocked from allowed by length, depth, digit ratio, entropy, parameter counts and what the URLs of the same suffix are
+like on average. No feature looks at labels or rules. The fitted trees are written out as nested conditions, so that scoring needs no model object.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule, and is scored like any other; if the rules label
 no URL, or all alike, the verdict where none fits is allow (or the one label); repeated URLs are judged alike; null page ids are kept; URLs of any length are read
@@ -24,7 +24,7 @@ from postflow.operators.storage import saved
 
 #: The rules that the registered query is asked to use: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "n_params", "query_length", "has_fragment", "suffix_blocked", "suffix_log_count")
+FEATURES = ("length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "n_params", "query_length", "has_fragment", "path_entropy", "host_entropy", "vowel_ratio", "suffix_log_count", "suffix_length", "suffix_digit_ratio", "suffix_entropy", "suffix_params", "suffix_depth")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,10 +51,14 @@ def lexical(df: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789-._/:?=&#%"
-    low = F.lower(url)
-    counts = [F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in alphabet]
-    entropy = reduce(lambda a, b: a + b, [F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(0.0) for k in counts])
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def entropy(text: Column, alphabet: str) -> Column:
+        low = F.lower(text)
+        size = F.greatest(F.length(low), F.lit(1)).cast("double")
+        counts = [F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))) for c in alphabet]
+        return reduce(lambda a, b: a + b, [F.when(k > 0, -(k / size) * F.log2(k / size)).otherwise(0.0) for k in counts])
+
     return df.withColumns(
         {
             "length": n,
@@ -63,7 +67,10 @@ def lexical(df: DataFrame) -> DataFrame:
             "labels": (F.regexp_count("host", F.lit(r"\."))).cast("double"),
             "digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / n,
             "hyphens": F.regexp_count("host", F.lit("-")).cast("double"),
-            "entropy": entropy,
+            "entropy": entropy(url, letters + "-._/:?=&#%"),
+            "path_entropy": entropy(F.col("path"), letters),
+            "host_entropy": entropy(F.col("host"), letters),
+            "vowel_ratio": F.regexp_count(F.lower(url), F.lit("[aeiou]")) / n,
             "n_params": F.when(query == "", 0.0).otherwise(F.regexp_count(query, F.lit("&")) + 1.0),
             "query_length": F.length(query).cast("double"),
             "has_fragment": F.contains(url, F.lit("#")).cast("double"),
@@ -72,21 +79,24 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def suffix_table(ruled: DataFrame) -> DataFrame:
-    """For each suffix (the last two labels of the host): how many URLs have it, and how many of them the rules judge and block."""
-    return ruled.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_count"), F.count("ruled").alias("told"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+def suffix_table(table: DataFrame) -> DataFrame:
+    """What the URLs of a suffix (the last two labels of the host) are like: how many there are, and their means. No label is looked at; sums are of whole numbers, so that they do not depend on their order."""
+    n = F.count("*")
+    mean = lambda c: F.sum(c) / n
+    return table.groupBy("suffix").agg(
+        F.log1p(n).alias("suffix_log_count"),
+        mean(F.col("length").cast("bigint")).alias("suffix_length"),
+        (F.sum((F.col("digit_ratio") * F.col("length")).cast("bigint")) / F.sum(F.col("length").cast("bigint"))).alias("suffix_digit_ratio"),
+        mean((F.col("entropy") * 1_000_000).cast("bigint")).alias("suffix_entropy"),
+        mean(F.col("n_params").cast("bigint")).alias("suffix_params"),
+        mean(F.col("depth").cast("bigint")).alias("suffix_depth"),
+    )
 
 
 def featured(ruled: DataFrame) -> DataFrame:
-    """All features. How often a suffix is blocked is counted over the other URLs only, so that no row's own label is among its features.
-
-    The table of suffixes is written first: then it is broadcast if it is small, and else the join alone shuffles, so that a suffix that most
-    URLs share can be split.
-    """
+    """All features. The table of suffixes is written first: then it is broadcast if it is small, and else the join alone shuffles, so that a suffix that most URLs share can be split."""
     df = lexical(ruled)
-    own = F.col("ruled").isNotNull().cast("int")
-    others = (F.col("blocked") - F.coalesce((F.col("ruled") == "block").cast("int"), F.lit(0)) + 1.0) / (F.col("told") - own + 2.0)
-    return df.join(saved(suffix_table(df)), "suffix", "left").withColumn("suffix_blocked", others).drop("told", "blocked")
+    return df.join(saved(suffix_table(df)), "suffix", "left")
 
 
 def as_condition(tree: str) -> Column:

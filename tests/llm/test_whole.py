@@ -81,3 +81,22 @@ def test_spans_of_null_ids(spark):
     assert exchange.dealt(docs, "doc_id", 4, "text").select("pid").distinct().count() == 4
     got = [sorted(r["kept"].count(span) for r in span_dedup.dedup(docs.repartition(k, "text")).collect()) for k in (2, 7)]
     assert got[0] == got[1] == [0] * 299 + [1]
+
+
+def test_url_trees_on_held_out_hosts(spark):
+    """Whole hosts are held out, and no feature knows a label; the trees use more than one kind of feature."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from postflow.llm import url_filter
+
+    table = url_filter.featured(url_filter.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(3)))
+    model = url_filter.fit(table.where("fold > 0"))
+    used = dict(zip(url_filter.FEATURES, model.featureImportances.toArray().tolist(), strict=True))
+    rows = table.withColumn("margin", url_filter.margin_of(model)).select("ruled", "fold", "margin").collect()
+    yes, no = (np.array([r["margin"] for r in rows if r["fold"] == 0 and r["ruled"] == v]) for v in ("block", "allow"))
+    auc = ((yes[:, None] > no).mean() + (yes[:, None] == no).mean() / 2) if len(yes) and len(no) else 0
+    free = [r["margin"] > 0 for r in rows if r["ruled"] is None]
+    print(round(auc, 3), len(yes), len(no), len(free), sum(free), {k: round(v, 3) for k, v in used.items() if v > 0.005})
+    own = sum(v for k, v in used.items() if not k.startswith("suffix"))
+    assert auc > 0.5 and own > 0.3
