@@ -22,7 +22,7 @@ from postflow.operators.lifecycle import harvested, last_standing, upserted
 from postflow.operators.storage import saved
 from postflow.queries.authorisation import CODES, listed, told
 from postflow.queries.registry import Family
-from postflow.queries.relational import ACTED_SQL, acted_on, active_canonical, age_days, also_on, cluster, scored
+from postflow.queries.relational import ACTED_SQL, acted_on, active_canonical, age_days, cluster, scored
 from postflow.queries.scalars import PLACE_CODES, SIMHASH_SQL, TITLE_TAILS, html_sql, quoted
 from postflow.sources.bindings import applications, boards, companies, jobs, listings, now, pick, scores, table, titles
 
@@ -51,9 +51,9 @@ LEVEL_NAMES = ("intern", "junior", "mid", "senior", "staff", None)
 LOCATIONS = ("Office", "Remote, anywhere", None, "City centre")
 
 
-def postings(spark, d):
+def postings(spark, d, known=None):
     """Jobs with all that the rules look at."""
-    df = jobs(spark, d).join(titles(spark, d), "id", "left").join(companies(spark, d), "company_id", "left")
+    df = (jobs(spark, d) if known is None else known).join(titles(spark, d), "id", "left").join(companies(spark, d), "company_id", "left")
     return df.withColumns({"level": pick(F.col("id"), LEVEL_NAMES), "place": pick(F.col("id"), PLACE_CODES), "location": pick(F.col("id"), LOCATIONS), "days": age_days(F.col("posted_at"))})
 
 
@@ -91,9 +91,9 @@ def reasons(rules: R.Rules = RULES):
     ]
 
 
-def verdicts(spark, d):
+def verdicts(spark, d, known=None):
     signs = {"machinery": F.col("segment") == "MACHINERY", "big": F.col("salary_max") > 300000}
-    return R.judged(postings(spark, d), reasons(), R.boost(RULES, signs))
+    return R.judged(postings(spark, d, known), reasons(), R.boost(RULES, signs))
 
 
 @add(
@@ -158,7 +158,9 @@ def r13(spark, d):
 
 @add("a11_reason_histogram", f"+ {POSTINGS_SQL} SELECT code, count(*) AS n FROM (SELECT unnest({CODES_SQL}) AS code FROM postings) GROUP BY 1")
 def a11(spark, d):
-    return verdicts(spark, d).select(F.explode("verdict.codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    """Every rule's code or null becomes a row: an array that is built there needs no filter of its own, so codes are in the plan once."""
+    codes = postings(spark, d).select(F.explode(F.array(*reasons())).alias("code"))
+    return codes.where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
 
 
 @add("a12_market_pass_counts", f"+ {POSTINGS_SQL} SELECT market, count(*) FILTER (WHERE len(codes) = 0) AS passed, count(*) FILTER (WHERE len(codes) > 0) AS failed FROM (SELECT market, {CODES_SQL} AS codes FROM postings) GROUP BY 1")
@@ -397,14 +399,21 @@ def g13(spark, d, most=3):
 THRESHOLDS = {"P": 0.65, "F": 0.7, "O": 0.6}
 
 
-def candidates(spark, d):
-    """Scored, passing, fresh postings of clusters not acted on, with their rank."""
-    keep = verdicts(spark, d).where(F.col("days") <= 365).where(active_canonical()).where((F.col("salary_max") >= 50000) & (F.col("segment") != "HOUSEHOLD"))
+def candidates(spark, d, known):
+    """Scored, passing, fresh postings of clusters not acted on, with their rank. known: the jobs, built once."""
+    keep = verdicts(spark, d, known).where(F.col("days") <= 365).where(active_canonical()).where((F.col("salary_max") >= 50000) & (F.col("segment") != "HOUSEHOLD"))
     own = scores(spark, d).withColumnsRenamed({"job_id": "id", "profile": "market"}).select("id", "market", "llm_score")
-    df = keep.join(own, ["id", "market"]).withColumn("cluster", cluster()).join(acted_on(spark, d), "cluster", "left_anti").join(also_on(spark, d), "cluster")
+    df = keep.join(own, ["id", "market"]).withColumn("cluster", cluster()).join(acted_on(spark, d, known), "cluster", "left_anti")
     bar = F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv])[F.col("market")]
     rank = F.round(F.coalesce("llm_score", F.lit(0.0)) * F.when(F.col("segment") == "MACHINERY", 1.2).otherwise(1.0), 6)
-    return df.withColumns({"bar": bar, "rank_key": rank, "others": F.array_join(F.array_remove("sources", F.col("source")), ",")})
+    return df.withColumns({"bar": bar, "rank_key": rank})
+
+
+def first_of(spark, d, above, limit):
+    """The first candidates above their bar, or below it, and the jobs."""
+    known = saved(jobs(spark, d))
+    bar = (F.col("llm_score") >= F.col("bar")) == F.lit(above)
+    return candidates(spark, d, known).where(bar).orderBy(F.desc("rank_key"), F.desc("id")).limit(limit), known
 
 
 CANDIDATES_SQL = f"""{ACTED_SQL}, {POSTINGS_SQL}, al AS (SELECT coalesce(canonical_id, id) AS cluster, list_sort(list_distinct(list(source))) AS sources FROM jobs GROUP BY 1),
@@ -415,13 +424,17 @@ CANDIDATES_SQL = f"""{ACTED_SQL}, {POSTINGS_SQL}, al AS (SELECT coalesce(canonic
 
 @add("g14_shortlist", f"+ {CANDIDATES_SQL} SELECT id AS job_id, name AS company, market, source, llm_score AS score, rank_key, salary_max AS salary, days AS age_days, also_on FROM cand WHERE llm_score >= bar ORDER BY rank_key DESC, id DESC LIMIT 15")
 def g14(spark, d, limit=15):
-    df = candidates(spark, d).where(F.col("llm_score") >= F.col("bar")).orderBy(F.desc("rank_key"), F.desc("id")).limit(limit)
+    """The other sources of a cluster are looked up for the listed clusters only."""
+    top, known = first_of(spark, d, True, limit)
+    top = saved(top)
+    sources = known.withColumn("cluster", cluster()).join(F.broadcast(top.select("cluster")), "cluster", "left_semi").groupBy("cluster").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    df = top.join(sources, "cluster").withColumn("others", F.array_join(F.array_remove("sources", F.col("source")), ","))
     return df.select(F.col("id").alias("job_id"), F.col("name").alias("company"), "market", "source", F.col("llm_score").alias("score"), "rank_key", F.col("salary_max").alias("salary"), F.col("days").alias("age_days"), F.col("others").alias("also_on"))
 
 
 @add("g14_near_misses", f"+ {CANDIDATES_SQL} SELECT id AS job_id, market, llm_score AS score FROM cand WHERE llm_score < bar ORDER BY rank_key DESC, id DESC LIMIT 6")
 def g14b(spark, d):
-    return candidates(spark, d).where(F.col("llm_score") < F.col("bar")).orderBy(F.desc("rank_key"), F.desc("id")).limit(6).select(F.col("id").alias("job_id"), "market", F.col("llm_score").alias("score"))
+    return first_of(spark, d, False, 6)[0].select(F.col("id").alias("job_id"), "market", F.col("llm_score").alias("score"))
 
 
 #: Which states an application may go to from each. Fixed values.

@@ -229,8 +229,9 @@ def j06(spark, d):
     return jobs(spark, d).join(companies(spark, d), "company_id", "left").where(F.lower("name") == "customer#000000012").select("id", "name")
 
 
-def acted_on(spark, d):
-    return applications(spark, d).where("status <> 'interested'").join(jobs(spark, d).withColumnRenamed("id", "job_id"), "job_id").select(F.coalesce("canonical_id", "job_id").alias("cluster")).distinct()
+def acted_on(spark, d, known=None):
+    """The clusters with an application beyond interest; known: the jobs, if they are built already."""
+    return applications(spark, d).where("status <> 'interested'").join((jobs(spark, d) if known is None else known).withColumnRenamed("id", "job_id"), "job_id").select(F.coalesce("canonical_id", "job_id").alias("cluster")).distinct()
 
 
 ACTED_SQL = "acted AS (SELECT DISTINCT coalesce(canonical_id, id) AS cluster FROM applications JOIN jobs ON job_id = id WHERE status <> 'interested')"
