@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postflow.functions.text import normalize_company_name, safe_key
 from postflow.operators.storage import saved
+from postflow.operators.companies import resolved
 from postflow.queries.registry import Family
 from postflow.sources.bindings import applications, boards, companies, jobs, listings, now, scores, table, titles
 
@@ -316,6 +317,18 @@ def j13(spark, d):
     return df.join(by("domain", "by_domain"), "domain", "left").join(by("plain", "by_name"), "plain", "left").select("company_id", F.coalesce("by_domain", "by_name").alias("resolved"))
 
 
+@add("j13_companies_created")
+def j13_companies_created(spark, d):
+    """Companies of all customers in order, every fifth known already: what a customer creates, later ones find by domain or name."""
+    k = F.col("company_id")
+    part = F.pmod(F.xxhash64("name", "segment"), F.lit(97))
+    name = F.concat(F.lit("Acme "), part, F.element_at(F.array(F.lit(" Inc."), F.lit(" GmbH"), F.lit("")), (k % 3 + 1).cast("int")))
+    domain = F.when(k % 3 != 0, F.concat(F.lit("c"), F.pmod(F.xxhash64("country", "batch", "segment"), F.lit(211)), F.lit(".example")))
+    df = companies(spark, d).select(k.alias("at"), domain.alias("domain"), normalize_company_name(name).alias("name"))
+    known = df.where("at % 5 = 0").select(F.col("at").alias("company"), "domain", "name")
+    return resolved(df.where("at % 5 <> 0"), known).select(F.col("at").alias("company_id"), "company", "created")
+
+
 @add(
     "j15_unambiguous_match",
     """+ j AS (SELECT id, title, name, regexp_replace(lower(name || '-' || title), '[^a-z0-9._-]+', '-', 'g') AS folder FROM jobs JOIN titles USING (id) JOIN companies USING (company_id)),
