@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postflow.functions import density
 from postflow.functions import text as T
 from postflow.functions.authorization import decision, required_codes, sponsorship
 from postflow.functions.html import job_posting, main_block
@@ -19,6 +20,7 @@ from postflow.operators import preferences as P
 from postflow.operators import rules as R
 from postflow.operators.dedupe import city_conflict, clustered, linked
 from postflow.operators.lifecycle import harvested, last_standing, upserted
+from postflow.operators.phrases import found_in
 from postflow.operators.storage import saved
 from postflow.queries.authorisation import CODES, listed, told
 from postflow.queries.registry import Family
@@ -133,6 +135,40 @@ def r07(spark, d):
     return table(spark, d, "documents").where(F.coalesce(*rule).isNotNull()).select("doc_id")
 
 
+@add(
+    "r07_phrase_table",
+    r"""+ w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS t FROM benchmark), p AS (SELECT item_id, k, ' ' || array_to_string(t[k:k + 3], ' ') || ' ' AS phrase FROM (SELECT item_id, t, unnest(range(1, len(t) - 2)) AS k FROM w)),
+    d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ' AS t FROM documents), g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(x) - 2), lambda i: ' ' || array_to_string(x[i:i + 3], ' ') || ' '))) AS phrase FROM (SELECT doc_id, string_split(trim(t), ' ') AS x FROM d))
+    SELECT doc_id, count(*) AS phrases, count(DISTINCT item_id) AS items FROM g JOIN p USING (phrase) GROUP BY 1""",
+)
+def r07_phrase_table(spark, d, size=4):
+    """Every run of four words of every benchmark item is an excluded phrase: how many of them, and of how many items, each document has."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    items = table(spark, d, "benchmark").select("item_id", words.alias("w")).where(F.size("w") >= size)
+    runs = items.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("k"))
+    phrases = saved(runs.select("item_id", F.array_join(F.slice("w", F.col("k"), F.lit(size)), " ").alias("phrase")).withColumn("phrase_id", F.monotonically_increasing_id()))
+    found = found_in(table(spark, d, "documents"), phrases, "doc_id", "text")
+    return found.join(phrases.select("phrase_id", "item_id"), "phrase_id").groupBy("doc_id").agg(F.count("*").alias("phrases"), F.count_distinct("item_id").alias("items"))
+
+
+@add(
+    "t25_main_content",
+    rf"""+ h AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<(script|style|noscript|template|head)\b.*?</(script|style|noscript|template|head)>', ' ', 'g') AS html FROM pages),
+    c AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(</?({"|".join(density.BLOCKS)})[\s/>])', chr(1) || '\1', 'g'), chr(1)) AS parts FROM h),
+    u AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM c),
+    x AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text, trim(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(part, '(?is)<a\s[^>]*>(.*?)</a>', 1), ' '), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS links FROM u),
+    s AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k, text, length(text) - {density.LINK} * length(links) - {density.COST} AS score FROM x WHERE text <> ''),
+    p AS (SELECT page_id, 0 AS k, 0 AS upto FROM pages UNION ALL SELECT page_id, k, sum(score) OVER (PARTITION BY page_id ORDER BY k) FROM s), w AS (SELECT *, min(upto) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM p),
+    e AS (SELECT page_id, k AS last, upto - low AS best, low FROM w WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY upto - low DESC, k) = 1 AND upto > low),
+    b AS (SELECT e.page_id, best, last, min(p.k) + 1 AS first FROM e JOIN p ON p.page_id = e.page_id AND p.k < last AND p.upto = low GROUP BY ALL)
+    SELECT n.page_id, n.segments, b.first, b.last, CAST(b.best AS BIGINT) AS score, md5(t.text) AS text_md5 FROM (SELECT page_id, count(text) AS segments FROM pages LEFT JOIN s USING (page_id) GROUP BY 1) n LEFT JOIN b USING (page_id) LEFT JOIN (SELECT s.page_id, string_agg(text, chr(10) ORDER BY k) AS text FROM s JOIN b ON b.page_id = s.page_id AND k BETWEEN first AND last GROUP BY 1) t USING (page_id)""".replace("GROUP BY ALL)", "GROUP BY e.page_id, best, last)"),
+)
+def t25_main_content(spark, d):
+    """The main content of the pages as they are, by density."""
+    df = table(spark, d, "pages").select("page_id", density.segments(F.col("html")).alias("found")).withColumn("best", density.best_run(F.col("found")))
+    return df.select("page_id", F.size("found").cast("bigint").alias("segments"), F.col("best.first").cast("bigint").alias("first"), F.col("best.last").cast("bigint").alias("last"), F.col("best.score").cast("bigint").alias("score"), F.md5(density.content(F.col("found"), F.col("best"))).alias("text_md5"))
+
+
 @add("r10_rate_convert", f"SELECT id, round({TOP_SQL}, 3) AS top FROM jobs")
 def r10(spark, d):
     from postflow.functions.values import annual, convert
@@ -765,7 +801,7 @@ def r20(spark, d):
 
 
 def sent_pages(spark, d):
-    """Pages with structured data put before them: whole, broken (a comma too many), nested, of another type, or none."""
+    """The pages with structured data put before them: whole, broken (a comma too many), nested, of another type, or none."""
     k = F.col("page_id")
     body = F.concat(F.lit("<p>"), F.repeat(F.lit("You will build things with us. "), (k % 30).cast("int")), F.lit("</p>"))
     address = F.struct(F.lit("Germany").alias("addressCountry"), F.lit("Berlin").alias("addressLocality"))
@@ -774,7 +810,7 @@ def sent_pages(spark, d):
     df = table(spark, d, "pages").select("page_id", "html", node.alias("n"))
     data = F.when(k % 5 == 0, F.col("n")).when(k % 5 == 1, F.concat(F.expr("left(n, length(n) - 1)"), F.lit(", }"))).when(k % 5 == 2, F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, {"mainEntity": '), "n", F.lit("}]}"))).when(k % 5 == 3, F.replace("n", F.lit("JobPosting"), F.lit("Recipe")))
     script = F.when(data.isNotNull(), F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>"))).otherwise("")
-    return df.select("page_id", F.concat(script, F.lit("<nav>Home</nav><article><h1>Page</h1>"), F.repeat(F.lit("<p>We are looking for people who do good work here.</p>"), (k % 13).cast("int")), F.lit("</article><footer>End</footer>")).alias("html"))
+    return df.select("page_id", F.concat(script, "html").alias("html"))
 
 
 @add("t23_structured_data", "SELECT page_id, CASE WHEN page_id % 5 < 3 THEN 'Job ' || page_id END AS title FROM pages")
@@ -789,7 +825,7 @@ def t24(spark, d):
     return df.select("page_id", *(f"posting.{c}" for c in ("company", "company_domain", "country", "city", "employment_type", "salary_text")))
 
 
-MAIN_SQL = "'Page' || repeat(chr(10) || chr(10) || 'We are looking for people who do good work here.', CAST(page_id % 13 AS INTEGER))"
+MAIN_SQL = html_sql("regexp_extract(html, '(?s)<article>(.*)</article>', 1)")
 
 
 @add("t25_main_block", f"SELECT page_id, md5({MAIN_SQL}) AS hash FROM pages")
@@ -800,7 +836,7 @@ def t25(spark, d):
 
 @add(
     "t27_extraction_ladder",
-    "+ l AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 1 ELSE 0 END AS api, CASE WHEN page_id % 5 < 3 AND page_id % 30 * 31 - 1 >= 400 THEN 1 ELSE 0 END AS jsonld, CASE WHEN 4 + page_id % 13 * 50 >= 400 THEN 1 ELSE 0 END AS block FROM pages) SELECT page_id, CASE WHEN page_id % 50 = 7 THEN 'manual_paste' WHEN api = 1 THEN 'api' WHEN jsonld = 1 THEN 'jsonld' WHEN block = 1 THEN 'readability' END AS rung FROM l",
+    f"+ l AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 1 ELSE 0 END AS api, CASE WHEN page_id % 5 < 3 AND page_id % 30 * 31 - 1 >= 400 THEN 1 ELSE 0 END AS jsonld, CASE WHEN length({MAIN_SQL}) >= 400 THEN 1 ELSE 0 END AS block FROM pages) SELECT page_id, CASE WHEN page_id % 50 = 7 THEN 'manual_paste' WHEN api = 1 THEN 'api' WHEN jsonld = 1 THEN 'jsonld' WHEN block = 1 THEN 'readability' END AS rung FROM l",
 )
 def t27(spark, d):
     """Every tenth posting has a full text from its listing, the others a stub; every fiftieth or so was pasted by hand."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postflow.operators import sketches
+from postflow.operators.storage import saved, shared_folder
 from postflow.queries.registry import Family
 from postflow.queries.relational import TOKENS_SQL, WANTED_SQL, active_canonical, cluster, relevant, scored, tokens
 from postflow.sources.bindings import applications, boards, companies, jobs, listings, table, titles
@@ -171,6 +175,25 @@ def a23(spark, d):
     return pages.groupBy("tld").agg(F.count_distinct("host").alias("hosts"))
 
 
+@add(
+    "a23_sketched_totals",
+    "+ y AS (SELECT provider, job_id, year(run) AS y FROM listings JOIN boards USING (board_id)), b AS (SELECT provider, count(DISTINCT job_id) AS n, count(DISTINCT job_id) FILTER (WHERE y < 1997) AS o FROM y GROUP BY 1) SELECT provider, n AS postings, n - o AS gained, true AS total_near, true AS gain_near FROM b",
+)
+def a23_sketched_totals(spark, d):
+    """Distinct postings of each provider and those gained since 1997, exactly and by sketches of each year; whether the sketches' answers are within their bounds (three standard errors)."""
+    seen = saved(listings(spark, d).join(boards(spark, d).select("board_id", "provider"), "board_id").select("provider", "job_id", F.year("run").alias("year")))
+    folder = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    for (year,) in seen.select("year").distinct().collect():
+        sketches.add_run(seen.where(F.col("year") == year), folder, str(year), ["provider"], "job_id")
+    total = sketches.totals(spark, folder, ["provider"])
+    gain = sketches.gained(total, sketches.totals(spark, folder, ["provider"], F.col("run") < 1997), ["provider"])
+    exact = seen.groupBy("provider").agg(F.count_distinct("job_id").alias("postings"), F.count_distinct(F.when(F.col("year") < 1997, F.col("job_id"))).alias("old"))
+    bound = 3 * F.col("postings") / F.sqrt(F.lit(float(1 << sketches.LG)))
+    df = exact.join(total.select("provider", sketches.estimate("sketch").alias("about")), "provider").join(gain.withColumnRenamed("gained", "about_gained"), "provider")
+    own = F.col("postings") - F.col("old")
+    return df.select("provider", "postings", own.alias("gained"), (F.abs(F.col("about") - F.col("postings")) <= bound).alias("total_near"), (F.abs(F.col("about_gained") - own) <= bound).alias("gain_near"))
+
+
 @add("a24_gate_population", "SELECT lang, count(*) FILTER (WHERE length(trim(text)) >= 400) AS long_enough, count(*) AS n FROM documents GROUP BY 1")
 def a24(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count_if(F.length(F.trim("text")) >= 400).alias("long_enough"), F.count("*").alias("n"))

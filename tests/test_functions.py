@@ -97,3 +97,24 @@ def test_quality_parts(spark):
     cut = ("We are looking for people who do this. " * 12).strip() + " read more"
     got = one(spark, quality.assess, cut)
     assert got["score"] == 0.75 and got["passed"] and got["chars"] == len(cut)
+
+
+def test_main_content_by_density(spark):
+    """On the supplied pages, the words of <article> are found and little else; menus, footers and advertisements stay out."""
+    import re
+    from collections import Counter
+
+    from postflow.functions import density
+
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html", density.segments(F.col("html")).alias("found")).withColumn("best", density.best_run(F.col("found")))
+    hit = said = wanted = 0
+    for html, text in df.select("html", density.content(F.col("found"), F.col("best"))).collect():
+        body = re.search(r"(?s)<article>(.*?)</article>", html)
+        own = Counter(re.sub(r"<[^>]*>", " ", body[1] if body else "").split())
+        got = Counter((text or "").split())
+        hit, said, wanted = hit + (own & got).total(), said + got.total(), wanted + own.total()
+    assert hit / wanted > 0.97 and hit / said > 0.9
+    rows = [(None,), ("",), ("<p>short</p>",), ("<nav><li><a href='/x'>" + "menu " * 30 + "</a></li></nav><div>" + "long text " * 20 + "</div><p>and</p><p>" + "more text " * 20 + "</p><footer>© x</footer>",)]
+    df = spark.createDataFrame(rows, "html string").select(density.segments(F.col("html")).alias("found")).withColumn("best", density.best_run(F.col("found")))
+    got = [r[0] for r in df.select(density.content(F.col("found"), F.col("best"))).collect()]
+    assert got[:3] == [None, None, None] and got[3].split("\n") == [("long text " * 20).strip(), "and", ("more text " * 20).strip()]
