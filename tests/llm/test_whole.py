@@ -100,3 +100,17 @@ def test_url_trees_on_held_out_hosts(spark):
     print(round(auc, 3), len(yes), len(no), len(free), sum(free), {k: round(v, 3) for k, v in used.items() if v > 0.005})
     own = sum(v for k, v in used.items() if not k.startswith("suffix"))
     assert auc > 0.5 and own > 0.3
+
+
+def test_vectors_of_any_size_and_odd_tables(spark):
+    """Finite components of any size, null and repeated ids, equal vectors, and columns with names that the operator uses."""
+    from postflow.llm import embedding_dedup
+
+    big, small, nan, inf = 1e200, 1e-200, float("nan"), float("inf")
+    rows = [(1, [big, 0.0], 1), (2, [big, big / 10], 1), (3, [small, 0.0], 1), (4, [5e-324, 0.0], 1), (5, [0.0, big], 1), (6, [1.0, 0.0], 2), (7, [1.0, 0.0], None), (8, None, 1), (9, [], 1), (10, [0.0, 0.0], 1), (11, [nan, 1.0], 1), (12, [inf, 1.0], 1), (13, [None, 1.0], 1), (14, [1.0], 1), (None, [1.0, 0.0], 1), (15, [1.0, 0.0], 1), (15, [1.0, 0.0], 1), (16, [1.7e308, 1.7e308], 1)]
+    df = spark.createDataFrame([(*r, "c", 1, 2, True, 3) for r in rows], "vec_id bigint, embedding array<double>, label int, cell string, tile int, block int, same boolean, rep int").repartition(3)
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_dedup(df).collect()), key=lambda r: (r[0] is None, r))
+    own = {1: (5, 1), 2: (5, 1), 3: (5, 1), 4: (5, 1), 15: (5, 1)}
+    want = [(i, *own.get(i, (0, i))) for i, _, _ in rows if i is not None] + [(None, 0, None)]
+    assert got == sorted(want, key=lambda r: (r[0] is None, r))
+    assert embedding_dedup.near_dedup(df.limit(0)).count() == 0
