@@ -123,25 +123,24 @@ def _text(node: Node | None) -> str:
     return node.text() if node else ""
 
 
+def profile_card(card: Node) -> dict:
+    """A card of a network's result list; one that lacks its parts is still a card, its fields empty."""
+    link, when = card.first("a", "base-card__full-link"), card.first("time", "job-search-card__listdate")
+    subtitle = card.first("h4", "base-search-card__subtitle")
+    company = subtitle.first("a") if subtitle else None
+    place = card.first("span", "job-search-card__location")
+    return {
+        "id": card.attrs.get("data-entity-urn", "").rsplit(":", 1)[-1],
+        "title": _text(card.first("h3", "base-search-card__title")),
+        "company": company.text() if company else None,
+        "location": place.text() if place else None,
+        "listed": when.attrs.get("datetime") if when else None,
+        "href": link.attrs.get("href") if link else None,
+    }
+
+
 def _profile_cards(page: Node) -> list[dict]:
-    """Cards of a network's result list; one that lacks its parts is still a card, its fields empty."""
-    found = []
-    for card in page.all(cls="base-card"):
-        link, when = card.first("a", "base-card__full-link"), card.first("time", "job-search-card__listdate")
-        subtitle = card.first("h4", "base-search-card__subtitle")
-        company = subtitle.first("a") if subtitle else None
-        place = card.first("span", "job-search-card__location")
-        found.append(
-            {
-                "id": card.attrs.get("data-entity-urn", "").rsplit(":", 1)[-1],
-                "title": _text(card.first("h3", "base-search-card__title")),
-                "company": company.text() if company else None,
-                "location": place.text() if place else None,
-                "listed": when.attrs.get("datetime") if when else None,
-                "href": link.attrs.get("href") if link else None,
-            }
-        )
-    return found
+    return [profile_card(card) for card in page.all(cls="base-card")]
 
 
 def _profile_detail(page: Node) -> dict:
@@ -158,17 +157,17 @@ def _profile_detail(page: Node) -> dict:
     }
 
 
+def board_card(card: Node) -> dict | None:
+    """A card of a job board's result list, if its link ends in the posting's number."""
+    link = card.first("a", data_test="ad-card-item")
+    path = link.attrs.get("href", "").split("?")[0] if link else ""
+    number = re.search(r"-(\d+)$", path)
+    part = lambda name: _text(card.first(data_test=name))
+    return {"id": number[1], "path": path, "title": part("ad-card-title"), "company": part("subtitle"), "location": part("location"), "work_model": part("work-model"), "work_type": part("mapped-badges"), "age": part("ad-date")} if number else None
+
+
 def _board_cards(page: Node) -> list[dict]:
-    """Cards of a job board's result list: those whose link ends in the posting's number."""
-    found = []
-    for card in page.all(data_test="ad-card"):
-        link = card.first("a", data_test="ad-card-item")
-        path = link.attrs.get("href", "").split("?")[0] if link else ""
-        number = re.search(r"-(\d+)$", path)
-        if number:
-            part = lambda name: _text(card.first(data_test=name))  # noqa: B023, E731
-            found.append({"id": number[1], "path": path, "title": part("ad-card-title"), "company": part("subtitle"), "location": part("location"), "work_model": part("work-model"), "work_type": part("mapped-badges"), "age": part("ad-date")})
-    return found
+    return [found for card in page.all(data_test="ad-card") if (found := board_card(card))]
 
 
 def _board_detail(page: Node) -> dict:

@@ -11,6 +11,8 @@ from postflow.functions import density
 from postflow.functions import text as T
 from postflow.functions.authorization import decision, required_codes, sponsorship
 from postflow.functions.html import job_posting, main_block
+from postflow.functions.page_tables import links as page_links
+from postflow.functions.page_tables import told as told_rows
 from postflow.functions.places import literal_map
 from postflow.functions.quality import assess
 from postflow.functions.urls import board_hits, clean_token, domain_hints, registrable
@@ -819,6 +821,18 @@ def t23(spark, d):
     return sent_pages(spark, d).select("page_id", F.get_json_object(job_posting(F.col("html")), "$.title").alias("title"))
 
 
+@add(
+    "t23_page_links",
+    r"""SELECT page_id, len(regexp_extract_all(html, '<a\s')) AS links, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a\s')) AS in_nav, len(regexp_extract_all(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '<a\s')) AS in_footer,
+    len(regexp_extract_all(html, '<a\s')) - len(regexp_extract_all(html, '<a\s[^>]*href="[^"]')) AS bad, false AS lost FROM pages""",
+)
+def t23_page_links(spark, d):
+    """The links of each page by a table function: how many, how many in its navigation and footer, how many without an address, and whether the page could not be read."""
+    rows = told_rows(table(spark, d, "pages").select("page_id", "html"), "html", page_links)
+    place = lambda p: F.count_if(F.col("place") == p)
+    return rows.groupBy("page_id").agg(F.count("n").alias("links"), place("nav").alias("in_nav"), place("footer").alias("in_footer"), F.count_if(F.col("n").isNotNull() & F.col("error").isNotNull()).alias("bad"), F.bool_or(F.col("n").isNull() & F.col("error").isNotNull()).alias("lost"))
+
+
 @add("t24_posting_fields", "SELECT page_id, 'Acme' AS company, 'acme.dev' AS company_domain, 'DE' AS country, 'Berlin' AS city, 'FULL_TIME' AS employment_type, (page_id * 10) || '-' || (page_id * 20) || ' EUR YEAR' AS salary_text FROM pages WHERE page_id % 5 < 3")
 def t24(spark, d):
     df = X.with_posting(sent_pages(spark, d)).where("posting is not null")

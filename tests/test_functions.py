@@ -118,3 +118,17 @@ def test_main_content_by_density(spark):
     df = spark.createDataFrame(rows, "html string").select(density.segments(F.col("html")).alias("found")).withColumn("best", density.best_run(F.col("found")))
     got = [r[0] for r in df.select(density.content(F.col("found"), F.col("best"))).collect()]
     assert got[:3] == [None, None, None] and got[3].split("\n") == [("long text " * 20).strip(), "and", ("more text " * 20).strip()]
+
+
+def test_table_functions_lose_nothing(spark):
+    from postflow.functions import page_tables
+
+    card = lambda i, title: f'<div class="base-card" data-entity-urn="urn:li:jobPosting:{i}"><h3 class="base-search-card__title">{title}</h3></div>'
+    ad = lambda href, title: f'<div data-test="ad-card"><a data-test="ad-card-item" href="{href}"><span data-test="ad-card-title">{title}</span></a></div>'
+    pages = [(1, card(7, "Dev") + card("", "Lost") + card(9, "")), (2, None), (3, "<p>none</p>"), (4, ad("/x-12?a=1", "Ops") + ad("/x", "Bad")), (5, '<nav><a href="/a">A</a></nav><a>B</a><footer><a href="/c">C</a></footer>')]
+    df = spark.createDataFrame(pages, "page_id int, html string").repartition(2)
+    rows = lambda table, *columns: sorted((tuple(r[c] for c in ("page_id", "n", *columns, "error")) for r in page_tables.told(df, "html", table).collect() if r["n"] or r["error"]), key=repr)
+    assert rows(page_tables.profile_rows, "id", "title") == sorted([(1, 1, "7", "Dev", None), (1, 2, None, None, "no id"), (1, 3, None, None, "no title"), (2, None, None, None, "no page")], key=repr)
+    assert rows(page_tables.board_rows, "id", "path") == sorted([(4, 1, "12", "/x-12", None), (4, 2, None, None, "no number in its link"), (2, None, None, None, "no page")], key=repr)
+    assert rows(page_tables.links, "href", "place") == sorted([(4, 1, "/x-12?a=1", "other", None), (4, 2, "/x", "other", None), (5, 1, "/a", "nav", None), (5, 2, None, None, "no href"), (5, 3, "/c", "footer", None), (2, None, None, None, "no page")], key=repr)
+    assert {r["page_id"] for r in page_tables.told(df, "html", page_tables.links).collect()} == {1, 2, 3, 4, 5}
