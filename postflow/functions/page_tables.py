@@ -1,7 +1,7 @@
 """Table functions over pages: one page to a row for each of its parts, and a row with an error for what could not be read.
 
 They are joined laterally: `pages.lateralJoin(links(F.col("html").outer()))`. Nothing vanishes: a page that is missing or fails as a
-whole gives one row with its error and no number, a part that fails gives a row with its number and its error.
+whole gives one row with its error and no number, a page without parts one with neither, and a part that fails one with both.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ def rows_of(page: str | None, parts: Callable[[Node], Iterator[Node]], read: Cal
     except (ValueError, AssertionError, RecursionError) as e:
         yield (None, *none, f"page: {type(e).__name__}")
         return
+    if not found:
+        yield (None, *none, None)
     for n, part in enumerate(found, 1):
         try:
             yield (n, *read(part), None)
@@ -88,5 +90,5 @@ class board_rows:
 
 
 def told(pages: DataFrame, page: str, table) -> DataFrame:
-    """Every page with the rows of a table function; a page without parts keeps one row of nulls."""
-    return pages.lateralJoin(table(F.col(page).outer()), how="left")
+    """Every page with the rows of a table function."""
+    return pages.lateralJoin(table(F.col(page).outer()))
