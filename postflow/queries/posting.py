@@ -15,7 +15,7 @@ from postflow.functions.page_tables import links as page_links
 from postflow.functions.page_tables import told as told_rows
 from postflow.functions.places import literal_map
 from postflow.functions.quality import assess
-from postflow.functions.urls import board_hits, clean_token, domain_hints, registrable
+from postflow.functions.urls import board_hits, customer, domain_hints, registrable
 from postflow.operators import extraction as X
 from postflow.operators import outreach as O
 from postflow.operators import preferences as P
@@ -520,13 +520,13 @@ def g17(spark, d):
     return last_standing(log, "cluster", ["ts", "event_id"])
 
 
-BANK = (("site", r"([a-z0-9-]+)\.example\.(?:com|net|org)"),)
+BANK = (("site", "host", r"([a-z0-9-]+)\.example\.(?:com|net|org)"),)
 HARVEST_SQL = "SELECT page_id, lower(regexp_extract(url, '(?i)([a-z0-9-]+)\\.example\\.(?:com|net|org)', 1)) AS token FROM pages"
 
 
 @add("t20_url_scan", f"SELECT page_id, 'site' AS provider, token FROM ({HARVEST_SQL}) WHERE token NOT IN ('', 'www', 'blog')")
 def t20(spark, d):
-    found = table(spark, d, "pages").select("page_id", F.inline(board_hits(F.col("url"), BANK, ())))
+    found = table(spark, d, "pages").select("page_id", F.inline(board_hits(F.col("url"), BANK)))
     return found.select("page_id", "provider", "token")
 
 
@@ -562,7 +562,7 @@ def t20_platforms(spark, d):
 
 @add("t21_clean_token", "SELECT page_id, CASE WHEN NOT regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(lower(t), '\\.html$') THEN t END AS token FROM (SELECT page_id, regexp_extract(url, '([^/?#]+)/?([?#].*)?$', 1) AS t FROM pages)")
 def t21(spark, d):
-    return table(spark, d, "pages").select("page_id", clean_token(F.regexp_extract("url", "([^/?#]+)/?([?#].*)?$", 1)).alias("token"))
+    return table(spark, d, "pages").select("page_id", customer(F.regexp_extract("url", "([^/?#]+)/?([?#].*)?$", 1)).alias("token"))
 
 
 @add("t22_registrable", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\\.', '') AS domain FROM pages")
@@ -586,7 +586,7 @@ def g18(spark, d):
     """Pages past the watermark: links in their address name a company's board, links in their body a board of anyone. Boards seen before it are known, half of them without a company."""
     pages = table(spark, d, "pages")
     watermark = (pages.agg(F.max("page_id")).first()[0] or 0) // 2
-    found = lambda text: pages.select("page_id", F.inline(board_hits(text, BANK, ())))
+    found = lambda text: pages.select("page_id", F.inline(board_hits(text, BANK)))
     own = found(F.col("url"))
     body = found(F.concat(F.lit("see https://seen"), F.col("page_id") % 9, F.lit(".example.com/jobs")))
     past = F.col("page_id") > watermark

@@ -23,7 +23,7 @@ QUERIES, ORACLE, add = family.QUERIES, family.ORACLE, family.add
 def ts1(spark, d):
     """Pages harvested in two passes; the checkpoint is the watermark of what was read."""
     pages = table(spark, d, "pages").select("page_id", "url")
-    found = events.in_passes(pages, "page_id", lambda df: df.select("page_id", F.explode(board_hits(F.col("url"), BANK, ())).alias("hit")).select("page_id", "hit.token"))
+    found = events.in_passes(pages, "page_id", lambda df: df.select("page_id", F.explode(board_hits(F.col("url"), BANK)).alias("hit")).select("page_id", "hit.token"))
     return found.select("page_id", "token", "pass")
 
 

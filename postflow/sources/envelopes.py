@@ -26,10 +26,10 @@ def is_truncated(truncated: Column, source: Column, payload: Column, legacy: tup
     return F.coalesce(truncated, F.when(source.isin(*legacy), inside), F.lit(False))
 
 
-def crawl_hits(lines: DataFrame, host_keyed, path_keyed=()) -> DataFrame:
+def crawl_hits(lines: DataFrame, platforms) -> DataFrame:
     """(provider, token, records): boards that the URLs of an index (JSON lines) name, and by how many records. A broken line is skipped."""
     urls = lines.select(F.get_json_object("value", "$.url").alias("url")).where("url is not null")
-    hits = urls.select(F.explode(board_hits(F.col("url"), host_keyed, path_keyed)).alias("hit"))
+    hits = urls.select(F.explode(board_hits(F.col("url"), platforms)).alias("hit"))
     return hits.groupBy("hit.provider", "hit.token").agg(F.count("*").alias("records"))
 
 
