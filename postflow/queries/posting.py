@@ -758,14 +758,7 @@ def r17(spark, d):
 )
 def r18(spark, d):
     """Also postings of the lowest levels that name the level and a telling word of the titles."""
-    t = pick(F.col("id"), TITLE_CASES)
-    hit = F.lit(False)
-    for parts in P.title_patterns(TYPED):
-        found = F.lit(True)
-        for p in parts:
-            found = found & t.rlike(f"(?i){p}")
-        hit = hit | found
-    return titles(spark, d).select("id", hit.alias("hit"))
+    return titles(spark, d).select("id", P.fits_titles(pick(F.col("id"), TITLE_CASES), TYPED).alias("hit"))
 
 
 WANTED = ("Germany", "benelux", "US", "worldwide")
