@@ -96,7 +96,7 @@ def x06(spark, d):
 @add(
     "x07_relevant_lines",
     f"""+ t AS (SELECT doc_id, text || ' Last line. ' || {listed(SENTENCES)}[doc_id % 8 + 1] || chr(10) || 'Visa again: ' || repeat('x', CAST(doc_id % 90 AS INTEGER)) AS text FROM documents),
-    s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text[201:30000], '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: regexp_matches(x, '{A.MENTIONS}')) AS told FROM t),
+    s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text[201:], '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: regexp_matches(x, '{A.MENTIONS}')) AS told FROM t),
     n AS (SELECT doc_id, told, i, told[i] AS line, list_sum(list_transform(told[1:i], lambda x: length(x))) AS upto FROM (SELECT *, unnest(range(1, len(told) + 1)) AS i FROM s)),
     k AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS lines FROM n WHERE upto <= 120 GROUP BY 1) SELECT doc_id, coalesce(lines, '') AS lines FROM documents LEFT JOIN k USING (doc_id)""",
 )
