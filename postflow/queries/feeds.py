@@ -411,8 +411,7 @@ def s31(spark, d):
             out = F.when(n % 6 == i, F.to_json(F.struct(vs.alias(name)))).otherwise(out)
         return F.when(n % 6 == 5, F.to_json(vs)).otherwise(out)
 
-    items = answers(spark, d, shape).select(F.explode(verdict_items(F.col("text"))).alias("item"))
-    return valid_verdicts(items).select("job_id", "score")
+    return valid_verdicts(verdict_items(answers(spark, d, shape), "text")).select("job_id", "score")
 
 
 @add("s32_printed_verdicts", VALID_SQL.replace("WHERE", "WHERE doc_id // 20 % 4 <> 3 AND"))
@@ -422,8 +421,7 @@ def s32(spark, d):
         bare = F.to_json(vs)
         return F.when(n % 4 == 0, bare).when(n % 4 == 1, F.to_json(F.struct(lit("success").alias("kind"), bare.alias("result")))).when(n % 4 == 2, F.concat(lit("Here you are:\n"), bare, lit("\nAnything else?"))).otherwise(F.concat(lit("Sorry, "), F.substring(bare, 1, 15)))
 
-    items = answers(spark, d, shape).select(F.explode(printed_items(F.col("text"))).alias("item"))
-    return valid_verdicts(items).select("job_id", "score")
+    return valid_verdicts(printed_items(answers(spark, d, shape), "text")).select("job_id", "score")
 
 
 @add("s33_run_history", "SELECT CAST(run AS VARCHAR) AS run_id, count(*) AS postings FROM listings GROUP BY 1 ORDER BY 1 DESC LIMIT 5")

@@ -60,22 +60,35 @@ def read_through(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(cache.select("source", "job_id", "html"), ["source", "job_id"], "left").withColumn("origin", F.when(F.col("html").isNotNull(), "cache").otherwise("miss"))
 
 
-def verdict_items(answer: Column) -> Column:
-    """The verdicts (as texts) in an answer: a bare array, an array under one of four names, or batches of these."""
-    none = F.array().cast(LIST)
-    array = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, LIST))
-    named = lambda c: F.coalesce(array(c), *[array(F.get_json_object(c, f"$.{k}")) for k in ("verdicts", "results", "jobs", "scores")])
-    batches = F.flatten(F.transform(F.coalesce(array(F.get_json_object(answer, "$.batches")), none), lambda b: F.coalesce(named(b), none)))
-    return F.filter(F.coalesce(named(answer), batches), lambda v: F.ltrim(v).startswith("{"))
-
-
-def printed_items(output: Column) -> Column:
-    """The array that a program printed: bare, as the result of an envelope, or amid prose; nothing if there is none that parses."""
-    result = F.get_json_object(output, "$.result")
-    text = F.trim(F.when(F.ltrim(output).startswith("{") & result.isNotNull(), result).otherwise(output))
-    whole = F.when(text.startswith("["), F.from_json(text, LIST))
-    amid = F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\[.*\]", 0), F.lit("")), LIST)
-    return F.coalesce(whole, amid, F.array().cast(LIST))
+VERDICT_LISTS = ("verdicts", "results", "jobs", "scores")
+
+
+def listed(v: Column, path: str = "$") -> Column:
+    """The array at a path of a variant; null if there is none."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def objects(items: Column) -> Column:
+    """The objects among an array of variants, as JSON."""
+    return F.transform(F.filter(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))), lambda x: F.to_json(x))
+
+
+def verdict_items(answers: DataFrame, answer: str) -> DataFrame:
+    """The verdicts (a column `item` of texts) in answers: a bare array, an array under one of four names, or batches of these. Each answer is parsed once."""
+    none = F.array().cast("array<variant>")
+    named = lambda v: F.coalesce(listed(v), *[listed(v, f"$.{k}") for k in VERDICT_LISTS])
+    v = F.col("parsed")
+    batches = F.flatten(F.transform(F.coalesce(listed(v, "$.batches"), none), lambda b: F.coalesce(named(b), none)))
+    return answers.select(F.try_parse_json(answer).alias("parsed")).select(F.explode(objects(F.coalesce(named(v), batches))).alias("item"))
+
+
+def printed_items(outputs: DataFrame, output: str) -> DataFrame:
+    """The objects (a column `item` of texts) of the array that a program printed: bare, as the result of an envelope, or amid prose; nothing if there is none that parses."""
+    told = outputs.select(F.col(output).alias("whole"), F.try_parse_json(output).alias("parsed"))
+    result = F.coalesce(F.try_variant_get("parsed", "$.result", "string"), "whole")
+    told = told.select(F.coalesce(listed(F.col("parsed")), listed(F.col("parsed"), "$.result")).alias("found"), F.trim(result).alias("text"))
+    amid = F.nullif(F.regexp_extract("text", r"(?s)\[.*\]", 0), F.lit(""))
+    return told.select(F.coalesce("found", listed(F.try_parse_json(amid))).alias("found")).select(F.explode(objects(F.col("found"))).alias("item"))
 
 
 VERDICT = "job_id string, score string, reasoning string, red_flags array<string>, work_authorization_required array<string>, visa_sponsorship string"

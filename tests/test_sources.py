@@ -63,8 +63,8 @@ def test_ledger_keeps_what_the_reader_wrote(spark, tmp_path):
 def test_answers(spark):
     texts = [None, "", "no array", "[1, 2", '[{"job_id": 1, "score": 0.5}]', 'Sure: [{"job_id": "2", "score": 2}] bye', '{"result": "[{\\"job_id\\": 3, \\"score\\": 1}]"}', '{"batches": [{"jobs": [{"job_id": 4, "score": 0}]}]}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    printed = envelopes.valid_verdicts(df.select(F.explode(envelopes.printed_items(F.col("t"))).alias("item")))
-    shaped = envelopes.valid_verdicts(df.select(F.explode(envelopes.verdict_items(F.col("t"))).alias("item")))
+    printed = envelopes.valid_verdicts(envelopes.printed_items(df, "t"))
+    shaped = envelopes.valid_verdicts(envelopes.verdict_items(df, "t"))
     assert sorted(r["job_id"] for r in printed.collect()) == [1, 3]
     assert sorted(r["job_id"] for r in shaped.collect()) == [1, 4]
 
@@ -72,3 +72,13 @@ def test_answers(spark):
 def test_extraction_without_pages(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, "stub", "<html></html>", " by hand ")], "id int, description_text string, html string, pasted string")
     assert [(r["rung"], r["body"]) for r in extraction.filled(df).orderBy("id").collect()] == [(None, None), ("manual_paste", "by hand")]
+
+
+def test_an_answer_is_parsed_once(spark):
+    texts = ['{"verdicts": {"a": 1}, "jobs": [{"job_id": 1, "score": 0.5}, [], "x", null, 7]}', '{"batches": [7, null, {"scores": [{"job_id": 2, "score": 1e0}]}, [{"job_id": "3", "score": "0.25"}]]}', '{"jobs": [{"job_id": 4}', "null", "[[]]", '{"batches": "none"}', '[{"job_id": 5, "score": 0.1, "reasoning": " why ", "red_flags": ["a", "b"]}]']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    items = envelopes.verdict_items(df, "t")
+    got = sorted((r["job_id"], r["score"], r["reasoning"], r["red_flags"]) for r in envelopes.valid_verdicts(items).collect())
+    assert got == [(1, 0.5, "", None), (2, 1.0, "", None), (3, 0.25, "", None), (5, 0.1, "why", ["a", "b"])]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
