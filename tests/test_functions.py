@@ -132,3 +132,13 @@ def test_table_functions_lose_nothing(spark):
     assert rows(page_tables.board_rows, "id", "path") == sorted([(4, 1, "12", "/x-12", None), (4, 2, None, None, "no number in its link"), (2, None, None, None, "no page")], key=repr)
     assert rows(page_tables.links, "href", "place") == sorted([(4, 1, "/x-12?a=1", "other", None), (4, 2, "/x", "other", None), (5, 1, "/a", "nav", None), (5, 2, None, None, "no href"), (5, 3, "/c", "footer", None), (2, None, None, None, "no page")], key=repr)
     assert {r["page_id"] for r in page_tables.told(df, "html", page_tables.links).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_parts_of_a_page_stay_as_they_are_written(spark):
+    from postflow.functions.html import board_detail, main_block
+
+    inside = '<p title="a &amp; b">R&amp;D &amp;lt;b> &amp</p>'
+    df = spark.createDataFrame([(f"<body><nav>x</nav><article>{inside}</article></body>", f'<div data-test="qualifications-and-job-description">{inside}</div>')], "page string, detail string")
+    got = df.select(main_block(F.col("page")).alias("main"), board_detail(F.col("detail"))["body"].alias("body"), text.html_to_text(main_block(F.col("page"))).alias("text")).first()
+    assert got["main"] == got["body"] == inside
+    assert got["text"] == "R&D &lt;b> &amp"
