@@ -250,12 +250,11 @@ def j14(spark, d):
     return linked(records(spark, d)).select(F.col("key").alias("doc_id"), "rep", "links")
 
 
-ROUNDS = 6
-STATES_SQL = "s0 AS MATERIALIZED (SELECT doc_id AS k, CASE WHEN doc_id IN (SELECT v FROM edges) THEN NULL ELSE true END AS h FROM r)" + "".join(
-    f", s{i} AS MATERIALIZED (SELECT s.k, coalesce(s.h, x.h) AS h FROM s{i - 1} s LEFT JOIN (SELECT v, CASE WHEN bool_or(coalesce(p.h, false)) THEN false WHEN bool_and(coalesce(NOT p.h, false)) THEN true END AS h FROM edges JOIN s{i - 1} p ON p.k = u GROUP BY 1) x ON x.v = s.k)"
-    for i in range(1, ROUNDS + 1)
-)
-HEADS_SQL = f"{EDGES_SQL}, {STATES_SQL}, heads AS (SELECT s.k AS doc_id, CASE WHEN s.h THEN s.k ELSE x.head END AS head FROM s{ROUNDS} s LEFT JOIN (SELECT v, min(u) AS head FROM edges JOIN s{ROUNDS} p ON p.k = u AND p.h GROUP BY 1) x ON x.v = s.k)"
+#: Rounds until no record is open: one with an earlier adjacent head is none, one whose earlier adjacent records are none is a head.
+STATES_SQL = """states AS MATERIALIZED (WITH RECURSIVE s AS (SELECT 0 AS n, doc_id AS k, CASE WHEN doc_id IN (SELECT v FROM edges) THEN NULL ELSE true END AS h FROM r
+    UNION ALL SELECT s.n + 1, s.k, coalesce(s.h, x.h) FROM s LEFT JOIN (SELECT v, CASE WHEN bool_or(coalesce(p.h, false)) THEN false WHEN bool_and(coalesce(NOT p.h, false)) THEN true END AS h FROM edges JOIN s p ON p.k = u GROUP BY 1) x ON x.v = s.k
+    WHERE (SELECT bool_or(h IS NULL) FROM s)) SELECT k, h FROM s WHERE n = (SELECT max(n) FROM s))"""
+HEADS_SQL = f"{EDGES_SQL}, {STATES_SQL}, heads AS (SELECT s.k AS doc_id, CASE WHEN s.h THEN s.k ELSE x.head END AS head FROM states s LEFT JOIN (SELECT v, min(u) AS head FROM edges JOIN states p ON p.k = u AND p.h GROUP BY 1) x ON x.v = s.k)"
 
 
 @add("g01_greedy_clusters", f"+ {HEADS_SQL} SELECT doc_id, head FROM heads")
