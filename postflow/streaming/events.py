@@ -136,9 +136,9 @@ def retirements(seen: DataFrame, grace: int = 2, parts: int = PARTS) -> DataFram
 
 
 def breaker_rows(spark: SparkSession, sf_dir: str, processor: StatefulProcessor) -> DataFrame:
-    counted = lambda df: processed(late_by(df, "0 seconds"), ["user_id"], processor)
+    counted = lambda df: processed(late_by(df, "0 seconds").withColumn("us", F.unix_micros("ts")), ["user_id"], processor)
     with keyed_state(spark):
-        return drained(event_parts(spark, sf_dir), counted, "user_id >= 0").drop("pass")
+        return drained(event_parts(spark, sf_dir), counted, "user_id >= 0").drop("pass").withColumn("at", F.timestamp_micros("at"))
 
 
 def breakers(spark: SparkSession, sf_dir: str, trips_at: int = 3, first: int = 60, longest: int = 3600) -> DataFrame:

@@ -87,31 +87,30 @@ class Breakers(StatefulProcessor):
 
     `refused`: the streak-th refusal in a row, and the seconds to stay away, which double from `first` up to `longest`. `released`: the
     cooldown that refusal event_id set has ended, and no later refusal came before its end. State: the streak, and the cooldown in
-    force; a user with neither has no state.
+    force; a user with neither has no state. Times (`us` of a row, `at`) are microseconds: timestamps come back from the state without
+    the zone that those of rows may have.
     """
 
-    SCHEMA = "event_id bigint, user_id bigint, streak bigint, cooldown bigint, kind string, at timestamp"
+    SCHEMA = "event_id bigint, user_id bigint, streak bigint, cooldown bigint, kind string, at bigint"
 
     def __init__(self, refusal: str = "error", first: int = 60, longest: int = 3600):
         self.refusal, self.first, self.longest = refusal, first, longest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "streak bigint, cooldown bigint, event_id bigint, until timestamp")
+        self.now = handle.getValueState("now", "streak bigint, cooldown bigint, event_id bigint, until bigint")
 
     @staticmethod
-    def _fires(until) -> int:
+    def _fires(until: int) -> int:
         """The millisecond at which a cooldown is surely over."""
-        return -(-round(until.timestamp() * 1_000_000) // 1000)
+        return -(-until // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        import datetime as dt
-
         streak, cooldown, event, until = self.now.get() if self.now.exists() else (0, None, None, None)
         if until is not None:
             self.handle.deleteTimer(self._fires(until))
-        for r in sorted(rows, key=lambda r: (r["ts"], r["event_id"])):
-            if until is not None and until <= r["ts"]:
+        for r in sorted(rows, key=lambda r: (r["us"], r["event_id"])):
+            if until is not None and until <= r["us"]:
                 yield Row(event_id=event, user_id=key[0], streak=streak, cooldown=cooldown, kind="released", at=until)
                 until = None
             if r["event_type"] != self.refusal:
@@ -119,8 +118,8 @@ class Breakers(StatefulProcessor):
                 continue
             streak, event = streak + 1, r["event_id"]
             cooldown = min(self.first << min(streak - 1, 40), self.longest)
-            until = r["ts"] + dt.timedelta(seconds=cooldown)
-            yield Row(event_id=event, user_id=key[0], streak=streak, cooldown=cooldown, kind="refused", at=r["ts"])
+            until = r["us"] + cooldown * 1_000_000
+            yield Row(event_id=event, user_id=key[0], streak=streak, cooldown=cooldown, kind="refused", at=r["us"])
         yield from ()
         self._keep(streak, cooldown, event, until)
 
@@ -129,7 +128,7 @@ class Breakers(StatefulProcessor):
         yield Row(event_id=event, user_id=key[0], streak=streak, cooldown=cooldown, kind="released", at=until)
         self._keep(streak, cooldown, event, None)
 
-    def _keep(self, streak: int, cooldown: int | None, event: int | None, until) -> None:
+    def _keep(self, streak: int, cooldown: int | None, event: int | None, until: int | None) -> None:
         if until is not None:
             self.handle.registerTimer(self._fires(until))
         if streak or until is not None:

@@ -76,6 +76,18 @@ def test_cooldowns_end(spark, monkeypatch):
         assert got == [(1, "refused", 1, 60, "01 00:00"), (1, "released", 1, 60, "01 00:01"), (3, "refused", 1, 60, "02 00:00"), (4, "refused", 2, 120, "02 00:00"), (4, "released", 2, 120, "02 00:02"), (6, "refused", 1, 60, "03 00:00"), (6, "released", 1, 60, "03 00:01")]
 
 
+def test_a_refusal_long_after_the_last(spark, monkeypatch):
+    rows = [(1, at(1), 7, "error"), (2, at(20), 7, "error"), (3, at(1), 8, "view")]
+    end = spark.createDataFrame([(-1, at(28), -1, "end")], EVENT)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        monkeypatch.setattr(events, "event_parts", lambda *_: events.arrivals(spark.createDataFrame(rows, EVENT), "ts", 4, end))
+        got = sorted((r["event_id"], r["streak"]) for r in events.breakers(spark, "").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [(1, 1), (2, 2)]
+
+
 def test_runs_go_on_missing_a_retired_posting(spark):
     rows = [(0, 1, 10, False), *((k, 1, 11, False) for k in range(5))]
     got = {r["item"]: (r["missed"], r["is_active"]) for r in events.synced(spark.createDataFrame(rows, "run bigint, board bigint, item bigint, truncated boolean")).collect()}
