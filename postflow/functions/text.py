@@ -154,9 +154,13 @@ def tokens(text: Column) -> Column:
 
 def shingles(words: Column, size: int = 2) -> Column:
     """Runs of `size` words joined by a space; fewer words make one shingle, none make none."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(n >= size, runs).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        each = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(n >= size, each).when(n > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words), runs)[0]  # bound once: inside the inner lambda the words would be found again for every run
 
 
 def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:

@@ -75,9 +75,8 @@ def n05(spark, d):
     f"+ w AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) SELECT doc_id, len(w) AS n_tokens, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) AS n_shingles, CASE WHEN len(w) > 1 THEN w[1] || ' ' || w[2] ELSE w[1] END AS first_shingle FROM w",
 )
 def n06(spark, d):
-    words = text.tokens(F.col("text"))
-    s = text.shingles(words)
-    return table(spark, d, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(s).cast("bigint").alias("n_shingles"), F.try_element_at(s, F.lit(1)).alias("first_shingle"))
+    df = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w")).withColumn("s", text.shingles(F.col("w")))
+    return df.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.size("s").cast("bigint").alias("n_shingles"), F.try_element_at("s", F.lit(1)).alias("first_shingle"))
 
 
 BITS = ", ".join(f"sum(({h} >> {i}) & 1) * 2 > count(*) AS {h}{i}" for h in ("hi", "lo") for i in range(32))

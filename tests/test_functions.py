@@ -142,3 +142,12 @@ def test_parts_of_a_page_stay_as_they_are_written(spark):
     got = df.select(main_block(F.col("page")).alias("main"), board_detail(F.col("detail"))["body"].alias("body"), text.html_to_text(main_block(F.col("page"))).alias("text")).first()
     assert got["main"] == got["body"] == inside
     assert got["text"] == "R&D &lt;b> &amp"
+
+
+def test_shingles_of_a_long_text_find_its_words_once(spark):
+    import time
+
+    df = spark.range(4).select(F.repeat(F.lit("one two three four five "), 20_000).alias("text"))
+    began = time.time()
+    assert df.select(F.size(text.shingles(text.tokens(F.col("text")))).alias("n")).agg(F.sum("n")).first()[0] == 4 * 99_999
+    assert time.time() - began < 60  # a search for the words in every run would take hours
