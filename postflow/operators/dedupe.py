@@ -143,8 +143,9 @@ def clustered(records: DataFrame, max_distance: int = 12, tile: int = TILE) -> D
     classes = saved(classes_of(records))
     rows = classes.count()
     sized = saved(classes.join(classes.groupBy("block").agg(F.count("*").alias("n")), "block").select("n", *FIELDS))
-    small = sized.where(F.col("n") <= tile).drop("n").withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(max(1, rows // tile))))
-    told = [_walked(small, "bundle", max_distance)]
+    alone = sized.where("n = 1").select("rep", F.col("rep").alias("head"))
+    small = sized.where((F.col("n") > 1) & (F.col("n") <= tile)).drop("n").withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(max(1, rows // tile))))
+    told = [alone, _walked(small, "bundle", max_distance)]
     open_ = sized.where(F.col("n") > tile).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / tile)).cast("int"))
     while not open_.isEmpty():
         early = open_.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("rep"))).where(F.col("nth") <= tile).select(*FIELDS)
