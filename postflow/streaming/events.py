@@ -23,6 +23,7 @@ from postflow.streaming.states import Absences, Breakers, keyed_state, processed
 from postflow.streaming.sync import Sync
 
 PARTS = 4
+ITEM_RANGE = 32_768  # items of a key whose state is one value
 END = "end"  # the kind of a closing row
 
 
@@ -120,8 +121,10 @@ def in_runs(seen: DataFrame, processor: StatefulProcessor, parts: int = PARTS) -
     day = F.timestamp_seconds(F.col("at") * 86_400).alias("ts")
     rows = seen.select("key", "item", F.col("at").cast("bigint").alias("at"))
     close = rows.agg((F.max("at") + 1).alias("at")).select(F.lit(-1).cast("bigint").alias("key"), F.lit(-1).cast("bigint").alias("item"), "at").where("at is not null")
+    group = F.floor(F.col("item") / ITEM_RANGE).alias("range")
+    read = lambda df: processed(df.select("key", "item", "at", group, day).withWatermark("ts", "0 seconds"), ["key", "range"], processor)
     with keyed_state(spark):
-        return drained(arrivals(rows, "at", parts, close), lambda df: processed(df.select("key", "item", "at", day).withWatermark("ts", "0 seconds"), ["key", "item"], processor), "key >= 0").drop("pass")
+        return drained(arrivals(rows, "at", parts, close), read, "key >= 0").drop("pass")
 
 
 def missed_runs(seen: DataFrame, parts: int = PARTS, forget: int | None = None) -> DataFrame:

@@ -35,11 +35,12 @@ def processed(df: DataFrame, keys: list[str], processor: StatefulProcessor) -> D
 
 
 class Absences(StatefulProcessor):
-    """Items (key, item) seen in numbered runs: (key, item, at, missed, kind).
+    """Items (key, item) seen in numbered runs: (key, item, at, missed, kind), for groups by key and, if keys have many items, ranges of items.
 
     `seen`: seen in run `at`, after `missed` runs without it (-1: new, or forgotten). `retired`: run `at` was the `grace`-th in a row
-    without it. With `forget` (more than grace), an item is forgotten after as many. State: the run an item was last in, and whether it
-    is retired.
+    without it. With `forget` (more than grace), an item is forgotten after as many. State: of each item of the group the run it was
+    last in and whether it is retired, in one value, as the store is asked from Python call by call; and the group's one timer, for
+    what is due first.
     """
 
     SCHEMA = "key bigint, item bigint, at bigint, missed bigint, kind string"
@@ -49,37 +50,56 @@ class Absences(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at bigint, retired boolean")
+        self.held = handle.getValueState("held", "due bigint, items array<bigint>, last array<bigint>, retired array<boolean>")
 
     def _due(self, at: int, retired: bool) -> int | None:
-        """When the key's timer fires: at its retirement, then at its end."""
+        """When something becomes of an item: at its retirement, then at its end."""
         wait = self.forget if retired else self.grace
         return None if wait is None else (at + wait) * DAY_MS
 
+    def _load(self) -> tuple[int | None, dict[int, tuple[int, bool]]]:
+        due, *columns = self.held.get() or (None, [], [], [])
+        return due, {item: (last, retired) for item, last, retired in zip(*columns)}
+
+    def _keep(self, before: int | None, items: dict[int, tuple[int, bool]]) -> None:
+        due = min((d for x in items.values() if (d := self._due(*x)) is not None), default=None)
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if due is not None and before != due:
+            self.handle.registerTimer(due)
+        if items:
+            self.held.update((due, list(items), [last for last, _ in items.values()], [retired for _, retired in items.values()]))
+        else:
+            self.held.clear()
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        held = self.last.get() if self.last.exists() else None
-        last, retired = held if held is not None else (None, False)
-        if held is not None and self._due(last, retired) is not None:
-            self.handle.deleteTimer(self._due(last, retired))
-        for at in sorted({r["at"] for r in rows}):
-            gap = -1 if last is None else at - last - 1
-            if gap >= self.grace and not retired:
-                yield Row(key=key[0], item=key[1], at=last + self.grace, missed=self.grace, kind="retired")
-            known = self.forget is None or gap < self.forget
-            yield Row(key=key[0], item=key[1], at=at, missed=gap if known else -1, kind="seen")
-            last, retired = at, False
-        self.last.update((last, False))
-        self.handle.registerTimer(self._due(last, False))
+        due, items = self._load()
+        runs: dict[int, set[int]] = {}
+        for r in rows:
+            runs.setdefault(r["item"], set()).add(r["at"])
+        for item, seen in runs.items():
+            last, retired = items.get(item, (None, False))
+            for at in sorted(seen):
+                gap = -1 if last is None else at - last - 1
+                if gap >= self.grace and not retired:
+                    yield Row(key=key[0], item=item, at=last + self.grace, missed=self.grace, kind="retired")
+                known = self.forget is None or gap < self.forget
+                yield Row(key=key[0], item=item, at=at, missed=gap if known else -1, kind="seen")
+                last, retired = at, False
+            items[item] = (last, False)
+        self._keep(due, items)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        last, retired = self.last.get()
-        if retired:
-            self.last.clear()
-            return
-        self.last.update((last, True))
-        if self.forget is not None:
-            self.handle.registerTimer(self._due(last, True))
-        yield Row(key=key[0], item=key[1], at=last + self.grace, missed=self.grace, kind="retired")
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        _, items = self._load()
+        for item, (last, retired) in list(items.items()):
+            if not retired and self._due(last, False) <= now:
+                yield Row(key=key[0], item=item, at=last + self.grace, missed=self.grace, kind="retired")
+                retired = True
+                items[item] = (last, True)
+            if retired and self.forget is not None and self._due(last, True) <= now:
+                del items[item]
+        self._keep(None, items)
 
 
 class Breakers(StatefulProcessor):

@@ -92,3 +92,41 @@ def test_runs_go_on_missing_a_retired_posting(spark):
     rows = [(0, 1, 10, False), *((k, 1, 11, False) for k in range(5))]
     got = {r["item"]: (r["missed"], r["is_active"]) for r in events.synced(spark.createDataFrame(rows, "run bigint, board bigint, item bigint, truncated boolean")).collect()}
     assert got == {10: (4, False), 11: (0, True)}
+
+
+def test_items_of_a_range_are_one_state_and_one_timer():
+    from pyspark.sql import Row
+
+    from postflow.streaming.states import DAY_MS, Absences
+
+    class Store:
+        value, timers, calls = None, set(), 0
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def clear(self):
+            self.update(None)
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers = self.timers | {at}
+
+        def deleteTimer(self, at):
+            self.timers = self.timers - {at}
+
+    store, absences = Store(), Absences(forget=4)
+    absences.init(store)
+    seen = list(absences.handleInputRows((7, 0), iter([Row(item=i, at=1 + i % 2) for i in range(100)]), None))
+    assert sorted((r["item"], r["at"], r["missed"]) for r in seen) == [(i, 1 + i % 2, -1) for i in range(100)]
+    assert store.calls <= 3 and store.timers == {3 * DAY_MS}
+    passed = Row(getCurrentWatermarkInMs=lambda: 3 * DAY_MS, getExpiryTimeInMs=lambda: 3 * DAY_MS)
+    assert sorted(r["item"] for r in absences.handleExpiredTimer((7, 0), passed, passed)) == list(range(0, 100, 2))
+    assert 4 * DAY_MS in store.timers and len(store.value[1]) == 100
