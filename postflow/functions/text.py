@@ -60,6 +60,8 @@ EMPLOYMENT = (
 #: Tags whose content is no text, and tags that end a paragraph. Fixed values.
 DROPPED_TAGS = ("script", "style", "nav", "footer", "noscript")
 BLOCK_TAGS = ("p", "div", "li", "ul", "ol", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "blockquote", "header", "main", "aside", "figure", "hr", "dl", "dt", "dd")
+#: What a page must have for references, breaks, rules or dropped tags to matter, or for line ends beyond white space to end it.
+RARE_MARKUP = rf"[&<\x85\u2028\u2029](?:(?<!<)|(?i:br|hr|{'|'.join(DROPPED_TAGS)}))"
 #: Phrases by which a page says that a posting is closed. Fixed values.
 CLOSED = (
     "no longer accepting applications",
@@ -220,15 +222,23 @@ def completeness(text: Column) -> Column:
 
 def html_to_text(page: Column) -> Column:
     """Visible text: dropped tags gone, breaks to line ends, blocks to paragraphs, white space squeezed, one blank line at most."""
-    text = F.coalesce(page, F.lit(""))
+    text, blocks = F.coalesce(page, F.lit("")), rf"</(?i:{'|'.join(BLOCK_TAGS)})>"
+    full = text
     for tag in DROPPED_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, rf"(?i)</(?:{'|'.join(BLOCK_TAGS)})>|<hr\s*/?>", "\n\n")
-    text = unescape(F.regexp_replace(text, r"<[^>]*>", " "))
+        full = F.regexp_replace(full, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    full = F.regexp_replace(full, r"(?i)<br\s*/?>", "\n")
+    full = F.regexp_replace(full, rf"{blocks}|<(?i:hr)\s*/?>", "\n\n")
+    full = F.regexp_replace(_lines(unescape(F.regexp_replace(full, r"<[^>]*>", " "))), r"^[\s]+|[\s]+$", "")
+    # most pages have nothing that needs half of these passes; one look at the page tells
+    plain = F.trim(_lines(F.regexp_replace(F.regexp_replace(text, blocks, "\n\n"), r"<[^>]*>", " ")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(text.rlike(RARE_MARKUP), full).otherwise(plain)
+
+
+def _lines(text: Column) -> Column:
+    """Runs of white space are one space, one line end or one blank line."""
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{2,}", "\n\n"), r"^[\s]+|[\s]+$", "")
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
 class _Markdown(HTMLParser):

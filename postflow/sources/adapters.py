@@ -77,15 +77,15 @@ def elements(envelopes: DataFrame, shape: str, at: Callable[[Column], Column], e
     return rows.where(F.ltrim("raw").startswith("{")).withColumn("x", F.from_json("raw", element)).drop("raw")
 
 
-def postings(rows: DataFrame, told_by: str = "api", **given: Column) -> DataFrame:
-    """Postings of rows (envelope columns and whatever `given` refers to). Text and Markdown come from the HTML, completeness from the text."""
+def postings(rows: DataFrame, told_by: str = "api", excerpts: bool = False, **given: Column) -> DataFrame:
+    """Postings of rows (envelope columns and whatever `given` refers to). Text and Markdown come from the HTML, completeness from the text; excerpts are never whole."""
     body = given.get("description_html", F.lit(None).cast("string"))
     rows = rows.withColumns({f"own_{k}": v for k, v in given.items()} | {"own_description_html": body})
     text = F.col("own_description_text") if "description_text" in given else F.nullif(html_to_text(F.col("own_description_html")), F.lit(""))
     rows = rows.withColumn("own_description_text", text)
     made = {
         "description_md": F.when(F.col("own_description_html") != "", html_to_markdown(F.col("own_description_html"))),
-        "jd_completeness": completeness(F.col("own_description_text")),
+        "jd_completeness": F.when(F.col("own_description_text").isNotNull(), "snippet").otherwise("none") if excerpts else completeness(F.col("own_description_text")),
         "jd_source": F.when(F.col("own_description_text") != "", told_by),
         "remote_type": F.lit("unknown"),
         "departments": F.array().cast(LIST),
@@ -96,10 +96,11 @@ def postings(rows: DataFrame, told_by: str = "api", **given: Column) -> DataFram
     return out.where((F.col("external_id") != "") & (F.col("title") != ""))
 
 
-def once(found: DataFrame) -> DataFrame:
-    """The first of the postings with one id in a run of a board: order shifts between two pages of one search."""
-    by = Window.partitionBy("run_key", "source", "token", "external_id").orderBy("place")
-    return found.withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth")
+def once(rows: DataFrame, external_id: Column, title: Column) -> DataFrame:
+    """The first of the rows with one id in a run of a board, before anything is made of them: order shifts between two pages of one search."""
+    by = Window.partitionBy("run_key", "source", "token", "own_id").orderBy("place")
+    found = rows.withColumn("own_id", external_id).where((F.col("own_id") != "") & (title != ""))
+    return found.withColumn("nth", F.row_number().over(by)).where("nth = 1").drop("nth", "own_id")
 
 
 def placed(rows: DataFrame, raw: Column) -> DataFrame:
@@ -224,15 +225,14 @@ def workable_search(envelopes: DataFrame) -> DataFrame:
     rows = elements(envelopes, "pages array<struct<jobs array<string>>>", paged(), f"{ID}title string, state string, description string, requirementsSection string, benefitsSection string, company struct<title string>, location struct<city string, countryName string>, locations array<string>, workplace string, employmentType string, language string, created string, url string, linkoutUrl string, department string")
     x = F.col("x")
     rows = rows.where((F.coalesce(x["state"], F.lit("published")) == "published") & clean(x["company"]["title"]).isNotNull())
+    rows = once(rows, x["id"], F.trim(x["title"]))
     section = lambda head, c: F.when(clean(c).isNotNull(), F.concat(F.lit(f"<h3>{head}</h3>"), c)).otherwise("")
     body = clean(F.concat(F.coalesce(x["description"], F.lit("")), section("Requirements", x["requirementsSection"]), section("Benefits", x["benefitsSection"])))
     places = F.filter(x["locations"], lambda p: p != "TELECOMMUTE")
-    return once(
-        postings(
-            rows, external_id=x["id"], title=F.trim(x["title"]), company_name=F.trim(x["company"]["title"]), location_raw=first(F.array_join(places, "; "), x["location"]["countryName"]), country=country_code(clean(x["location"]["countryName"])), city=clean(x["location"]["city"]),
-            remote_type=looked_up(WORKPLACES, x["workplace"]), employment_type=employment_type(x["employmentType"]), description_html=body, description_lang=clean(x["language"]), posted_at=parse_datetime(x["created"]), apply_url=first(x["linkoutUrl"], x["url"]), source_url=clean(x["url"]),
-            departments=some(x["department"]),
-        )
+    return postings(
+        rows, external_id=x["id"], title=F.trim(x["title"]), company_name=F.trim(x["company"]["title"]), location_raw=first(F.array_join(places, "; "), x["location"]["countryName"]), country=country_code(clean(x["location"]["countryName"])), city=clean(x["location"]["city"]),
+        remote_type=looked_up(WORKPLACES, x["workplace"]), employment_type=employment_type(x["employmentType"]), description_html=body, description_lang=clean(x["language"]), posted_at=parse_datetime(x["created"]), apply_url=first(x["linkoutUrl"], x["url"]), source_url=clean(x["url"]),
+        departments=some(x["department"]),
     )
 
 
@@ -309,17 +309,16 @@ def techcareer(envelopes: DataFrame) -> DataFrame:
     rows = elements(envelopes, "pages array<struct<jobs array<string>>>", paged(), "jobId string, title string, slug string, isDisabledJob boolean, jobStatus string, description string, jobDepartmentName string, workPlaces array<struct<workPlaceName string>>, location struct<locationName string>, otherLocations array<struct<locationName string>>, company struct<companyProfileName string>, secretCompanyInfo struct<secretCompanyDescription string>, applyLink string")
     x = F.col("x")
     rows = rows.where(clean(x["slug"]).isNotNull() & ~F.coalesce(x["isDisabledJob"], F.lit(False)) & (F.coalesce(x["jobStatus"], F.lit("Published")) == "Published"))
+    rows = once(rows, x["jobId"], F.trim(x["title"]))
     others = F.transform(F.coalesce(x["otherLocations"], F.array().cast("array<struct<locationName string>>")), lambda p: clean(p["locationName"]))
     places = F.filter(F.concat(F.array(clean(x["location"]["locationName"])), others), lambda p: p.isNotNull())
     rows = placed(rows.withColumn("places", places), F.try_element_at(places, F.lit(1)))
     names = F.transform(x["workPlaces"], lambda w: F.trim(w["workPlaceName"]))
     mode = reduce(lambda found, kv: F.when(F.array_contains(names, kv[0]), kv[1]).otherwise(found), reversed(TURKISH_PLACES), F.lit(None).cast("string"))
     url = F.concat(F.lit("https://www.techcareer.net/jobs/detail/"), F.trim(x["slug"]))
-    return once(
-        postings(
-            rows, external_id=x["jobId"], title=F.trim(x["title"]), company_name=first(x["company"]["companyProfileName"], x["secretCompanyInfo"]["secretCompanyDescription"], F.lit(HIDDEN_COMPANY)), location_raw=clean(F.array_join("places", "; ")), country=F.col("where.country"), city=F.col("where.city"),
-            remote_type=mode, description_html=clean(x["description"]), apply_url=first(x["applyLink"], url), source_url=url, departments=some(clean(x["jobDepartmentName"])),
-        )
+    return postings(
+        rows, external_id=x["jobId"], title=F.trim(x["title"]), company_name=first(x["company"]["companyProfileName"], x["secretCompanyInfo"]["secretCompanyDescription"], F.lit(HIDDEN_COMPANY)), location_raw=clean(F.array_join("places", "; ")), country=F.col("where.country"), city=F.col("where.city"),
+        remote_type=mode, description_html=clean(x["description"]), apply_url=first(x["applyLink"], url), source_url=url, departments=some(clean(x["jobDepartmentName"])),
     )
 
 
@@ -328,20 +327,18 @@ def careerjet(envelopes: DataFrame) -> DataFrame:
     of_type = lambda p: F.flatten(F.transform(F.filter(p["pages"], lambda g: g["type"] == "JOBS"), lambda g: F.coalesce(g["jobs"], F.array().cast(LIST))))
     rows = elements(envelopes, "pages array<struct<type string, jobs array<string>>>", of_type, "title string, company string, locations string, description string, salary_min string, salary_max string, salary_currency_code string, salary_type string, `date` string, url string")
     x = F.col("x")
-    rows = rows.where(clean(x["company"]).isNotNull())
     key = F.concat_ws("|", *(turkish_fold(F.coalesce(x[c], F.lit(""))) for c in ("title", "company", "locations")))
+    external_id = F.substring(F.sha1(key), 1, 20)
+    rows = once(rows.where(clean(x["company"]).isNotNull()), external_id, F.trim(x["title"]))
     places = F.filter(F.transform(F.split(x["locations"], ","), lambda p: F.trim(p)), lambda p: (p != "") & ~turkish_fold(p).isin(*COUNTRY_WORDS))
     signal = F.concat_ws(" ", x["title"], x["locations"])
     amount = lambda c: F.when(c.try_cast("double") > 0, c.try_cast("double"))
     low, high = amount(x["salary_min"]), amount(x["salary_max"])
     stated = low.isNotNull() | high.isNotNull()
-    rows = rows.withColumn("excerpt", F.nullif(html_to_text(x["description"]), F.lit("")))
-    return once(
-        postings(
-            rows, external_id=F.substring(F.sha1(key), 1, 20), title=F.trim(x["title"]), company_name=F.trim(x["company"]), location_raw=clean(x["locations"]), country=F.lit("TR"), city=F.try_element_at(places, F.lit(-1)),
-            remote_type=F.when(signal.rlike(r"(?i)\b(hibrit|hybrid)\b"), "hybrid").when(signal.rlike(r"(?i)\b(uzaktan|remote|evden)\b"), "remote"), salary_min=low, salary_max=high, salary_currency=F.when(stated, clean(x["salary_currency_code"])), salary_period=F.when(stated, looked_up(PERIOD_LETTERS, x["salary_type"])),
-            description_html=clean(x["description"]), description_text=F.col("excerpt"), jd_completeness=F.when(F.col("excerpt").isNotNull(), "snippet").otherwise("none"), posted_at=parse_datetime(x["date"]), apply_url=clean(x["url"]), source_url=clean(x["url"]),
-        )
+    return postings(
+        rows, excerpts=True, external_id=external_id, title=F.trim(x["title"]), company_name=F.trim(x["company"]), location_raw=clean(x["locations"]), country=F.lit("TR"), city=F.try_element_at(places, F.lit(-1)),
+        remote_type=F.when(signal.rlike(r"(?i)\b(hibrit|hybrid)\b"), "hybrid").when(signal.rlike(r"(?i)\b(uzaktan|remote|evden)\b"), "remote"), salary_min=low, salary_max=high, salary_currency=F.when(stated, clean(x["salary_currency_code"])), salary_period=F.when(stated, looked_up(PERIOD_LETTERS, x["salary_type"])),
+        description_html=clean(x["description"]), posted_at=parse_datetime(x["date"]), apply_url=clean(x["url"]), source_url=clean(x["url"]),
     )
 
 
@@ -362,11 +359,9 @@ def kariyer(envelopes: DataFrame) -> DataFrame:
     city = clean(F.regexp_replace(x["location"], r"\s*(\(.*?\))?\s*(\+\s*\d+\s*il daha)?\s*$", ""))
     kind = turkish_fold(x["work_type"])
     url = F.concat(F.lit("https://www.kariyer.net"), x["path"])
-    return once(
-        postings(
-            rows.where(company.isNotNull()), "html", external_id=x["id"], title=F.trim(x["title"]), company_name=company, location_raw=clean(x["location"]), country=F.lit("TR"), city=city, remote_type=looked_up(TURKISH_MODELS, turkish_fold(x["work_model"])),
-            employment_type=F.coalesce(looked_up(TURKISH_TYPES, kind), employment_type(kind)), description_html=clean(F.col("d.body")), posted_at=relative_age(x["age"], parse_datetime(F.col("fetched_at"))), apply_url=url, source_url=url,
-        )
+    return postings(
+        once(rows.where(company.isNotNull()), x["id"], F.trim(x["title"])), "html", external_id=x["id"], title=F.trim(x["title"]), company_name=company, location_raw=clean(x["location"]), country=F.lit("TR"), city=city, remote_type=looked_up(TURKISH_MODELS, turkish_fold(x["work_model"])),
+        employment_type=F.coalesce(looked_up(TURKISH_TYPES, kind), employment_type(kind)), description_html=clean(F.col("d.body")), posted_at=relative_age(x["age"], parse_datetime(F.col("fetched_at"))), apply_url=url, source_url=url,
     )
 
 

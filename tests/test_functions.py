@@ -151,3 +151,13 @@ def test_shingles_of_a_long_text_find_its_words_once(spark):
     began = time.time()
     assert df.select(F.size(text.shingles(text.tokens(F.col("text")))).alias("n")).agg(F.sum("n")).first()[0] == 4 * 99_999
     assert time.time() - began < 60  # a search for the words in every run would take hours
+
+
+def test_the_parts_of_a_place_are_found_once(spark):
+    plan = spark.range(1).select(places.parse_location(F.col("id").cast("string")).alias("p")).select("p.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\bor\b") == 1
+
+
+@pytest.mark.parametrize(("page", "want"), [("<p>One</p> <b>two</b>\t three \n</LI>", "One\n\ntwo three"), ("a <\n b", "a <\nb"), ("a\x0b \x85", "a\x85"), ("a<hr>b<Nav>c</nav>d", "a\n\nb d"), (" a  &gt;b ", "a >b"), (None, "")])
+def test_text_of_pages_with_and_without_rare_markup(spark, page, want):
+    assert one(spark, text.html_to_text, page) == want

@@ -82,3 +82,19 @@ def test_an_answer_is_parsed_once(spark):
     assert got == [(1, 0.5, "", None), (2, 1.0, "", None), (3, 0.25, "", None), (5, 0.1, "why", ["a", "b"])]
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(") == 1
+
+
+def plan_of(spark, df):
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+
+
+def test_texts_are_made_of_postings_that_stay(spark):
+    sent = spark.range(2).select(*(F.concat(F.lit(c), "id").alias(c) for c in ("run_key", "source", "token", "market", "fetched_at", "payload")))
+    for name in ("workable_search", "techcareer", "careerjet"):
+        below = plan_of(spark, adapters.ADAPTERS[name](sent).select("description_text")).split("Window [")[-1]
+        assert "from_json" in below and "<[^>]*>" not in below
