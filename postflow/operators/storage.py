@@ -24,3 +24,20 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def saved_in_small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
+    """As saved, for tables whose rows go through Python and may be large: batches sent there are bounded by bytes and not by rows alone.
+
+    The session's own bound comes back afterwards.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_BYTES)
+    conf.set(BATCH_BYTES, size)
+    try:
+        return saved(df)
+    finally:
+        conf.set(BATCH_BYTES, before)

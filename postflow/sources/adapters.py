@@ -17,6 +17,7 @@ from postflow.functions import html as H
 from postflow.functions.places import country_code, literal_map, parse_location
 from postflow.functions.text import completeness, domain_from_url, employment_type, html_to_markdown, html_to_text, turkish_fold, unescape_if_escaped
 from postflow.functions.values import parse_datetime, relative_age
+from postflow.operators.storage import saved_in_small_batches
 
 ENVELOPE = "run_key string, source string, provider string, token string, market string, board_id bigint, fetched_at string, payload string, truncated boolean, refused boolean"
 #: The columns of a posting that an adapter may state, and their types.
@@ -40,6 +41,8 @@ HIDDEN_COMPANY = "Gizli Firma"
 HEADQUARTERS = r"(?i)<strong>\s*Headquarters:\s*</strong>\s*([^<\n]+)"
 ID, TEXT, LIST = "id string, ", " string, ", "array<string>"
 
+ABOUT = ("run_key", "source", "token", "market", "fetched_at")
+
 Adapter = Callable[[DataFrame], DataFrame]
 
 
@@ -343,12 +346,16 @@ def careerjet(envelopes: DataFrame) -> DataFrame:
 
 
 def cards_of(envelopes: DataFrame, field: str, read: Callable[[Column], Column], detail: Callable[[Column], Column]) -> DataFrame:
-    """Cards of the result pages in a payload of HTML texts, in order, each with what its detail page says (if that was fetched)."""
+    """Cards of the result pages in a payload of HTML texts, in order, each with what its detail page says (if that was fetched).
+
+    A payload may hold many cards, so batches sent to Python are bounded by bytes.
+    """
     shape = F.from_json("payload", f"{field} array<string>, details map<string, string>, fetched_at string")
     rows = envelopes.withColumn("p", shape).select("run_key", "source", "token", "market", F.coalesce("p.fetched_at", "fetched_at").alias("fetched_at"), F.col("p.details").alias("details"), F.posexplode(F.col(f"p.{field}")).alias("page", "html"))
-    cards = rows.withColumn("cards", read(F.col("html"))).drop("html").select("*", F.posexplode("cards").alias("nth", "x")).drop("cards")
-    cards = cards.withColumn("place", F.col("page") * 10000 + F.col("nth")).withColumn("page_html", F.try_element_at("details", F.col("x.id"))).drop("details")
-    return cards.withColumn("d", detail(F.col("page_html"))).drop("page_html")
+    with_detail = F.transform("cards", lambda c: F.struct(c.alias("x"), F.try_element_at("details", c["id"]).alias("page_html")))  # so that no card carries the pages of others
+    pairs = rows.withColumn("cards", read(F.col("html"))).select(*ABOUT, "page", F.posexplode(with_detail).alias("nth", "pair"))
+    cards = pairs.select(*ABOUT, (F.col("page") * 10000 + F.col("nth")).alias("place"), "pair.x", detail(F.col("pair.page_html")).alias("d"))
+    return saved_in_small_batches(cards)
 
 
 def kariyer(envelopes: DataFrame) -> DataFrame:

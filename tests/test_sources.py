@@ -98,3 +98,13 @@ def test_texts_are_made_of_postings_that_stay(spark):
     for name in ("workable_search", "techcareer", "careerjet"):
         below = plan_of(spark, adapters.ADAPTERS[name](sent).select("description_text")).split("Window [")[-1]
         assert "from_json" in below and "<[^>]*>" not in below
+
+
+def test_rows_for_python_are_sent_in_batches_bounded_by_bytes(spark):
+    from postflow.operators.storage import BATCH_BYTES, saved_in_small_batches
+
+    size = F.pandas_udf(lambda batch: batch.map(lambda _: len(batch)), "long")
+    before = spark.conf.get(BATCH_BYTES)
+    rows = spark.range(0, 300, 1, 1).select(size(F.repeat(F.lit("x"), 100_000 + F.col("id").cast("int"))).alias("n"))
+    found = saved_in_small_batches(rows, "2m").agg(F.max("n"), F.count("n")).first()
+    assert found[0] <= 25 and found[1] == 300 and spark.conf.get(BATCH_BYTES) == before
