@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postflow.functions import places, text, values
+from postflow.operators.storage import saved_in_small_batches
 from postflow.queries.registry import Family
 from postflow.queries.relational import TOKENS_SQL
 from postflow.sources.bindings import companies, jobs, now, pick, table, titles
@@ -139,7 +140,7 @@ def n11(spark, d):
 
 @add("n12_html_markdown")
 def n12(spark, d):
-    return table(spark, d, "pages").select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
+    return saved_in_small_batches(table(spark, d, "pages").select("page_id", text.html_to_markdown(F.col("html")).alias("markdown")))
 
 
 @add("n13_unescape", "SELECT page_id, md5(html) AS hash FROM pages")

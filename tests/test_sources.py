@@ -108,3 +108,10 @@ def test_rows_for_python_are_sent_in_batches_bounded_by_bytes(spark):
     rows = spark.range(0, 300, 1, 1).select(size(F.repeat(F.lit("x"), 100_000 + F.col("id").cast("int"))).alias("n"))
     found = saved_in_small_batches(rows, "2m").agg(F.max("n"), F.count("n")).first()
     assert found[0] <= 25 and found[1] == 300 and spark.conf.get(BATCH_BYTES) == before
+
+
+def test_texts_and_pages_go_through_python_once_and_in_small_batches(spark):
+    from postflow.queries import QUERIES
+
+    for name in ("n12_html_markdown",):
+        assert "ArrowEvalPython" not in plan_of(spark, QUERIES[name](spark, "/root/testdata/sf0.001"))
