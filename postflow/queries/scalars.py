@@ -89,7 +89,7 @@ SIMHASH_SQL = f"""w AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents), s AS (
 
 def hashes(spark, d):
     df = table(spark, d, "documents").select("doc_id", text.simhash_md5(F.col("text")).alias("h"))
-    return df.where("h is not null").select("doc_id", "h.hi", "h.lo")
+    return saved_in_small_batches(df.where("h is not null").select("doc_id", "h.hi", "h.lo"))
 
 
 @add("n07_simhash", f"+ {SIMHASH_SQL} SELECT * FROM simhash")
@@ -99,7 +99,7 @@ def n07(spark, d):
 
 @add("n07_simhash_blake2b")
 def n07b(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.simhash_blake2b(F.col("text")).alias("simhash"))
+    return saved_in_small_batches(table(spark, d, "documents").select("doc_id", text.simhash_blake2b(F.col("text")).alias("simhash")))
 
 
 @add("n08_hamming", f"+ {SIMHASH_SQL} SELECT a.doc_id, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS distance FROM simhash a JOIN simhash b ON b.doc_id = a.doc_id + 1")

@@ -113,5 +113,5 @@ def test_rows_for_python_are_sent_in_batches_bounded_by_bytes(spark):
 def test_texts_and_pages_go_through_python_once_and_in_small_batches(spark):
     from postflow.queries import QUERIES
 
-    for name in ("n12_html_markdown",):
+    for name in ("n08_hamming", "n12_html_markdown"):
         assert "ArrowEvalPython" not in plan_of(spark, QUERIES[name](spark, "/root/testdata/sf0.001"))
