@@ -61,7 +61,8 @@ EMPLOYMENT = (
 DROPPED_TAGS = ("script", "style", "nav", "footer", "noscript")
 BLOCK_TAGS = ("p", "div", "li", "ul", "ol", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "blockquote", "header", "main", "aside", "figure", "hr", "dl", "dt", "dd")
 #: What a page must have for references, breaks, rules or dropped tags to matter, or for line ends beyond white space to end it.
-RARE_MARKUP = rf"[&<\x85\u2028\u2029](?:(?<!<)|(?i:br|hr|{'|'.join(DROPPED_TAGS)}))"
+RARE_SIGNS = ("&", "\x85", "\u2028", "\u2029")
+RARE_TAGS = rf"<(?i:br|hr|{'|'.join(DROPPED_TAGS)})"
 #: Phrases by which a page says that a posting is closed. Fixed values.
 CLOSED = (
     "no longer accepting applications",
@@ -231,12 +232,13 @@ def html_to_text(page: Column) -> Column:
     full = F.regexp_replace(_lines(unescape(F.regexp_replace(full, r"<[^>]*>", " "))), r"^[\s]+|[\s]+$", "")
     # most pages have nothing that needs half of these passes; one look at the page tells
     plain = F.trim(_lines(F.regexp_replace(F.regexp_replace(text, blocks, "\n\n"), r"<[^>]*>", " ")), F.lit(" \t\n\x0b\f\r"))
-    return F.when(text.rlike(RARE_MARKUP), full).otherwise(plain)
+    rare = reduce(lambda a, b: a | b, [text.contains(c) for c in RARE_SIGNS]) | text.rlike(RARE_TAGS)
+    return F.when(rare, full).otherwise(plain)
 
 
 def _lines(text: Column) -> Column:
     """Runs of white space are one space, one line end or one blank line."""
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(text, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " ")  # single spaces, which are most, are left where they are
     text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 

@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 AGE_UNITS = {"dakika": 60, "saat": 3600, "gün": 86400, "hafta": 604800, "ay": 2592000, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000}
 PERIODS = {"annual": 1.0, "monthly": 12.0, "weekly": 52.0, "daily": 260.0, "hourly": 2080.0}
 
+#: Forms of moments, and what a text of that form must have: a form that fails costs an exception, so only those that may fit are tried.
+DATE_FORMS = (
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", r"(?i)-\d\dT.*(Z|[+-]\d\d:\d\d)$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSS]", r"(?i)-\d\dT.*[:.]\d+$"),
+    ("yyyy-MM-dd HH:mm:ss", r"-\d\d .*:\d\d$"),
+    ("yyyy-MM-dd", r"-\d\d-\d\d$"),
+    ("dd MMM yyyy HH:mm:ss Z", r"^\d\d .* .*:\d\d [+-]\d{4}$"),
+    ("dd MMM yyyy", r"^\d\d [^ ]+ [+-]?\d+$"),
+)
+
 
 def parse_datetime(value: Column) -> Column:
     """Text to a timestamp in UTC without zone: epochs in seconds or (above 1e11) milliseconds, ISO forms, RFC dates; else null."""
-    number = value.try_cast("double")
+    number = F.when(~value.rlike(r"[:,]|\d-\d"), value.try_cast("double"))  # no number has these, and a cast that fails costs an exception
     epoch = F.timestamp_millis((F.when(F.abs(number) > 1e11, number).otherwise(number * 1000)).cast("bigint"))
     plain = F.regexp_replace(value, "^[A-Z][a-z]{2}, ", "")
-    forms = ["yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd MMM yyyy HH:mm:ss Z", "dd MMM yyyy"]
-    parsed = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in forms])
+    parsed = F.coalesce(*[F.when(plain.rlike(sign), F.try_to_timestamp(plain, F.lit(form))) for form, sign in DATE_FORMS])
     return F.when(number.isNotNull(), epoch).otherwise(parsed).cast("timestamp_ntz")
 
 

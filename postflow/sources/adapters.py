@@ -76,8 +76,8 @@ def elements(envelopes: DataFrame, shape: str, at: Callable[[Column], Column], e
     Elements are first taken as text, so that one with a wrong type loses only its own field.
     """
     items = at(F.from_json("payload", shape))
-    rows = envelopes.select("run_key", "source", "token", "market", "fetched_at", F.posexplode(items).alias("place", "raw"))
-    return rows.where(F.ltrim("raw").startswith("{")).withColumn("x", F.from_json("raw", element)).drop("raw")
+    read = F.transform(items, lambda raw: F.when(F.ltrim(raw).startswith("{"), F.from_json(raw, element)))  # before rows are made, or every filter on x would read it again
+    return envelopes.select("run_key", "source", "token", "market", "fetched_at", F.posexplode(read).alias("place", "x")).where("x is not null")
 
 
 def postings(rows: DataFrame, told_by: str = "api", excerpts: bool = False, **given: Column) -> DataFrame:

@@ -115,3 +115,9 @@ def test_texts_and_pages_go_through_python_once_and_in_small_batches(spark):
 
     for name in ("n08_hamming", "n12_html_markdown"):
         assert "ArrowEvalPython" not in plan_of(spark, QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_an_element_is_read_once(spark):
+    """Filters on what an element says do not read it again."""
+    plan = adapters.ADAPTERS["workable_search"](sent(spark, "workable_search", "{}"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
