@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.functions.authorization import decision, merged, required_codes, sponsorship
-from postflow.functions.places import is_worldwide, offset_of, overlap_hours
+from postflow.functions.authorization import decision, merged, stated
+from postflow.functions.places import bound, is_worldwide, offset_of, overlap_hours
 from postflow.functions.text import detect_role_family, normalize_company_name
 from postflow.functions.values import annual, convert, is_recent_batch
 
@@ -156,8 +156,8 @@ def authorization(text: Column, country: Column, rules: Rules, stored: Column |
         return []
     empty = F.array().cast("array<string>")
     had = [] if stored is None else [F.coalesce(stored["required"], empty)]
-    facts = merged([*had, required_codes(text)], [*([] if stored is None else [stored["sponsorship"]]), sponsorship(text)])
-    return [decision(facts["required"], facts["sponsorship"], country, rules.authorized, rules.needs_sponsorship)]
+    facts = bound(stated(text), lambda said: merged([*had, said["required"]], [*([] if stored is None else [stored["sponsorship"]]), said["sponsorship"]]))
+    return [bound(facts, lambda f: decision(f["required"], f["sponsorship"], country, rules.authorized, rules.needs_sponsorship))]
 
 
 def boost(rules: Rules, signs: dict[str, Column]) -> Column:

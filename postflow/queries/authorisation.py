@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postflow.functions import authorization as A
+from postflow.functions.places import bound
 from postflow.operators import rules as R
 from postflow.queries.registry import Family
 from postflow.sources.bindings import pick, table
@@ -56,7 +57,7 @@ def x03(spark, d):
 def facts(spark, d):
     df = told(spark, d)
     stored = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("FR"))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("facts", A.merged([stored, A.required_codes(F.col("text"))], [F.when(F.col("doc_id") % 16 == 4, "offered"), A.sponsorship(F.col("text"))]))
+    return df.withColumn("facts", bound(A.stated(F.col("text")), lambda said: A.merged([stored, said["required"]], [F.when(F.col("doc_id") % 16 == 4, "offered"), said["sponsorship"]])))
 
 
 MERGED_SQL = f"m AS (SELECT doc_id, lang, list_sort(list_concat(CASE WHEN doc_id % 3 = 0 THEN ['FR'] ELSE [] END, CASE WHEN {listed(CODES)}[doc_id % 8 + 1] = '' THEN [] ELSE [{listed(CODES)}[doc_id % 8 + 1]] END)) AS required, CASE WHEN doc_id % 16 = 4 THEN 'offered' ELSE {listed(SPONSORED)}[doc_id % 8 + 1] END AS sponsorship FROM documents)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postflow.functions import density
 from postflow.functions import text as T
-from postflow.functions.authorization import decision, required_codes, sponsorship
+from postflow.functions.authorization import decision, stated
 from postflow.functions.html import job_posting, main_block
 from postflow.functions.page_tables import links as page_links
 from postflow.functions.page_tables import told as told_rows
@@ -421,7 +421,7 @@ GATE_SQL = f"g AS (SELECT p.*, {CODES_SQL} AS codes, CASE WHEN doc_id IS NULL OR
 @add("g12_gate_writeback", f"+ {POSTINGS_SQL}, {GATE_SQL} SELECT id, array_to_string(CASE WHEN late IS NULL OR list_contains(codes, late) THEN codes ELSE list_append(codes, late) END, ',') AS codes, len(codes) = 0 AND late IS NULL AS passed FROM g")
 def g12(spark, d):
     """What the reader of a posting's text found on authorisation can fail a posting that had passed; its code joins the others."""
-    read = told(spark, d).select(F.col("doc_id").alias("id"), required_codes(F.col("text")).alias("required"), sponsorship(F.col("text")).alias("sponsorship"))
+    read = told(spark, d).select(F.col("doc_id").alias("id"), stated(F.col("text")).alias("said")).select("id", "said.required", "said.sponsorship")
     df = verdicts(spark, d).join(read, "id", "left")
     late = decision(F.coalesce("required", F.array().cast("array<string>")), F.col("sponsorship"), F.nullif("place", F.lit("")), ("DE", "FR"), True)
     codes = F.when(late.isNull() | F.array_contains("verdict.codes", late), F.col("verdict.codes")).otherwise(F.array_append("verdict.codes", late))

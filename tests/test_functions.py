@@ -161,3 +161,16 @@ def test_the_parts_of_a_place_are_found_once(spark):
 @pytest.mark.parametrize(("page", "want"), [("<p>One</p> <b>two</b>\t three \n</LI>", "One\n\ntwo three"), ("a <\n b", "a <\nb"), ("a\x0b \x85", "a\x85"), ("a<hr>b<Nav>c</nav>d", "a\n\nb d"), (" a  &gt;b ", "a >b"), (None, "")])
 def test_text_of_pages_with_and_without_rare_markup(spark, page, want):
     assert one(spark, text.html_to_text, page) == want
+
+
+def test_authorisation_is_looked_for_once(spark):
+    """What a text says on authorisation is found once, however often the decision refers to it."""
+    rule = rules.authorization(F.col("text"), F.col("lang"), rules.Rules(authorized=("DE",), needs_sponsorship=True))[0]
+    df = spark.createDataFrame([("You must be authorized to work in Germany",)], "text string").withColumn("lang", F.lit("US")).select(rule.alias("r"), F.length("text").alias("n"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 6
+
+
+def test_blocked_company_is_normalised_once(spark):
+    rule = rules.company_blocked(F.col("x"), rules.Rules(blocked_companies=("Acme, Inc.",)))[0]
+    plan = spark.createDataFrame([("acme",)], "x string").select(rule.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
