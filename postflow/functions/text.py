@@ -107,8 +107,8 @@ def unaccented(text: Column) -> Column:
 def normalize_company_name(name: Column) -> Column:
     """Lower case, without accents, punctuation and legal forms at the end; a name of legal forms alone stays whole. Letters of all scripts count."""
     bare = squeezed(F.regexp_replace(F.lower(unaccented(F.coalesce(name, F.lit("")))), r"[^\p{L}\p{N}_\s]", " "))
-    cut = F.regexp_replace(bare, rf"(^|\s)({'|'.join(LEGAL_SUFFIXES)})(\s({'|'.join(LEGAL_SUFFIXES)}))*$", "")
-    return F.when(cut == "", bare).otherwise(cut)
+    form = f"(?:{'|'.join(LEGAL_SUFFIXES)})"
+    return F.regexp_replace(bare, rf"^({form}(?:\s{form})*)$|\s{form}(?:\s{form})*$", "$1")  # one pass, so that the name is made ready once
 
 
 def domain_from_url(url: Column) -> Column:

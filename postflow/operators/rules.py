@@ -76,7 +76,7 @@ def company_blocked(name: Column, rules: Rules) -> list[Column]:
     if not rules.blocked_companies:
         return []
     blocked = [F.lit(c) for c in rules.blocked_companies]
-    same = F.lower(name).isin(*(c.lower() for c in rules.blocked_companies)) | ((normalize_company_name(name) != "") & normalize_company_name(name).isin(*map(normalize_company_name, blocked)))
+    same = F.lower(name).isin(*(c.lower() for c in rules.blocked_companies)) | bound(normalize_company_name(name), lambda n: (n != "") & n.isin(*map(normalize_company_name, blocked)))
     return [violated("company_blocked", same)]
 
 
