@@ -5,6 +5,8 @@ Everything here works on the raw UTF-8 buffer of an Arrow string column, so a ba
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -136,8 +138,17 @@ def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(int(lens.sum())) - np.repeat(total, lens) + np.repeat(starts, lens)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Parts of a batch whose texts stay under about `limit` bytes, one row at least."""
+def released() -> None:
+    """Gives back what Arrow and malloc hold unused. Spark's workers live from stage to stage, and each would keep the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
+    """Parts of a batch whose texts stay under about `limit` bytes, one row at least; memory that is not used goes before and after them."""
+    released()
     offs = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < batch.num_rows:
@@ -145,6 +156,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         j = max(i + 1, int(np.searchsorted(offs, base + limit, "right")))
         yield batch.slice(i, j - i)
         i = j
+    released()
 
 
 def per_row(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
