@@ -10,7 +10,7 @@ f(p, q) = floor((p - q)^2 / q); everything is integers. f depends on counts alon
   which the group's own histogram of counts gives, and a correction for terms that both have. Terms with the same counts in all their
   sources are one cell of that correction, weighed by their number.
 
-Texts are counted where they lie: batches send one row for each (lang, source, term) they hold. No task sees the terms of a group
+Texts are counted where they lie, about a MB at a time: tasks send one row for each (lang, source, term) they hold. No task sees the terms of a group
 together, and what is joined by lang has a row for each distinct count or source. The result of `pair` has, by definition, a row for
 each two sources of a lang.
 
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from postflow.operators.storage import saved
 
-from .kernels import LOWER, ranges, slices, utf8
+from .kernels import LOWER, ranges, released, slices, utf8
 
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
-SLICE, PAIRS = 16 << 20, 1 << 21
+PAIRS = 1 << 18  # pairs of entries that a task evaluates at once
+HELD = 1 << 17  # counted rows that a task holds before it merges them
 COUNTED = "lang string, source string, term string, n bigint, docs bigint"
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -55,31 +56,48 @@ def terms(buf: np.ndarray, offs: np.ndarray) -> tuple[pa.LargeStringArray, np.nd
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each slice of documents: how often each (lang, source) has each term, and in how many documents."""
+    """How often each (lang, source) has each term, and in how many documents; a task sends a (lang, source, term) again only when it holds too many."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for part in slices(batch, "text", SLICE):
-            found, row = terms(*utf8(part.column("text")))
-            if not len(row):
-                continue
-            coded = found.dictionary_encode()
-            code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-            lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
-            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-            seen, times = np.unique(row * size + code, return_counts=True)  # a term in a document
-            at, inverse = np.unique(group[seen // size] * size + seen % size, return_inverse=True)
-            n, docs = np.zeros(len(at), np.int64), np.bincount(inverse, minlength=len(at))
-            np.add.at(n, inverse, times)
-            g = at // size
-            yield pa.RecordBatch.from_arrays(
-                [
-                    lang.dictionary.take(pa.array(g // len(source.dictionary))).cast(pa.string()),
-                    source.dictionary.take(pa.array(g % len(source.dictionary))).cast(pa.string()),
-                    coded.dictionary.take(pa.array(at % size)).cast(pa.string()),
-                    pa.array(n),
-                    pa.array(docs.astype(np.int64)),
-                ],
-                ["lang", "source", "term", "n", "docs"],
-            )
+        for part in slices(batch, "text"):
+            held += counted_slice(part)
+            if sum(x.num_rows for x in held) > HELD:
+                held = merged(held)
+                if sum(x.num_rows for x in held) > HELD // 2:
+                    yield from held
+                    held = []
+    yield from merged(held)
+    released()
+
+
+def merged(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if not held:
+        return []
+    sums = pa.Table.from_batches(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return sums.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"]).combine_chunks().to_batches()
+
+
+def counted_slice(part: pa.RecordBatch) -> list[pa.RecordBatch]:
+    found, row = terms(*utf8(part.column("text")))
+    if not len(row):
+        return []
+    coded = found.dictionary_encode()
+    code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
+    group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    seen, times = np.unique(row * size + code, return_counts=True)  # a term in a document
+    at, inverse = np.unique(group[seen // size] * size + seen % size, return_inverse=True)
+    n, docs = np.zeros(len(at), np.int64), np.bincount(inverse, minlength=len(at))
+    np.add.at(n, inverse, times)
+    g = at // size
+    columns = [
+        lang.dictionary.take(pa.array(g // len(source.dictionary))).cast(pa.string()),
+        source.dictionary.take(pa.array(g % len(source.dictionary))).cast(pa.string()),
+        coded.dictionary.take(pa.array(at % size)).cast(pa.string()),
+        pa.array(n),
+        pa.array(docs.astype(np.int64)),
+    ]
+    return [pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])]
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -139,6 +157,7 @@ def shared_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_pandas(held.pop(), preserve_index=False)
     if held:
         yield pa.RecordBatch.from_pandas(summed(held), preserve_index=False)
+    released()
 
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", top: int = TOP, min_docs: int = MIN_DOCS) -> DataFrame:
