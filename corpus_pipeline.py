@@ -26,14 +26,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the smallest document stays; rows with the same id and text are one document.
 
-    Rows are told apart by their number, as ids may repeat; a null id links with nothing.
+    Rows are told apart by their number, as ids may repeat; a null id links with nothing. docs are a stored table, whose rows have the same
+    numbers when they are read again.
     """
-    rows = saved(docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
-    found = saved(ngram_join.join(rows, doc_id="__row").where("doc_id is not null").select(F.col("doc_id").alias("__row"), "component_id"))
-    single = rows.where("__row is not null").groupBy("doc_id", F.sha2("text", 256)).agg(F.min("__row").alias("__row"))
-    first = F.min(F.struct("doc_id", "__row")).alias("first")
-    stay = single.select("doc_id", "__row").join(found, "__row").groupBy("component_id").agg(first).select("first.__row")
-    return rows.join(found.join(stay, "__row", "left_anti"), "__row", "left_anti").select(docs.columns)
+    rows = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+    return ngram_join.first_of_each(rows, "doc_id", doc_id="__row").select(docs.columns)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from postflow.operators.storage import saved
 
@@ -64,7 +65,7 @@ class Sets:
 
     def __init__(self, table: pa.Table, size: int, percent: int):
         table = table.filter(pa.compute.is_valid(table["doc_id"])).sort_by("doc_id")
-        self.ids = table["doc_id"].combine_chunks().to_numpy()
+        self.table, self.ids = table, table["doc_id"].combine_chunks().to_numpy()
         rows, tokens, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
         for batch in table.select(["text"]).combine_chunks().to_batches():
             for part in slices(batch, "text"):
@@ -315,7 +316,42 @@ def joined(regions: DataFrame, sets: DataFrame, percent: int, tile: int) -> Data
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """One row for each document: doc_id, n_shingles and component_id. percent: the least similarity, in hundredths; tile: the shingles that a task compares at once."""
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sets, members = classed(docs, size, percent, doc_id, text, tile)
+    alone = sets.where("same is null").select("doc_id", "n", F.col("doc_id").alias("component"))  # most documents, which need no join
+    linked = sets.where("same is not null").join(members, "same").select("doc_id", "n", "component")
+    return alone.unionByName(linked).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, order: str, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near duplicates, and of each group of them the one with the smallest `order`, then doc_id; all columns but doc_id.
+
+    doc_id tells rows apart; a null one links with nothing. Rows without words with the same `order` and text are one. Only texts that share
+    enough shingles with others are shuffled a second time.
+    """
+    columns = [c for c in docs.columns if c != doc_id]
+    sets, members = classed(docs, size, percent, doc_id, text, carry=tuple(columns))
+    carried = dict(zip(columns, (f"carry_{i}" for i in range(len(columns))), strict=True))
+    out = [F.col(at).alias(c) for c, at in carried.items()]
+    linked = sets.where("same is not null")
+    first = F.min(F.struct(F.col(carried[order]).alias("order"), "doc_id")).alias("first")
+    stay = saved(linked.select("doc_id", carried[order], "same").join(members, "same").groupBy("component").agg(first).select("first.doc_id"))
+    kept = linked.join(stay, "doc_id", "left_semi").select(out)
+    alone = sets.where("same is null and (n > 0 or doc_id is null)").select(out)
+    wordless = sets.where("same is null and n = 0 and doc_id is not null").groupBy(carried[order], carried[text]).agg(F.min_by(F.struct(*out), "doc_id").alias("row"))
+    return alone.unionByName(kept).unionByName(wordless.select("row.*"))
+
+
+def classed(docs: DataFrame, size: int, percent: int, doc_id: str, text: str, tile: int = TILE, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, same) of each document, same being null where it has no partner, and the component of each class of equal sets (same, component).
+
+    carry names columns of the documents to take along, as carry_0, carry_1, ...
+    """
+    own_text = text if docs.schema[text].dataType == StringType() else None  # taken along as it is, not twice
+    along = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry) if c != own_text]
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *along)
+    shape_of_sets = StructType.fromDDL(SETS)
+    for i, c in enumerate(carry):
+        shape_of_sets.add(f"carry_{i}", docs.schema[c].dataType)
     shape = ex.layout(own)
     n_buckets, parted = shape.buckets, ex.dealt(own, "doc_id", shape.parts, "text")
 
@@ -340,18 +376,19 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
             if own not in seen:
                 seen.add(own)
                 tokens[i] = x.token[part].tobytes()
+        carried = lambda rows: {f"carry_{i}": rows["text" if c == own_text else f"carry_{i}"] for i, c in enumerate(carry)}
         lost = pa.compute.invert(pa.compute.is_valid(table["doc_id"]))
         n_lost = pa.compute.sum(lost).as_py() or 0
         out = {"doc_id": pa.array(x.ids, pa.int64()), "n": pa.array(x.n, pa.int64()), "same": pa.array(same, pa.binary()), "tokens": pa.array(tokens, pa.binary())}
-        found = pa.table(out)
+        found = pa.table(out | carried(x.table))
         if n_lost:
             nameless = table.filter(lost).set_column(table.schema.get_field_index("doc_id"), "doc_id", pa.array(np.arange(n_lost)))
             n = Sets(nameless, size, percent).n
-            found = pa.concat_tables([found, pa.table({"doc_id": pa.nulls(n_lost, pa.int64()), "n": pa.array(n, pa.int64()), "same": pa.nulls(n_lost, pa.binary()), "tokens": pa.nulls(n_lost, pa.binary())})])
+            found = pa.concat_tables([found, pa.table({"doc_id": pa.nulls(n_lost, pa.int64()), "n": pa.array(n, pa.int64()), "same": pa.nulls(n_lost, pa.binary()), "tokens": pa.nulls(n_lost, pa.binary())} | carried(nameless))])
         return found
 
     replies = ex.shared_keys(parted, extract, n_buckets)
-    sets = saved(parted.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(survive, SETS))
+    sets = saved(parted.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(survive, shape_of_sets))
     classes = saved(sets.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("tokens").alias("tokens")))
 
     shape = ex.layout(classes, "tokens")
@@ -404,9 +441,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     links = links.union(joined(saved(regions), rivals, percent, tile))
 
     found = components(links).select(F.col("node").alias("rep"), "component")
-    members = classes.select("same", "rep").join(found, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-    rows = sets.select("doc_id", "n", "same").join(members, "same", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return sets, classes.select("same", "rep").join(found, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

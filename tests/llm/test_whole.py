@@ -114,3 +114,26 @@ def test_vectors_of_any_size_and_odd_tables(spark):
     want = [(i, *own.get(i, (0, i))) for i, _, _ in rows if i is not None] + [(None, 0, None)]
     assert got == sorted(want, key=lambda r: (r[0] is None, r))
     assert embedding_dedup.near_dedup(df.limit(0)).count() == 0
+
+
+def test_pipeline_shuffles_texts_of_single_documents_once(spark):
+    """Dropping near duplicates once joined all texts anew, so that shuffles grew faster than the input; other columns stay with their rows."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{(i // 2 if i < 20 else i)}x{k}" for k in range(60)), f"s{i}", [i]) for i in range(400)]
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/single"
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, extra array<int>").repartition(3).write.mode("overwrite").parquet(folder)
+    kept = corpus_pipeline.distinct(spark, spark.read.parquet(folder), "")
+    found = kept.collect()
+    assert sorted(r["doc_id"] for r in found) == [i for i in range(400) if i >= 20 or i % 2 == 0]
+    assert all(tuple(r) == rows[r["doc_id"]] for r in found)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept.where(F.length("text") > 0)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert "Union" in plan and all("LeftAnti" not in x and "LeftOuter" not in x for x in joins)
