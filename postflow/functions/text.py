@@ -6,7 +6,7 @@ import hashlib
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
 from itertools import pairwise
@@ -238,9 +238,16 @@ def html_to_text(page: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """Runs of white space are one space, one line end or one blank line."""
-    text = F.regexp_replace(text, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " ")  # single spaces, which are most, are left where they are
+    wide = ("  ", "\t", "\r", "\f")  # passes over the text are made only where there is something to squeeze; most texts have nothing
+    squeeze = lambda x: F.regexp_replace(x, r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " ")
+    text = _bound(text, lambda x: F.when(reduce(lambda a, b: a | b, [x.contains(c) for c in wide]), squeeze(x)).otherwise(x))
     text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
-    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return _bound(text, lambda x: F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is found once, however often f refers to it."""
+    return F.transform(F.array(value), f)[0]
 
 
 class _Markdown(HTMLParser):

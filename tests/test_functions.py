@@ -174,3 +174,12 @@ def test_blocked_company_is_normalised_once(spark):
     rule = rules.company_blocked(F.col("x"), rules.Rules(blocked_companies=("Acme, Inc.",)))[0]
     plan = spark.createDataFrame([("acme",)], "x string").select(rule.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1
+
+
+def test_text_of_pages_with_any_white_space(spark):
+    """Passes that squeeze white space are left out where there is none to squeeze, which must change no text."""
+    from postflow.functions.text import html_to_text
+
+    pages = {"<p>a</p><p>b</p>": "a\n\nb", "a  b": "a b", "a\tb": "a b", "a\r\nb": "a\nb", "a\fb": "a b", "<p>a</p>\n\n\n<p>b</p>": "a\n\nb", "a<b></b>b": "a b", "a \n b": "a\nb", "": "", "one two": "one two"}
+    df = spark.createDataFrame([(k,) for k in pages], "page string")
+    assert {r["page"]: r["t"] for r in df.select("page", html_to_text(F.col("page")).alias("t")).collect()} == pages
