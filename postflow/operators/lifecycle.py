@@ -12,6 +12,7 @@ BODY = ("description_html", "description_text", "description_md", "description_l
 PAY = ("salary_min", "salary_max", "salary_currency", "salary_period", "salary_is_stated")
 POSTER = ("poster_name", "poster_profile_url")
 PLAIN = ("title", "location_raw")
+HASHED = ("title", "location_raw", "description_text")
 
 
 def upserted(stored: DataFrame, listed: DataFrame, key: str = "id", first: tuple[str, ...] = (), latest: tuple[str, ...] = ()) -> DataFrame:
@@ -21,7 +22,9 @@ def upserted(stored: DataFrame, listed: DataFrame, key: str = "id", first: tuple
     they are; stated pay outlives its absence; poster fields are kept one by one. Whether anything changed is told by a hash over the body
     that survives. A posting that comes back after it went inactive is a repost. Absent postings are left to the missed-run counter.
     Of further fields, `first` stay as first stored, and `latest` take each new value that is known.
+    If the stored postings have no content_hash, it is found where it is needed, and not given out.
     """
+    hashed = "content_hash" in stored.columns
     both = stored.alias("o").join(listed.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     old, new = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
     is_new, absent = old(key).isNull(), new(key).isNull()
@@ -37,13 +40,19 @@ def upserted(stored: DataFrame, listed: DataFrame, key: str = "id", first: tuple
     poster = [F.coalesce(new(c), old(c)).alias(c) for c in POSTER]
     further = [F.coalesce(old(c), new(c)).alias(c) for c in first] + [F.coalesce(new(c), old(c)).alias(c) for c in latest]
     was_active = F.coalesce(old("is_active"), F.lit(True))
-    kept = [F.when(absent, old("content_hash")).alias("_hash"), is_new.alias("_new"), absent.alias("_absent"), old("content_hash").alias("_old_hash"), was_active.alias("_was_active"), F.coalesce(old("repost_count"), F.lit(0)).alias("_reposts"), F.coalesce(old("missed_runs"), F.lit(0)).alias("_missed")]
+    hashes = [F.when(absent, old("content_hash")).alias("_hash"), old("content_hash").alias("_old_hash")] if hashed else [F.struct(*[old(c) for c in HASHED]).alias("_was")]
+    kept = [*hashes, is_new.alias("_new"), absent.alias("_absent"), was_active.alias("_was_active"), F.coalesce(old("repost_count"), F.lit(0)).alias("_reposts"), F.coalesce(old("missed_runs"), F.lit(0)).alias("_missed")]
     rows = both.select(F.coalesce(old(key), new(key)).alias(key), *chosen(absent, PLAIN), *chosen(keep_body, BODY), *chosen(keep_pay, PAY), *poster, *further, *kept)
-    rows = rows.withColumn("content_hash", F.coalesce("_hash", content_hash(F.col("title"), F.col("location_raw"), F.col("description_text"))))
-    outcome = F.when(F.col("_new"), "new").when(F.col("_absent"), "absent").when(F.col("content_hash") == F.col("_old_hash"), "unchanged").otherwise("updated")
+    now = content_hash(*[F.col(c) for c in HASHED])
+    if hashed:
+        rows = rows.withColumn("content_hash", F.coalesce("_hash", now))
+        same = F.col("content_hash") == F.col("_old_hash")
+    else:
+        same = F.when(F.struct(*HASHED).eqNullSafe(F.col("_was")), True).otherwise(now == content_hash(*[F.col("_was")[c] for c in HASHED]))
+    outcome = F.when(F.col("_new"), "new").when(F.col("_absent"), "absent").when(same, "unchanged").otherwise("updated")
     back = ~F.col("_new") & ~F.col("_absent") & ~F.col("_was_active")
     rows = rows.withColumns({"outcome": outcome, "repost_count": F.col("_reposts") + back.cast("int"), "missed_runs": F.when(F.col("_absent"), F.col("_missed")).otherwise(0), "is_active": F.when(F.col("_absent"), F.col("_was_active")).otherwise(True)})
-    return rows.drop("_hash", "_new", "_absent", "_old_hash", "_was_active", "_reposts", "_missed")
+    return rows.drop("_hash", "_new", "_absent", "_old_hash", "_was", "_was_active", "_reposts", "_missed")
 
 
 def harvested(hits: DataFrame, known: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,42 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are wanted for a while only: saved as above, and freed when they are no longer read, or all at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/scratch-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def free(self, *tables: DataFrame) -> None:
+        """Overwrites tables with nothing; those that were not saved here are left alone."""
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Inside, the files of a query's shuffles go when it ends, and not when the driver happens to collect its garbage; scratch tables go at the end."""
+    before, tables = spark.conf.get(SHUFFLES_GO, None), Scratch(spark)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield tables
+    finally:
+        tables.free(*[df for df, _ in tables.paths.values()])
+        spark.conf.set(SHUFFLES_GO, before) if before else spark.conf.unset(SHUFFLES_GO)
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -33,7 +33,7 @@ RUN_COUNT = 4
 def arriving(spark, d):
     """Four runs: each lists the line items of a supplier but for every fourth order; in run 2 every seventh supplier's listing is cut short."""
     k = F.col("l_orderkey")
-    items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("board"), k.alias("item")).distinct()
+    items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("board"), k.alias("item")).repartition("board").distinct()
     spread = items.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUN_COUNT - 1)))).where((F.col("item") % 4 != F.col("run")) & ((F.col("item") % 5 != 0) | (F.col("run") < 2)))
     cut = (F.col("run") == 2) & (F.col("board") % 7 == 0)
     return spread.select(F.col("run").cast("bigint").alias("run"), "board", "item", cut.alias("truncated"))

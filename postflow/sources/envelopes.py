@@ -11,7 +11,7 @@ from postflow.sources.adapters import ENVELOPE, LIST
 
 def write_envelopes(envelopes: DataFrame, folder: str) -> None:
     """Appends envelopes as JSON lines, a folder for each source and run, so that a replay reads only its own."""
-    envelopes.write.mode("append").partitionBy("source", "run_key").json(folder)
+    envelopes.write.mode("append").option("compression", "gzip").partitionBy("source", "run_key").json(folder)
 
 
 def scan_envelopes(spark: SparkSession, folder: str, source: str, run_key: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Raw envelopes and the event log as Spark data sources, for batch reads and for streams.
 
-`envelopes`: JSON lines in a folder for each source and run (source=.../run_key=...). Filters on these two columns choose folders before
+`envelopes`: JSON lines (packed or not) in a folder for each source and run (source=.../run_key=...). Filters on these two columns choose folders before
 any file is opened, and each file is a partition. As a stream, its offset is the last run taken: run keys rise with time, and a run is
 listed once it is whole.
 
@@ -43,7 +43,7 @@ def folders(store: fs.FileSystem, at: str, name: str) -> dict[str, str]:
     return {unquote(f.base_name.split("=", 1)[1]): f.path for f in found if f.type == fs.FileType.Directory and f.base_name.startswith(f"{name}=")}
 
 
-def files(store: fs.FileSystem, at: str, suffix: str) -> list[str]:
+def files(store: fs.FileSystem, at: str, suffix: str | tuple[str, ...]) -> list[str]:
     return sorted(f.path for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.type == fs.FileType.File and f.base_name.endswith(suffix) and not f.base_name.startswith(("_", ".")))
 
 
@@ -67,7 +67,7 @@ class EnvelopeFolder:
 
     def _files(self, runs: list[tuple[str, str, str]]) -> Sequence[InputPartition]:
         store, _ = opened(self.path)
-        return [EnvelopeFile(path, s, r) for s, r, folder in runs for path in files(store, folder, ".json")]
+        return [EnvelopeFile(path, s, r) for s, r, folder in runs for path in files(store, folder, (".json", ".json.gz"))]
 
     def read(self, partition: EnvelopeFile | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was found

@@ -12,11 +12,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from postflow.operators.storage import saved, shared_folder
+from postflow.operators.storage import scratch, shared_folder
 from postflow.sources.envelopes import write_envelopes
 from postflow.sources.logs import append_events, event_stream
 from postflow.streaming.states import Absences, Breakers, keyed_state, processed
@@ -194,16 +194,20 @@ def synced(runs: DataFrame, grace: int = 2, phases: int = 2, page: int = 1000) -
     """
     spark = runs.sparkSession
     folder, store = fresh(spark, "runs"), fresh(spark, "store")
+    nth = F.row_number().over(Window.partitionBy("run", "board").orderBy("item")) - 1
     items = F.to_json(F.sort_array(F.collect_list(F.col("item").cast("string"))))
-    pages = runs.groupBy("run", "board", F.floor(F.col("item") / page).alias("page")).agg(items.alias("payload"), F.bool_or("truncated").alias("truncated"))
+    pages = runs.withColumn("page", F.floor(nth / page)).groupBy("run", "board", "page").agg(items.alias("payload"), F.bool_or("truncated").alias("truncated"))
     none = F.lit(None).cast("string")
-    sent = saved(pages.select("run", F.lpad(F.col("run").cast("string"), 12, "0").alias("run_key"), F.lit(ITEMS).alias("source"), F.lit(ITEMS).alias("provider"), F.col("board").cast("string").alias("token"), F.lit("global").alias("market"), none.cast("bigint").alias("board_id"), none.alias("fetched_at"), "payload", "truncated", F.lit(False).alias("refused")))
-    low, high = sent.agg(F.min("run"), F.max("run")).first()
+    sent = pages.select("run", F.lpad(F.col("run").cast("string"), 12, "0").alias("run_key"), F.lit(ITEMS).alias("source"), F.lit(ITEMS).alias("provider"), F.col("board").cast("string").alias("token"), F.lit("global").alias("market"), none.cast("bigint").alias("board_id"), none.alias("fetched_at"), "payload", "truncated", F.lit(False).alias("refused"))
     sync = Sync(spark, store, listed_items, grace=grace)
-    for k in range(phases):
-        until = F.col("run") * phases < F.lit((low or 0) * phases + ((high or 0) - (low or 0) + 1) * (k + 1))
-        since = F.col("run") * phases >= F.lit((low or 0) * phases + ((high or 0) - (low or 0) + 1) * k)
-        write_envelopes(sent.where(until & since).drop("run"), folder)
-        sync.drain(folder, ITEMS)
+    with scratch(spark) as tables:
+        sent = tables.saved(sent)
+        low, high = sent.agg(F.min("run"), F.max("run")).first()
+        for k in range(phases):
+            until = F.col("run") * phases < F.lit((low or 0) * phases + ((high or 0) - (low or 0) + 1) * (k + 1))
+            since = F.col("run") * phases >= F.lit((low or 0) * phases + ((high or 0) - (low or 0) + 1) * k)
+            write_envelopes(sent.where(until & since).drop("run"), folder)
+            tables.free(sent) if k == phases - 1 else None
+            sync.drain(folder, ITEMS)
     item = F.substring_index("id", "|", -1).cast("bigint")
-    return sync.stored().select(F.col("board").cast("bigint").alias("board"), item.alias("item"), F.col("first_run").cast("bigint").alias("first_run"), F.col("last_run").cast("bigint").alias("last_run"), F.col("missed_runs").cast("bigint").alias("missed"), "is_active")
+    return sync.listed().select(F.col("board").cast("bigint").alias("board"), item.alias("item"), F.col("first_run").cast("bigint").alias("first_run"), F.col("last_run").cast("bigint").alias("last_run"), F.col("missed_runs").cast("bigint").alias("missed"), "is_active")
