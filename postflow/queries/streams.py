@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from postflow.functions.urls import board_hits
 from postflow.queries.posting import BANK, HARVEST_SQL
 from postflow.queries.registry import Family
-from postflow.queries.summaries import RUNS_SQL, numbered
+from postflow.queries.summaries import RUNS_SQL, numbered, run_numbers
 from postflow.operators.storage import saved
 from postflow.sources.adapters import ADAPTERS
 from postflow.sources.bindings import companies, jobs, pick, table
@@ -98,8 +98,8 @@ def ts3(spark, d):
     """How many runs a posting was missed for when its board lists it again; -1 for its first."""
     seen = numbered(spark, d)
     found = events.missed_runs(seen.select(F.col("board_id").alias("key"), F.col("job_id").alias("item"), F.col("nth").alias("at")))
-    runs = seen.select("run", F.col("nth").cast("bigint").alias("at")).distinct()
-    return found.join(runs, "at").select(F.col("key").alias("board_id"), F.col("item").alias("job_id"), "run", "missed")
+    runs = run_numbers(spark, d).select("run", F.col("nth").cast("bigint").alias("at"))
+    return found.join(F.broadcast(runs), "at").select(F.col("key").alias("board_id"), F.col("item").alias("job_id"), "run", "missed")
 
 
 @add(

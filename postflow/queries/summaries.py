@@ -259,11 +259,14 @@ def w06(spark, d):
     return listings(spark, d).groupBy("job_id").agg(first).select("job_id", "x.board_id", "x.run")
 
 
+def run_numbers(spark, d):
+    """(run, nth): all runs in their order."""
+    return listings(spark, d).select("run").distinct().withColumn("nth", F.row_number().over(Window.orderBy("run")))
+
+
 def numbered(spark, d):
     """(board_id, job_id, run, nth): listings with the number of their run among all runs, whoever was listed in them."""
-    seen = listings(spark, d).distinct()
-    runs = seen.select("run").distinct().withColumn("nth", F.row_number().over(Window.orderBy("run")))
-    return seen.join(F.broadcast(runs), "run")
+    return listings(spark, d).distinct().join(F.broadcast(run_numbers(spark, d)), "run")
 
 
 RUNS_SQL = "runs AS (SELECT run, row_number() OVER (ORDER BY run) AS nth FROM (SELECT DISTINCT run FROM listings)), seen AS (SELECT DISTINCT board_id, job_id, run, nth FROM listings JOIN runs USING (run))"

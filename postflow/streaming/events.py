@@ -19,11 +19,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from postflow.operators.storage import scratch, shared_folder
 from postflow.sources.envelopes import write_envelopes
 from postflow.sources.logs import append_events, event_stream
-from postflow.streaming.states import Absences, Breakers, keyed_state, processed
+from postflow.streaming.states import SIGHTING, Breakers, absences, keyed_state, processed
 from postflow.streaming.sync import Sync
 
 PARTS = 4
-ITEM_RANGE = 32_768  # items of a key whose state is one value
+BUNDLE = 32_768  # sightings, about, whose items' state is one value
 END = "end"  # the kind of a closing row
 
 
@@ -115,27 +115,27 @@ def queue_outcomes(spark: SparkSession, sf_dir: str, days: int = 21, asked: str
     return found.groupBy("event_id").agg(F.min("accepted_at").alias("released_at"))
 
 
-def in_runs(seen: DataFrame, processor: StatefulProcessor, parts: int = PARTS) -> DataFrame:
-    """What a processor of items says of (key, item, at), whose runs `at` arrive in turn; a closing row lets the timers of the last run fire."""
+def in_runs(seen: DataFrame, parts: int = PARTS, grace: int | None = None, forget: int | None = None) -> DataFrame:
+    """What is told of the absences of (key, item, at), whose runs `at` arrive in turn, up to the last run; a closing row lets its timers fire."""
     spark = seen.sparkSession
-    day = F.timestamp_seconds(F.col("at") * 86_400).alias("ts")
-    rows = seen.select("key", "item", F.col("at").cast("bigint").alias("at"))
-    close = rows.agg((F.max("at") + 1).alias("at")).select(F.lit(-1).cast("bigint").alias("key"), F.lit(-1).cast("bigint").alias("item"), "at").where("at is not null")
-    group = F.floor(F.col("item") / ITEM_RANGE).alias("range")
-    read = lambda df: processed(df.select("key", "item", "at", group, day).withWatermark("ts", "0 seconds"), ["key", "range"], processor)
-    with keyed_state(spark):
-        return drained(arrivals(rows, "at", parts, close), read, "key >= 0").drop("pass")
+    with scratch(spark) as tables, keyed_state(spark):
+        rows = tables.saved(seen.select("key", "item", F.col("at").cast("bigint").alias("at")))
+        n, last = rows.agg(F.count("*"), F.max("at")).first()
+        close = spark.range(1 if n else 0).select(F.lit(-1).cast("bigint").alias("key"), F.lit(-1).cast("bigint").alias("item"), F.lit((last or 0) + 1).cast("bigint").alias("at"))
+        bundle = F.pmod(F.xxhash64("key", "item"), F.lit(n // BUNDLE + 1)).alias("bundle")
+        day = F.timestamp_seconds(F.col("at") * 86_400).alias("ts")
+        read = lambda df: absences(df.select(*SIGHTING, bundle, day).withWatermark("ts", "0 seconds"), "bundle", grace, forget)
+        return drained(arrivals(rows, "at", parts, close), read, f"key >= 0 AND at <= {last or 0}").drop("pass")
 
 
 def missed_runs(seen: DataFrame, parts: int = PARTS, forget: int | None = None) -> DataFrame:
     """(key, item, at, missed) from (key, item, at): how many runs an item of a board was missed for each time that it is seen."""
-    return in_runs(seen, Absences(forget=forget), parts).where("kind = 'seen'").drop("kind")
+    return in_runs(seen, parts, forget=forget)
 
 
 def retirements(seen: DataFrame, grace: int = 2, parts: int = PARTS) -> DataFrame:
     """(key, item, at): the runs by which items had been missed `grace` times in a row. Those of the last run come from timers alone."""
-    last = seen.agg(F.max("at")).first()[0] or 0
-    return in_runs(seen, Absences(grace), parts).where((F.col("kind") == "retired") & (F.col("at") <= last)).select("key", "item", "at")
+    return in_runs(seen, parts, grace).select("key", "item", "at")
 
 
 def breaker_rows(spark: SparkSession, sf_dir: str, processor: StatefulProcessor) -> DataFrame:

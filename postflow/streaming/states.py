@@ -1,4 +1,4 @@
-"""Stateful processors: one state for each key, kept by the state store, with event-time timers that give out what time brings about.
+"""Stateful processors and functions: one state for each key, kept by the state store, with event-time timers that give out what time brings about.
 
 What must happen later (a posting is retired, a cooldown ends, a key is forgotten) is a timer of its key: it fires once the watermark has
 passed it, whether or not the key has rows then. If rows of the key come first, they settle what was due before them, so that answers
@@ -10,7 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -102,6 +106,61 @@ class Absences(StatefulProcessor):
         self._keep(None, items)
 
 
+SIGHTING = ("key", "item", "at")
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False).replace_schema_metadata(None)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_all().to_pandas()
+
+
+def absences(df: DataFrame, bundle: str, grace: int | None = None, forget: int | None = None) -> DataFrame:
+    """As Absences, for streams of (key, item, at) with many items: (key, item, at, missed) in append mode and event time.
+
+    Items are dealt into bundles, whose state is one value and one timer: each item's last run. A bundle's rows are settled as arrays, as a
+    call for each row or item costs more than all else. With `grace` retired items are given out, and an item goes when it is retired, for it is as
+    good as new if it is seen again; without it items that are seen are, and they go after `forget` runs, if that is given.
+    """
+    wait = forget if grace is None else grace
+
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _unpacked(state.get[0]) if state.exists else pd.DataFrame({c: np.zeros(0, np.int64) for c in SIGHTING})
+        new = [] if state.hasTimedOut else [b[list(SIGHTING)] for b in batches]
+        rows = pd.concat([held, *(b.drop_duplicates() for b in new)], ignore_index=True)
+        rows = pd.concat([rows, pd.Series(np.arange(len(rows)) >= len(held), name="fresh")], axis=1).sort_values([*SIGHTING, "fresh"], ignore_index=True)
+        rows = rows[~(rows["fresh"] & rows.duplicated([*SIGHTING, "fresh"]))] if len(new) > 1 else rows
+        k, item, at, fresh = (rows[c].to_numpy() for c in (*SIGHTING, "fresh"))
+        again = np.r_[False, (k[1:] == k[:-1]) & (item[1:] == item[:-1])] if len(k) else np.zeros(0, bool)
+        gap = np.where(again, at - np.r_[0, at[:-1]][: len(at)] - 1, -1)
+        if grace is None:
+            told = pd.DataFrame({"key": k, "item": item, "at": at, "missed": gap if forget is None else np.where(gap < forget, gap, -1)})[fresh]
+        else:
+            told = pd.DataFrame({"key": k, "item": item, "at": at - 1 - gap + grace, "missed": grace})[fresh & (gap >= grace)]
+        left = rows.loc[~np.r_[again[1:], False] if len(k) else again, list(SIGHTING)]
+        now = state.getCurrentWatermarkMs()
+        if wait is not None:
+            gone = ((left["at"] + wait) * DAY_MS <= now).to_numpy()
+            if grace is not None:
+                told = pd.concat([told, left[gone].assign(at=left["at"] + grace, missed=grace)], ignore_index=True)
+            left = left[~gone]
+        if len(left):
+            state.update((_packed(left),))
+            if wait is not None:
+                state.setTimeoutTimestamp(int(left["at"].min() + wait) * DAY_MS)
+        elif state.exists:
+            state.remove()
+        yield told
+
+    return df.groupBy(bundle).applyInPandasWithState(settle, "key bigint, item bigint, at bigint, missed bigint", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class Breakers(StatefulProcessor):
     """Refusals of a user among its requests: (event_id, user_id, streak, cooldown, kind, at).
 
