@@ -7,6 +7,7 @@ a 64-bit hash of the description as hi and lo (null: no description) and three d
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -187,37 +188,79 @@ def _taken(most: int):
     return take
 
 
-def linked(records: DataFrame, max_distance: int = 12, tile: int = 2048) -> DataFrame:
-    """(key, rep, links) of every record: the earliest record of its class, and how many others it is adjacent to.
+def _dealt(records: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of records with how many records each has (times), and the same in tiles, bundled for tasks.
 
-    A block's classes are dealt into parts of about `tile`, and each two parts are compared inside one task, which counts. A block gives
-    a row for each class and part, however many of its pairs are adjacent.
+    A block's classes are dealt into parts of about `tile`, and each two parts are compared inside one task.
     """
     classes = saved(records.groupBy(F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).agg(F.min("key").alias("rep"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in KIND)))
     parts = classes.groupBy("block").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("k"))
     dealt = classes.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat_ws("-", F.least("part", i), F.greatest("part", i)))
     spread = dealt.select(*FIELDS, "times", "part", F.explode(pairs).alias("tile"))
-    bundled = spread.withColumn("bundle", F.pmod(F.xxhash64("block", "tile"), F.lit(max(1, classes.count() // (2 * tile)))))
+    return classes, spread.withColumn("bundle", F.pmod(F.xxhash64("block", "tile"), F.lit(max(1, classes.count() // (2 * tile)))))
+
+
+def _compared(table: pa.Table, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(x, y, near, own) for all the tiles of a sorted bundle, some records x at a time: which are adjacent to which records y, none to itself; own: x and y are of one part."""
+    c = Compared(table)
+    codes = [table[x].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for x in ("block", "tile")]
+    part = table["part"].to_numpy()
+    cut = np.flatnonzero(np.r_[True, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1]), True]) if table.num_rows else np.zeros(1, np.int64)
+    for i, j in zip(cut, cut[1:], strict=False):
+        m = i + int(np.searchsorted(part[i:j], part[i], "right"))  # two different parts are compared with each other only
+        x, y = (np.arange(i, m), np.arange(m, j)) if m < j else (np.arange(i, j), np.arange(i, j))
+        for a in range(0, len(x), STEP):
+            near = c.adjacent(x[a : a + STEP], y, most)
+            if m == j:
+                near[np.arange(len(near)), a + np.arange(len(near))] = False
+            yield x[a : a + STEP], y, near, m == j
+
+
+TILED = [("block", "ascending"), ("tile", "ascending"), ("part", "ascending"), ("rep", "ascending")]
+
+
+def linked(records: DataFrame, max_distance: int = 12, tile: int = 2048) -> DataFrame:
+    """(key, rep, links) of every record: the earliest record of its class, and how many others it is adjacent to.
+
+    A block gives a row for each class and part, however many of its pairs are adjacent.
+    """
+    classes, bundled = _dealt(records, tile)
 
     def count(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("tile", "ascending"), ("part", "ascending"), ("rep", "ascending")])
-        c = Compared(table)
-        codes = [table[x].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for x in ("block", "tile")]
-        part, times, links = table["part"].to_numpy(), table["times"].to_numpy(), np.zeros(table.num_rows, np.int64)
-        cut = np.flatnonzero(np.r_[True, (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1]), True]) if table.num_rows else np.zeros(1, np.int64)
-        for i, j in zip(cut, cut[1:], strict=False):
-            m = i + int(np.searchsorted(part[i:j], part[i], "right"))  # two different parts are compared with each other only
-            x, y = (np.arange(i, m), np.arange(m, j)) if m < j else (np.arange(i, j), np.arange(i, j))
-            for a in range(0, len(x), STEP):
-                near = c.adjacent(x[a : a + STEP], y, max_distance)
-                if m == j:
-                    near[np.arange(len(near)), a + np.arange(len(near))] = False
-                else:
-                    links[y] += times[x[a : a + STEP]] @ near
-                links[x[a : a + STEP]] += near @ times[y]
-        return pa.table({"rep": pa.array(c.rep, pa.int64()), "links": pa.array(links, pa.int64())})
+        table = table.sort_by(TILED)
+        times, links = table["times"].to_numpy(), np.zeros(table.num_rows, np.int64)
+        for x, y, near, own in _compared(table, max_distance):
+            if not own:
+                links[y] += times[x] @ near
+            links[x] += near @ times[y]
+        return pa.table({"rep": table["rep"].combine_chunks().cast(pa.int64()), "links": pa.array(links, pa.int64())})
 
     counted = bundled.groupBy("bundle").applyInArrow(count, "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.select("class", "rep", "times").join(counted, "rep").select("class", "rep", (F.col("links") + F.col("times") - 1).alias("links"))
     return records.select("key", F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).join(named, "class").select("key", "rep", "links")
+
+
+def pairs(records: DataFrame, max_distance: int = 12, tile: int = 2048) -> DataFrame:
+    """(u, v), u < v: every two records that are adjacent.
+
+    Only classes are compared; a task gives the adjacent ones some rows of a tile at a time. Joins then put the records of each class in,
+    those of a large one in parts, so that no task holds or makes all the pairs of a class.
+    """
+    classes, bundled = _dealt(records, tile)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by(TILED)
+        rep, times = table["rep"].to_numpy(), table["times"].to_numpy()
+        for x, y, near, own in _compared(table, max_distance):
+            i, j = np.nonzero(near & (x[:, None] < y) if own else near)
+            yield pa.record_batch({"a": pa.array(rep[x[i]], pa.int64()), "b": pa.array(rep[y[j]], pa.int64()), "times": pa.array(times[y[j]], pa.int64())})
+
+    found = bundled.groupBy("bundle").applyInArrow(find, "a bigint, b bigint, times bigint")
+    copies = classes.where("times > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), "times")
+    parts = F.ceil(F.col("times") / tile)
+    members = saved(records.select("key", F.sha2(F.to_json(F.struct(*KIND)), 256).alias("class")).join(classes.select("class", "rep", "times"), "class").select("key", "rep", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part")))
+    sides = found.unionByName(copies).select("a", "b", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"))
+    one = sides.join(members.select(F.col("rep").alias("a"), F.col("key").alias("x")), "a")
+    both = one.join(members.select(F.col("rep").alias("b"), "part", F.col("key").alias("y")), ["b", "part"]).where("a <> b OR x < y")
+    return both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))

@@ -20,7 +20,7 @@ from postflow.operators import extraction as X
 from postflow.operators import outreach as O
 from postflow.operators import preferences as P
 from postflow.operators import rules as R
-from postflow.operators.dedupe import city_conflict, clustered, linked
+from postflow.operators.dedupe import city_conflict, clustered, linked, pairs
 from postflow.operators.lifecycle import harvested, last_standing, upserted
 from postflow.operators.phrases import found_in
 from postflow.operators.storage import saved
@@ -241,11 +241,17 @@ SAME_SQL = """a.block = b.block AND a.doc_id < b.doc_id AND (a.hi IS NULL OR b.h
 EDGES_SQL = f"{RECORDS_SQL}, edges AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON {SAME_SQL})"
 
 
+@add("j14_near_pairs", f"+ {EDGES_SQL} SELECT u, v FROM edges")
+def j14(spark, d):
+    """Every two records that are adjacent."""
+    return pairs(records(spark, d))
+
+
 @add(
-    "j14_near_pairs",
+    "j14_link_counts",
     f"+ {EDGES_SQL}, e AS (SELECT u AS k FROM edges UNION ALL SELECT v FROM edges), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY block, hi, lo, country, city, seniority) AS rep FROM r) SELECT doc_id, rep, coalesce(n, 0) AS links FROM c LEFT JOIN (SELECT k, count(*) AS n FROM e GROUP BY 1) ON k = doc_id",
 )
-def j14(spark, d):
+def j14_link_counts(spark, d):
     """Each record with the earliest of those that agree with it in all that is compared, and the number of records that it is adjacent to."""
     return linked(records(spark, d)).select(F.col("key").alias("doc_id"), "rep", "links")
 
